@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, packing, source_mix, token_files
+from . import jaccard_join, language_id, line_dedup, packing, quality, secret_scan, source_mix, suffix_dedup, token_files
 
 
 def _tokenizer() -> str:
@@ -24,6 +24,32 @@ def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix_sources(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similarity_components(_documents(spark, sf_dir))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).withColumn("held_out", F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2)
+    model = language_id.train(docs.where("NOT held_out"))
+    return language_id.identify(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
+
+
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secret_scan.scan(_documents(spark, sf_dir))
+    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(secret_scan.KINDS[:3])]
+    base = F.sha2(secret_scan.span_text(F.col("base")).cast("binary"), 256)
+    return out.select("doc_id", *counts, base.alias("base_sha256"), secret_scan.span_text(F.array_sort(F.concat("base", "added"))).alias("spans"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_verdicts(_documents(spark, sf_dir)).drop("lang", "source")
+
+
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.cut_repeats(_documents(spark, sf_dir).select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = token_files.token_path(spark)
     token_files.write_token_files(_documents(spark, sf_dir), path, _tokenizer(), end_id=1)
@@ -40,7 +66,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_source_mix, op8_token_files, op9_line_dedup, op10_packing)}
+    return {f.__name__: f for f in (op1_source_mix, op2_jaccard_join, op3_language_id, op5_secret_scan, op6_quality, op7_suffix_dedup, op8_token_files, op9_line_dedup, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
