@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, language_id, line_dedup, packing, quality, secret_scan, source_mix, suffix_dedup, token_files
+from . import jaccard_join, language_id, line_dedup, neighbours, packing, quality, secret_scan, source_mix, suffix_dedup, token_files
 
 
 def _tokenizer() -> str:
@@ -34,6 +34,11 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
 
 
+def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    graph = neighbours.NeighbourGraph.build(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return graph.search(graph.members.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id")))
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = secret_scan.scan(_documents(spark, sf_dir))
     counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(secret_scan.KINDS[:3])]
@@ -66,7 +71,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_source_mix, op2_jaccard_join, op3_language_id, op5_secret_scan, op6_quality, op7_suffix_dedup, op8_token_files, op9_line_dedup, op10_packing)}
+    return {f.__name__: f for f in (op1_source_mix, op2_jaccard_join, op3_language_id, op4_neighbours, op5_secret_scan, op6_quality, op7_suffix_dedup, op8_token_files, op9_line_dedup, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
