@@ -12,9 +12,10 @@ from pyspark.sql.window import Window
 
 from .common import connected_components, mix, shingle_sets, shuffle_parts, small_batches, staged
 
-#: Tokens of a set that travel: its 40 smallest hashes. Two sets with a Jaccard index of 0.8 share none of the first
-#: 24 of them with a probability of 0.2**24 (2e-17), less than that of a collision of 64-bit hashes.
-SKETCH, FIRST = 40, 24
+#: Tokens of a set that travel to find candidates: its 40 smallest hashes.
+SKETCH = 40
+#: Hot tokens, the smallest hashes first, by which a set in a large group is tied to others.
+TIES = 16
 SIGNATURE = 2048
 LEAF, FAN = 8, 4
 _POP = np.array([bin(i).count("1") for i in range(256)], np.uint8)
@@ -124,28 +125,36 @@ def sketches(docs: DataFrame, width: int = 5) -> DataFrame:
 
 
 def _coarse_edges(reps: DataFrame, percent: int, hot: int) -> DataFrame:
-    """Edges (a, b) whose components hold every two representatives that link: few more than the tokens they share.
-
-    Documents that share a token and have sizes in one or two neighbouring classes of ratio 100 / percent are tied to
-    the smallest of them. Tokens of more than ``hot`` sets count only for sets that have few others, so a passage that
-    many documents share doesn't tie them: without hot tokens, up to 0.4 of a set, two sets that link still have a
-    Jaccard index of 0.66 and share one of the first 24 other tokens but for a chance of 3e-12."""
-    cells = F.floor(F.log(F.col("n_shingles").cast("double")) / float(np.log(100 / percent))).cast("int")
-    tokens = reps.select("doc_id", cells.alias("cell"), F.size("tokens").alias("held"), F.posexplode("tokens").alias("place", "token"))
+    """Edges (a, b) whose components hold every two representatives that link, and few others.
+
+    Of tokens that ``hot`` sets or fewer share, the pairs of sets are counted, in groups of that size at most; a pair
+    whose sizes allow a link is an edge if it has 15 percent of the smaller number of such tokens in common. At a
+    Jaccard index of 0.8, 80 percent are expected; with 0.4 of a set hot, still 66 of the rest, and 4 of 24 are missed
+    with a chance of 6e-8. Sets of which more than 0.4 is hot are in a large group of similar sets, or consist of what
+    many texts share. They are tied, for each of their first 16 hot tokens and within one or two neighbouring size classes of
+    ratio 100 / percent, to the smallest such set: edges as many as tokens, without pairs."""
+    tokens = reps.select("doc_id", F.col("n_shingles").alias("n"), F.size("tokens").alias("held"), F.explode("tokens").alias("token"))
     often = tokens.groupBy("token").agg(F.count("*").alias("sets")).where("sets > 1").select("token", (F.col("sets") > hot).alias("is_hot"))
     shared = tokens.join(often, "token")
-    of_doc = Window.partitionBy("doc_id")  # 40 rows at most
-    hot_before = F.sum(F.col("is_hot").cast("int")).over(of_doc.orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    shared = shared.withColumn("hot_before", hot_before).withColumn("hot_all", F.sum(F.col("is_hot").cast("int")).over(of_doc))
-    dense = F.col("hot_all") > 0.4 * F.col("held")
-    use = (~F.col("is_hot") & (F.col("place") - F.col("hot_before") < FIRST)) | dense
-    rows = shared.where(use).select("doc_id", F.explode(F.array("cell", F.col("cell") + 1)).alias("cell"), "token")
-    rows = staged(rows, "jaccard-tokens")
-    least = rows.groupBy("token", "cell").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("_last")).where("b <> _last").drop("_last")
-    return rows.join(least, ["token", "cell"]).where("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct()
-
-
-def similarity_components(docs: DataFrame, percent: int = 80, width: int = 5, block: int = 1024, hot: int = 256) -> DataFrame:
+    n_hot = F.sum(F.col("is_hot").cast("int")).over(Window.partitionBy("doc_id"))  # 40 rows at most
+    place = F.row_number().over(Window.partitionBy("doc_id", "is_hot").orderBy(F.col("token") < 0, "token"))
+    shared = staged(shared.withColumn("n_hot", n_hot).withColumn("place", place).select("doc_id", "n", "token", "is_hot", "place", (F.col("held") - F.col("n_hot")).alias("rest"), (F.col("n_hot") > 0.4 * F.col("held")).alias("dense")), "jaccard-tokens")
+
+    one = F.struct("doc_id", "n", "rest")
+    groups = shared.where("NOT is_hot").groupBy("token").agg(F.array_sort(F.collect_list(one)).alias("l")).where("size(l) > 1")
+    pairs = F.expr("flatten(transform(sequence(1, size(l) - 1), i -> transform(slice(l, i + 1, size(l) - i), y -> struct(l[i - 1] as x, y))))")
+    pairs = groups.select(F.explode(pairs).alias("p")).where(f"100 * least(p.x.n, p.y.n) >= {percent} * greatest(p.x.n, p.y.n)")
+    both = pairs.groupBy(F.col("p.x.doc_id").alias("b"), F.col("p.y.doc_id").alias("a")).agg(F.count("*").alias("both"), F.min(F.least("p.x.rest", "p.y.rest")).alias("rest"))
+    near = both.where("100 * both >= 15 * rest").select("a", "b")
+
+    rows = shared.where(f"is_hot AND dense AND place <= {TIES}").withColumn("c", F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent))).cast("int"))
+    rows = rows.select("doc_id", "token", F.explode(F.array("c", F.col("c") + 1)).alias("c"))
+    least = rows.groupBy("token", "c").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("_last")).where("b <> _last").drop("_last")
+    tied = rows.join(least, ["token", "c"]).where("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct()
+    return near.unionByName(tied)
+
+
+def similarity_components(docs: DataFrame, percent: int = 80, width: int = 5, block: int = 1024, hot: int = 32) -> DataFrame:
     """doc_id, n_shingles and component_id: the smallest doc_id reachable by links of at least ``percent``.
 
     1. Sets are sketched and equal sets become one class, for which its smallest doc_id stands.
@@ -168,7 +177,7 @@ def similarity_components(docs: DataFrame, percent: int = 80, width: int = 5, bl
     placed = coarse.join(size, "coarse").withColumn("blocks", F.ceil(F.col("members") / float(block)).cast("int"))
     placed = placed.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     placed = staged(placed.select("doc_id", "coarse", "own", "blocks"), "jaccard-blocks")
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(placed, "doc_id")
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(placed.hint("merge"), "doc_id")
     tasks = text.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     task = F.xxhash64("coarse", F.least("own", "other"), F.greatest("own", "other"))
     tasks = tasks.select(task.alias("task"), "own", "doc_id", "text", (F.col("own") == F.col("other")).alias("alone"))
