@@ -13,7 +13,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 def rows(frame):
     frame = frame[sorted(frame.columns)]
-    return sorted(tuple(None if x is None or x != x else round(float(x), 4) if isinstance(x, float) else str(x) for x in r) for r in frame.astype(object).where(frame.notna(), None).values.tolist(), key=str)
+    return sorted((tuple(None if x is None or x != x else round(float(x), 4) if isinstance(x, float) else str(x) for x in r) for r in frame.astype(object).where(frame.notna(), None).values.tolist()), key=str)
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
