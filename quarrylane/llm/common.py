@@ -23,11 +23,21 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and return a scan of it: lineage is cut and lost executors cost no rework."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/staged/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write ``df`` to the shared folder and return a scan of it: lineage is cut and lost executors cost no rework. The
+    shuffle files of the write go with it, as the plan that made them isn't run again."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/staged/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def shuffle_parts(spark: SparkSession) -> int:
