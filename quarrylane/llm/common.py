@@ -56,15 +56,16 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, off - off[0]
 
 
-def small_batches(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """Slices of about ``limit`` text bytes each (one row at least), so that memory doesn't follow the batch size."""
+def small_batches(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = 1 << 18, rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Slices of about ``limit`` text bytes and at most ``rows`` rows each (one row at least), so that memory doesn't
+    follow the batch size."""
     for batch in batches:
         if not batch.num_rows:
             continue
         _, off = text_buffers(batch.column(column))
         at = 0
         while at < batch.num_rows:
-            to = max(at + 1, int(np.searchsorted(off, off[at] + limit, "right")) - 1)
+            to = max(at + 1, min(at + rows, int(np.searchsorted(off, off[at] + limit, "right")) - 1))
             yield batch.slice(at, to - at)
             at = to
 
@@ -86,7 +87,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """r**i and r**-i modulo 2**64 for i < n."""
     global _powers
     if len(_powers[0]) < n:
-        size = max(n, 1 << 21)
+        size = max(1 << 19, 1 << int(n - 1).bit_length())
         up, down = np.full(size, _R), np.full(size, _R_INV)
         up[0] = down[0] = 1
         _powers = np.multiply.accumulate(up), np.multiply.accumulate(down)

@@ -24,7 +24,7 @@ class CachedEncoder:
     through the library once and its ids are kept as bytes, up to ``limit`` chunks. Texts whose lower-casing or
     splitting could differ go through the library whole."""
 
-    def __init__(self, path: str, limit: int = 900_000):
+    def __init__(self, path: str, limit: int = 200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
