@@ -14,22 +14,23 @@ import numpy as np
 _JOINED = re.compile(r"[^a-zA-Z\u00c0-\u024f0-9\s][.,]\s")
 # Python splits at the information separators too, which aren't white space to the tokenizer; lower-casing of sigma
 # depends on its neighbours in Python alone, dotted I becomes two characters.
-_ODD = re.compile("[\x1c-\x1fΣİ]")
+_ODD = "\x1c\x1d\x1e\x1fΣİ"
 
 
 class CachedEncoder:
     """For tokenizer files whose pre-tokenizer drops white space and never spans it.
 
     A text's ids are then those of its white-space-separated chunks, one after the other, so each distinct chunk goes
-    through the library once and its ids are kept as bytes, up to ``limit`` chunks. Texts whose lower-casing or
-    splitting could differ go through the library whole."""
+    through the library once and its ids are kept as bytes, up to ``limit`` chunks in two generations: when the newer is
+    full it becomes the older, and what is met again there moves back, so rare chunks go and frequent ones stay. Texts
+    whose lower-casing or splitting could differ go through the library whole."""
 
     def __init__(self, path: str, limit: int = 200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.limit, self.cache = limit, {}
+        self.limit, self.cache, self.older = limit, {}, {}
         self.lowers = "Lowercase" in str(self.tokenizer.normalizer)
         self.bytes, self.model = self._byte_letters(), self.tokenizer.model
         probe = ["the", "straße", "ciónmente", "ñandú", "żółw", "слово"]
@@ -59,12 +60,14 @@ class CachedEncoder:
 
     def encode_batch(self, texts: Sequence[str | None]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers; null and empty texts have none."""
-        split = [None if t and _ODD.search(t) else self._chunks(t or "") for t in texts]
-        lists = [x for x in split if x]
-        new = list(set().union(*lists).difference(self.cache))
-        if len(self.cache) + len(new) > self.limit:
-            self.cache.clear()
-            new = list(set().union(*lists))
+        split = [None if t and any(c in t for c in _ODD) else self._chunks(t or "") for t in texts]
+        wanted = set().union(*(x for x in split if x))
+        new = wanted.difference(self.cache)
+        if len(self.cache) + len(new) > self.limit // 2:
+            self.cache, self.older, new = {}, self.cache, wanted
+        met = new & self.older.keys()
+        self.cache.update(zip(met, map(self.older.__getitem__, met), strict=True))
+        new = list(new - met)
         if self.plain:
             words = [c for c in new if c.isalpha() and (c.isascii() or unicodedata.is_normalized("NFC", c)) and c == c.lower()]
             self.cache.update(zip(words, map(self._word, words), strict=True))
