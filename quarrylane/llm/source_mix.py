@@ -47,8 +47,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), max_repeats
     nearest to the words still missing if it brings the source nearer. Ranks are cumulated over hash-free buckets of the score whose number is the root
     of the source's documents, so no source passes through one task.
 
-    Returns doc_id, source, size, source_size, target, copies, taken (= copies * size).
-    the order (doc_id, text hash), equal for repeated rows. Null and empty texts have size 0 and get no copy; a source
+    Returns doc_id, source, size, source_size, target, copies, taken (= copies * size). Null and empty texts have size 0 and get no copy; a source
     of such texts alone has target 0. Repeated rows are ranked apart only if their doc_id differs; those with the same
     doc_id are taken or left together. Columns other than doc_id, source and text aren't read."""
     base = staged(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes")
