@@ -14,8 +14,8 @@ from .common import mix, prefix_hash, small_batches, span_hash, staged, text_buf
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 SYMBOLS = b"#*$%&|<>"
-#: Value, least distance from the median at which a document can fail: (name, floor above, floor below).
-METRICS = (("word_length", 4.0, 2.0), ("symbol_share", 0.15, 1.0), ("dup_line_share", 0.5, 1.0), ("repeat_share", 0.3, 1.0))
+#: Value and the least distance of its quartiles: only a group whose values (nearly) all agree reaches it.
+METRICS = (("word_length", 0.05), ("symbol_share", 0.01), ("dup_line_share", 0.01), ("repeat_share", 0.01))
 
 
 def count_texts(column: pa.Array, window: int = 8) -> dict[str, np.ndarray]:
@@ -66,22 +66,23 @@ def count_texts(column: pa.Array, window: int = 8) -> dict[str, np.ndarray]:
     dup = np.ones(len(line), bool)
     dup[first_of] = False
     return {
+        "n_lines": np.bincount(doc, minlength=n).astype(np.int64),
         "n_words": np.diff(first).astype(np.int64), "word_chars": in_words[first[1:]] - in_words[first[:-1]], "n_symbols": symbols[off[1:]] - symbols[off[:-1]],
         "n_dup_lines": np.bincount(doc[dup], minlength=n).astype(np.int64), "n_repeat_words": repeat[first[1:]] - repeat[first[:-1]],
     }
 
 
 def text_counts(docs: DataFrame, keep: Sequence[str] = ("doc_id", "lang", "source")) -> DataFrame:
-    """``keep`` and n_words, word_chars (code points in words), n_symbols, n_dup_lines (lines with a word equal to an
+    """``keep``, n_lines (lines with a word), n_words, word_chars (code points in words), n_symbols, n_dup_lines (lines with a word equal to an
     earlier line), n_repeat_words (words in 8-word windows that occur twice or more) of each whole text; null: none."""
     fields = [docs.schema[c] for c in keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
             counts = count_texts(batch.column("text"))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *(pa.array(counts[c]) for c in COUNTS)], names=[*keep, *COUNTS])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *(pa.array(counts[c]) for c in ("n_lines", *COUNTS))], names=[*keep, "n_lines", *COUNTS])
 
-    schema = type(docs.schema)(fields).add("n_words", "long").add("word_chars", "long").add("n_symbols", "long").add("n_dup_lines", "long").add("n_repeat_words", "long")
+    schema = type(docs.schema)(fields).add("n_lines", "long").add("n_words", "long").add("word_chars", "long").add("n_symbols", "long").add("n_dup_lines", "long").add("n_repeat_words", "long")
     return docs.select(*keep, "text").mapInArrow(run, schema)
 
 
@@ -115,8 +116,9 @@ def quality_verdicts(docs: DataFrame, least_group: int = 200, fence: float = 4.0
 
     A document fails the base rules with fewer than ``least_words`` words or more than ``max_repeat`` percent of its
     words in repeated windows. Of the rest, each (lang, source) group has its own thresholds for mean word length and
-    the shares of symbols, repeated lines and repeated words: quartiles from the group's sketch widened by ``fence``
-    times their distance, and never nearer the median than a metric's floor. Groups of fewer than ``least_group``
+    the shares of symbols (of letters in words), repeated lines (of lines with a word) and repeated words: quartiles from
+    the group's sketch widened by ``fence`` times their distance, where a distance below a metric's floor counts as the
+    floor. Groups of fewer than ``least_group``
     documents take the thresholds of their language, merged from the same sketches, or of all documents if that is
     small too. A threshold table row exists for each group, so verdicts come from a join and nothing is collected.
 
@@ -125,19 +127,18 @@ def quality_verdicts(docs: DataFrame, least_group: int = 200, fence: float = 4.0
     counts = staged(text_counts(docs), "quality-counts")
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > max_repeat * F.col("n_words"))
     d = counts.withColumn("base_failed", failed)
-    share = {"word_length": ("word_chars", "n_words"), "symbol_share": ("n_symbols", "word_chars"), "dup_line_share": ("n_dup_lines", "n_words"), "repeat_share": ("n_repeat_words", "n_words")}
+    share = {"word_length": ("word_chars", "n_words"), "symbol_share": ("n_symbols", "word_chars"), "dup_line_share": ("n_dup_lines", "n_lines"), "repeat_share": ("n_repeat_words", "n_words")}
     for name, (top, bottom) in share.items():
         d = d.withColumn(name, F.when(F.col(bottom) > 0, F.col(top) / F.col(bottom)).otherwise(F.lit(0.0)))
-    names = [m for m, _, _ in METRICS]
+    names = [m for m, _ in METRICS]
     base = staged(quantile_sketch(d.where(~F.col("base_failed")), ["lang", "source"], names), "quality-sketch")
     levels = [(["lang", "source"], base), (["lang"], merge_sketches(base, ["lang"])), ([], merge_sketches(base, []))]
     limits = base.select("lang", "source", "metric").distinct()
     for depth, (keys, sketch) in enumerate(levels):
-        q = sketch_quantiles(sketch, keys, (0.25, 0.5, 0.75))
-        floor_up = F.element_at(F.create_map(*[x for m, up, _ in METRICS for x in (F.lit(m), F.lit(up))]), F.col("metric"))
-        floor_down = F.element_at(F.create_map(*[x for m, _, down in METRICS for x in (F.lit(m), F.lit(down))]), F.col("metric"))
-        high = F.greatest(F.col("q2") + fence * (F.col("q2") - F.col("q0")), F.col("q1") + floor_up)
-        low = F.least(F.col("q0") - fence * (F.col("q2") - F.col("q0")), F.col("q1") - floor_down)
+        q = sketch_quantiles(sketch, keys, (0.25, 0.75))
+        floor = F.element_at(F.create_map(*[x for m, least in METRICS for x in (F.lit(m), F.lit(least))]), F.col("metric"))
+        spread = fence * F.greatest(F.col("q1") - F.col("q0"), floor)
+        low, high = F.col("q0") - spread, F.col("q1") + spread
         q = q.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("metric").alias("_metric"), F.struct("count", low.alias("low"), high.alias("high")).alias(f"at{depth}"))
         on = F.col("metric") == F.col("_metric")
         for k in keys:

@@ -144,6 +144,27 @@ def test_quality(docs, rows, brute, empty):
     assert quality.quality_verdicts(empty).count() == 0
 
 
+def test_quality_planted_outliers(spark):
+    rng, rows, bad, n = np.random.default_rng(4), [], {}, 0
+    line = lambda: " ".join("abcdefgh"[int(k) % 3 : int(k)] + f"{rng.integers(100):02}" for k in rng.integers(4, 8, 5))
+    for lang in ("aa", "bb", None):
+        for source in ("s1", "s2", None):
+            texts = [[line() for _ in range(int(rng.integers(20, 40)))] for _ in range(220)]
+            banner = [x for k in range(50) for x in (line(), "the same banner of five")]  # half the lines
+            window = [line() for _ in range(60)] + ["one two three four five six seven eight"] * 8  # 15 % of the words
+            symbols = [f"{x} ###" for x in (line() for _ in range(30))]
+            longer = [" ".join(f"{w}longerword" for w in line().split()) for _ in range(30)]
+            for kind, t in [*((None, t) for t in texts), ("banner", banner), ("window", window), ("symbols", symbols), ("longer", longer)]:
+                n += 1
+                rows.append((n, "\n".join(t), lang, source))
+                if kind:
+                    bad[n] = kind
+    got = {r["doc_id"]: r for r in quality.quality_verdicts(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert not any(r["base_failed"] for r in got.values())
+    assert {i: k for i, k in bad.items() if got[i]["kept"]} == {}
+    assert sum(r["kept"] for r in got.values()) >= 0.99 * (n - len(bad))
+
+
 def test_repeats(docs, rows, empty):
     got = {r["doc_id"]: r for r in suffix_dedup.cut_repeats(docs).collect()}
     seen = set()
