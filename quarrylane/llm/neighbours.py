@@ -13,22 +13,21 @@ from pyspark.sql.window import Window
 
 from .common import shuffle_parts, staged
 
-NEAR = "array<struct<d:float,c:long>>"
-_NEAR_ARROW = pa.list_(pa.struct([("d", pa.float32()), ("c", pa.int64())]))
+NEAR = "array<struct<d:double,c:long>>"
 
 
 def _near_lists(d: list[np.ndarray], c: list[np.ndarray]) -> pa.Array:
-    flat = pa.StructArray.from_arrays([pa.array(np.concatenate(d), pa.float32()), pa.array(np.concatenate(c), pa.int64())], names=["d", "c"])
+    flat = pa.StructArray.from_arrays([pa.array(np.concatenate(d), pa.float64()), pa.array(np.concatenate(c), pa.int64())], names=["d", "c"])
     return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, d)]), pa.int32()), flat)
 
 
-def _stack(column: pa.Array, kind: str) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1).astype(np.float32 if kind == "<f2" else np.float64)
+def _stack(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<f8").reshape(len(column), -1)
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Squared Euclidean distances; the same pair gives the same number whatever stands around it."""
-    return np.stack([((row - b) ** 2).sum(axis=1) for row in a]) if len(a) else np.zeros((0, len(b)), np.float32)
+    return np.stack([((row - b) ** 2).sum(axis=1) for row in a]) if len(a) else np.zeros((0, len(b)))
 
 
 def usable_vectors(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -71,7 +70,7 @@ def _grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
 
 class NeighbourGraph:
     """``vectors`` (vec_id, full), ``members`` (vec_id, id) naming the first row with an equal vector, and ``graph``
-    (id, v: scaled half-precision vector, near: its nearest found, by distance) over distinct vectors."""
+    (id, v: the vector as doubles, near: its nearest found, by distance) over distinct vectors."""
 
     def __init__(self, vectors: DataFrame, members: DataFrame, graph: DataFrame):
         self.vectors, self.members, self.graph = vectors, members, graph
@@ -83,7 +82,8 @@ class NeighbourGraph:
         Lists start from neighbours along two random projections, in blocks of ``block``. In each round every vector
         brings together the first ``sample`` of its list and up to ``sample`` vectors that list it; these are compared
         with one another (neighbours of neighbours), and better finds replace the tails of their lists. Rounds follow
-        the logarithm of the number of vectors. Distances in the graph are of half-precision vectors.
+        the logarithm of the number of vectors. Distances in the graph are of doubles, so that close
+        copies keep their order.
 
         Rows whose id or vector is null, zero or holds a null or non-finite component take no part; all others need one
         dimension. Equal vectors share a node. An empty table gives an empty graph."""
@@ -97,30 +97,20 @@ class NeighbourGraph:
         stats = vectors.agg(F.count("*").alias("n"), F.max(F.length("full")).alias("bytes")).first()
         dim = max(1, (stats["bytes"] or 8) // 8)
         rng = np.random.default_rng(5)
-        directions = rng.normal(size=(dim, 2)).astype(np.float32)
+        directions = rng.normal(size=(dim, 2))
 
-        def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if batch.num_rows:
-                    x = _stack(batch.column("full"), "<f8")
-                    along = x @ directions
-                    yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([r.tobytes() for r in x.astype("<f4")], pa.binary()), pa.array(along[:, 0].astype(np.float64)), pa.array(along[:, 1].astype(np.float64)), pa.array(np.abs(x).max(axis=1))], names=["id", "v", "p0", "p1", "top"])
+                    along = _stack(batch.column("full")) @ directions
+                    yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("full"), pa.array(along[:, 0].copy()), pa.array(along[:, 1].copy())], names=["id", "v", "p0", "p1"])
 
-        base = vectors.withColumnRenamed("vec_id", "id").dropDuplicates(["id"]).join(own, "id", "left_semi").mapInArrow(shrink, "id long, v binary, p0 double, p1 double, top double")
-        base = staged(base, "nn-base")
-        scale = np.float32(1.0 / max(base.agg(F.max("top")).first()[0] or 1.0, 1e-300))
-
-        def half(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if batch.num_rows:
-                    x = np.frombuffer(b"".join(batch.column("v").to_pylist()), "<f4").reshape(batch.num_rows, -1) * scale
-                    yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([r.tobytes() for r in x.astype("<f2")], pa.binary()), batch.column("p0"), batch.column("p1")], names=["id", "v", "p0", "p1"])
-
-        base = staged(base.mapInArrow(half, "id long, v binary, p0 double, p1 double"), "nn-nodes")
+        base = vectors.withColumnRenamed("vec_id", "id").dropDuplicates(["id"]).join(own, "id", "left_semi").mapInArrow(project, "id long, v binary, p0 double, p1 double")
+        base = staged(base, "nn-nodes")
 
         def in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             def done(t: pa.Table) -> pa.RecordBatch:
-                x, ids = _stack(t.column("v").combine_chunks(), "<f2"), t.column("id").to_numpy()
+                x, ids = _stack(t.column("v").combine_chunks()), t.column("id").to_numpy()
                 d = _distances(x, x)
                 np.fill_diagonal(d, np.inf)
                 k = min(degree, len(ids) - 1)
@@ -146,7 +136,7 @@ class NeighbourGraph:
         def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for t in _grouped(batches, "centre"):
                 centre, ids, worst = t.column("centre").to_numpy(), t.column("id").to_numpy(), t.column("worst").to_numpy()
-                x = _stack(t.column("v").combine_chunks(), "<f2")
+                x = _stack(t.column("v").combine_chunks())
                 cuts = [0, *(np.flatnonzero(np.diff(centre)) + 1).tolist(), len(centre)]
                 us, cs, ds = [], [], []
                 for a, b in zip(cuts[:-1], cuts[1:], strict=True):
@@ -159,16 +149,16 @@ class NeighbourGraph:
                     cs.append(ids[first[j]])
                     ds.append(d[i, j])
                 if us:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(ds), pa.float32()), pa.array(np.concatenate(cs))], names=["id", "d", "c"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(ds), pa.float64()), pa.array(np.concatenate(cs))], names=["id", "d", "c"])
 
         for turn in range(rounds):
             ahead = graph.select(F.col("id").alias("centre"), F.explode(F.slice("near", 1, sample)).alias("x")).select("centre", F.col("x.c").alias("id"))
             back = graph.select(F.explode("near").alias("x"), "id").select(F.col("x.c").alias("centre"), "id")
             pick = Window.partitionBy("centre").orderBy(F.xxhash64(F.lit(turn), "id", "centre"))
             back = back.withColumn("_k", F.row_number().over(pick)).where(F.col("_k") <= sample).drop("_k")
-            worst = F.when(F.size("near") < degree, F.lit(float("inf"))).otherwise(F.element_at("near", -1)["d"]).cast("float")
+            worst = F.when(F.size("near") < degree, F.lit(float("inf"))).otherwise(F.element_at("near", -1)["d"])
             groups = ahead.unionByName(back).join(graph.select("id", "v", worst.alias("worst")), "id")
-            finds = groups.repartition(n_parts, "centre").sortWithinPartitions("centre").mapInArrow(meet, "id long, d float, c long")
+            finds = groups.repartition(n_parts, "centre").sortWithinPartitions("centre").mapInArrow(meet, "id long, d double, c long")
             finds = finds.groupBy("id").agg(F.collect_set(F.struct("d", "c")).alias("new"))
             grown = graph.join(finds, "id", "left").select("id", "v", F.when(F.col("new").isNull(), F.col("near")).otherwise(cut(F.concat("near", "new"))).alias("near"))
             graph = staged(grown, "nn-graph")
@@ -179,17 +169,17 @@ class NeighbourGraph:
         ids of rows of the index.
 
         Greedy search: a query holds the ``beam`` nearest vectors met so far, from its own node on; in each hop the lists
-        of the ``step`` nearest not yet followed are joined in, until all are followed or ``hops`` are done. The nearest
-        4 * k distinct vectors are then measured in double precision, equal vectors are listed by id, ties go to the
-        smaller id. Fewer than ``k`` other rows are all listed if their nodes are met."""
+        of the ``step`` nearest not yet followed are joined in, until all are followed or ``hops`` are done. All
+        distances are measured in double precision, so the whole pool is ranked exactly; equal vectors are listed by id, ties
+        go to the smaller id. Fewer than ``k`` other rows are all listed if their nodes are met."""
         n_parts = shuffle_parts(queries.sparkSession)
         q = queries.select("query_id").distinct().join(self.members.withColumnRenamed("vec_id", "query_id"), "query_id")
         nodes = q.select("id").distinct()
-        state = "id long, v binary, pool array<struct<d:float,c:long,done:boolean>>, open int"
-        pool_type = pa.list_(pa.struct([("d", pa.float32()), ("c", pa.int64()), ("done", pa.bool_())]))
+        state = "id long, v binary, pool array<struct<d:double,c:long,done:boolean>>, open int"
+        pool_type = pa.list_(pa.struct([("d", pa.float64()), ("c", pa.int64()), ("done", pa.bool_())]))
         names = ["id", "v", "pool", "open"]
 
-        start = self.graph.join(nodes, "id").select("id", "v", F.transform(F.concat(F.array(F.struct(F.lit(0).cast("float").alias("d"), F.col("id").alias("c"))), "near"), lambda x: F.struct(x["d"], x["c"], (x["c"] == F.col("id")).alias("done"))).alias("pool"))
+        start = self.graph.join(nodes, "id").select("id", "v", F.transform(F.concat(F.array(F.struct(F.lit(0.0).alias("d"), F.col("id").alias("c"))), "near"), lambda x: F.struct(x["d"], x["c"], (x["c"] == F.col("id")).alias("done"))).alias("pool"))
         now = staged(start.withColumn("open", F.size("pool") - 1), "nn-search")
 
         def hop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,8 +198,8 @@ class NeighbourGraph:
                         keep = np.array([i not in known for i in ids.tolist()], bool)
                         ids, first = ids[keep], new[first[keep]]
                         if len(ids):
-                            x = np.frombuffer(b"".join(v.take(pa.array(first)).to_pylist()), "<f2").reshape(len(ids), -1).astype(np.float32)
-                            d = ((x - np.frombuffer(query, "<f2").astype(np.float32)) ** 2).sum(axis=1)
+                            x = np.frombuffer(b"".join(v.take(pa.array(first)).to_pylist()), "<f8").reshape(len(ids), -1)
+                            d = ((x - np.frombuffer(query, "<f8")) ** 2).sum(axis=1)
                             held = held + [{"d": float(p), "c": int(i), "done": False} for p, i in zip(d, ids, strict=True)]
                     held = sorted(held, key=lambda x: (x["d"], x["c"]))[:beam]
                     out.append((int(q_id[a]), query, held, sum(not x["done"] for x in held)))
@@ -223,21 +213,11 @@ class NeighbourGraph:
             held = marked.select("id", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("c"), "v", F.transform("pool", lambda x: F.struct(x["d"], x["c"], (x["done"] | F.array_contains("todo", x["c"])).alias("done"))).alias("pool"))
             follow = marked.select("id", F.explode("todo").alias("node")).join(self.graph.select(F.col("id").alias("node"), F.transform("near", lambda x: x["c"]).alias("next")), "node")
             met = follow.select("id", F.explode("next").alias("c")).distinct().join(self.graph.select(F.col("id").alias("c"), "v"), "c")
-            rows = held.unionByName(met.select("id", F.lit(1).alias("kind"), "c", "v", F.lit(None).cast("array<struct<d:float,c:long,done:boolean>>").alias("pool")))
+            rows = held.unionByName(met.select("id", F.lit(1).alias("kind"), "c", "v", F.lit(None).cast("array<struct<d:double,c:long,done:boolean>>").alias("pool")))
             now = staged(rows.repartition(n_parts, "id").sortWithinPartitions("id", "kind").mapInArrow(hop, state), "nn-search")
 
-        # Exact distances between nodes, then each node's first k + 1 rows: enough with the query itself left out.
-        near = now.select("id", F.explode(F.slice("pool", 1, 4 * k)).alias("x")).select("id", F.col("x.c").alias("c"))
-        full = self.vectors.dropDuplicates(["vec_id"])
-        pairs = near.join(full.select(F.col("vec_id").alias("c"), F.col("full").alias("b")), "c").join(full.select(F.col("vec_id").alias("id"), F.col("full").alias("a")), "id")
-
-        def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if batch.num_rows:
-                    d = np.sqrt(((_stack(batch.column("a"), "<f8") - _stack(batch.column("b"), "<f8")) ** 2).sum(axis=1))
-                    yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("c"), pa.array(d)], names=["id", "c", "score"])
-
-        scored = pairs.select("id", "c", "a", "b").mapInArrow(measure, "id long, c long, score double")
+        # Each node's first k + 1 rows of its whole pool: enough with the query itself left out.
+        scored = now.select("id", F.explode("pool").alias("x")).select("id", F.col("x.c").alias("c"), F.sqrt("x.d").alias("score"))
         least = Window.partitionBy("id").orderBy("vec_id")
         rows = self.members.distinct().withColumn("_k", F.row_number().over(least)).where(F.col("_k") <= k + 1).select(F.col("id").alias("c"), "vec_id")
         best = Window.partitionBy("id").orderBy("score", "vec_id")

@@ -11,6 +11,7 @@ import public_tokenizers
 import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from quarrylane.llm import jaccard_join, language_id, line_dedup, neighbours, packing, quality, secret_scan, source_mix, suffix_dedup, token_files
@@ -116,6 +117,28 @@ def test_neighbours(spark):
     assert found >= 0.9 * sum_
 
 
+def nearest_share(spark, x, queries, k=10):
+    """Share of the true ``k`` nearest that a search finds, and its rows."""
+    graph = neighbours.NeighbourGraph.build(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"))
+    got = graph.search(graph.members.where(F.col("vec_id").isin(queries)).selectExpr("vec_id as query_id"), k).collect()
+    found = 0
+    for q in queries:
+        d = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+        want = [i for i in np.lexsort((np.arange(len(x)), d)) if i != q][:k]
+        found += len(set(want) & {r["vec_id"] for r in got if r["query_id"] == q})
+    return found / (k * len(queries)), got
+
+
+def test_neighbours_near_copies(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(1400, 64))
+    x[:1200] = x[0] + rng.normal(size=(1200, 64)) * 1e-5 * np.linalg.norm(x[0]) / 8
+    x[1399, 5] = 1e8  # one outlier
+    share, _ = nearest_share(spark, x, list(range(0, 1400, 70)))
+    print("recall among near copies", share)
+    assert share >= 0.9
+
+
 def test_secrets(docs, rows, empty):
     assign = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
     got = {r["doc_id"]: [tuple(s) for s in r["base"]] for r in secret_scan.scan(docs).collect()}
