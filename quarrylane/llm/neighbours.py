@@ -83,7 +83,7 @@ class NeighbourGraph:
         brings together the first ``sample`` of its list and up to ``sample`` vectors that list it; these are compared
         with one another (neighbours of neighbours), and better finds replace the tails of their lists. Rounds follow
         the logarithm of the number of vectors. Distances in the graph are of doubles, so that close
-        copies keep their order.
+        copies keep their order. A range of a projection holds 2 * ``block`` rows or more, whatever the shuffle partitions.
 
         Rows whose id or vector is null, zero or holds a null or non-finite component take no part; all others need one
         dimension. Equal vectors share a node. An empty table gives an empty graph."""
@@ -107,6 +107,7 @@ class NeighbourGraph:
 
         base = vectors.withColumnRenamed("vec_id", "id").dropDuplicates(["id"]).join(own, "id", "left_semi").mapInArrow(project, "id long, v binary, p0 double, p1 double")
         base = staged(base, "nn-nodes")
+        n_ranges = max(1, min(n_parts, base.count() // (2 * block)))
 
         def in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             def done(t: pa.Table) -> pa.RecordBatch:
@@ -127,7 +128,7 @@ class NeighbourGraph:
             if held is not None and held.num_rows:
                 yield done(held)
 
-        parts = [base.repartitionByRange(n_parts, p).sortWithinPartitions(p).select("id", "v").mapInArrow(in_blocks, f"id long, near {NEAR}") for p in ("p0", "p1")]
+        parts = [base.repartitionByRange(n_ranges, p).sortWithinPartitions(p).select("id", "v").mapInArrow(in_blocks, f"id long, near {NEAR}") for p in ("p0", "p1")]
         first = parts[0].unionByName(parts[1]).groupBy("id").agg(F.flatten(F.collect_list("near")).alias("near"))
         cut = lambda near: F.slice(F.array_sort(F.array_distinct(near)), 1, degree)
         graph = staged(base.select("id", "v").join(first, "id").select("id", "v", cut(F.col("near")).alias("near")), "nn-graph")

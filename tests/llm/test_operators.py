@@ -139,6 +139,16 @@ def test_neighbours_near_copies(spark):
     assert share >= 0.9
 
 
+def test_neighbours_more_partitions_than_rows(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        share, got = nearest_share(spark, np.random.default_rng(3).normal(size=(25, 4)), [0, 7, 24])
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert share == 1 and len(got) == 30
+
+
 def test_secrets(docs, rows, empty):
     assign = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
     got = {r["doc_id"]: [tuple(s) for s in r["base"]] for r in secret_scan.scan(docs).collect()}
