@@ -98,7 +98,7 @@ class LineIndex:
 
     ``references`` (h1, h2, doc_id, n) says how often a document holds a key (128 bits of hash); ``filters`` (shard,
     table) say which keys may be known. An insertion asks the filters first: keys they have never seen are new, so only
-    the others are looked up in the references. A deletion takes a document's references away and clears the
+    the others are looked up in the references; those not found there get a fingerprint of their own. A deletion takes a document's references away and clears the
     fingerprints of keys that no document holds any more. Both return a new index; the tables are Parquet folders."""
 
     def __init__(self, spark: SparkSession, references: DataFrame | None = None, filters: DataFrame | None = None, shards: int | None = None, min_chars: int = 10):
@@ -108,9 +108,9 @@ class LineIndex:
     def _shard(self) -> Column:
         return F.pmod(F.col("h2"), F.lit(self.shards)).cast("int")
 
-    def _filter_step(self, keys: DataFrame, removing: bool = False) -> DataFrame:
+    def _filter_step(self, keys: DataFrame, removing: bool = False, again: bool = False) -> DataFrame:
         """Ask the shards' filters about keys (h1, h2), then insert or remove them. Rows of kind 0 are keys the filter may
-        know, rows of kind 1 carry a shard's new table."""
+        know, rows of kind 1 carry a shard's new table. ``again``: insert keys even where the filter seems to know them."""
         rows = keys.select(self._shard().alias("shard"), F.lit(1).alias("kind"), "h1", "h2", F.lit(None).cast("binary").alias("table"))
         if self.filters is not None:
             rows = rows.unionByName(self.filters.select("shard", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("h1"), F.lit(0).cast("long").alias("h2"), "table"))
@@ -119,7 +119,7 @@ class LineIndex:
             def shard_done(shard: int, table: bytes | None, h1: np.ndarray, h2: np.ndarray) -> pa.RecordBatch:
                 old = CuckooFilter(table=table) if table is not None else None
                 keys = h1.view(np.uint64)
-                seen = old.contains(keys) if old is not None else np.zeros(len(keys), bool)
+                seen = old.contains(keys) if old is not None and not again else np.zeros(len(keys), bool)
                 if removing:
                     old.remove(keys)
                     new = old
@@ -157,9 +157,23 @@ class LineIndex:
         out = rows.repartition(max(1, min(self.shards, shuffle_parts(self.spark))), "shard").sortWithinPartitions("shard", "kind").mapInArrow(run, "shard int, kind int, h1 long, h2 long, table binary")
         return staged(out, "line-filters")
 
-    def _rebuilt(self, step: DataFrame, references: DataFrame) -> DataFrame:
-        """The filters after a step; those that grew too full are built anew from the references."""
+    def _with_false_positives(self, step: DataFrame) -> DataFrame:
+        """The filters after an insertion, with a fingerprint too for each key that the old filter took for known though
+        the references don't hold it: every key of the references has its own to remove."""
         filters = step.where("kind = 1").select("shard", "table")
+        if self.references is None:
+            return filters
+        new = step.where("kind = 0").select("h1", "h2").join(self.references, ["h1", "h2"], "left_anti").withColumn("shard", self._shard())
+        new = staged(new.join(filters.where("table IS NOT NULL"), "shard", "left_semi"), "line-false")  # the others are rebuilt
+        if new.isEmpty():
+            return filters
+        touched = filters.join(new.select("shard").distinct(), "shard", "left_semi")
+        step = LineIndex(self.spark, None, touched, self.shards, self.min_chars)._filter_step(new.select("h1", "h2"), again=True)
+        own = step.where("kind = 1").select("shard", "table")
+        return filters.join(own.select("shard"), "shard", "left_anti").unionByName(own)
+
+    def _rebuilt(self, filters: DataFrame, references: DataFrame) -> DataFrame:
+        """The filters after a step; those that grew too full are built anew from the references."""
         full = filters.where("table IS NULL").select("shard")
         if full.isEmpty():
             return filters.where("table IS NOT NULL")
@@ -184,8 +198,9 @@ class LineIndex:
         verdicts = dropped.groupBy("doc_id").agg(F.array_sort(F.collect_list("line")).alias("lines"))
         new = lines.groupBy("h1", "h2", "doc_id").agg(F.count("*").alias("n"))
         references = new if self.references is None else self.references.unionByName(new)
-        index = LineIndex(self.spark, references, step.where("kind = 1").select("shard", "table"), self.shards, self.min_chars)
-        index.step = step
+        filters = self._with_false_positives(step)
+        index = LineIndex(self.spark, references, filters, self.shards, self.min_chars)
+        index.step = filters
         index.carried = self.filters
         return verdicts, index
 

@@ -262,6 +262,21 @@ def test_line_index_is_reversible(spark):
     assert gone.references.count() == 0 and gone.insert(one)[0].count() == 0
 
 
+def test_line_index_keeps_colliding_keys(spark):
+    names = spark.range(5000).selectExpr("concat('line number ', id) AS text").withColumn("h1", F.xxhash64("text")).collect()
+    prints, one, two = line_dedup.CuckooFilter(16)._places(np.array([r["h1"] for r in names], np.int64).view(np.uint64))
+    held, pair = {}, None
+    for i, k in enumerate(zip(prints.tolist(), np.minimum(one, two).tolist(), strict=True)):
+        pair = (names[held[k]]["text"], names[i]["text"]) if k in held else pair
+        held[k] = i
+    table = lambda i, t: spark.createDataFrame([(i, t)], "doc_id long, text string")
+    index = line_dedup.LineIndex(spark, shards=1).insert(table(1, pair[0]))[1].saved()
+    index = index.insert(table(2, pair[1]))[1].saved()
+    for gone, left, text in ((1, 2, pair[1]), (2, 1, pair[0])):
+        verdict, _ = index.delete(table(gone, "")).insert(table(3, text))
+        assert [tuple(r) for r in verdict.collect()] == [(3, [0])], left
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.sets(st.integers(0, 2**64 - 1), max_size=300))
 def test_cuckoo(keys):
