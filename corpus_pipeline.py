@@ -17,8 +17,11 @@ def _columns(out: DataFrame, docs: DataFrame) -> DataFrame:
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learns from the rows with a language and drops documents in none: those without any letter. ``lang`` stays as it
-    came where it came, and is the prediction elsewhere."""
-    found = language_id.identify(docs, language_id.train(docs)).where("lang_pred <> 'und'")
+    came where it came, and is the prediction elsewhere: null where no row has a language to learn from."""
+    model = language_id.train(docs)
+    if model is None:
+        return _columns(language_id.with_letter(docs), docs)
+    found = language_id.identify(docs, model).where("lang_pred <> 'und'")
     return _columns(found.withColumn("lang", F.coalesce("lang", "lang_pred")), docs)
 
 

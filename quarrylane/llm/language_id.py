@@ -135,6 +135,16 @@ def has_letter(text: str | None) -> bool:
     return bool(text) and (bool(_ASCII_LETTER.search(text)) or any(c.isalpha() for c in text))
 
 
+def with_letter(docs: DataFrame) -> DataFrame:
+    """The rows whose text has a letter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches):
+            yield batch.filter(pa.array([has_letter(t) for t in batch.column("text").to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def identify(docs: DataFrame, model: LanguageModel | None, ambiguous_below: float = 0.2) -> DataFrame:
     """``docs`` with lang_pred, score and ambiguous (the runner-up is within ``ambiguous_below``).
 

@@ -19,3 +19,10 @@ def test_stages(spark):
             assert docs.count() == source_mix.mix_sources(before).agg({"copies": "sum"}).first()[0]
     assert counts[1] == counts[0] and counts[2] <= counts[1] and counts[3] <= counts[2]
     assert {"sequence_id", "offset", "length"} <= set(docs.columns)
+
+
+def test_corpus_without_labels(spark):
+    rows = [(1, "plain words", None), (2, "12 34", None), (3, None, "en"), (4, "\u03b5\u03bb", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = corpus_pipeline.identify_language(spark, docs, "").collect()
+    assert sorted(map(tuple, got)) == [(1, "plain words", None), (4, "\u03b5\u03bb", None)]
