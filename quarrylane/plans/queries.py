@@ -273,6 +273,12 @@ def fuzzy_match(spark, sf):
     return _round(resolve.fuzzy_match(wanted, entries), "score")
 
 
+@query()
+def fuzzy_match_all(spark, sf):
+    entries = part_list(spark, sf)
+    return _round(resolve.fuzzy_match(entries.select(F.col("entry_id").alias("id"), F.col("display_name").alias("name")), entries), "score")
+
+
 @query()
 def item_match(spark, sf):
     p = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") % 3 == 0, F.col("p_partkey").cast("string")).alias("code"), F.when(F.col("p_partkey") % 3 == 1, F.col("p_name")).otherwise(F.concat(F.col("p_name"), F.lit(" x"))).alias("name"))
