@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -15,9 +16,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors see: ``spark.checkpoint.dir``, else one set here (local runs)."""
+    """Folder that the driver and all executors see: ``spark.checkpoint.dir``, else one set here, in local runs alone."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="quarrylane-")
         spark.sparkContext.setCheckpointDir(base)
     return base
@@ -40,6 +43,20 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(name: str, *frames: DataFrame) -> str:
+    """``name``, with underscores in front until no column of the frames is called so (case doesn't tell columns apart)."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def small_side(table: DataFrame, most_rows: int = 50_000) -> DataFrame:
+    """A staged table of narrow rows as the side of a join: broadcast if it has ``most_rows`` or fewer, which is counted
+    here, else as it is, for a shuffle join that adaptive execution may split."""
+    return F.broadcast(table) if table.count() <= most_rows else table
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -186,5 +203,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError("components still change after 60 rounds")
     roots = edges.select(F.col("b").alias("id"), F.col("b").alias("label")).distinct()
     return edges.select(F.col("a").alias("id"), F.col("b").alias("label")).unionByName(roots)

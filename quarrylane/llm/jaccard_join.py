@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import connected_components, mix, shingle_sets, shuffle_parts, small_batches, staged
+from .common import connected_components, fresh, mix, shingle_sets, shuffle_parts, small_batches, staged
 
 #: Tokens of a set that travel to find candidates: its 40 smallest hashes.
 SKETCH = 40
@@ -149,7 +149,9 @@ def _coarse_edges(reps: DataFrame, percent: int, hot: int) -> DataFrame:
 
     rows = shared.where(f"is_hot AND dense AND place <= {TIES}").withColumn("c", F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent))).cast("int"))
     rows = rows.select("doc_id", "token", F.explode(F.array("c", F.col("c") + 1)).alias("c"))
+    rows = staged(rows, "jaccard-ties")
     least = rows.groupBy("token", "c").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("_last")).where("b <> _last").drop("_last")
+    least = staged(least, "jaccard-least")  # so that the join has exchanges alone below it and a hot token can be split
     tied = rows.join(least, ["token", "c"]).where("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct()
     return near.unionByName(tied)
 
@@ -215,5 +217,6 @@ def similarity_components(docs: DataFrame, percent: int = 80, width: int = 5, bl
 
 def one_of_each_group(docs: DataFrame, **options) -> DataFrame:
     """The documents that stand for their component: the smallest doc_id of each, and rows without doc_id."""
-    found = similarity_components(docs.select("doc_id", "text"), **options).where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(found, F.col("doc_id") == F.col("_id"), "left_semi").unionByName(docs.where("doc_id IS NULL"))
+    own = fresh("id", docs)
+    found = similarity_components(docs.select("doc_id", "text"), **options).where("doc_id = component_id").select(F.col("doc_id").alias(own)).distinct()
+    return docs.join(found, F.col("doc_id").cast("long") == F.col(own), "left_semi").unionByName(docs.where("doc_id IS NULL"))

@@ -107,7 +107,8 @@ def train(docs: DataFrame, sample_rows: int = 4000, min_rows: int = 16) -> Langu
     """Fit on about ``sample_rows`` labelled rows (text and lang not null), the same share for every language and
     ``min_rows`` at least, picked by a hash of doc_id. The bound is the model's only; None without labelled rows.
 
-    Only counts by language and the sample's feature vectors (16 kB a row) reach the driver."""
+    The sample meets in one task, whose memory the bound holds to about ``sample_rows`` times 64 kB. Only counts by
+    language and the fitted model (4096 floats a bit) reach the driver."""
     labelled = docs.where("text IS NOT NULL AND lang IS NOT NULL")
     counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}  # a row for each language
     if not counts:
@@ -120,15 +121,26 @@ def train(docs: DataFrame, sample_rows: int = 4000, min_rows: int = 16) -> Langu
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
-            x = features(batch.column("text")).astype("<f4")
+            x = features(batch.column("text")).astype("<f2")
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("lang"), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "lang", "x"])
 
-    rows = picked.mapInArrow(vectors, "doc_id long, lang string, x binary").toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending")])
-    if not rows.num_rows:
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = {k: i for i, k in enumerate(languages)}
+        x, y = [], []
+        for batch in batches:
+            x.append(np.frombuffer(b"".join(batch.column("x").to_pylist()), "<f2").reshape(-1, CELLS).astype(np.float32))
+            y += [place[k] for k in batch.column("lang").to_pylist()]
+        if y:
+            m = fit(np.concatenate(x), np.array(y), languages)
+            parts = [a.astype("<f4").tobytes() for a in (m.code, m.weights, m.bias, m.trust)]
+            yield pa.RecordBatch.from_pydict({"code": [parts[0]], "weights": [parts[1]], "bias": [parts[2]], "trust": [parts[3]], "scale": [m.scale]})
+
+    sample = picked.mapInArrow(vectors, "doc_id long, lang string, x binary").repartition(1).sortWithinPartitions("doc_id", "lang", "x")
+    row = sample.mapInArrow(fitted, "code binary, weights binary, bias binary, trust binary, scale double").first()
+    if row is None:
         return None
-    x = np.frombuffer(b"".join(rows.column("x").to_pylist()), "<f4").reshape(rows.num_rows, CELLS)
-    place = {k: i for i, k in enumerate(languages)}
-    return fit(x, np.array([place[k] for k in rows.column("lang").to_pylist()]), languages)
+    code, weights, bias, trust = (np.frombuffer(row[c], "<f4") for c in ("code", "weights", "bias", "trust"))
+    return LanguageModel(languages, code.reshape(len(languages), -1), weights.reshape(CELLS, -1), bias, trust, row["scale"])
 
 
 def has_letter(text: str | None) -> bool:
@@ -150,12 +162,10 @@ def identify(docs: DataFrame, model: LanguageModel | None, ambiguous_below: floa
 
     Whole texts are read and no other column. A text that is null or has no letter is ``und`` with score 0, and so is
     every text without a model. Repeated rows get equal results; columns named like the results are replaced."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # 4096 x bits floats
     keep = [c for c in docs.columns if c not in ("lang_pred", "score", "ambiguous")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        m = model  # 4096 floats a bit, sent with the function
         for batch in small_batches(batches):
             sure = np.array([has_letter(t) for t in batch.column("text").to_pylist()], bool)
             if m is None:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, staged
+from .common import WORD, fresh, small_side, staged
 
 
 def word_count(text: Column) -> Column:
@@ -43,7 +43,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), max_repeats
     weight falls slowly with its length class (64 less the bits of its word count), so expected copies are unequal:
     the whole part is allocated for certain, the fraction is the inclusion probability p of a Pareto order sample.
     Documents are ranked by (u / (1 - u)) / (p / (1 - p)), u a hash of doc_id and seed, and taken in that order
-    while the source's remaining words last; then, twice, the largest that still fits, and at last the one whose size is
+    while the source's remaining words last; then the largest that still fits, and at last the one whose size is
     nearest to the words still missing if it brings the source nearer. Ranks are cumulated over hash-free buckets of the score whose number is the root
     of the source's documents, so no source passes through one task.
 
@@ -62,7 +62,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), max_repeats
     sources = water_fill(sources, ["_one"], "source_w", "source_size", max_repeats, "_all", "_unit")
     target = F.when(F.col("level_capped"), (F.col("source_size") * max_repeats).cast("double")).otherwise(F.col("level") * F.col("source_w").cast("double"))
     sources = sources.select("source", "n_docs", "source_size", target.alias("target"))
-    s = sources.alias("s")
+    s = small_side(staged(sources, "mix-sources")).alias("s")
     plan = strata.alias("t").join(s, F.col("s.source").eqNullSafe(F.col("t.source"))).select("t.source", "cls", "w", "stratum_size", "n_docs", "source_size", "target").withColumn("_key", F.col("cls"))
     plan = water_fill(plan, ["source"], "w", "stratum_size", max_repeats, "target", "stratum_size")
     expected = F.when(F.col("stratum_size") == 0, F.lit(0.0)).when(F.col("level_capped"), F.lit(float(max_repeats))).otherwise(F.least(F.lit(float(max_repeats)), F.col("level") * F.col("w").cast("double")))
@@ -71,7 +71,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), max_repeats
     plan = plan.withColumn("rest", F.floor(F.col("target") + 0.5).cast("long") - whole_words)
     plan = staged(plan.select("source", "cls", "n_docs", "source_size", "target", "whole", "p", "rest"), "mix-plan")
 
-    b, p = base.alias("b"), plan.alias("p")
+    b, p = base.alias("b"), small_side(plan).alias("p")
     d = b.join(p, F.col("b.source").eqNullSafe(F.col("p.source")) & (F.col("b.cls") == F.col("p.cls"))).select("b.doc_id", "b.source", "b.size", "p.n_docs", "p.source_size", "p.target", "p.whole", "p.p", "p.rest")
     digits = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
     u = (F.conv(F.substring(digits, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
@@ -86,7 +86,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), max_repeats
     cell = cell.withColumn("ahead", F.sum("cell_words").over(before) - F.col("cell_words"))
     # Whole cells below the line are taken; only the cell that the line crosses is ranked row by row.
     cross = cell.where((F.col("ahead") < F.col("rest")) & (F.col("ahead") + F.col("cell_words") > F.col("rest")))
-    cross = cross.select(F.col("source").alias("x_source"), F.col("cell").alias("x_cell"), "ahead")
+    cross = small_side(staged(cross.select(F.col("source").alias("x_source"), F.col("cell").alias("x_cell"), "ahead"), "mix-cross"))
     inner = ranked.join(cross, F.col("source").eqNullSafe(F.col("x_source")) & (F.col("cell") == F.col("x_cell")))
     order = Window.partitionBy("source").orderBy(F.struct("score", "doc_id")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     inner = inner.withColumn("upto", F.col("ahead") + F.sum("size").over(order))
@@ -94,25 +94,30 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), max_repeats
     line = cell.groupBy("source").agg(F.max(F.when(F.col("ahead") + F.col("cell_words") <= F.col("rest"), F.col("cell"))).alias("full_to"), F.max(F.when(F.col("ahead") + F.col("cell_words") <= F.col("rest"), F.col("ahead") + F.col("cell_words"))).alias("full_words"))
     cut = cut.select(F.col("source").alias("c_source"), "last", "done")
     line = line.join(cut, F.col("source").eqNullSafe(F.col("c_source")), "left").select("source", F.coalesce("full_to", F.lit(-1)).alias("full_to"), "last", F.coalesce("done", "full_words", F.lit(0)).alias("done"))
-    line = staged(line.select(F.col("source").alias("l_source"), "full_to", "last", "done"), "mix-line")
+    line = small_side(staged(line.select(F.col("source").alias("l_source"), "full_to", "last", "done"), "mix-line"))
     taken = d.join(line, F.col("source").eqNullSafe(F.col("l_source")), "left").drop("l_source")
     chosen = F.col("score").isNotNull() & ((F.col("cell") <= F.col("full_to")) | F.coalesce(F.struct("score", "doc_id") <= F.col("last"), F.lit(False)))
     taken = taken.withColumn("chosen", chosen)
-    for last_turn in (False, False, True):
+    for last_turn in (False, True):
         gap = F.col("rest") - F.col("done")
         fits = ~F.col("chosen") & F.col("score").isNotNull() & (F.col("size") < 2 * gap if last_turn else F.col("size") <= gap)
         near = taken.where(fits).groupBy("source").agg(F.min(F.struct(F.abs(gap - F.col("size")).alias("off"), "score", "doc_id", "size")).alias("best"))
-        near = near.select(F.col("source").alias("n_source"), "best")
+        near = small_side(staged(near.select(F.col("source").alias("n_source"), "best"), "mix-fill"))
         taken = taken.join(near, F.col("source").eqNullSafe(F.col("n_source")), "left")
         extra = F.coalesce((F.col("score") == F.col("best.score")) & F.col("doc_id").eqNullSafe(F.col("best.doc_id")), F.lit(False))
-        done = F.col("done") + F.coalesce(F.col("best.size"), F.lit(0))
-        taken = taken.withColumn("chosen", F.col("chosen") | extra).withColumn("done", done).drop("n_source", "best")
+        taken = taken.withColumn("extra", extra)
+        if not last_turn:  # rows that repeat a doc_id are taken together
+            words = taken.where("extra").groupBy("source").agg(F.sum("size").alias("words")).select(F.col("source").alias("w_source"), "words")
+            taken = taken.join(small_side(staged(words, "mix-filled")), F.col("source").eqNullSafe(F.col("w_source")), "left")
+            taken = taken.withColumn("done", F.col("done") + F.coalesce("words", F.lit(0))).drop("w_source", "words")
+        taken = taken.withColumn("chosen", F.col("chosen") | F.col("extra")).drop("n_source", "best", "extra")
     copies = F.when(F.col("size") == 0, F.lit(0)).otherwise(F.col("whole") + F.col("chosen").cast("long")).cast("long")
     return taken.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The documents of the mix, each as often as it is taken, with the columns of ``docs``."""
-    copies = mix_sources(docs, **options).where("copies > 0").groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies"))
-    out = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("_id")))
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    own, times, nth = fresh("id", docs), fresh("copies", docs), fresh("copy", docs)
+    copies = mix_sources(docs.select("doc_id", "source", "text"), **options).where("copies > 0").groupBy(F.col("doc_id").alias(own)).agg(F.max("copies").alias(times))
+    out = docs.join(copies, F.col("doc_id").eqNullSafe(F.col(own)))
+    return out.withColumn(nth, F.explode(F.sequence(F.lit(1), F.col(times).cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])

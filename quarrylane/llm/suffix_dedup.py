@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, prefix_hash, shuffle_parts, small_batches, span_hash, staged, text_buffers
+from .common import fresh, mix, prefix_hash, shuffle_parts, small_batches, span_hash, staged, text_buffers
 
 NAME = 32  # bytes of the first names
 _POS_BITS = 28
@@ -203,14 +203,15 @@ def cut_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     that repeat a doc_id are one document, each cut alike; rows without doc_id take no part and stay whole. Cuts may
     fall inside a character, so what is left is bytes. All columns but those named here pass through."""
     keep = [c for c in docs.columns if c not in ("kept", "n_bytes", "n_removed", "n_spans")]
-    spans = staged(repeated_spans(docs, length), "repeat-spans").select(F.col("doc_id").alias("_doc"), F.col("at").alias("_at"))
-    joined = docs.join(spans, docs["doc_id"].cast("long") == F.col("_doc"), "left").select(*[F.col(f"`{c}`") for c in keep], "_at")
+    own, at_ = fresh("doc", docs), fresh("at", docs)
+    spans = staged(repeated_spans(docs, length), "repeat-spans").select(F.col("doc_id").alias(own), F.col("at").alias(at_))
+    joined = docs.join(spans, docs["doc_id"].cast("long") == F.col(own), "left").select(*[F.col(f"`{c}`") for c in keep], at_)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
             data, off = text_buffers(batch.column("text"))
             kept, removed, runs = [], [], []
-            for i, at in enumerate(batch.column("_at").to_pylist()):
+            for i, at in enumerate(batch.column(at_).to_pylist()):
                 text = data[off[i] : off[i + 1]]
                 if not at:
                     kept.append(text.tobytes())

@@ -4,17 +4,20 @@ from __future__ import annotations
 
 import os
 import re
-import unicodedata
 from array import array
 from collections.abc import Sequence
 
 import numpy as np
 
-# A full stop or comma before white space is a piece of its own unless another symbol stands before it.
-_JOINED = re.compile(r"[^a-zA-Z\u00c0-\u024f0-9\s][.,]\s")
-# Python splits at the information separators too, which aren't white space to the tokenizer; lower-casing of sigma
-# depends on its neighbours in Python alone, dotted I becomes two characters.
-_ODD = "\x1c\x1d\x1e\x1fΣİ"
+# Characters beyond these ranges may change under NFC or lower-casing: texts with one of them are split at white space and
+# otherwise left to the library. Within them NFC changes nothing and lower-casing maps each character by itself.
+_WIDE = re.compile("[\u0130\u0180-\u200f\u2028-\u202f\u205f-\u20ab\u20ad-\U0010ffff]")
+# A full stop or comma before white space is a piece of its own unless another symbol stands before it: anything that isn't
+# white space, a digit or one of the letters of these ranges, so multiplication and division signs are symbols.
+_JOINED = re.compile("[^a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f0-9\\s][.,]\\s")
+_LETTERS = re.compile("[a-z\u00df-\u00f6\u00f8-\u017f]+")
+# Python splits at the information separators too, which aren't white space to the tokenizer.
+_ODD = "\x1c\x1d\x1e\x1f"
 
 
 class CachedEncoder:
@@ -23,7 +26,8 @@ class CachedEncoder:
     A text's ids are then those of its white-space-separated chunks, one after the other, so each distinct chunk goes
     through the library once and its ids are kept as bytes, up to ``limit`` chunks in two generations: when the newer is
     full it becomes the older, and what is met again there moves back, so rare chunks go and frequent ones stay. Texts
-    whose lower-casing or splitting could differ go through the library whole."""
+    that Python would split elsewhere go through the library whole; chunks are lower-cased beforehand, so that one entry
+    serves both cases, only in texts whose every character Python and the library lower alike."""
 
     def __init__(self, path: str, limit: int = 200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -33,7 +37,7 @@ class CachedEncoder:
         self.limit, self.cache, self.older = limit, {}, {}
         self.lowers = "Lowercase" in str(self.tokenizer.normalizer)
         self.bytes, self.model = self._byte_letters(), self.tokenizer.model
-        probe = ["the", "straße", "ciónmente", "ñandú", "żółw", "слово"]
+        probe = ["the", "straße", "ciónmente", "ñandú", "żółw", "œuvre"]
         self.plain = all(self._word(w) == self._whole(w) for w in probe)
 
     def _whole(self, text: str) -> bytes:
@@ -52,6 +56,8 @@ class CachedEncoder:
         return array("I", [t.id for t in self.model.tokenize(piece)]).tobytes()
 
     def _chunks(self, text: str) -> list[str]:
+        if not text.isascii() and _WIDE.search(text):
+            return text.split()
         if self.lowers and "<|" not in text:
             text = text.lower()
         if not _JOINED.search(text):
@@ -69,7 +75,7 @@ class CachedEncoder:
         self.cache.update(zip(met, map(self.older.__getitem__, met), strict=True))
         new = list(new - met)
         if self.plain:
-            words = [c for c in new if c.isalpha() and (c.isascii() or unicodedata.is_normalized("NFC", c)) and c == c.lower()]
+            words = [c for c in new if _LETTERS.fullmatch(c) and c == c.lower()]
             self.cache.update(zip(words, map(self._word, words), strict=True))
             new = [c for c in new if c not in self.cache]
         for at in range(0, len(new), 5000):

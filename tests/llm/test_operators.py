@@ -302,12 +302,18 @@ def test_packing(docs, rows, empty):
     assert max(fill.values()) <= 64 and packing.pack_documents(empty, PATH).count() == 0
 
 
-@settings(max_examples=80, deadline=None)
-@given(st.text(max_size=60) | st.text("aAbé.,! '<|>\n\x1cΣİ中1²", max_size=40))
+@settings(max_examples=400, deadline=None)
+@given(st.text(max_size=60) | st.text("aAbÉé.,! '<|>\n\x00\x1c\x85\u00a0ΣςİıſΆ\u0345\u0301\u0323×÷中1²ªµ½·…’—가", max_size=40))
 def test_encoder(text):
     assert CachedEncoder_.encode_batch([text])[0] == ids(text, 0)[:-1].tobytes()
 
 
+def test_encoder_over_all_planes():
+    letters = [chr(c) for c in range(1, 0x110000, 7) if not 0xD800 <= c < 0xE000] + ["×", "÷", "\u0345", "\u0301"]
+    texts = [f"a{c}. {c}B, {c}" for c in letters] + ["5 ×. then", "a ÷, b", "Ά\u0345", "IT'S. ok's, 'S.", "<|endoftext|> X. y"]
+    assert CachedEncoder(PATH, 5000).encode_batch(texts) == [ids(t, 0)[:-1].tobytes() for t in texts]
+
+
 CachedEncoder_ = CachedEncoder(PATH, 500)
 
 
