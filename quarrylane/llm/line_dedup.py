@@ -9,10 +9,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix, shuffle_parts, staged
+from .common import fresh, mix, shuffle_parts, small_side, staged
 
 SPACES = " \t\n\x0b\f\r"
 SLOTS = 4
+#: Line keys of a shard, about.
+SHARD_KEYS = 200_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -52,7 +54,7 @@ class CuckooFilter:
         return done
 
     def insert(self, keys: np.ndarray) -> bool:
-        """False if the table is too full; the caller then rebuilds it larger."""
+        """False if the table is too full, with a fingerprint lost; the caller then goes back to a copy or a larger one."""
         print_, one, two = self._places(keys)
         left = ~self._put(one, print_)
         left[left] = ~self._put(two[left], print_[left])
@@ -93,134 +95,200 @@ def line_keys(text: Column, min_chars: int) -> Column:
     return F.transform(long_, lambda x: F.struct(x["line"], F.xxhash64(x["key"]).alias("h1"), F.xxhash64(F.lit(1), x["key"]).alias("h2")))
 
 
+class FilterChain:
+    """Filters of growing size that answer as one: keys go into the last, and a new one follows when it is full."""
+
+    def __init__(self, first: CuckooFilter):
+        self.filters, self.held = [first], int((first.table > 0).sum())
+
+    def meet(self, keys: np.ndarray) -> np.ndarray:
+        """Insert keys; True where a key stands earlier among them or was met before, but for false positives."""
+        seen = np.zeros(len(keys), bool)
+        for f in self.filters:
+            seen |= f.contains(keys)
+        _, first = np.unique(keys, return_index=True)
+        new = np.zeros(len(keys), bool)
+        new[first] = True
+        new &= ~seen
+        self._insert(keys[new])
+        return ~new
+
+    def _insert(self, keys: np.ndarray) -> None:
+        while len(keys):
+            last = self.filters[-1]
+            if self.held + len(keys) <= 0.8 * last.table.size:
+                before = last.table.copy()
+                if last.insert(keys):
+                    self.held += len(keys)
+                    return
+                last.table = before
+            self.filters.append(CuckooFilter(max(2 * len(last.table), len(CuckooFilter.for_keys(2 * len(keys)).table))))
+            self.held = 0
+
+
 class LineIndex:
     """Exact reference counts of line keys, and a cuckoo filter for each shard of the key space.
 
     ``references`` (h1, h2, doc_id, n) says how often a document holds a key (128 bits of hash); ``filters`` (shard,
-    table) say which keys may be known. An insertion asks the filters first: keys they have never seen are new, so only
-    the others are looked up in the references; those not found there get a fingerprint of their own. A deletion takes a document's references away and clears the
-    fingerprints of keys that no document holds any more. Both return a new index; the tables are Parquet folders."""
+    table) hold one fingerprint for each key of the references. An insertion asks the filters first, which meet the
+    batch's own keys as they come: a key that no filter has met is new and passes, and only those that may have been met
+    are counted exactly, in the batch and in the references. A deletion takes a document's references away and clears
+    the fingerprints of keys that no document holds any more. Both return a new index; the tables are Parquet folders."""
 
     def __init__(self, spark: SparkSession, references: DataFrame | None = None, filters: DataFrame | None = None, shards: int | None = None, min_chars: int = 10):
-        self.spark, self.references, self.filters, self.min_chars = spark, references, filters, min_chars
-        self.shards = shards or 4 * shuffle_parts(spark)
+        self.spark, self.references, self.filters, self.shards, self.min_chars = spark, references, filters, shards, min_chars
+        self.before: LineIndex | None = None
+
+    @staticmethod
+    def _shard(shards: int) -> Column:
+        return F.pmod(F.col("h2"), F.lit(shards)).cast("int")
 
-    def _shard(self) -> Column:
-        return F.pmod(F.col("h2"), F.lit(self.shards)).cast("int")
+    def _shards_for(self, keys: int) -> int:
+        return self.shards or max(4 * shuffle_parts(self.spark), -(-keys // SHARD_KEYS))
 
-    def _filter_step(self, keys: DataFrame, removing: bool = False, again: bool = False) -> DataFrame:
-        """Ask the shards' filters about keys (h1, h2), then insert or remove them. Rows of kind 0 are keys the filter may
-        know, rows of kind 1 carry a shard's new table. ``again``: insert keys even where the filter seems to know them."""
-        rows = keys.select(self._shard().alias("shard"), F.lit(1).alias("kind"), "h1", "h2", F.lit(None).cast("binary").alias("table"))
+    def _dealt(self, rows: DataFrame, shards: int) -> DataFrame:
+        return rows.repartition(max(1, min(shards, shuffle_parts(self.spark))), "shard").sortWithinPartitions("shard", "kind")
+
+    def _maybe_met(self, lines: DataFrame) -> DataFrame:
+        """Keys (h1, h2) of ``lines`` that the filters, those of the index and of the batch's earlier keys, may have met:
+        all that several documents hold, and few others. Equal keys of an Arrow batch are one row before the shuffle, so a
+        line in a third of all documents sends a row for each batch."""
+        total = lines.count()
+        shards = self._shards_for(total)
+        expected = 64 + total * 5 // (4 * shards)
+
+        def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                doc, h1, h2 = (batch.column(c).to_numpy() for c in ("doc_id", "h1", "h2"))
+                order = np.lexsort((h2, h1))
+                doc, h1, h2 = doc[order], h1[order], h2[order]
+                new = np.ones(len(h1), bool)
+                new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
+                at = np.flatnonzero(new)
+                several = np.minimum.reduceat(doc, at) != np.maximum.reduceat(doc, at)
+                yield pa.RecordBatch.from_arrays([pa.array(np.mod(h2[at], shards).astype(np.int32)), pa.array(np.ones(len(at), np.int32)), pa.array(h1[at]), pa.array(h2[at]), pa.array(several)], names=["shard", "kind", "h1", "h2", "several"])
+
+        rows = lines.select("doc_id", "h1", "h2").mapInArrow(combine, "shard int, kind int, h1 long, h2 long, several boolean").withColumn("table", F.lit(None).cast("binary"))
         if self.filters is not None:
-            rows = rows.unionByName(self.filters.select("shard", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("h1"), F.lit(0).cast("long").alias("h2"), "table"))
+            zero = F.lit(0).cast("long")
+            rows = rows.unionByName(self.filters.select("shard", F.lit(0).alias("kind"), zero.alias("h1"), zero.alias("h2"), F.lit(False).alias("several"), "table"))
+
+        def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            shard, chain = None, None
+            for batch in batches:
+                s, kind, tables = batch.column("shard").to_numpy(), batch.column("kind").to_numpy(), batch.column("table")
+                h1, h2, several = batch.column("h1").to_numpy(), batch.column("h2").to_numpy(), batch.column("several").to_numpy(zero_copy_only=False)
+                cuts = [0, *(np.flatnonzero(np.diff(s)) + 1).tolist(), len(s)]
+                for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                    if a == b:
+                        continue
+                    if s[a] != shard:
+                        shard, chain = int(s[a]), None
+                    if kind[a] == 0:
+                        chain, a = FilterChain(CuckooFilter(table=tables[a].as_py())), a + 1
+                    chain = chain or FilterChain(CuckooFilter.for_keys(expected))
+                    met = chain.meet(h1[a:b].view(np.uint64)) | several[a:b]
+                    yield pa.RecordBatch.from_arrays([pa.array(h1[a:b][met]), pa.array(h2[a:b][met])], names=["h1", "h2"])
+
+        met = self._dealt(rows, shards).mapInArrow(ask, "h1 long, h2 long")
+        return staged(met.distinct(), "line-met")
+
+    def _changed(self, keys: DataFrame, filters: DataFrame | None, shards: int, removing: bool = False) -> DataFrame:
+        """New tables (shard, table) of the shards that ``keys`` (h1, h2; distinct) touch, with a fingerprint more, or less,
+        for each; null for a table that grew too full."""
+        rows = keys.select(self._shard(shards).alias("shard"), "h1")
+        n = staged(rows.groupBy("shard").agg(F.count("*").alias("n")), "line-shards")
+        rows = rows.join(small_side(n), "shard").select("shard", F.lit(1).alias("kind"), "h1", "n", F.lit(None).cast("binary").alias("table"))
+        if filters is not None:
+            zero = F.lit(0).cast("long")
+            rows = rows.unionByName(filters.join(small_side(n), "shard").select("shard", F.lit(0).alias("kind"), zero.alias("h1"), "n", "table"))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            def shard_done(shard: int, table: bytes | None, h1: np.ndarray, h2: np.ndarray) -> pa.RecordBatch:
-                old = CuckooFilter(table=table) if table is not None else None
-                keys = h1.view(np.uint64)
-                seen = old.contains(keys) if old is not None and not again else np.zeros(len(keys), bool)
-                if removing:
-                    old.remove(keys)
-                    new = old
-                else:
-                    fresh = keys[~seen]
-                    held = 0 if old is None else int((old.table > 0).sum())
-                    new = old if old is not None and held + len(fresh) <= 0.8 * old.table.size else CuckooFilter.for_keys(2 * (held + len(fresh)) if old is not None else len(fresh))
-                    if new is not old and old is not None:  # fingerprints alone can't move to a larger table
-                        new = None
-                    elif not new.insert(fresh):
-                        new = None
-                known = np.flatnonzero(seen)
-                kinds = np.concatenate([np.zeros(len(known), np.int32), np.ones(1, np.int32)])
-                tables = [None] * len(known) + [None if new is None else new.table.tobytes()]
-                return pa.RecordBatch.from_arrays([pa.array(np.full(len(kinds), shard, np.int32)), pa.array(kinds), pa.array(np.append(h1[known], 0)), pa.array(np.append(h2[known], 0)), pa.array(tables, pa.binary())], names=["shard", "kind", "h1", "h2", "table"])
-
-            shard, table, parts = None, None, []
+            shard, own, good = None, None, True
+
+            def done() -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([own.table.tobytes() if good else None], pa.binary())], names=["shard", "table"])
+
             for batch in batches:
-                s, kind = batch.column("shard").to_numpy(), batch.column("kind").to_numpy()
-                h1, h2, tables = batch.column("h1").to_numpy(), batch.column("h2").to_numpy(), batch.column("table")
+                s, kind, tables = batch.column("shard").to_numpy(), batch.column("kind").to_numpy(), batch.column("table")
+                keys, n = batch.column("h1").to_numpy().view(np.uint64), batch.column("n").to_numpy()
                 cuts = [0, *(np.flatnonzero(np.diff(s)) + 1).tolist(), len(s)]
                 for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                     if a == b:
                         continue
                     if s[a] != shard:
                         if shard is not None:
-                            yield shard_done(shard, table, np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts]))
-                        shard, table, parts = int(s[a]), None, []
+                            yield done()
+                        shard, own, good = int(s[a]), None, True
                     if kind[a] == 0:
-                        table, a = tables[a].as_py(), a + 1
-                    parts.append((h1[a:b], h2[a:b]))
+                        own, a = CuckooFilter(table=tables[a].as_py()), a + 1
+                        good = removing or (own.table > 0).sum() + n[a - 1] <= 0.8 * own.table.size
+                    own = own or CuckooFilter.for_keys(2 * int(n[a]))
+                    if removing:
+                        own.remove(keys[a:b])
+                    elif good:
+                        good = own.insert(keys[a:b])
             if shard is not None:
-                yield shard_done(shard, table, np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts]))
+                yield done()
 
-        out = rows.repartition(max(1, min(self.shards, shuffle_parts(self.spark))), "shard").sortWithinPartitions("shard", "kind").mapInArrow(run, "shard int, kind int, h1 long, h2 long, table binary")
-        return staged(out, "line-filters")
-
-    def _with_false_positives(self, step: DataFrame) -> DataFrame:
-        """The filters after an insertion, with a fingerprint too for each key that the old filter took for known though
-        the references don't hold it: every key of the references has its own to remove."""
-        filters = step.where("kind = 1").select("shard", "table")
-        if self.references is None:
-            return filters
-        new = step.where("kind = 0").select("h1", "h2").join(self.references, ["h1", "h2"], "left_anti").withColumn("shard", self._shard())
-        new = staged(new.join(filters.where("table IS NOT NULL"), "shard", "left_semi"), "line-false")  # the others are rebuilt
-        if new.isEmpty():
-            return filters
-        touched = filters.join(new.select("shard").distinct(), "shard", "left_semi")
-        step = LineIndex(self.spark, None, touched, self.shards, self.min_chars)._filter_step(new.select("h1", "h2"), again=True)
-        own = step.where("kind = 1").select("shard", "table")
-        return filters.join(own.select("shard"), "shard", "left_anti").unionByName(own)
-
-    def _rebuilt(self, filters: DataFrame, references: DataFrame) -> DataFrame:
-        """The filters after a step; those that grew too full are built anew from the references."""
-        full = filters.where("table IS NULL").select("shard")
-        if full.isEmpty():
-            return filters.where("table IS NOT NULL")
-        keys = references.select("h1", "h2").distinct().withColumn("shard", self._shard()).join(F.broadcast(full), "shard", "left_semi")  # at most self.shards rows
-        grown = LineIndex(self.spark, None, None, self.shards, self.min_chars)._filter_step(keys.select("h1", "h2"))
-        return filters.where("table IS NOT NULL").unionByName(grown.where("kind = 1").select("shard", "table"))
+        return staged(self._dealt(rows, shards).mapInArrow(run, "shard int, table binary"), "line-filters")
 
     def insert(self, docs: DataFrame) -> tuple[DataFrame, LineIndex]:
         """(verdicts, index with the documents in it). Verdicts (doc_id, lines): the line numbers to drop, a row for each
         document that loses any: a key that several documents hold, those of the index included, keeps its lines in the
-        smallest doc_id alone. Documents of the index stay as they were decided."""
-        lines = staged(docs.select("doc_id", F.explode(line_keys(F.col("text"), self.min_chars)).alias("x")).select("doc_id", "x.line", "x.h1", "x.h2"), "lines")
-        batch = staged(lines.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")), "line-keys")
-        step = self._filter_step(batch.select("h1", "h2"))
-        shared = batch.where("first <> last").select("h1", "h2", "first")
+        smallest doc_id alone. Documents of the index stay as they were decided. Rows without doc_id take no part."""
+        lines = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), F.explode(line_keys(F.col("text"), self.min_chars)).alias("x"))
+        lines = staged(lines.select("doc_id", "x.line", "x.h1", "x.h2"), "lines")
+        met = small_side(self._maybe_met(lines))
+        maybe = staged(lines.join(met, ["h1", "h2"], "left_semi"), "lines-met")
+        counts = maybe.groupBy("h1", "h2", "doc_id").agg(F.count("*").alias("n"))
         if self.references is not None:
-            maybe = step.where("kind = 0").select("h1", "h2")
-            old = self.references.join(maybe, ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.min("doc_id").alias("old"))
-            known = batch.join(old, ["h1", "h2"])
-            shared = shared.join(old, ["h1", "h2"], "left_anti").unionByName(known.where("first <> old OR last <> old").select("h1", "h2", F.least("first", "old").alias("first")))
-        dropped = lines.join(shared, ["h1", "h2"]).where("doc_id <> first")
-        verdicts = dropped.groupBy("doc_id").agg(F.array_sort(F.collect_list("line")).alias("lines"))
+            counts = counts.unionByName(self.references.join(met, ["h1", "h2"], "left_semi").select("h1", "h2", "doc_id", "n"))
+        owners = counts.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first <> last")
+        owners = small_side(staged(owners.select("h1", "h2", "first"), "line-owners"))
+        verdicts = maybe.join(owners, ["h1", "h2"]).where("doc_id <> first").groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("lines"))
         new = lines.groupBy("h1", "h2", "doc_id").agg(F.count("*").alias("n"))
         references = new if self.references is None else self.references.unionByName(new)
-        filters = self._with_false_positives(step)
-        index = LineIndex(self.spark, references, filters, self.shards, self.min_chars)
-        index.step = filters
-        index.carried = self.filters
+        index = LineIndex(self.spark, references, None, self.shards, self.min_chars)
+        index.before = self
         return verdicts, index
 
     def saved(self) -> LineIndex:
-        """The index with its tables written, to insert into or delete from later."""
-        references = staged(self.references, "line-references")
-        filters = self.filters
-        if hasattr(self, "step"):
-            filters = self._rebuilt(self.step, references)
-            if self.carried is not None:
-                filters = filters.unionByName(self.carried.join(filters.select("shard"), "shard", "left_anti"))
-        return LineIndex(self.spark, references, staged(filters, "line-tables"), self.shards, self.min_chars)
+        """The index with its tables written, to insert into or delete from later. Shards that hold too many keys by now are
+        dealt anew."""
+        references = staged(self.references.groupBy("h1", "h2", "doc_id").agg(F.sum("n").alias("n")), "line-references")
+        keys = staged(references.select("h1", "h2").distinct(), "line-keys")
+        total = keys.count()
+        old = self.before if self.before is not None and self.before.references is not None else None
+        shards = self._shards_for(total)
+        if total > 4 * shards * SHARD_KEYS:
+            shards, old = -(-total // SHARD_KEYS), None
+        if old is None:
+            filters = self._changed(keys, None, shards)
+        else:
+            new = staged(keys.join(old.references.select("h1", "h2").distinct(), ["h1", "h2"], "left_anti"), "line-new")
+            changed = self._changed(new, old.filters, shards)
+            filters = changed.unionByName(old.filters.join(small_side(changed.select("shard")), "shard", "left_anti"))
+        filters = self._rebuilt(staged(filters, "line-tables"), keys, shards)
+        return LineIndex(self.spark, references, filters, shards, self.min_chars)
+
+    def _rebuilt(self, filters: DataFrame, keys: DataFrame, shards: int) -> DataFrame:
+        """The filters with those that grew too full built anew from all keys of their shards."""
+        full = staged(filters.where("table IS NULL").select("shard"), "line-full")
+        if full.isEmpty():
+            return filters
+        grown = self._changed(keys.withColumn("shard", self._shard(shards)).join(small_side(full), "shard", "left_semi").select("h1", "h2"), None, shards)
+        return staged(filters.where("table IS NOT NULL").unionByName(grown), "line-tables")
 
     def delete(self, doc_ids: DataFrame) -> LineIndex:
-        """The index as if the documents (column doc_id) had never been inserted."""
-        gone = self.references.join(doc_ids.select("doc_id").distinct(), "doc_id", "left_semi").select("h1", "h2").distinct()
-        kept = staged(self.references.join(doc_ids.select("doc_id").distinct(), "doc_id", "left_anti").select("h1", "h2", "doc_id", "n"), "line-references")
-        step = self._filter_step(gone.join(kept, ["h1", "h2"], "left_anti"), removing=True)
-        new = step.where("kind = 1").select("shard", "table")
-        filters = new.unionByName(self.filters.select("shard", "table").join(new.select("shard"), "shard", "left_anti"))
+        """The index as if the documents (column doc_id) had never been inserted. Call it on a saved index."""
+        gone = staged(doc_ids.select(F.col("doc_id").cast("long")).distinct(), "line-gone")
+        lost = self.references.join(gone, "doc_id", "left_semi").select("h1", "h2").distinct()
+        kept = staged(self.references.join(gone, "doc_id", "left_anti").select("h1", "h2", "doc_id", "n"), "line-references")
+        changed = self._changed(staged(lost.join(kept.select("h1", "h2").distinct(), ["h1", "h2"], "left_anti"), "line-lost"), self.filters, self.shards, removing=True)
+        filters = changed.unionByName(self.filters.join(small_side(changed.select("shard")), "shard", "left_anti"))
         return LineIndex(self.spark, kept, staged(filters, "line-tables"), self.shards, self.min_chars)
 
 
@@ -229,16 +297,18 @@ def dedup_lines(docs: DataFrame, index: LineIndex | None = None, min_chars: int
 
     A line's key is the line without white space at its ends, A-Z lower-cased; shorter keys than ``min_chars`` code
     points never count. A null text is one empty line and comes back empty. Rows that repeat a doc_id count as one
-    document and lose the same line numbers. Rows without doc_id lose lines that documents with one hold, and keep
-    those they share with each other alone. All other columns pass through."""
+    document and lose the same line numbers. Rows without doc_id take no part and stay whole. All other columns pass
+    through, whatever their names."""
     index = index or LineIndex(docs.sparkSession, min_chars=min_chars)
     text = F.coalesce(F.col("text"), F.lit(""))
+    own, gone, parts = fresh("doc", docs), fresh("lines", docs), fresh("parts", docs)
     verdicts, _ = index.insert(docs.select("doc_id", text.alias("text")))
-    verdicts = verdicts.select(F.col("doc_id").alias("_doc"), F.col("lines").alias("_lines"))
-    lines = F.split(text, "\n", -1)
-    keep = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_lines"))
-    cut = F.when(F.col("_lines").isNull(), text).otherwise(F.array_join(F.transform(keep, lambda i: F.element_at(lines, i + 1)), "\n"))
-    out = docs.join(verdicts, F.col("doc_id") == F.col("_doc"), "left")
-    n_lines, n_dropped = F.size(lines).cast("long"), F.coalesce(F.size(F.array_distinct("_lines")), F.lit(0)).cast("long")
+    verdicts = verdicts.select(F.col("doc_id").alias(own), F.col("lines").alias(gone))
+    out = docs.join(verdicts, F.col("doc_id").cast("long") == F.col(own), "left").withColumn(parts, F.split(text, "\n", -1))
+    last = F.size(parts) - 1
+    keep = F.array_except(F.sequence(F.lit(0), last), F.col(gone))
+    cut = F.when(F.col(gone).isNull(), text).otherwise(F.array_join(F.transform(keep, lambda i: F.element_at(parts, i + 1)), "\n"))
+    out = out.withColumn(own, F.size(F.filter(gone, lambda i: i <= last)))  # before the new text, whose name lambdas would take
+    n_lines, n_dropped = F.size(parts).cast("long"), F.when(F.col(gone).isNull(), 0).otherwise(F.col(own)).cast("long")
     columns = [cut.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_dropped")]
     return out.select(*columns, n_lines.alias("n_lines"), n_dropped.alias("n_dropped"))

@@ -74,5 +74,20 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_source_mix, op2_jaccard_join, op3_language_id, op4_neighbours, op5_secret_scan, op6_quality, op7_suffix_dedup, op8_token_files, op9_line_dedup, op10_packing)}
 
 
+_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+#: Components by a recursive union over all links between different documents.
+OP2_SQL = rf"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), {_LOWER}), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+ s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM w),
+ n AS (SELECT doc_id, len(s) AS n FROM s), t AS (SELECT doc_id, unnest(s) AS t FROM s),
+ c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM t a JOIN t b ON a.t = b.t AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+ links AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+ r AS (SELECT doc_id, doc_id AS reached FROM n UNION SELECT r.doc_id, b FROM r JOIN links ON reached = a)
+ SELECT doc_id, CAST(max(n) AS BIGINT) AS n_shingles, min(reached) AS component_id FROM r JOIN n USING (doc_id) GROUP BY 1"""
+OP9_SQL = rf"""WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents), l AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS i FROM d),
+ k AS (SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), {_LOWER}) AS key FROM l),
+ o AS (SELECT key, min(doc_id) AS own FROM k WHERE length(key) >= 10 GROUP BY 1 HAVING count(DISTINCT doc_id) > 1), j AS (SELECT k.*, own IS NOT NULL AND own <> doc_id AS gone FROM k LEFT JOIN o USING (key))
+ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM j GROUP BY 1"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_jaccard_join": OP2_SQL, "op9_line_dedup": OP9_SQL}
