@@ -1,4 +1,5 @@
-"""Removal of byte strings that occur earlier in the corpus, by ranking sampled positions at growing lengths."""
+"""Removal of byte strings that occur earlier in the corpus: prefix doubling over sampled positions, which Spark ranks by
+pairs of ranks at growing offsets until they are unique or past the threshold."""
 
 from __future__ import annotations
 
@@ -13,8 +14,11 @@ from .common import fresh, mix, prefix_hash, shuffle_parts, small_batches, span_
 
 NAME = 32  # bytes of the first names
 _POS_BITS = 28
-ANCHOR, SURE, MARK = 0, 1, 2
-_ROW = "kind int, h long, f long, doc_id long, at long"
+HALF = 2 * NAME  # bytes of the second names
+ANCHOR, WITNESS, KNOWN, MARK = 0, 1, 2, 3
+_ROW = "kind int, h long, f long, ge long, doc_id long, at long"
+_SIDE = "h long, e long, doc_id long, at long, right boolean"
+_MARK = "doc_id long, at long"
 
 
 class Sampled:
@@ -24,6 +28,8 @@ class Sampled:
 
     def __init__(self, column: pa.Array, length: int):
         self.data, self.off = text_buffers(column)
+        if len(self.data) >= 1 << _POS_BITS:
+            raise ValueError(f"a text of {len(self.data)} bytes; this operator takes texts of less than {1 << _POS_BITS}")
         self.length, n = length, len(self.data)
         self.prefix = prefix_hash(self.data)
         self.chosen = np.zeros(0, np.int64)  # for each window, the byte it chooses
@@ -48,13 +54,23 @@ class Sampled:
         flag[self.chosen] = True
         self.anchors = np.flatnonzero(flag)
 
-    def around(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """For each anchor: text index, start and end of all bytes that windows with its name can cover, their name."""
+    def around(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For each anchor: text index, start and end of all bytes that windows with its name can cover, their name, and 32
+        bits each of the names 32 bytes ahead and 32 bytes back (0 where the text ends before)."""
         doc = np.searchsorted(self.off, self.anchors, "right") - 1
         start = np.maximum(self.anchors - (self.length - NAME), self.off[doc])
         end = np.minimum(self.anchors + self.length, self.off[doc + 1])
         name = mix(span_hash(self.prefix, start, end) + ((self.anchors - start) * 1024 + (end - self.anchors)).astype(np.uint64))
-        return doc, start, end, name
+        n = len(self.names) - 1
+        ahead = np.where(self.anchors + HALF <= self.off[doc + 1], self.names[np.minimum(self.anchors + NAME, n)] >> np.uint64(32) | np.uint64(1), np.uint64(0))
+        back = np.where(self.anchors - NAME >= self.off[doc], self.names[np.maximum(self.anchors - NAME, 0)] >> np.uint64(32) | np.uint64(1), np.uint64(0))
+        return doc, start, end, name, ahead << np.uint64(32) | back
+
+    def pair_names(self, p: np.ndarray) -> np.ndarray:
+        """Names of ``length`` bytes at p, by doubling: pairs of 32-byte names make names of 64, two of those that overlap
+        the whole."""
+        half = lambda q: mix(mix(self.names[q]) + self.names[q + NAME])
+        return mix(mix(half(p)) + half(p + self.length - HALF))
 
 
 def _runs(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -72,14 +88,17 @@ def _runs(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarr
     return doc[first], start[first], np.maximum.reduceat(end, first)
 
 
-def _out(kind: int, doc: np.ndarray, at: np.ndarray, h: np.ndarray | None = None, f: np.ndarray | None = None) -> pa.RecordBatch:
+def _out(kind: int, doc: np.ndarray, at: np.ndarray, h: np.ndarray | None = None, f: np.ndarray | None = None, ge: np.ndarray | None = None) -> pa.RecordBatch:
     zero = np.zeros(len(doc), np.int64)
     h = mix(doc.astype(np.uint64)) if h is None else h
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(doc), kind, np.int32)), pa.array(h.view(np.int64)), pa.array(zero if f is None else f.view(np.int64)), pa.array(doc), pa.array(at)], names=["kind", "h", "f", "doc_id", "at"])
+    longs = [zero if x is None else x.view(np.int64) for x in (h, f, ge)]
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(doc), kind, np.int32)), *map(pa.array, longs), pa.array(doc), pa.array(at)], names=["kind", "h", "f", "ge", "doc_id", "at"])
 
 
-def _span(start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return (start << 31) | end
+def _marks(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Documents and spans (start << 31 | end), united."""
+    doc, start, end = _runs(doc, start, end)
+    return doc, (start << 31) | end
 
 
 def _first_of(*keys: np.ndarray) -> np.ndarray:
@@ -91,18 +110,49 @@ def _first_of(*keys: np.ndarray) -> np.ndarray:
     return new
 
 
+def _overlapping(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, bool, bool]]:
+    """Each batch of sorted rows with the row before it and the row behind it (flags say whether there are such), so that a
+    row meets its neighbours though no group is ever held."""
+    before, now = None, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        batch = pa.Table.from_batches([batch])
+        if now is not None:
+            yield pa.concat_tables([*([] if before is None else [before]), now, batch.slice(0, 1)]), before is not None, True
+            before = now.slice(now.num_rows - 1)
+        now = batch
+    if now is not None:
+        yield pa.concat_tables([*([] if before is None else [before]), now]), before is not None, False
+
+
+def _shared(head: bool, tail: bool, *keys: np.ndarray) -> np.ndarray:
+    """True for the rows proper whose keys equal those of the row before or behind."""
+    same = np.ones(len(keys[0]) - 1, bool)
+    for k in keys:
+        same &= k[1:] == k[:-1]
+    out = np.zeros(len(keys[0]), bool)
+    out[1:] |= same
+    out[:-1] |= same
+    return out[int(head) : len(out) - int(tail)]
+
+
 def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
-    """doc_id, spans: the byte spans of each text covered by strings of ``length`` bytes that start earlier as well.
-
-    Ranking by growing lengths, each round on what is left of the one before:
-    1. Each text's sampled positions (one in 35 bytes) get their 32-byte names; Spark deals them out by name. Names that
-       occur once are dropped.
-    2. A sampled position's neighbourhood (168 bytes, all that windows with its name can cover) is named. Where the same
-       neighbourhood stands earlier, all of it is marked, as every string in it does. The first of each is kept if the
-       32-byte name has several neighbourhoods.
-    3. The windows of ``length`` bytes that chose those positions are named, and all but the first of equals are marked.
-    Equal names mean equal strings but for a collision of 64-bit hashes. What a batch of texts shows to be repeated is
-    marked there at once, so a passage in a third of all documents sends a few rows for each batch."""
+    """doc_id, at: spans (start << 31 | end, an array) of each text covered by strings of ``length`` bytes (68 to 128) that
+    start earlier as well.
+
+    Prefix doubling over positions that the text itself chooses, one in about 35 bytes, so that equal strings choose
+    alike. A rank is the 64-bit name of a string: names of pairs of names.
+    1. Spark sorts the sampled positions by the rank of their 32 bytes; those with a rank of their own are dropped.
+    2. Spark sorts the rest by pairs of ranks: theirs with that 32 bytes ahead, then theirs with that 32 bytes back.
+       Where all 168 bytes around a position that its strings of ``length`` bytes can cover stand earlier, they are
+       marked at once. A position with a pair of its own has no repeated string on that side, and is dropped if it has
+       none on either.
+    3. The strings of ``length`` bytes that chose a position left are ranked by pairs of 64-byte ranks; all but the first
+       of equals are marked. The threshold is reached here.
+    Equal ranks mean equal strings but for a collision of 64-bit hashes. No group of equal ranks is ever held: rows are
+    compared with their neighbours in sorted batches. What a batch of texts shows to be repeated is settled there: known
+    repeats skip step 1 but for one witness, so a passage in a third of all documents sends a few rows for each batch."""
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
@@ -110,59 +160,74 @@ def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
             s = Sampled(batch.column("text"), length)
             if not len(s.anchors):
                 continue
-            doc, start, end, f = s.around()
+            doc, start, end, f, ge = s.around()
             h = s.names[s.anchors]
             base = s.off[doc]
             order = np.lexsort((s.anchors - base, ids[doc], f, h))
-            h, f, doc, base, start, end, at = h[order], f[order], doc[order], base[order], start[order], end[order], s.anchors[order]
+            h, f, ge, doc, base, start, end, at = h[order], f[order], ge[order], doc[order], base[order], start[order], end[order], s.anchors[order]
             new_h, new_f = _first_of(h), _first_of(h, f)
             # Equal doc_id and position (repeated rows) aren't earlier than one another.
             first = np.flatnonzero(new_f)[np.cumsum(new_f) - 1]
             again = ~new_f & ~((ids[doc] == ids[doc[first]]) & (at - base == at[first] - base[first]))
-            yield _out(MARK, *(lambda d, a, b: (d, _span(a, b)))(*_runs(ids[doc][again], (start - base)[again], (end - base)[again])))
+            yield _out(MARK, *_marks(ids[doc][again], (start - base)[again], (end - base)[again]))
             run = np.cumsum(new_h) - 1
-            nth = np.cumsum(new_f) - np.cumsum(new_f)[np.flatnonzero(new_h)][run]  # number of the neighbourhood in its run
-            several = np.bincount(run[new_f], minlength=run[-1] + 1)[run] > 4
-            sent = ~again & (~several | (nth < 2))
+            repeated = (np.bincount(run) > 1)[run]
             code = ((at - base) << 16) | ((at - start) << 8) | (end - at)
-            yield _out(ANCHOR, ids[doc][sent], code[sent], h[sent], f[sent])
-            sure = ~again & several
-            yield _out(SURE, ids[doc][sure], (at - base)[sure], h[sure])
-
-    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def ranked(t: pa.Table) -> Iterator[pa.RecordBatch]:
-            kind, h, f, doc, at = (t.column(c).to_numpy() for c in ("kind", "h", "f", "doc_id", "at"))
-            for k in (SURE, MARK):
-                yield _out(k, doc[kind == k], at[kind == k], h[kind == k])
-            h, f, doc, at = (x[kind == ANCHOR] for x in (h, f, doc, at))
-            if not len(h):
-                return
-            order = np.lexsort((at >> 16, doc, f, h))
-            h, f, doc, at = h[order], f[order], doc[order], at[order]
-            pos, left, right = at >> 16, (at >> 8) & 255, at & 255
-            new_h, new_f = _first_of(h), _first_of(h, f)
-            first = np.flatnonzero(new_f)[np.cumsum(new_f) - 1]
-            again = ~new_f & ~((doc == doc[first]) & (pos == pos[first]))
-            yield _out(MARK, *(lambda d, a, b: (d, _span(a, b)))(*_runs(doc[again], (pos - left)[again], (pos + right)[again])))
-            run = np.cumsum(new_h) - 1
-            many = np.bincount(run[new_f], minlength=run[-1] + 1)[run] > 1
-            yield _out(SURE, doc[many & ~again], pos[many & ~again])
+            for kind, rows in ((ANCHOR, ~repeated), (KNOWN, repeated & ~again)):
+                yield _out(kind, ids[doc][rows], code[rows], h[rows], f[rows], ge[rows])
+            yield _out(WITNESS, ids[doc][repeated & new_h], code[repeated & new_h], h[repeated & new_h])
 
-        held: list[pa.Table] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            h = batch.column("h").to_numpy()
-            last = int(np.searchsorted(h, h[-1]))  # the last run may go on in the next batch
-            if last:
-                yield from ranked(pa.concat_tables([*held, pa.Table.from_batches([batch.slice(0, last)])]))
-                held = []
-            elif held and held[-1].column("h")[-1].as_py() != h[0]:
-                yield from ranked(pa.concat_tables(held))
-                held = []
-            held.append(pa.Table.from_batches([batch.slice(last)]))
-        if held:
-            yield from ranked(pa.concat_tables(held))
+    def of_32_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, head, tail in _overlapping(batches):
+            kind = t.column("kind").to_numpy()
+            shared = _shared(head, tail, kind >= KNOWN, t.column("h").to_numpy())
+            own, kind = t.slice(int(head), len(shared)), kind[int(head) : int(head) + len(shared)]
+            yield from own.filter(pa.array((kind == ANCHOR) & shared | (kind >= KNOWN))).to_batches()
+
+    def ahead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marked: list[pa.RecordBatch] = []
+
+        def side(h: np.ndarray, e: np.ndarray, doc: np.ndarray, at: np.ndarray, right: np.ndarray, mark: bool) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*map(pa.array, (h, e, doc, at, right)), pa.array(np.full(len(h), mark))], names=["h", "e", "doc_id", "at", "right", "mark"])
+
+        def firsts() -> Iterator[pa.RecordBatch]:
+            """The first of each surrounding; later ones are marked."""
+            first = None  # (h, f, doc_id, at) of the first of the run that the last batch ended in
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                h, g, e, f, doc, at = (batch.column(c).to_numpy() for c in ("h", "g", "e", "f", "doc_id", "at"))
+                new = _first_of(h, f)
+                start = np.flatnonzero(new)[np.cumsum(new) - 1]
+                f_doc, f_at = doc[start], at[start]
+                if first is not None and (h[0], f[0]) == first[:2]:  # the run began before
+                    new[0] = False
+                    f_doc, f_at = np.where(start == 0, first[2], f_doc), np.where(start == 0, first[3], f_at)
+                first = (h[-1], f[-1], f_doc[-1], f_at[-1])
+                pos, left, right = at >> 16, (at >> 8) & 255, at & 255
+                again = ~new & ~((doc == f_doc) & (pos == f_at >> 16))
+                owner, span = _marks(doc[again], (pos - left)[again], (pos + right)[again])
+                marked.append(side(mix(owner.astype(np.uint64)).view(np.int64), np.zeros(len(owner), np.int64), owner, span, np.zeros(len(owner), bool), True))
+                yield pa.RecordBatch.from_arrays([*map(pa.array, (h[new], g[new], e[new], doc[new], pos[new]))], names=["h", "g", "e", "doc_id", "at"])
+
+        for t, head, tail in _overlapping(firsts()):
+            yield from marked
+            marked.clear()
+            h, g = t.column("h").to_numpy(), t.column("g").to_numpy()
+            right = _shared(head, tail, h, g)
+            h, g, e, doc, at = (t.column(c).to_numpy()[int(head) : int(head) + len(right)] for c in ("h", "g", "e", "doc_id", "at"))
+            yield side(h, e, doc, at, right & (g != 0), False)
+        yield from marked
+
+    def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, head, tail in _overlapping(batches):
+            h, e = t.column("h").to_numpy(), t.column("e").to_numpy()
+            left = _shared(head, tail, h, e) & (e[int(head) : len(h) - int(tail)] != 0)
+            own = t.slice(int(head), len(left))
+            right = own.column("right").to_numpy()
+            stay = left | right
+            code = (own.column("at").to_numpy() << 2) | (left.astype(np.int64) << 1) | right.astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(own.column("doc_id").to_numpy()[stay]), pa.array(code[stay])], names=["doc_id", "at"])
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
@@ -171,27 +236,54 @@ def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
             if not len(s.anchors):
                 continue
             lists = batch.column("at")
-            flag = np.zeros(len(s.data), bool)
-            flag[np.repeat(s.off[:-1], lists.value_lengths().fill_null(0).to_numpy()) + lists.flatten().to_numpy()] = True
-            p = s.windows[flag[s.chosen]]
+            code = lists.flatten().to_numpy()
+            flag = np.zeros(len(s.data), np.uint8)
+            flag[np.repeat(s.off[:-1], lists.value_lengths().fill_null(0).to_numpy()) + (code >> 2)] = code & 3
+            side, ahead_of = flag[s.chosen], s.chosen - s.windows
+            p = s.windows[((side & 1) > 0) & (ahead_of <= length - HALF) | ((side & 2) > 0) & (ahead_of >= NAME)]
             doc = np.searchsorted(s.off, p, "right") - 1
-            at, owner = p - s.off[doc], ids[doc]
-            name = span_hash(s.prefix, p, p + length)
+            at, owner, name = p - s.off[doc], ids[doc], s.pair_names(p)
             order = np.lexsort((at, owner, name))
             name, owner, at = name[order], owner[order], at[order]
             new = _first_of(name)
             first = np.flatnonzero(new)[np.cumsum(new) - 1]
             again = ~new & ~((owner == owner[first]) & (at == at[first]))
-            yield _out(MARK, *(lambda d, a, b: (d, _span(a, b)))(*_runs(owner[again], at[again], at[again] + length)))
-            yield _out(ANCHOR, owner[~again], (at[~again] << 16) | length, name[~again])
+            marks = _marks(owner[again], at[again], at[again] + length)
+            sent = ~again
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([name[sent].view(np.int64), mix(marks[0].astype(np.uint64)).view(np.int64)])), pa.array(np.concatenate([owner[sent], marks[0]])), pa.array(np.concatenate([at[sent], marks[1]])), pa.array(np.arange(sent.sum() + len(marks[0])) >= sent.sum())], names=["h", "doc_id", "at", "mark"])
+
+    def of_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = None
+        for t, head, tail in _overlapping(batches):
+            mark, h, doc, at = (t.column(c).to_numpy() for c in ("mark", "h", "doc_id", "at"))
+            b = len(h) - int(tail)
+            new = _first_of(h, mark)
+            start = np.flatnonzero(new)[np.cumsum(new) - 1]
+            f_doc, f_at = doc[start], at[start]
+            if head and first is not None and (h[0], mark[0]) == first[:2]:
+                f_doc, f_at = np.where(start == 0, first[2], f_doc), np.where(start == 0, first[3], f_at)
+            first = (h[b - 1], mark[b - 1], f_doc[b - 1], f_at[b - 1])
+            own = np.arange(len(h)) >= int(head)
+            own[b:] = False
+            again = own & ~mark & ~new & ~((doc == f_doc) & (at == f_at))
+            found = _marks(doc[again], at[again], at[again] + length)
+            old = own & mark
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([doc[old], found[0]])), pa.array(np.concatenate([at[old], found[1]]))], names=["doc_id", "at"])
 
     n = shuffle_parts(docs.sparkSession)
     texts = docs.where("doc_id IS NOT NULL AND octet_length(text) >= %d" % length).select(F.col("doc_id").cast("long"), "text")
-    found = texts.mapInArrow(sample, _ROW).repartition(n, "h").sortWithinPartitions("h").mapInArrow(rank, _ROW)
-    found = staged(found.select("kind", "doc_id", "at"), "repeat-ranks")
-    some = found.where(F.col("kind") == SURE).groupBy("doc_id").agg(F.collect_set("at").alias("at"))
-    named = texts.join(some, "doc_id").mapInArrow(windows, _ROW).repartition(n, "h").sortWithinPartitions("h").mapInArrow(rank, _ROW)
-    marks = found.where(F.col("kind") == MARK).select("doc_id", "at").unionByName(named.where(F.col("kind") == MARK).select("doc_id", "at"))
+    known = F.col("kind") >= KNOWN
+    key = F.when(known, F.xxhash64("f", "doc_id")).otherwise(F.col("h"))  # what is known needn't meet its like yet
+    found = texts.mapInArrow(sample, _ROW).repartition(n, key).sortWithinPartitions(known, "h").mapInArrow(of_32_bytes, _ROW)
+    found = staged(found, "repeat-32")
+    pairs = found.where(F.col("kind") < MARK).select("h", F.shiftrightunsigned("ge", 32).alias("g"), F.col("ge").bitwiseAND(0xFFFFFFFF).alias("e"), "f", "doc_id", "at")
+    pairs = pairs.repartition(n, "h", "g").sortWithinPartitions("h", "g", "f", "doc_id", "at").mapInArrow(ahead, f"{_SIDE}, mark boolean")
+    pairs = staged(pairs, "repeat-64")
+    left = pairs.where("NOT mark").drop("mark").repartition(n, "h", "e").sortWithinPartitions("h", "e").mapInArrow(back, _MARK)
+    some = left.groupBy("doc_id").agg(F.collect_set("at").alias("at"))
+    named = texts.join(some, "doc_id").mapInArrow(windows, "h long, doc_id long, at long, mark boolean")
+    named = named.repartition(n, "h").sortWithinPartitions("h", "mark", "doc_id", "at").mapInArrow(of_windows, _MARK)
+    marks = found.where(F.col("kind") == MARK).select("doc_id", "at").unionByName(pairs.where("mark").select("doc_id", "at")).unionByName(named)
     return marks.groupBy("doc_id").agg(F.collect_set("at").alias("at"))
 
 
