@@ -28,7 +28,7 @@ ENCODINGS = (
     ("base64", "^[0-9A-Za-z+/_-]+$", "+-/" + DIGITS + UPPER + "_" + LOWER),
 )
 LENGTHS = (20, 32, 48, 64, 128)  # least length of each class
-CELLS_PER_DECADE, MOST_CELL = 20, 400
+CELLS = 200  # of p-values, for the false-discovery estimate
 
 
 def match_spans(text: Column, pattern: str, kind: int, group: int | None = None, least: int = 0) -> Column:
@@ -58,8 +58,9 @@ def _tail(z: Column) -> Column:
 
 
 def battery(table: DataFrame, value: str) -> DataFrame:
-    """Adds ``encoding`` and ``p``: three times the least p-value (1 at most) of chi-squared uniformity over the inferred
-    alphabet, runs about its middle, and serial correlation. Small p: the string isn't random."""
+    """Adds ``encoding`` and ``p``, even between 0 and 1 for random strings: from the least p-value of chi-squared
+    uniformity over the inferred alphabet, runs about its middle, and serial correlation. Small p: the string isn't
+    random."""
     v = F.col(value)
     encoding, alphabet = F.lit(ENCODINGS[-1][0]), F.lit(ENCODINGS[-1][2])
     for name, pattern, letters in reversed(ENCODINGS[:-1]):
@@ -83,24 +84,33 @@ def battery(table: DataFrame, value: str) -> DataFrame:
     t = t.withColumn("_cov", F.expr("aggregate(zip_with(slice(_x, 1, size(_x) - 1), slice(_x, 2, size(_x) - 1), (a, b) -> (a - _mean) * (b - _mean)), 0D, (s, x) -> s + x)"))
     serial_z = F.when(F.col("_var") > 0, F.abs(F.col("_cov") / F.col("_var") + 1 / F.col("_n")) * F.sqrt("_n")).otherwise(F.lit(12.0))
     t = t.withColumn("_p3", F.least(F.lit(1.0), 2 * _tail(serial_z)))
-    return t.withColumn("p", F.least(F.lit(1.0), 3 * F.least("_p1", "_p2", "_p3"))).drop(*[c for c in t.columns if c.startswith("_")])
+    return t.withColumn("p", 1.0 - F.pow(1.0 - F.least("_p1", "_p2", "_p3"), F.lit(3.0))).drop(*[c for c in t.columns if c.startswith("_")])
 
 
 def _length_class(n: Column) -> Column:
     return sum([(n >= least).cast("int") for least in LENGTHS[1:]], F.lit(0))
 
 
-def discovery_limits(tested: DataFrame, levels: tuple[float, ...] = (0.2, 0.1, 0.05, 0.05, 0.05)) -> dict[int, float]:
-    """For each length class, the p-value up to which strings are discovered to be no random ones (Benjamini and
-    Hochberg, over counts in cells of -log10 p). Short strings give the tests less power, so their level is higher."""
-    cell = F.least(F.lit(MOST_CELL), F.floor(-F.log10(F.greatest(F.col("p"), F.lit(1e-30))) * CELLS_PER_DECADE)).cast("int")
-    cells = tested.groupBy(_length_class(F.col("n")).alias("cls"), cell.alias("cell")).agg(F.count("*").alias("k"))
-    group = Window.partitionBy("cls")  # 401 cells at most
-    upto = F.sum("k").over(group.orderBy(F.desc("cell")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    edge = F.pow(F.lit(10.0), -F.col("cell") / float(CELLS_PER_DECADE))
-    level = F.element_at(F.array(*[F.lit(x) for x in levels]), F.col("cls") + 1)
-    cells = cells.withColumn("upto", upto).withColumn("all", F.sum("k").over(group))
-    found = cells.where(edge * F.col("all") <= level * F.col("upto")).groupBy("cls").agg(F.max(edge).alias("limit"))
+def _cell(p: Column) -> Column:
+    return F.least(F.lit(CELLS - 1), F.floor(p * CELLS)).cast("int")
+
+
+def discovery_limits(tested: DataFrame, level: float = 0.1) -> dict[int, int]:
+    """For each length class, the least cell of p-values from which on strings are taken for random ones.
+
+    A discovery is a random string, a false one a string that isn't random but passes the battery. Random strings spread
+    evenly over p and others crowd near 0, so the share of random strings in a class follows from its strings above one
+    half (Storey, 2002), and the false discoveries from a cell on are what stands there beyond their even share. The
+    least cell at which these are ``level`` of the discoveries or fewer is the limit. Short strings give the tests less
+    power, so more of the others reach high p in their class, which pushes its limit up. A class without such a cell has
+    no limit and no discoveries. Only counts of cells are used: 200 for each of five classes, over all strings."""
+    cells = tested.groupBy(_length_class(F.col("n")).alias("cls"), _cell(F.col("p")).alias("cell")).agg(F.count("*").alias("k"))
+    group = Window.partitionBy("cls")  # 200 cells at most
+    above = F.sum("k").over(group.orderBy(F.desc("cell")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    cells = cells.withColumn("above", above).withColumn("high", F.sum(F.when(F.col("cell") >= CELLS // 2, F.col("k")).otherwise(0)).over(group)).withColumn("all", F.sum("k").over(group))
+    random = F.least(F.col("all"), 2 * F.col("high"))
+    false = F.col("above") - random * (1 - F.col("cell") / float(CELLS))
+    found = cells.where(false <= level * F.col("above")).groupBy("cls").agg(F.min("cell").alias("limit"))
     return {r["cls"]: r["limit"] for r in found.collect()}  # five rows at most
 
 
@@ -108,8 +118,7 @@ def scan(docs: DataFrame) -> DataFrame:
     """``doc_id`` and, for each whole text: base (spans of the three patterns), added (spans of the battery), both
     arrays of (start, kind, end) in code points with kind an index of ``KINDS``.
 
-    Key-like strings outside base spans go through the battery; those of which it doesn't discover that they are no
-    random ones are added. A null text is empty. Each row is judged by itself, so repeated rows get equal results; an
+    Key-like strings outside base spans go through the battery; those that it discovers to be random are added. A null text is empty. Each row is judged by itself, so repeated rows get equal results; an
     empty table gives no rows. Spans are per row: nothing is grouped by document."""
     text = F.coalesce(F.col("text"), F.lit(""))
     base = F.array_sort(F.concat(match_spans(text, ASSIGN, 0, 2, 6), match_spans(text, ACCESS, 1), match_spans(text, HEX, 2)))
@@ -121,10 +130,10 @@ def scan(docs: DataFrame) -> DataFrame:
     some = d.where(F.size("keys") > 0).select("row", F.explode("keys").alias("k")).select("row", "k.start", "k.kind", "k.end", F.col("k.value").alias("value"), F.length("k.value").alias("n"))
     tested = staged(battery(some, "value").drop("value"), "secret-tests")
     limits = discovery_limits(tested)
-    limit = F.lit(0.0)
+    limit = F.lit(CELLS)
     for cls, at in limits.items():
         limit = F.when(_length_class(F.col("n")) == cls, F.lit(at)).otherwise(limit)
-    added = tested.where(F.col("p") > limit).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end"))).alias("added"))
+    added = tested.where(_cell(F.col("p")) >= limit).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end"))).alias("added"))
     none = F.expr("CAST(array() AS array<struct<start:int,kind:int,end:int>>)")
     return d.join(added, "row", "left").select("doc_id", "base", F.coalesce("added", none).alias("added"))
 

@@ -8,7 +8,6 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
-import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -149,6 +148,31 @@ def test_neighbours_more_partitions_than_rows(spark):
     assert share == 1 and len(got) == 30
 
 
+def test_neighbours_few_and_ragged(spark):
+    x = np.random.default_rng(5).normal(size=(6, 3))
+    data = [(i, v.tolist()) for i, v in enumerate(x)] + [(7, [1.0]), (8, [1.0, 2.0, 3.0, 4.0]), (9, []), (None, [1.0, 2.0, 3.0]), (10, [1.0, None, 2.0])]
+    graph = neighbours.NeighbourGraph.build(spark.createDataFrame(data, "vec_id long, embedding array<double>"))
+    got = graph.search(graph.members.selectExpr("vec_id as query_id")).collect()
+    assert sorted((r["query_id"], r["rank"]) for r in got) == [(q, k) for q in range(6) for k in range(1, 6)]
+    none = neighbours.NeighbourGraph.build(spark.createDataFrame([], "vec_id long, embedding array<double>"))
+    assert none.search(none.members.selectExpr("vec_id as query_id")).count() == 0
+
+
+def test_battery_tells_random_strings(spark):
+    rng = np.random.default_rng(6)
+    letters = np.array(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"))
+    keys = ["".join(rng.choice(letters, int(n))) for n in rng.integers(24, 90, 400)]
+    words = ["section", "chapter", "article", "release", "version", "invoice", "customer", "number"]
+    names = ["/".join(f"{rng.choice(words)}{rng.integers(9)}" for _ in range(int(n))) for n in rng.integers(3, 9, 1200)]
+    texts = [f"see {v} here" for v in [*keys, *names]]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    flagged = {r["doc_id"] for r in secret_scan.scan(docs).collect() if r["added"]}
+    true = sum(i < len(keys) for i in flagged)
+    assert true >= 0.7 * len(keys) and len(flagged) - true <= 0.15 * len(flagged)
+    only_names = secret_scan.scan(docs.where(f"doc_id >= {len(keys)}"))
+    assert sum(bool(r["added"]) for r in only_names.collect()) <= 0.02 * len(names)
+
+
 def test_secrets(docs, rows, empty):
     assign = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
     got = {r["doc_id"]: [tuple(s) for s in r["base"]] for r in secret_scan.scan(docs).collect()}
@@ -177,6 +201,29 @@ def test_quality(docs, rows, brute, empty):
     assert quality.quality_verdicts(empty).count() == 0
 
 
+def test_sketch_quantiles(spark):
+    values = np.random.default_rng(7).lognormal(1, 1, 4000)
+    table = spark.createDataFrame([(i % 2, float(v)) for i, v in enumerate(values)], "part int, x double")
+    parts = quality.quantile_sketch(table, ["part"], ["x"])
+    merged = quality.sketch_quantiles(quality.merge_sketches(parts, []), [], (0.25, 0.5, 0.9)).first()
+    assert merged["count"] == 4000
+    for i, share in enumerate((0.25, 0.5, 0.9)):
+        assert abs(merged[f"q{i}"] / np.quantile(values, share, method="inverted_cdf") - 1) <= 0.011
+
+
+def test_quality_follows_each_group(spark):
+    rng, rows = np.random.default_rng(8), []
+    word = lambda n: "".join(rng.choice(list("abcdefghij"), int(n)))
+    for source, spread in (("narrow", (5, 7)), ("wide", (1, 24))):
+        for _ in range(120):
+            size = rng.integers(*spread)
+            rows.append((len(rows), " ".join(word(size) for _ in range(40)), "aa", source))
+    twin = " ".join(word(16) for _ in range(40))
+    rows += [(9001, twin, "aa", "narrow"), (9002, twin, "aa", "wide")]
+    got = {r["doc_id"]: r["kept"] for r in quality.quality_verdicts(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert not got[9001] and got[9002]
+
+
 def test_quality_planted_outliers(spark):
     rng, rows, bad, n = np.random.default_rng(4), [], {}, 0
     line = lambda: " ".join("abcdefgh"[int(k) % 3 : int(k)] + f"{rng.integers(100):02}" for k in rng.integers(4, 8, 5))
@@ -318,6 +365,30 @@ CachedEncoder_ = CachedEncoder(PATH, 500)
 
 
 def test_extra_columns(docs):
-    named = docs.selectExpr("*", "1 as n_lines", "'x' as kept", "0 as score2", "'q' as lang_pred")
-    assert line_dedup.dedup_lines(named).count() == suffix_dedup.cut_repeats(named).count() == language_id.identify(named, None).count() == docs.count()
-    assert quality.quality_verdicts(named).count() == docs.count() and pa.array([1])
+    inner = "_id _doc _lines _at _copies id doc lines at parts copies copy k h f lang_pred score2 n_lines kept".split()
+    named = docs.selectExpr("*", *[f"'{c}' AS {c}" for c in inner])
+    n = docs.count()
+    assert line_dedup.dedup_lines(named).count() == suffix_dedup.cut_repeats(named).count() == language_id.identify(named, None).count() == n
+    assert quality.quality_verdicts(named).count() == n
+    assert jaccard_join.one_of_each_group(named).columns == source_mix.mixed_documents(named).columns == named.columns
+    assert jaccard_join.one_of_each_group(named).count() < n
+    assert {r["at"] for r in line_dedup.dedup_lines(named).collect()} == {"at"}
+
+
+def test_index_rebuilds_full_filters(spark):
+    batch = lambda first, n: spark.range(first, first + n).selectExpr("id AS doc_id", "concat('some long line ', id) AS text")
+    index = line_dedup.LineIndex(spark, shards=2).insert(batch(0, 40))[1].saved()
+    index = index.insert(batch(1000, 3000))[1].saved()  # far beyond the first tables
+    assert index.filters.where("table IS NULL").isEmpty() and index.filters.count() == 2
+    again = batch(0, 40).unionByName(batch(1000, 3000)).selectExpr("doc_id + 100000 AS doc_id", "text")
+    verdicts, _ = index.insert(again)
+    assert verdicts.count() == 3040
+    index = index.delete(batch(1000, 3000))
+    assert index.insert(again)[0].count() == 40
+
+
+def test_chain_grows():
+    chain = line_dedup.FilterChain(line_dedup.CuckooFilter(16))
+    keys = np.random.default_rng(9).integers(0, 1 << 63, 5000, dtype=np.uint64)
+    met = np.concatenate([chain.meet(keys[at : at + 100]) for at in range(0, 5000, 100)])
+    assert met.mean() < 0.01 and chain.meet(keys).all() and len(chain.filters) > 2

@@ -1,0 +1,137 @@
+"""Every numbered query over the smallest tables: its contract's columns by plain Python, or by its SQL."""
+
+from __future__ import annotations
+
+import hashlib
+import re
+import zlib
+from collections import Counter
+
+import duckdb
+import numpy as np
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer
+
+from quarrylane.llm import queries
+
+SF = "/root/testdata/sf0.001"
+TOKENIZER = Tokenizer.from_file(str(public_tokenizers.path("word_bpe_49k.json")))
+ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+
+
+@pytest.fixture(scope="module")
+def table(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet").collect()
+
+
+def rows(spark, name):
+    return queries.queries()[name](spark, SF).collect()
+
+
+def sha(data):
+    return hashlib.sha256(data).hexdigest()
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_sql(spark, name):
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    want = con.sql(queries.oracle_sql()[name])
+    names = want.columns
+    assert sorted(want.fetchall()) == sorted(tuple(r[c] for c in names) for r in rows(spark, name))
+
+
+def test_op1(spark, table):
+    got = rows(spark, "op1_source_mix")
+    size = {r["doc_id"]: len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "")) for r in table}
+    assert {r["doc_id"]: r["size"] for r in got} == size
+    source, taken = {r["doc_id"]: r["source"] for r in table}, Counter()
+    for r in got:
+        taken[source[r["doc_id"]]] += r["taken"]
+        assert r["taken"] <= 3 * r["size"]
+    for r in got:
+        assert abs(taken[source[r["doc_id"]]] - r["target"]) <= max(30, 0.02 * r["target"])
+
+
+def test_op3_held_out(spark, table):
+    got, lang = rows(spark, "op3_language_id"), {r["doc_id"]: r["lang"] for r in table}
+    assert {r["doc_id"]: r["held_out"] for r in got} == {i: zlib.crc32(str(i).encode()) % 4 == 2 for i in lang}
+    unseen = [r for r in got if r["held_out"] and lang[r["doc_id"]] and r["lang_pred"] != "und"]
+    assert len(unseen) > 20 and sum(r["lang_pred"] == lang[r["doc_id"]] for r in unseen) >= 0.95 * len(unseen)
+    assert all(0 <= r["score"] <= 1 for r in got)
+
+
+def test_op4(spark):
+    data = {r["vec_id"]: r["embedding"] for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()}
+    data = {i: np.array(v, float) for i, v in data.items() if v is not None and None not in v and np.isfinite(v).all() and np.any(v)}
+    got, found, wanted = rows(spark, "op4_neighbours"), 0, 0
+    ids = np.array(sorted(data))
+    x = np.stack([data[i] for i in ids])
+    for q in (i for i in data if i % 100 == 0):
+        d = np.sqrt(((x - data[q]) ** 2).sum(axis=1))
+        best = [i for i in ids[np.lexsort((ids, d))] if i != q][:10]
+        mine = sorted((r["rank"], r["vec_id"], r["score"]) for r in got if r["query_id"] == q)
+        assert [m[0] for m in mine] == list(range(1, 11))
+        assert np.allclose([m[2] for m in mine], [np.linalg.norm(data[m[1]] - data[q]) for m in mine], rtol=1e-12)
+        found, wanted = found + len(set(best) & {m[1] for m in mine}), wanted + 10
+    assert found >= 0.9 * wanted
+
+
+def test_op5(spark, table):
+    text = {r["doc_id"]: r["text"] or "" for r in table}
+    for r in rows(spark, "op5_secret_scan"):
+        t, kinds = text[r["doc_id"]], ("assign", "access", "hex", "random")
+        base = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(t) if len(m[2]) >= 6]
+        base += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+        base += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
+        named = ",".join(f"{kinds[k]}:{a}:{b}" for a, k, b in sorted(base))
+        assert [r[f"n_{k}"] for k in kinds[:3]] == [sum(s[1] == k for s in base) for k in range(3)]
+        assert r["base_sha256"] == sha(named.encode())
+        spans = [s for s in r["spans"].split(",") if s]
+        assert [s for s in spans if not s.startswith("random")] == [s for s in named.split(",") if s]
+        places = [(int(s.split(":")[1]), kinds.index(s.split(":")[0])) for s in spans]
+        assert places == sorted(places)
+
+
+def test_op6(spark, table):
+    text = {r["doc_id"]: r["text"] or "" for r in table}
+    for r in rows(spark, "op6_quality"):
+        words = re.findall(r"[^\x20\x09-\x0D]+", text[r["doc_id"]])
+        c = Counter(tuple(words[k : k + 8]) for k in range(len(words) - 7))
+        covered = {j for k in range(len(words) - 7) if c[tuple(words[k : k + 8])] > 1 for j in range(k, k + 8)}
+        assert (r["n_words"], r["n_repeat_words"]) == (len(words), len(covered))
+        assert r["base_failed"] == (len(words) < 20 or 100 * len(covered) > 30 * len(words))
+        assert not (r["base_failed"] and r["kept"])
+
+
+def test_op7(spark, table):
+    got, seen = {r["doc_id"]: r for r in rows(spark, "op7_suffix_dedup")}, set()
+    for i, text in sorted((r["doc_id"], r["text"] or "") for r in table):
+        b = text.encode()
+        cover = np.zeros(len(b) + 1, bool)
+        for p in range(len(b) - 99):
+            if b[p : p + 100] in seen:
+                cover[p : p + 100] = True
+            seen.add(b[p : p + 100])
+        runs = int((cover[:-1] & ~np.concatenate([[False], cover[:-2]])).sum()) if b else 0
+        kept = np.frombuffer(b, np.uint8)[~cover[:-1]].tobytes()
+        assert tuple(got[i]) == (i, len(b), int(cover.sum()), runs, sha(kept))
+
+
+def test_op8_op10(spark, table):
+    at, ids = 0, {r["doc_id"]: TOKENIZER.encode(r["text"] or "", add_special_tokens=False).ids for r in table}
+    got = {r["doc_id"]: r for r in rows(spark, "op8_token_files")}
+    for i in sorted(ids):
+        e = np.array([*ids[i], 1], "<u4")
+        assert tuple(got[i]) == (i, at, len(e), zlib.crc32(e.tobytes()))
+        at += len(e)
+    pieces = {}
+    for r in rows(spark, "op10_packing"):
+        pieces.setdefault(r["doc_id"], []).append((r["start"], r["length"], r["ids_crc32"], r["doc_tokens"]))
+    for i in ids:
+        e, at = np.array([*ids[i], 2], "<u4"), 0
+        for start, n, crc, total in sorted(pieces[i]):
+            assert (start, total, crc) == (at, len(e), zlib.crc32(e[at : at + n].tobytes()))
+            at += n
+        assert at == len(e)
