@@ -111,7 +111,7 @@ def sketch_quantiles(sketch: DataFrame, keys: Sequence[str], shares: Sequence[fl
     return s.groupBy(*keys, "metric").agg(F.first("count").alias("count"), *picks)
 
 
-def quality_verdicts(docs: DataFrame, least_group: int = 200, fence: float = 4.0, least_words: int = 20, max_repeat: int = 30) -> DataFrame:
+def quality_verdicts(docs: DataFrame, least_group: int = 50, fence: float = 4.0, least_words: int = 20, max_repeat: int = 30) -> DataFrame:
     """doc_id, lang, source, the counts, base_failed and kept.
 
     A document fails the base rules with fewer than ``least_words`` words or more than ``max_repeat`` percent of its
