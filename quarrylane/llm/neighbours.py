@@ -85,17 +85,20 @@ class NeighbourGraph:
         the logarithm of the number of vectors. Distances in the graph are of doubles, so that close
         copies keep their order. A range of a projection holds 2 * ``block`` rows or more, whatever the shuffle partitions.
 
-        Rows whose id or vector is null, zero or holds a null or non-finite component take no part; all others need one
-        dimension. Equal vectors share a node. An empty table gives an empty graph."""
+        Rows whose id or vector is null, zero or holds a null or non-finite component take no part, nor do vectors of
+        another dimension than most have (of equally many the larger one), to which no distance is defined. Equal
+        vectors share a node. An empty table gives an empty graph."""
         spark = table.sparkSession
         n_parts = shuffle_parts(spark)
         vectors = staged(usable_vectors(table, id_col, vector_col), "nn-vectors")
+        sizes = vectors.groupBy(F.length("full").alias("bytes")).agg(F.count("*").alias("n"))
+        stats = sizes.orderBy(F.desc("n"), F.desc("bytes")).first() or {"n": 0, "bytes": 8}
+        vectors = vectors.where(F.length("full") == stats["bytes"])
         keyed = vectors.select("vec_id", F.xxhash64("full").alias("k1"), F.xxhash64(F.lit(1), "full").alias("k2"))
         nodes = keyed.groupBy("k1", "k2").agg(F.min("vec_id").alias("id"))
         members = staged(keyed.join(nodes, ["k1", "k2"]).select("vec_id", "id"), "nn-members")
         own = members.where("vec_id = id").select("id").distinct()
-        stats = vectors.agg(F.count("*").alias("n"), F.max(F.length("full")).alias("bytes")).first()
-        dim = max(1, (stats["bytes"] or 8) // 8)
+        dim = stats["bytes"] // 8
         rng = np.random.default_rng(5)
         directions = rng.normal(size=(dim, 2))
 
