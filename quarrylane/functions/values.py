@@ -9,7 +9,12 @@ from pyspark.sql import functions as F
 INN_10 = (2, 4, 10, 3, 5, 9, 4, 6, 8)
 INN_11 = (7, 2, 4, 10, 3, 5, 9, 4, 6, 8)
 INN_12 = (3, 7, 2, 4, 10, 3, 5, 9, 4, 6, 8)
-CURRENCY = {"₽": "RUB", "руб": "RUB", "$": "USD", "€": "EUR", "¥": "CNY", "£": "GBP"}
+# Names and signs of currencies, and what units of weight look like.
+CURRENCY = {
+    "RUB": ("RUB", "РУБ", "Р", "₽", "РУБЛЬ", "РУБЛЕЙ", "RUR"), "EUR": ("EUR", "ЕВРО", "€"), "USD": ("USD", "ДОЛЛ", "ДОЛЛАР", "$", "US$"), "CNY": ("CNY", "ЮАНЬ", "¥", "RMB"), "GBP": ("GBP", "£"),
+    "KZT": ("KZT", "ТЕНГЕ", "₸"),
+}
+TONNES, GRAMS, KILOS = "^(т|тн|tonne|tonnes|ton|tons|t)$", "^(г|гр|g|gr|gram|grams)$", "^(кг|kg|kgs|kilogram|kilograms|kilo)$"
 
 
 def digits_of(x: Column) -> Column:
@@ -41,8 +46,11 @@ def parse_number(x: Column) -> Column:
 
 
 def weight_kg(value: Column, unit: Column) -> Column:
-    u = F.lower(F.coalesce(unit, F.lit("kg")))
-    kg = F.when(u.isin("t", "т"), value * 1000).when(u.isin("g", "г"), value / 1000).when(u.isin("kg", "кг", ""), value)
+    """A weight in kilograms, to a gram; the unit may stand behind the value. Null for units that aren't weights."""
+    raw = value.cast("string")
+    u = F.coalesce(F.nullif(F.trim(unit), F.lit("")), F.regexp_extract(raw, "([a-zA-Zа-яА-Я]+)\\s*$", 1))
+    n = parse_number(raw)
+    kg = F.when(u.rlike("(?iu)" + TONNES), n * 1000).when(u.rlike("(?iu)" + GRAMS), n / 1000).when(u.rlike("(?iu)" + KILOS) | (u == ""), n)
     return F.floor(kg * 1000 + 0.5) / 1000
 
 
@@ -52,9 +60,11 @@ def hs_code(x: Column) -> Column:
 
 
 def currency(x: Column) -> Column:
-    out = F.when(F.upper(F.trim(x)).rlike("^[A-Z]{3}$"), F.upper(F.trim(x)))
-    for sign, code in reversed(CURRENCY.items()):
-        out = F.when(F.contains(F.lower(x), F.lit(sign)), F.lit(code)).otherwise(out)
+    """A currency's code from its code, sign or name; other words of three Latin letters are taken as codes."""
+    key = F.regexp_replace(F.upper(F.trim(x)), r"\.$", "")
+    out = F.when(key.rlike("^[A-Z]{3}$"), key)
+    for code, names in CURRENCY.items():
+        out = F.when(key.isin(*names), F.lit(code)).otherwise(out)
     return out
 
 

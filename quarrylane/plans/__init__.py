@@ -1,4 +1,4 @@
 """Queries over the test tables."""
 
 from . import queries  # noqa: F401
-from . import document_queries  # noqa: F401
+from . import document_queries, extract_queries  # noqa: F401

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import checks as ck
+from ..functions import fields as fd
 from ..functions import values as vl
 from ..operators import tables
 from ..sources.views import items, jobs, table
@@ -139,7 +140,7 @@ def type_set_match(spark, sf):
 @query("SELECT o_orderkey, strftime(o_orderdate, '20%y-%m-%d') AS day FROM orders")
 def find_date(spark, sf):
     text = F.concat(F.lit("Invoice 7 of "), F.date_format("o_orderdate", "d.M.yy"), F.lit(" paid"))
-    return table(spark, sf, "orders").select("o_orderkey", ck.find_date(text).alias("day"))
+    return table(spark, sf, "orders").select("o_orderkey", fd.find_date(text).alias("day"))
 
 
 @query("SELECT c_custkey, CASE WHEN c_custkey % 5 > 0 THEN translate('A' || lpad((c_custkey % 1000)::VARCHAR, 3, '0') || 'BC' || '77', 'ABC', 'АВС') END AS plate FROM customer")
@@ -179,4 +180,4 @@ def format_kind(spark, sf):
 @query("SELECT 'USD' AS code, 81.25::DOUBLE AS rate UNION ALL SELECT 'JPY', 0.5::DOUBLE")
 def fx_feed(spark, sf):
     xml = "<ValCurs Date='01.02.2026'><Valute><CharCode>USD</CharCode><Nominal>1</Nominal><Value>81,25</Value></Valute><Valute><CharCode>JPY</CharCode><Nominal>100</Nominal><Value>50,0</Value></Valute><Valute><CharCode>EUR</CharCode><Nominal>1</Nominal></Valute></ValCurs>"
-    return spark.range(1).select(F.explode(ck.fx_feed(F.lit(xml))).alias("r")).select("r.*")
+    return spark.range(1).select(F.explode(ck.fx_feed(F.lit(xml))).alias("r")).select("r.code", "r.rate")
