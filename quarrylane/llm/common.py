@@ -193,13 +193,13 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, label): label is the smallest id that links reach. Ids without an edge aren't returned.
 
-    Alternating large-star and small-star: every step is a grouped minimum and a join, and the edges stay as many as at
-    the start. Large-stars have plain exchanges on both sides of their join, so that adaptive execution can split a
-    vertex with many neighbours. Two rounds are written at a time: fewer files, and fewer plans for the driver to keep."""
+    Alternating large-star and small-star: every step is a grouped minimum, combined before the shuffle, and a join, and
+    the edges stay as many as at the start. The edges of one vertex share a join key (rows of two numbers, streamed past
+    one another, never held together)."""
     edges = staged(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b").distinct(), "edges")
     before = None
-    for _ in range(30):
-        edges = staged(_star(_star(_star(_star(edges, True), False), True), False), "star")
+    for _ in range(60):
+        edges = staged(_star(_star(edges, True), False), "star")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if now == before:
             break
