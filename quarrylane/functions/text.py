@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -49,16 +51,64 @@ def js_round(x: Column, digits: int) -> Column:
     return F.floor(x * 10**digits + 0.5) / 10**digits
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), lambda x: body(x)), F.lit(0))
+
+
 def decode_entities(text: Column) -> Column:
-    """Named entities and the common numeric ones; the ampersand last, so nothing is decoded twice."""
-    for name, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&amp;", "&")):
+    """Named and numeric entities, the ampersand last, so nothing is decoded twice. Numbers that are no code points go."""
+    for name, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'")):
         text = F.replace(text, F.lit(name), F.lit(char))
-    return text
+    numeric = "&#([0-9]+|x[0-9a-fA-F]+);"
+
+    def character(code: Column) -> Column:
+        hexa = F.startswith(code, F.lit("x"))
+        n = F.when(F.length(code) > 8, F.lit(-1)).otherwise(F.when(hexa, F.conv(F.substring(code, 2, 8), 16, 10)).otherwise(code).cast("long"))
+        utf32 = F.lpad(F.hex(n), 8, "0")
+        return F.when(n.between(1, 0xD7FF) | n.between(0xE000, 0x10FFFF), F.decode(F.unhex(utf32), "UTF-32")).otherwise("")
+
+    def numbers(t: Column) -> Column:
+        codes = F.transform(F.regexp_extract_all(t, F.lit(numeric), F.lit(1)), character)
+        parts = F.zip_with(F.split(t, numeric, -1), codes, lambda part, c: F.concat(part, F.coalesce(c, F.lit(""))))
+        return F.when(F.contains(t, F.lit("&#")), F.array_join(parts, "")).otherwise(t)
+
+    return F.replace(let(text, numbers), F.lit("&amp;"), F.lit("&"))
+
+
+def _table_to_markdown(body: Column) -> Column:
+    """The rows of a table's inner HTML as a Markdown table: the first is the header, all are padded to the widest."""
+    plain = lambda x: F.regexp_replace(F.regexp_replace(F.regexp_replace(x, r"(?i)<br\s*/?>", " "), r"(?i)</(p|div|li|tr)>", " "), "<[^>]+>", "")
+    cell = lambda x: F.replace(F.trim(F.regexp_replace(decode_entities(plain(x)), r"(?U)\s+", " ")), F.lit("|"), F.lit("\\|"))
+    rows = F.transform(F.regexp_extract_all(body, F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr>"), F.lit(1)), lambda r: F.transform(F.regexp_extract_all(r, F.lit(r"(?is)<t[dh]\b[^>]*>(.*?)</t[dh]>"), F.lit(1)), cell))
+
+    def table(rows: Column, wide: Column) -> Column:
+        line = lambda r: F.concat(F.lit("| "), F.array_join(F.concat(r, F.array_repeat(F.lit(""), wide - F.size(r))), " | "), F.lit(" |"))
+        ruler = F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), wide), " | "), F.lit(" |"))
+        # Behind the first line, the header, comes the ruler.
+        return F.array_join(F.flatten(F.transform(rows, lambda r, i: F.when(i == 0, F.array(line(r), ruler)).otherwise(F.array(line(r))))), "\n")
+
+    widest = lambda rows: F.array_max(F.transform(rows, lambda r: F.size(r)))
+    made = let(F.filter(rows, lambda r: F.size(r) > 0), lambda rows: let(widest(rows), lambda wide: table(rows, wide)))
+    return F.concat(F.lit("\n\n"), F.coalesce(made, F.lit("")), F.lit("\n\n"))
+
+
+def tables_to_markdown(html: Column, depth: int = 3) -> Column:
+    """HTML tables as Markdown, innermost first, ``depth`` levels deep."""
+    inner = r"(?is)<table\b[^>]*>((?:(?!<table\b).)*?)</table>"
+
+    def once(h: Column) -> Column:
+        bodies = F.transform(F.regexp_extract_all(h, F.lit(inner), F.lit(1)), _table_to_markdown)
+        parts = F.zip_with(F.split(h, inner, -1), bodies, lambda part, table: F.concat(part, F.coalesce(table, F.lit(""))))
+        return F.when(h.rlike(inner), F.array_join(parts, "")).otherwise(h)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(depth)), html, lambda h, _: once(h))
 
 
 def html_to_markdown(html: Column) -> Column:
-    """Headings, list items and line breaks of a page as Markdown; all other tags go. Tables go with their tags."""
+    """Tables, headings, list items and line breaks of a page as Markdown; all other tags go."""
     t = F.regexp_replace(html, r"(?is)<img[^>]*>|<!--.*?-->", "")
+    t = let(t, lambda x: F.when(x.rlike(r"(?i)<table\b"), tables_to_markdown(x)).otherwise(x))
     for level in range(1, 7):
         t = F.regexp_replace(t, rf"(?is)<h{level}[^>]*>(.*?)</h{level}>", "\n" + "#" * level + " $1\n")
     t = F.regexp_replace(t, r"(?is)<li[^>]*>(.*?)</li>", "- $1\n")
@@ -83,7 +133,7 @@ def is_refusal(text: Column) -> Column:
 
 def pdf_text_quality(text: Column) -> Column:
     """0 to 1: how much a text layer looks like a document's text."""
-    t = F.trim(text)
+    t = F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
     n = F.length(t)
     letters = F.length(F.regexp_replace(t, r"[^\p{L}]", ""))
     russian = F.length(F.regexp_replace(t, "[^А-Яа-яЁё]", ""))
@@ -124,6 +174,26 @@ def truncated_json(text: Column) -> Column:
     return (opens > 0) & (closes < opens)
 
 
+def chunks(text: Column, most_chars: int = 12_000, most_rows: int = 30) -> Column:
+    """A text in chunks of whole lines: a chunk ends at ``most_rows`` table rows or ``most_chars`` characters (line ends
+    included); a longer line is cut by itself. A fold over the lines of one text."""
+    state = "struct<done:array<string>,held:array<string>,chars:int,rows:int>"
+    none = F.expr("CAST(array() AS array<string>)")
+    st = lambda d, h, c, r: F.struct(d.alias("done"), h.alias("held"), c.cast("int").alias("chars"), r.cast("int").alias("rows")).cast(state)
+    flushed = lambda d, h: F.when(F.size(h) > 0, F.array_append(d, F.array_join(h, "\n"))).otherwise(d)
+    is_row = lambda x: (F.length(F.trim(x)) > 0) & (F.length(x) - F.length(F.regexp_replace(x, r"[,\t;|]", "")) >= 2)
+
+    def step(s: Column, x: Column) -> Column:
+        pieces = F.transform(F.sequence(F.lit(0), F.floor((F.length(x) - 1) / most_chars).cast("int")), lambda i: F.substring(x, i * most_chars + 1, F.lit(most_chars)))
+        long_ = F.length(x) + 1 > most_chars
+        held, size, rows = F.array_append(s["held"], x), s["chars"] + F.length(x) + 1, s["rows"] + is_row(x).cast("int")
+        full = (rows >= most_rows) | (size >= most_chars)
+        return F.when(long_, st(F.concat(flushed(s["done"], s["held"]), pieces), none, F.lit(0), F.lit(0))).when(full, st(flushed(s["done"], held), none, F.lit(0), F.lit(0))).otherwise(st(s["done"], held, size, rows))
+
+    end = F.aggregate(F.split(text, "\n", -1), st(none, none, F.lit(0), F.lit(0)), step)
+    return flushed(end["done"], end["held"])
+
+
 def head_tail(text: Column, head: int = 4000, tail: int = 2000, marker: str = "\n...\n") -> Column:
     return F.when(F.length(text) <= head + tail, text).otherwise(F.concat(F.substring(text, 1, head), F.lit(marker), F.right(text, F.lit(tail))))
 

@@ -2,10 +2,39 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+# The rules that apply where an organisation has none of its own: type, pattern, weight.
+RULES = [
+    ("UPD", r"универсальный\s+передаточный\s+документ|(?<![а-яёa-z])упд(?![а-яёa-z])", 1.0),
+    ("CMR", r"\bCMR\b|международная\s+товарно-транспортная", 1.0),
+    ("TTN", r"транспортная\s+накладная|товарно-транспортная\s+накладная|(?<![а-яёa-z])ттн(?![а-яёa-z])", 1.0),
+    ("factInvoice", r"счет-фактура|счёт-фактура", 1.0),
+    ("AKT", r"(?<![а-яёa-z])акт(?![а-яёa-z])\s+(оказанных|выполненных|сдачи)|акт\s+об\s+оказании", 0.95),
+    ("invoice", r"сч[её]т\s+на\s+оплату|сч[её]т\s+№", 0.9),
+    ("invoice", r"сч[её]т", 0.6),
+    ("waybill", r"путевой\s+лист|форма\s+4-С|форма\s+4-П|форма\s+ПЛ-1", 1.0),
+    ("transport_invoice", r"Постановлен[а-яА-Я]+\s+Правительства\s+РФ.{0,80}272|приложение\s+№\s*4\s+к\s+Правилам\s+перевозок\s+грузов|условия\s+перевозки.{0,500}стоимость\s+услуг\s+перевозки", 1.1),
+    ("transport_request", r"заявка\s+(?:№|на\s+перевозку|на\s+транспортные\s+услуги|на\s+автоперевозку|на\s+транспортно-экспедиционн)|заявка-договор\s+на\s+перевозку|заявка-договор\s*№|заявк[аи][^\n]{0,100}транспортно-экспедиционн|заявка\s+на\s+оказание\s+транспортн", 1.0),
+]
+
+
+def keyword_rules(slug: str, keywords: list[str], weights: list[float | None], default: float | None = None) -> list[tuple[str, str, float]]:
+    """Rules of a type's keywords: each has its own weight, else the type's, else 1; keywords that are no patterns are left
+    out."""
+    out = []
+    for k, w in zip(keywords, weights + [None] * len(keywords), strict=False):
+        try:
+            re.compile(k)
+        except re.error:
+            continue
+        out.append((slug, k, 1.0 if (w is None and default is None) else w if w is not None else default))
+    return out
+
 
 def classify(docs: DataFrame, rules: list[tuple[str, str, float]], head: int = 4000, title: int = 500) -> DataFrame:
     """id, slug, score, runner_up: each rule (slug, pattern, weight) that the first ``head`` characters match scores its
@@ -17,7 +46,7 @@ def classify(docs: DataFrame, rules: list[tuple[str, str, float]], head: int = 4
     for slug, pattern, weight in rules:
         p = "(?iu)" + pattern
         hit = F.regexp_extract(text, p, 0)
-        at = F.instr(F.lower(text), F.lower(hit))
+        at = F.regexp_instr(text, F.lit(p))
         found.append(F.when(text.rlike(p), F.struct((F.lit(weight) * F.when(at <= title, 1.5).otherwise(1.0)).alias("weight"), F.length(hit).alias("size"), F.lit(slug).alias("slug"))))
     hits = docs.select("id", F.explode(F.array_compact(F.array(*found))).alias("h")).select("id", "h.*")
     best = hits.groupBy("id", "slug").agg(F.max(F.struct("weight", "size")).alias("b")).select("id", "slug", "b.*")

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from ..functions import checks as ck
 from ..functions import fields as fd
 from ..functions import values as vl
-from ..operators import tables
+from ..functions import text as tx
+from ..operators import classify, evaluate, tables
 from ..sources.views import items, jobs, table
+from .extract_queries import pick, sql_pick
 from .queries import ITEMS, JOBS, _round, query
 
 
@@ -181,3 +183,45 @@ def format_kind(spark, sf):
 def fx_feed(spark, sf):
     xml = "<ValCurs Date='01.02.2026'><Valute><CharCode>USD</CharCode><Nominal>1</Nominal><Value>81,25</Value></Valute><Valute><CharCode>JPY</CharCode><Nominal>100</Nominal><Value>50,0</Value></Valute><Valute><CharCode>EUR</CharCode><Nominal>1</Nominal></Valute></ValCurs>"
     return spark.range(1).select(F.explode(ck.fx_feed(F.lit(xml))).alias("r")).select("r.code", "r.rate")
+
+
+_KINDS = ("string", "money", "percent", "date", "inn", "kpp", "account", "plate", "country", "integer", "number")
+_EXPECTED = ("«Acme», Ltd.", "1 200,50 руб.", "20 %", "01.02.2025", "77-01", "770101001", "4070 2810", "a 123-bc", " lv", "7.4", "12,345")
+_SAME = ("acme ltd", "1200.5 ₽", "0.2", "2025-02-01T10:00", "7701", "7701 01001", "40702810", "A123BC", "LV", "6,5", "12.349")
+_OTHER = ("acme", "1200.6", "0.18", "2025-02-02", "7702", "", "4070", "A124BC", "LT", "9", "12.4")
+_PATHS = ("name", "total_amount", "vat_rate", "doc_date", "seller.inn", "kpp", "bank_account", "vehicle.plate", "origin_country", "line_no", "weight_net")
+_GUESSED = ("string", "money", "percent", "date", "inn", "kpp", "account", "plate", "country", "string", "number")
+
+
+@query(f"""SELECT event_id AS id, CASE WHEN event_id % 3 = 0 THEN 'match' WHEN event_id % 3 = 1 THEN CASE WHEN event_id % 11 = 5 THEN 'missing' ELSE 'mismatch' END ELSE 'missing' END AS outcome, {sql_pick('event_id', _GUESSED)} AS guessed FROM events""")
+def comparators(spark, sf):
+    k = F.col("event_id")
+    actual = F.when(k % 3 == 0, pick(k, _SAME)).when(k % 3 == 1, pick(k, _OTHER))
+    return table(spark, sf, "events").select(k.alias("id"), evaluate.outcome(pick(k, _KINDS), pick(k, _EXPECTED), actual).alias("outcome"), evaluate.kind_of(pick(k, _PATHS)).alias("guessed"))
+
+
+@query("""SELECT page_id, 'x' || chr(10) || chr(10) || '| k | v' || page_id || ' |' || chr(10) || '| --- | --- |' || chr(10) || '| A & \\| é | |' || chr(10) || chr(10) || 'end' AS markdown FROM pages""".replace("\\\\", "\\"))
+def table_to_markdown(spark, sf):
+    html = F.concat(F.lit("x<table><tr><th>k</th><th> v"), F.col("page_id"), F.lit("</th></tr><tr><td>A &amp; |<br/>&#233;</td></tr></table>end"))
+    return table(spark, sf, "pages").select("page_id", F.regexp_replace(tx.html_to_markdown(html), " +", " ").alias("markdown"))
+
+
+@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM documents) SELECT doc_id, sum(CASE WHEN length(x) + 1 > 12000 THEN ceil(length(x) / 12000) ELSE 0 END)::BIGINT AS pieces FROM l GROUP BY 1 HAVING max(length(x)) >= 12000""")
+def long_line_pieces(spark, sf):
+    d = table(spark, sf, "documents").where(F.length("text") >= 12_000)
+    lines = d.select("doc_id", F.explode(F.split("text", "\n", -1)).alias("x")).where(F.length("x") >= 12_000)
+    return lines.groupBy("doc_id").agg(F.sum(F.size(tx.chunks(F.col("x")))).alias("pieces"))
+
+
+@query()
+def prompt_chunks(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", tx.chunks(F.col("text")).alias("c")).select("doc_id", F.size("c").alias("n"), F.length(F.element_at("c", -1)).alias("last_chars"))
+
+
+@query(f"""SELECT event_id AS id, {sql_pick('event_id', ('UPD', 'TTN', 'invoice', 'AKT', 'waybill', None, 'CMR'))} AS slug, round({sql_pick('event_id', (1.0, 1.0, 1.0, 0.95, 1.0, None, 1.0))}::DOUBLE, 6) AS score, {sql_pick('event_id', ('invoice', None, None, None, None, None, 'TTN'))} AS runner_up FROM events""")
+def classify_business_text(spark, sf):
+    far = " filler" * 100
+    texts = ("УПД № %s" + far + " счёт", "Транспортная накладная %s", "Счёт на оплату %s", far + " акт выполненных работ %s", "Путевой лист %s", "nothing %s", "CMR %s" + far + " ттн")
+    text = F.replace(pick(F.col("event_id"), texts), F.lit("%s"), F.col("event_id").cast("string"))
+    out = classify.classify(table(spark, sf, "events").select(F.col("event_id").alias("id"), text.alias("text")), classify.RULES)
+    return _round(out, "score")

@@ -215,7 +215,7 @@ def scrub_metadata(spark, sf):
 
 
 PII_TEXTS = ("паспорт 12 34 № %s", "вод. удостоверение: 12 34 %s.", "P<LVADOE<<JOHN", "AB%s<1LVA%s1M%s1<<<", "passport: AB %s!", "x %s-12345 y", "asmens kodas: %s.", "тел. +7 (912) 345-67-89", "mail a.b@c.org, ok")
-PII_CLEAN = ("паспорт [REDACTED]", "вод. удост [REDACTED].", "[REDACTED]", "[REDACTED]", "passport: [REDACTED]!", "x [REDACTED] y", "asmens kodas: [REDACTED].", "тел. [REDACTED]", "mail [REDACTED], ok")
+PII_CLEAN = ("паспорт [REDACTED]", "вод. удост [REDACTED].", "[REDACTED]", "[REDACTED]", "passport: AB [REDACTED]!", "x [REDACTED] y", "asmens kodas: [REDACTED].", "тел. [REDACTED]", "mail [REDACTED], ok")
 
 
 @query(f"SELECT c_custkey, {sql_pick('c_custkey', PII_CLEAN)} AS clean, '[REDACTED]' AS driver FROM customer")
