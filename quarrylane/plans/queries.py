@@ -89,8 +89,8 @@ def quota_check(spark, sf):
     log = usage_log(spark, sf)
     connectors = spark.createDataFrame([("purchase", True, 500), ("view", False, 500), ("click", True, None), ("error", True, 100)], "connector string, enabled boolean, daily_cap long")
     budgets = spark.range(20).select(F.col("id").alias("caller"), F.lit("purchase").alias("connector"), (50 * F.col("id")).alias("daily_budget"), (F.col("id") % 5 != 0).alias("budget_enabled"))
-    day = log.agg(F.max(F.to_date("started_at")).alias("d")).first()["d"]
-    return metrics.quota(log, connectors, budgets, F.lit(day)).withColumn("used", F.round("used", 4))
+    day = F.broadcast(log.agg(F.max(F.to_date("started_at")).alias("today")))  # one row
+    return metrics.quota(log.crossJoin(day), connectors, budgets, F.col("today")).withColumn("used", F.round("used", 4))
 
 
 @query(f"""{JOBS}, j AS (SELECT j.id, d.id AS source_id, d.created_at FROM jobs j JOIN jobs d ON d.status = 'done' AND j.owner = d.owner AND j.sha = d.sha AND d.created_at < j.created_at AND d.created_at > j.created_at - INTERVAL 240 HOURS)
@@ -102,8 +102,8 @@ def ttl_dedup(spark, sf):
 @query(f"{JOBS} SELECT id, created_at FROM jobs WHERE status = 'pending' AND created_at < (SELECT max(created_at) FROM jobs) - INTERVAL 30 MINUTES ORDER BY created_at, id LIMIT 50")
 def stale_pending(spark, sf):
     j = jobs(spark, sf)
-    last = j.agg(F.max("created_at").alias("t")).first()["t"]
-    return metrics.stale(j, "pending", F.lit(last) - F.expr("INTERVAL 30 MINUTES"), 50).select("id", F.col("created_at").cast("timestamp_ntz").alias("created_at"))
+    last = F.broadcast(j.agg(F.max("created_at").alias("last")))  # one row
+    return metrics.stale(j.crossJoin(last), "pending", F.col("last") - F.expr("INTERVAL 30 MINUTES"), 50).select("id", F.col("created_at").cast("timestamp_ntz").alias("created_at"))
 
 
 @query(f"{JOBS} SELECT id, status, doc_type FROM jobs WHERE status IN ('failed', 'done') AND doc_type IN ('1', '2') ORDER BY created_at DESC, id LIMIT 40 OFFSET 20")
@@ -114,8 +114,8 @@ def list_page_topk(spark, sf):
 @query(f"{JOBS} SELECT id, owner FROM jobs WHERE status IN ('done', 'failed') AND created_at < (SELECT max(created_at) FROM jobs) - INTERVAL 20 DAYS")
 def retention_candidates(spark, sf):
     j = jobs(spark, sf)
-    last = j.agg(F.max("created_at").alias("t")).first()["t"]
-    return j.where(F.col("status").isin("done", "failed") & (F.col("created_at") < F.lit(last) - F.expr("INTERVAL 20 DAYS"))).select("id", "owner")
+    last = F.broadcast(j.agg(F.max("created_at").alias("last")))  # one row
+    return j.where(F.col("status").isin("done", "failed")).crossJoin(last).where(F.col("created_at") < F.col("last") - F.expr("INTERVAL 20 DAYS")).select("id", "owner")
 
 
 @query(f"{JOBS} SELECT doc_type, id, status FROM jobs QUALIFY row_number() OVER (PARTITION BY doc_type ORDER BY created_at DESC, id DESC) = 1")
@@ -175,7 +175,12 @@ def head_tail_slice(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.sha2(tx.head_tail(F.col("text")).cast("binary"), 256).alias("sha"))
 
 
-@query()
+def _refused(pattern: str) -> str:
+    return "coalesce(list_sum(list_transform(regexp_extract_all(text, '(?i)" + pattern.replace("'", "''") + "'), lambda x: length(x))), 0)"
+
+
+@query(f"""WITH c AS (SELECT doc_id, length(text) AS n, ({' + '.join(_refused(p) for p in tx.REFUSAL_PATTERNS)}) AS hit FROM documents), d AS (SELECT *, CASE WHEN n > 0 THEN hit / n ELSE 0 END AS cover FROM c)
+ SELECT doc_id, round(cover::DOUBLE, 2) AS coverage, cover > 0 AND (n < 800 OR cover >= 0.3) AS refusal FROM d""")
 def ocr_refusal(spark, sf):
     d = table(spark, sf, "documents")
     return d.select("doc_id", F.round(tx.refusal_coverage(F.col("text")), 2).alias("coverage"), tx.is_refusal(F.col("text")).alias("refusal"))
@@ -186,12 +191,22 @@ def script_kind(spark, sf):
     return table(spark, sf, "documents").select("doc_id", tx.script_kind(F.col("text")).alias("script"))
 
 
-@query()
+@query(r"""WITH t AS (SELECT doc_id, length(text) AS n, list_filter(regexp_split_to_array(text, '[ \t\n\x0b\f\r]+'), lambda x: length(x) >= 3) AS w FROM documents)
+ SELECT doc_id, round(CASE WHEN n < 50 OR len(w) = 0 THEN 0 ELSE len(list_filter(w, lambda x: regexp_matches(x, '[A-Za-z]') AND regexp_matches(x, '[А-Яа-яЁё]'))) / len(w) END::DOUBLE, 6) AS ratio FROM t""")
 def garbled_ratio(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.round(tx.garbled_ratio(F.col("text")), 6).alias("ratio"))
 
 
-@query()
+_HTML = "regexp_replace(html, '(?is)<img[^>]*>|<!--.*?-->', '', 'g')"
+for _level in range(1, 7):
+    _HTML = f"regexp_replace({_HTML}, '(?is)<h{_level}[^>]*>(.*?)</h{_level}>', chr(10) || '{'#' * _level} \\1' || chr(10), 'g')"
+_HTML = f"regexp_replace(regexp_replace(regexp_replace({_HTML}, '(?is)<li[^>]*>(.*?)</li>', '- \\1' || chr(10), 'g'), '(?i)<br\\s*/?>|</p>', chr(10), 'g'), '<[^>]+>', '', 'g')"
+for _name, _char in (("&nbsp;", "' '"), ("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "chr(34)"), ("&#39;", "chr(39)"), ("&apos;", "chr(39)"), ("&amp;", "'&'")):
+    _HTML = f"replace({_HTML}, '{_name}', {_char})"
+_HTML = f"regexp_replace(regexp_replace(regexp_replace({_HTML}, '[ \\t]+\\n', chr(10), 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g')"
+
+
+@query(f"SELECT page_id, {_HTML} AS markdown FROM pages")  # the pages have no tables and no other numeric entities
 def html_to_markdown(spark, sf):
     return table(spark, sf, "pages").select("page_id", tx.html_to_markdown(F.col("html")).alias("markdown"))
 
@@ -264,22 +279,30 @@ def entity_link_exact(spark, sf):
 GRAMS = """g AS (SELECT k, nm, unnest(list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower(nm), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: ('  ' || w || ' ')[i:i + 2]))))) AS gram FROM ({src}) t)"""
 
 
-@query("WITH a AS (WITH " + GRAMS.format(src="SELECT p_partkey AS k, p_name AS nm FROM part WHERE p_partkey % 40 = 0") + " SELECT * FROM g), b AS (WITH " + GRAMS.format(src="SELECT p_partkey AS k, p_name AS nm FROM part") + """ SELECT * FROM g), na AS (SELECT k, count(*) AS n FROM a GROUP BY 1), nb AS (SELECT k, count(*) AS m FROM b GROUP BY 1),
- s AS (SELECT a.k AS id, b.k AS entry_id, b.nm, count(*) AS c FROM a JOIN b USING (gram) GROUP BY 1, 2, 3), t AS (SELECT id, entry_id, nm, c / (n + m - c) AS score FROM s JOIN na ON na.k = id JOIN nb ON nb.k = entry_id WHERE c / (n + m - c) >= 0.3)
- SELECT id, entry_id, round(score, 6) AS score, row_number() OVER (PARTITION BY id ORDER BY score DESC, nm, entry_id) AS rank FROM t QUALIFY rank <= 5""")
+def _similar(left: str) -> str:
+    """SQL of all pairs of distinct names (left: a subquery of them) and parts' names that are similar."""
+    names = "SELECT DISTINCT p_name AS k, p_name AS nm FROM part"
+    return "a AS (WITH " + GRAMS.format(src=left) + " SELECT * FROM g), b AS (WITH " + GRAMS.format(src=names) + """ SELECT * FROM g), na AS (SELECT k, count(*) AS n FROM a GROUP BY 1), nb AS (SELECT k, count(*) AS m FROM b GROUP BY 1),
+ s AS (SELECT a.k AS nm, b.k AS other, count(*) AS c FROM a JOIN b USING (gram) GROUP BY 1, 2), t AS (SELECT s.nm, other, c / (n + m - c) AS score FROM s JOIN na ON na.k = s.nm JOIN nb ON nb.k = other WHERE c / (n + m - c) >= 0.3),
+ e AS (SELECT p_name AS other, p_partkey AS entry_id FROM part QUALIFY row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) <= 5), r AS (SELECT nm, entry_id, score, row_number() OVER (PARTITION BY nm ORDER BY score DESC, other, entry_id) AS rank FROM t JOIN e USING (other) QUALIFY rank <= 5)"""
+
+
+FUZZY = "WITH " + _similar("SELECT DISTINCT p_name AS k, p_name AS nm FROM part") + " SELECT p_partkey AS id, entry_id, round(score, 6) AS score, rank FROM part JOIN r ON nm = p_name"
+
+
+@query(FUZZY)
 def fuzzy_match(spark, sf):
     entries = part_list(spark, sf)
-    wanted = entries.where("entry_id % 40 = 0").select(F.col("entry_id").alias("id"), F.col("display_name").alias("name"))  # the 40th items are the feature's input
-    return _round(resolve.fuzzy_match(wanted, entries), "score")
+    return _round(resolve.fuzzy_match(entries.select(F.col("entry_id").alias("id"), F.col("display_name").alias("name")), entries), "score")
 
 
-@query()
+@query(FUZZY)
 def fuzzy_match_all(spark, sf):
-    entries = part_list(spark, sf)
-    return _round(resolve.fuzzy_match(entries.select(F.col("entry_id").alias("id"), F.col("display_name").alias("name")), entries), "score")
+    return fuzzy_match(spark, sf)
 
 
-@query()
+@query("WITH " + _similar("SELECT DISTINCT p_name || ' x' AS k, p_name || ' x' AS nm FROM part") + """, f AS (SELECT p_name AS nm, min(p_partkey) AS entry_id FROM part GROUP BY 1), g AS (SELECT * FROM r WHERE rank = 1)
+ SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN p_partkey WHEN 1 THEN f.entry_id ELSE g.entry_id END AS entry_id, CASE p_partkey % 3 WHEN 0 THEN 'exact_code' WHEN 1 THEN 'exact_name' ELSE CASE WHEN g.entry_id IS NULL THEN 'not_found' ELSE 'fuzzy' END END AS method, round(CASE WHEN p_partkey % 3 < 2 THEN 1.0 ELSE score END::DOUBLE, 6) AS score FROM part LEFT JOIN f ON f.nm = p_name LEFT JOIN g ON g.nm = p_name || ' x'""")
 def item_match(spark, sf):
     p = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") % 3 == 0, F.col("p_partkey").cast("string")).alias("code"), F.when(F.col("p_partkey") % 3 == 1, F.col("p_name")).otherwise(F.concat(F.col("p_name"), F.lit(" x"))).alias("name"))
     return _round(resolve.match_items(p, part_list(spark, sf)), "score")
