@@ -249,3 +249,18 @@ def schema_leaves(schema: dict | None) -> int:
 
     props = (schema or {}).get("properties")
     return sum(count(d, 0) for d in props.values()) if isinstance(props, dict) else 0
+
+
+def strip_party(place: Column, party: Column) -> Column:
+    """A place without the name of a party that stands in it (with or without its legal form) and without what is left at
+    the edges; the place itself if nothing meaningful would be left."""
+    form = r"^(?:(?:ООО|АО|ЗАО|ОАО|ПАО|НАО|ИП|LLC|Ltd|GmbH|SIA|UAB)\.?\s+)+"
+    bare = F.trim(F.regexp_replace(F.regexp_replace(party, "[«»\"“”']", ""), "(?iu)" + form, ""))
+    clean = F.regexp_replace(place, "[«»\"“”']", "")
+    at = F.instr(F.lower(clean), F.lower(bare))
+    rest = F.concat(F.substring(clean, F.lit(1), at - 1), F.lit(" "), F.substring(clean, at + F.length(bare), F.lit(1 << 30)))
+    edges = lambda x: F.regexp_replace(x, r"(?U)^[\s,;:.\-–—]+|[\s,;:\-–—]+$", "")
+    left = F.regexp_replace(edges(F.regexp_replace(edges(rest), "(?iu)" + form, "")), r"(?iuU)[\s,]+(?:ООО|АО|ЗАО|ОАО|ПАО|НАО|ИП|LLC|SIA|UAB)$", "")
+    left = F.regexp_replace(left, r"(?iuU)^(?:ООО|АО|ЗАО|ОАО|ПАО|НАО|ИП|LLC|SIA|UAB)[\s,]+", "")
+    left = F.regexp_replace(edges(left), r"(?U)\s+", " ")
+    return F.when((F.length(bare) >= 3) & (at > 0) & (F.length(left) >= 3), left).otherwise(place)

@@ -1,4 +1,4 @@
 """Queries over the test tables."""
 
 from . import queries  # noqa: F401
-from . import classify_queries, document_queries, extract_queries  # noqa: F401
+from . import classify_queries, document_queries, extract_queries, workbook_queries  # noqa: F401
