@@ -1,4 +1,9 @@
-"""From raw documents to packed training sequences: five stages, each written as Parquet and read again."""
+"""From raw documents to packed training sequences: five stages, each written as Parquet and read again.
+
+Null texts and texts without a letter go in the first stage, so later ones see neither. Rows that repeat a doc_id are one
+document: they lose the same lines, stay or go together and are mixed together. Rows without doc_id keep their lines and
+stay in the near-duplicate stage. An empty table gives an empty result in every stage. Other columns pass through to the
+last stage, whatever their names."""
 
 from __future__ import annotations
 
@@ -17,7 +22,8 @@ def _columns(out: DataFrame, docs: DataFrame) -> DataFrame:
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learns from the rows with a language and drops documents in none: those without any letter. ``lang`` stays as it
-    came where it came, and is the prediction elsewhere: null where no row has a language to learn from."""
+    came where it came, and is the prediction elsewhere: null where no row has a language to learn from. A table without a ``lang`` column isn't
+    one of documents."""
     model = language_id.train(docs)
     if model is None:
         return _columns(language_id.with_letter(docs), docs)
