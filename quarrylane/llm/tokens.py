@@ -29,7 +29,7 @@ class CachedEncoder:
     that Python would split elsewhere go through the library whole; chunks are lower-cased beforehand, so that one entry
     serves both cases, only in texts whose every character Python and the library lower alike."""
 
-    def __init__(self, path: str, limit: int = 200_000):
+    def __init__(self, path: str, limit: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -67,23 +67,31 @@ class CachedEncoder:
     def encode_batch(self, texts: Sequence[str | None]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers; null and empty texts have none."""
         split = [None if t and any(c in t for c in _ODD) else self._chunks(t or "") for t in texts]
-        wanted = set().union(*(x for x in split if x))
-        new = wanted.difference(self.cache)
+        found = [x and list(map(self.cache.get, x)) for x in split]
+        gaps = [i for i, x in enumerate(found) if x and None in x]
+        if gaps:
+            cache = self._with({c for i in gaps for c, x in zip(split[i], found[i], strict=True) if x is None})
+            for i in gaps:
+                found[i] = [x or cache[c] for c, x in zip(split[i], found[i], strict=True)]
+        return [self._whole(t) if x is None else b"".join(x) for t, x in zip(texts, found, strict=True)]
+
+    def _with(self, new: set[str]) -> dict[str, bytes]:
+        """The cache with the chunks that it lacks."""
         if len(self.cache) + len(new) > self.limit // 2:
-            self.cache, self.older, new = {}, self.cache, wanted
+            self.cache, self.older = {}, self.cache
         met = new & self.older.keys()
         self.cache.update(zip(met, map(self.older.__getitem__, met), strict=True))
-        new = list(new - met)
+        new -= met
         if self.plain:
             words = [c for c in new if _LETTERS.fullmatch(c) and c == c.lower()]
             self.cache.update(zip(words, map(self._word, words), strict=True))
-            new = [c for c in new if c not in self.cache]
-        for at in range(0, len(new), 5000):
-            part = new[at : at + 5000]
+            new.difference_update(words)
+        rest = list(new)
+        for at in range(0, len(rest), 5000):
+            part = rest[at : at + 5000]
             for chunk, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 self.cache[chunk] = np.array(e.ids, "<u4").tobytes()
-        get = self.cache.__getitem__
-        return [self._whole(t) if x is None else b"".join(map(get, x)) for t, x in zip(texts, split, strict=True)]
+        return self.cache
 
 
 _encoders: dict[str, CachedEncoder] = {}
