@@ -9,6 +9,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -208,3 +209,60 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         raise RuntimeError("components still change after 60 rounds")
     roots = edges.select(F.col("b").alias("id"), F.col("b").alias("label")).distinct()
     return edges.select(F.col("a").alias("id"), F.col("b").alias("label")).unionByName(roots)
+
+
+# ---- vectors ------------------------------------------------------------------------------------------------------
+
+
+def finite_vectors(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row numbers, matrix of doubles) for each dimension in a list column: rows whose vector is there, isn't empty and
+    holds finite numbers alone."""
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = column.flatten()
+    values = flat.cast(pa.float64()).fill_null(np.nan).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes)
+    bad = np.concatenate([[0], np.cumsum(~np.isfinite(values))])
+    usable = (sizes > 0) & (bad[ends] == bad[ends - sizes])
+    for dim in np.unique(sizes[usable]).tolist():
+        rows = np.flatnonzero(usable & (sizes == dim))
+        yield rows, values[(ends - sizes)[rows][:, None] + np.arange(dim)]
+
+
+def usual_dimension(vectors: DataFrame, column: str = "x") -> tuple[int, int]:
+    """Dimension that most of the packed vectors (8 bytes a component) have, of equally many the larger one, and how many
+    have it; zeros for none."""
+    sizes = vectors.groupBy(F.length(column).alias("bytes")).agg(F.count("*").alias("n"))
+    first = sizes.orderBy(F.desc("n"), F.desc("bytes")).first()
+    return (first["bytes"] // 8, first["n"]) if first else (0, 0)
+
+
+def runs(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[tuple[object, Iterator[pa.RecordBatch]]]:
+    """(key, batches of its rows) for each run of equal values in a sorted column; batches must be read before the next."""
+    state: dict[str, pa.RecordBatch | None] = {"rest": None}
+    source = iter(batches)
+
+    def following() -> pa.RecordBatch | None:
+        rest, state["rest"] = state["rest"], None
+        while rest is None or not rest.num_rows:
+            rest = next(source, None)
+            if rest is None:
+                return None
+        return rest
+
+    def of(value: object) -> Iterator[pa.RecordBatch]:
+        while (batch := following()) is not None:
+            k = batch.column(key)
+            same = pc.equal(k, pa.scalar(value, k.type)).to_numpy(zero_copy_only=False)
+            to = len(same) if same.all() else int(np.argmin(same))
+            if to:
+                yield batch.slice(0, to)
+            if to < len(same):
+                state["rest"] = batch.slice(to)
+                return
+
+    while (batch := following()) is not None:
+        state["rest"] = batch
+        value = batch.column(key)[0].as_py()
+        yield value, (own := of(value))
+        for _ in own:  # what the caller left
+            pass
