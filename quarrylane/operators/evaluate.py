@@ -73,8 +73,3 @@ def field_metrics(rows: DataFrame) -> DataFrame:
     n = lambda o: F.count_if(F.col("o") == o)
     decided = n("match") + n("mismatch")
     return t.groupBy("path").agg(F.count("*").alias("n"), n("match").alias("matched"), n("missing").alias("missing"), F.when(decided > 0, n("match") / decided).alias("accuracy"), (decided / F.count("*")).alias("coverage"))
-
-
-def nearest_rank(column: str, p: float) -> Column:
-    """The value at place ceil(n * p)."""
-    return F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {column})")

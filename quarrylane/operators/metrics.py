@@ -19,24 +19,55 @@ def bucket_minutes(hours: float) -> int:
     return next((s for s in STEPS if s >= least), STEPS[-1])
 
 
-def percentile(x: Column, p: float) -> Column:
-    """Exact, between the two nearest values."""
-    return F.percentile(x, F.lit(p))
-
-
-def metric_columns() -> list[Column]:
+def exact_percentiles(rows: DataFrame, keys: Sequence[str], value: str, shares: dict[str, float], nearest: bool = False, splits: int = 64) -> DataFrame:
+    """The keys (which hold no nulls) and for each share the exact percentile of a value: between the two nearest values, or
+    with ``nearest`` the least value that so large a share of the rows doesn't exceed. Nulls don't count; keys without a value
+    have no row.
+
+    Equal values are counted first. Approximate percentiles of a key's distinct values, of a fixed size, cut these into
+    ``splits`` ranges; sums of the ranges say in which one a wanted rank lies, and only those ranges are sorted, each apart. So
+    no buffer holds a key's values, and a key that most rows have is sorted by many tasks."""
+    counted = rows.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
+    cuts = F.percentile_approx("_v", [i / splits for i in range(1, splits)], 1000).alias("_cuts")
+    if keys:
+        cut = counted.join(counted.groupBy(*keys).agg(cuts), list(keys))
+    else:
+        cut = counted.crossJoin(F.broadcast(counted.agg(cuts)))  # one row
+    ranged = cut.withColumn("_part", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).drop("_cuts")
+    sums = ranged.groupBy(*keys, "_part").agg(F.sum("_c").alias("_n"))
+    by = Window.partitionBy(*keys)  # at most ``splits`` rows of a key
+    sums = sums.withColumn("_to", F.sum("_n").over(by.orderBy("_part"))).withColumn("_all", F.sum("_n").over(by))
+
+    def ranks(name: str, p: float) -> list[Column]:
+        at = F.greatest(F.ceil(p * F.col("_all")) - 1, F.lit(0)).cast("double") if nearest else p * (F.col("_all") - 1)
+        one = lambda rank, weight: F.struct(F.lit(name).alias("name"), rank.cast("long").alias("rank"), weight.alias("weight"))
+        return [one(F.floor(at), 1 - (at - F.floor(at))), one(F.floor(at) + 1, at - F.floor(at))]
+
+    wanted = sums.withColumn("_w", F.explode(F.array(*[r for n, p in shares.items() for r in ranks(n, p)])))
+    wanted = wanted.where((F.col("_w.weight") > 0) & (F.col("_w.rank") < F.col("_to")) & (F.col("_w.rank") >= F.col("_to") - F.col("_n")))
+    wanted = wanted.select(*keys, "_part", (F.col("_to") - F.col("_n")).alias("_before"), "_w")
+    here = [*keys, "_part"]
+    within = Window.partitionBy(*here).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    sorted_ = ranged.join(wanted.select(*here).distinct(), here, "left_semi").withColumn("_upto", F.sum("_c").over(within))
+    rank = F.col("_w.rank") - F.col("_before")
+    found = sorted_.join(wanted, here).where((rank < F.col("_upto")) & (rank >= F.col("_upto") - F.col("_c")))
+    term = lambda n: F.sum(F.when(F.col("_w.name") == n, F.col("_v") * F.col("_w.weight"))).alias(n)
+    return found.groupBy(*keys).agg(*[term(n) for n in shares])
+
+
+def _measured(jobs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Counts by status, average confidence and latency percentiles, for each key."""
     count = lambda s: F.count_if(F.col("status") == s).alias(f"n_{s}")
     done = F.col("status").isin("done", "needs_review")
-    return [
-        F.count("*").alias("total"), count("done"), count("needs_review"), count("failed"), count("pending"), count("processing"),
-        percentile(F.when(done, F.col("latency")), 0.5).alias("p50"), percentile(F.when(done, F.col("latency")), 0.95).alias("p95"),
-        F.avg(F.when(done, F.col("confidence"))).alias("avg_confidence"),
-    ]
+    counts = jobs.groupBy(*keys).agg(F.count("*").alias("total"), *map(count, ("done", "needs_review", "failed", "pending", "processing")), F.avg(F.when(done, F.col("confidence"))).alias("avg_confidence"))
+    shares = exact_percentiles(jobs.where(done), keys, "latency", {"p50": 0.5, "p95": 0.95})
+    out = counts.join(shares, list(keys), "left") if keys else counts.join(F.broadcast(shares), F.lit(True), "left")  # one row
+    return out.select(*keys, "total", *[f"n_{s}" for s in ("done", "needs_review", "failed", "pending", "processing")], "p50", "p95", "avg_confidence")
 
 
 def summary(jobs: DataFrame, hours: int) -> DataFrame:
     """One row: counts by status, latency percentiles, rates (0 without jobs) and jobs an hour."""
-    one = jobs.agg(*metric_columns())
+    one = _measured(jobs, [])
     rate = lambda c: F.when(F.col("total") > 0, F.col(c) / F.col("total")).otherwise(0.0)
     return one.withColumns({"success_rate": rate("n_done"), "failure_rate": rate("n_failed"), "review_rate": rate("n_needs_review"), "per_hour": F.floor(F.col("total") / hours * 100 + 0.5) / 100})
 
@@ -44,7 +75,7 @@ def summary(jobs: DataFrame, hours: int) -> DataFrame:
 def breakdown(jobs: DataFrame, key: Column, unknown: str) -> DataFrame:
     """The same counts for each key; null and empty keys under ``unknown``."""
     named = F.when(key.isNull() | (key == ""), F.lit(unknown)).otherwise(key)
-    return jobs.groupBy(named.alias("key")).agg(*metric_columns())
+    return _measured(jobs.withColumn("key", named), ["key"])
 
 
 def time_series(jobs: DataFrame, since: Column, until: Column, minutes: int) -> DataFrame:
@@ -53,7 +84,9 @@ def time_series(jobs: DataFrame, since: Column, until: Column, minutes: int) ->
     at = lambda ts: F.floor(F.unix_seconds(ts) / step) * step
     bounds = jobs.agg(at(since).alias("a"), at(until).alias("b"))
     grid = bounds.select(F.explode(F.sequence("a", "b", F.lit(step).cast("long"))).alias("bucket"))
-    own = jobs.groupBy(at(F.col("created_at")).alias("bucket")).agg(F.count("*").alias("n"), F.count_if(F.col("status") == "failed").alias("failed"), percentile(F.col("latency"), 0.95).alias("p95"))
+    timed = jobs.withColumn("bucket", at(F.col("created_at"))).where("bucket IS NOT NULL")
+    own = timed.groupBy("bucket").agg(F.count("*").alias("n"), F.count_if(F.col("status") == "failed").alias("failed"))
+    own = own.join(exact_percentiles(timed, ["bucket"], "latency", {"p95": 0.95}), "bucket", "left")
     return grid.join(own, "bucket", "left").select("bucket", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("failed", F.lit(0)).alias("failed"), "p95")
 
 
@@ -85,10 +118,21 @@ def latest(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFr
 
 
 def content_duplicates(jobs: DataFrame, hours: int = 24) -> DataFrame:
-    """id, source_id: the newest finished job of the same content and owner that a job within ``hours`` could reuse."""
-    done = jobs.where("status = 'done'").select("owner", "sha", F.col("id").alias("source_id"), F.col("created_at").alias("source_at"))
-    near = jobs.join(done, ["owner", "sha"]).where(f"source_at < created_at AND source_at > created_at - INTERVAL {hours} HOURS")
-    return near.groupBy("id").agg(F.max_by("source_id", F.struct("source_at", "source_id")).alias("source_id"))
+    """id, source_id: the newest finished job of the same content and owner that a job within ``hours`` could reuse, of equal
+    times the larger id.
+
+    Time is cut into spans of ``hours``, so such a job lies in the same span or the one before: a running maximum in the
+    former, the latter's last finished job joined in. The work is linear in copies, and a content with many is spread over
+    its spans. Jobs without owner or content reuse none."""
+    known = jobs.where("owner IS NOT NULL AND sha IS NOT NULL AND created_at IS NOT NULL")
+    t = known.select("id", "owner", "sha", F.unix_micros("created_at").alias("_t"), F.when(F.col("status") == "done", F.struct(F.unix_micros("created_at").alias("t"), "id")).alias("_done"))
+    span = hours * 3_600_000_000
+    t = t.withColumn("_span", F.floor(F.col("_t") / span))
+    earlier = Window.partitionBy("owner", "sha", "_span").orderBy("_t").rangeBetween(Window.unboundedPreceding, -1)
+    last = t.where("_done IS NOT NULL").groupBy("owner", "sha", (F.col("_span") + 1).alias("_span")).agg(F.max("_done").alias("_last"))
+    near = t.withColumn("_own", F.max("_done").over(earlier)).join(last, ["owner", "sha", "_span"], "left")
+    source = F.coalesce("_own", F.when(F.col("_last.t") > F.col("_t") - span, F.col("_last")))
+    return near.select("id", source["id"].alias("source_id")).where("source_id IS NOT NULL")
 
 
 def stale(jobs: DataFrame, status: str, before: Column, limit: int) -> DataFrame:

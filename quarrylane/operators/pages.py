@@ -73,18 +73,18 @@ def split_pages(pages: DataFrame, least_chars: int = 100, least_confidence: floa
     confidence, start, identity).
 
     A page with a heading starts a segment (of ``floor`` confidence or more), unless it goes on the same declaration or
-    invoice; so does one whose identity conflicts with the segment's. Any other page joins the segment if it is short or
+    invoice (a page whose optional ``forced`` is true starts one all the same); so does one whose identity conflicts with the segment's. Any other page joins the segment if it is short or
     unsure, has no type or the same one, or the segment began with a heading. A segment's confidence is the running mean
     of its pages, to which weak ones add nothing new; it takes over the first identity it meets. The fold reads a file's
     pages in order from one array: a file's pages are as many as one document holds."""
-    row = F.struct(F.col("page").cast("int").alias("page"), "n_chars", "type", F.col("confidence").cast("double").alias("confidence"), "start", "identity")
+    row = F.struct(F.col("page").cast("int").alias("page"), "n_chars", "type", F.col("confidence").cast("double").alias("confidence"), "start", "identity", (F.coalesce("forced", F.lit(False)) if "forced" in pages.columns else F.lit(False)).alias("forced"))
     files = pages.groupBy("file").agg(F.array_sort(F.collect_list(row)).alias("p"))
 
     def step(acc: Column, x: Column) -> Column:
         now = F.try_element_at(acc, F.lit(-1))
         same = F.coalesce(x["identity"]["mrn"] == now["identity"]["mrn"], F.lit(False)) & (x["start"] == "customs_export_ead")
         same = same | (F.coalesce(x["identity"]["invoice_no"] == now["identity"]["invoice_no"], F.lit(False)) & (x["start"] == "commercial_invoice"))
-        bounded = x["start"].isNotNull() & ~F.coalesce(same, F.lit(False))
+        bounded = x["start"].isNotNull() & (x["forced"] | ~F.coalesce(same, F.lit(False)))
         new = F.struct(F.when(bounded, x["start"]).otherwise(x["type"]).alias("type"), x["page"].alias("first"), x["page"].alias("last"), F.when(bounded, F.greatest(x["confidence"], F.lit(floor))).otherwise(x["confidence"]).alias("confidence"), bounded.alias("bounded"), x["identity"].alias("identity")).cast(_SEGMENT)
         weak = (x["n_chars"] < least_chars) | (x["confidence"] < least_confidence)
         joins = weak | x["type"].isNull() | F.coalesce(x["type"] == now["type"], F.lit(False)) | now["bounded"]
@@ -105,3 +105,41 @@ def several_documents(segments: DataFrame, least_confidence: float = 0.5) -> Dat
     """file, several: two segments or more, of which one is typed: by a heading, or with ``least_confidence`` or more."""
     typed = F.count_if(F.col("bounded") | (F.col("type").isNotNull() & (F.col("confidence") >= least_confidence)))
     return segments.groupBy("file").agg(((F.count("*") >= 2) & (typed >= 1)).alias("several"))
+
+
+def weak_pages(pages: DataFrame, least_confidence: float = 0.5, scant: int = 120) -> DataFrame:
+    """Pages behind a file's first whose words give no type or an unsure one, with ``scant``: whether their text is too
+    short to ask for its type by text."""
+    weak = F.col("type").isNull() | (F.col("confidence") < least_confidence)
+    return pages.where(weak & (F.col("page") > 1)).withColumn("scant", F.col("n_chars") < scant)
+
+
+def overridden(pages: DataFrame, by_image: DataFrame | None = None, by_text: DataFrame | None = None, floor: float = 0.6) -> DataFrame:
+    """Pages with the types that models (tables of file, page and type) gave the weak ones, each the start of a segment: by
+    image for pages of scant text, else by text, and by image if the text gave none. Without a table of images scant pages
+    are asked by text."""
+    t = weak_pages(pages).select("file", "page", "scant")
+    for name, table in (("_image", by_image), ("_text", by_text)):
+        one = None if table is None else table.groupBy("file", "page").agg(F.min("type").alias(name))
+        t = t.withColumn(name, F.lit(None).cast("string")) if one is None else t.join(one, ["file", "page"], "left")
+    found = F.coalesce("_text", "_image") if by_image is None else F.when(F.col("scant"), F.col("_image")).otherwise(F.coalesce("_text", "_image"))
+    t = t.select("file", "page", F.nullif(found, F.lit("")).alias("_given")).where("_given IS NOT NULL")
+    out = pages.join(t, ["file", "page"], "left").withColumn("forced", F.col("_given").isNotNull())
+    return out.withColumns({"type": F.coalesce("_given", "type"), "start": F.coalesce("_given", "start"), "confidence": F.when(F.col("forced"), F.greatest("confidence", F.lit(floor))).otherwise(F.col("confidence"))}).drop("_given")
+
+
+def segment_texts(segments: DataFrame, pages: DataFrame) -> DataFrame:
+    """The segments with ``text``: the texts of their pages, a blank line between them."""
+    at = segments.select("file", "segment", F.explode(F.sequence("first", "last")).alias("page"))
+    texts = at.join(pages.select("file", F.col("page").cast("int").alias("page"), "text"), ["file", "page"], "left")
+    whole = texts.groupBy("file", "segment").agg(F.array_sort(F.collect_list(F.struct("page", F.coalesce("text", F.lit("")).alias("text")))).alias("_t"))
+    return segments.join(whole, ["file", "segment"]).withColumn("text", F.array_join(F.transform("_t", lambda x: x["text"]), "\n\n")).drop("_t")
+
+
+def run_documents(pages: DataFrame, by_image: DataFrame | None = None, by_text: DataFrame | None = None) -> DataFrame:
+    """The documents of composite files: pages (file, page, n_chars, text, type, confidence, start, identity) whose weak types
+    models may override are split again into segments, and typed segments of files that hold several documents are returned
+    with their text."""
+    segments = split_pages(overridden(pages, by_image, by_text))
+    several = several_documents(segments).where("several").select("file")
+    return segment_texts(segments.where("type IS NOT NULL").join(several, "file", "left_semi"), pages)

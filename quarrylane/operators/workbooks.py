@@ -39,6 +39,54 @@ def longest_filled_run(rows: DataFrame) -> DataFrame:
     return runs.groupBy("sheet").agg(F.max_by(F.struct("start", "run_rows"), F.struct("run_rows", -F.col("start"))).alias("r")).select("sheet", "r.*")
 
 
+def regions(rows: DataFrame, least_rows: int = 4, least_width: int = 3, reach: int = 2) -> DataFrame:
+    """file, sheet, header_row, data_start, data_rows, width, header: every table of the sheets of files (file, sheet, idx,
+    cells, idx from 0 without gaps).
+
+    A table is a run of rows with two filled cells or more. Its header is the first of its widest rows, and what stands above
+    that is no part of it; but if the row before, with ``reach`` separators between them at most, is wider than the whole run, that
+    row is the header and all of the run is data. Runs with fewer than ``least_rows`` rows of data, or narrower than
+    ``least_width``, are none. A sheet has some million rows at most; its runs are found in one window."""
+    w = Window.partitionBy("file", "sheet").orderBy("idx")
+    t = rows.withColumn("_f", filled(F.col("cells"))).withColumn("_part", F.sum((F.col("_f") <= 1).cast("int")).over(w)).where("_f > 1")
+    row = F.struct("_f", "idx", "cells")
+    found = t.groupBy("file", "sheet", "_part").agg(F.min("idx").alias("_from"), F.max("idx").alias("_to"), F.max_by(row, F.struct("_f", -F.col("idx"))).alias("_head"), F.max_by(row, "idx").alias("_last"))
+    before = Window.partitionBy("file", "sheet").orderBy("_part")
+    above = F.when(F.col("_part") - F.lag("_part").over(before) <= reach, F.lag("_last").over(before))
+    found = found.withColumn("_above", above).withColumn("_use", F.coalesce(F.col("_above._f") > F.col("_head._f"), F.lit(False)))
+    head = F.when(F.col("_use"), F.col("_above")).otherwise(F.col("_head"))
+    found = found.select("file", "sheet", head["idx"].alias("header_row"), F.when(F.col("_use"), F.col("_from")).otherwise(F.col("_head.idx") + 1).alias("data_start"), "_to", F.col("_head._f").alias("width"), head["cells"].alias("header"))
+    found = found.withColumn("data_rows", F.col("_to") + 1 - F.col("data_start")).drop("_to")
+    return found.where((F.col("width") >= least_width) & (F.col("data_rows") >= least_rows)).select("file", "sheet", "header_row", "data_start", "data_rows", "width", "header")
+
+
+def region_samples(found: DataFrame, rows: DataFrame, n: int = 2) -> DataFrame:
+    """The regions with ``samples``: their first ``n`` rows of data."""
+    at = found.select("file", "sheet", "data_start", F.explode(F.sequence(F.col("data_start"), F.least(F.col("data_start") + n, F.col("data_start") + F.col("data_rows")) - 1)).alias("idx"))
+    cells = at.join(rows.select("file", "sheet", "idx", "cells"), ["file", "sheet", "idx"]).groupBy("file", "sheet", "data_start").agg(F.array_sort(F.collect_list(F.struct("idx", "cells"))).alias("_s"))
+    return found.join(cells, ["file", "sheet", "data_start"], "left").withColumn("samples", F.transform("_s", lambda s: s["cells"])).drop("_s")
+
+
+def workbook_report(found: DataFrame, most: int = 12) -> DataFrame:
+    """The ``most`` largest regions of each file, numbered from 0 by falling rows of data (then by sheet and place), with
+    ``total_rows`` of all its regions."""
+    files = Window.partitionBy("file")
+    order = files.orderBy(F.desc("data_rows"), "sheet", "data_start")
+    t = found.withColumn("total_rows", F.sum("data_rows").over(files)).withColumn("index", F.row_number().over(order) - 1)
+    return t.where(F.col("index") < most)
+
+
+def choice_verdict(report: DataFrame, chosen: DataFrame) -> DataFrame:
+    """file, verdict of the regions (file, index) chosen from a report: ``skipped_bigger`` if one left out has more rows of
+    data than any chosen, ``split_table`` if one left out is as wide as a chosen one of its sheet, else ``ok``. Files of which none
+    is chosen aren't judged."""
+    t = report.join(chosen.select("file", "index").distinct().withColumn("_on", F.lit(True)), ["file", "index"], "left").withColumn("_on", F.coalesce("_on", F.lit(False)))
+    t = t.withColumn("_twin", F.max("_on").over(Window.partitionBy("file", "sheet", "width")))
+    rows = lambda on: F.max(F.when(on, F.col("data_rows")))
+    one = t.groupBy("file").agg(rows(F.col("_on")).alias("taken"), rows(~F.col("_on")).alias("left"), F.max(~F.col("_on") & F.col("_twin")).alias("split")).where("taken IS NOT NULL")
+    return one.select("file", F.when(F.col("left") > F.col("taken"), "skipped_bigger").when(F.col("split"), "split_table").otherwise("ok").alias("verdict"))
+
+
 def with_references(rows: DataFrame, least_chars: int = 15, least_count: int = 5, most: int = 60) -> tuple[DataFrame, DataFrame]:
     """(rows with repeated long cells as ``@N``, legend of ref and cell): the ``most`` cells that save most characters, by what
     they save. The legend has at most ``most`` rows."""

@@ -123,16 +123,44 @@ def _page_table(spark, sf):
     return pages.page_heads(t).withColumn("n_chars", F.length(F.trim("text")))
 
 
-@query()
+def _fold_sql(given: str = "NULL") -> str:
+    """Segments (s) of the page table by a recursive fold over pages; ``given``: types that override weak pages."""
+    return f"""WITH RECURSIVE e AS (SELECT event_id AS k, event_id // 6 AS file, event_id % 6 + 1 AS page, CASE WHEN event_id % 11 = 0 THEN 'INVOICE NO: A' || (event_id // 22) ELSE 'page' END || CASE WHEN event_id % 5 = 0 THEN '' ELSE repeat(' filler text', 12) END AS text,
+  CASE WHEN event_id % 7 > 0 THEN CASE WHEN event_id % 6 < 3 THEN 'invoice' ELSE 'TTN' END END AS type, (user_id % 10 / 10)::DOUBLE AS confidence, CASE WHEN event_id % 11 = 0 THEN 'commercial_invoice' END AS start, CASE WHEN event_id % 11 = 0 THEN 'A' || (event_id // 22) END AS inv FROM events),
+ g AS (SELECT *, length(trim(text)) AS n, CASE WHEN page > 1 AND (type IS NULL OR confidence < 0.5) THEN {given} END AS given FROM e),
+ p AS (SELECT file, page, n, text, inv, given IS NOT NULL AS forced, coalesce(given, type) AS type, coalesce(given, start) AS start, CASE WHEN given IS NULL THEN confidence ELSE greatest(confidence, 0.6) END AS confidence FROM g),
+ r AS (SELECT file, page, 1 AS segment, start IS NOT NULL AS bounded, coalesce(start, type) AS type, page AS first, CASE WHEN start IS NULL THEN confidence ELSE greatest(confidence, 0.6) END AS confidence, inv FROM p WHERE page = 1
+  UNION ALL SELECT file, page, segment + opens::INT, CASE WHEN opens THEN heads ELSE bounded END, CASE WHEN NOT opens THEN type WHEN heads THEN p_start ELSE p_type END, CASE WHEN opens THEN page ELSE first END,
+   CASE WHEN opens THEN CASE WHEN heads THEN greatest(c, 0.6) ELSE c END ELSE (confidence * (page - first) + CASE WHEN weak THEN confidence ELSE c END) / (page - first + 1) END, CASE WHEN opens THEN p_inv ELSE coalesce(inv, p_inv) END
+   FROM (SELECT *, heads OR coalesce(p_inv <> inv, false) OR NOT (weak OR p_type IS NULL OR coalesce(p_type = type, false) OR bounded) AS opens
+    FROM (SELECT r.file, p.page, r.segment, r.bounded, r.type, r.first, r.confidence, r.inv, p.type AS p_type, p.start AS p_start, p.inv AS p_inv, p.confidence AS c, p.n < 100 OR p.confidence < 0.4 AS weak,
+     p.start IS NOT NULL AND (p.forced OR NOT (p.start = 'commercial_invoice' AND coalesce(p.inv = r.inv, false))) AS heads FROM r JOIN p ON p.file = r.file AND p.page = r.page + 1) x) y),
+ s AS (SELECT file, segment, arg_max(type, page) AS type, min(first)::INT AS first, max(page)::INT AS last, floor(arg_max(confidence, page) * 1000 + 0.5) / 1000 AS confidence, bool_or(bounded) AS bounded FROM r GROUP BY 1, 2),
+ d AS (SELECT file, count(*) >= 2 AND count(*) FILTER (bounded OR (type IS NOT NULL AND confidence >= 0.5)) >= 1 AS several FROM s GROUP BY 1)"""
+
+
+_SPAN = "CASE WHEN first = last THEN first::VARCHAR ELSE first || '-' || last END AS pages"
+
+
+@query(f"{_fold_sql()} SELECT *, {_SPAN} FROM s")
 def page_segments(spark, sf):
     return pages.split_pages(_page_table(spark, sf)).drop("identity")
 
 
-@query()
+@query(f"{_fold_sql()} SELECT * FROM d")
 def several_documents(spark, sf):
     return pages.several_documents(pages.split_pages(_page_table(spark, sf)))
 
 
+@query(f"""{_fold_sql("CASE WHEN n < 120 THEN CASE WHEN k % 4 = 0 THEN 'vehicle_registration' END ELSE CASE WHEN k % 3 = 0 THEN 'packing_list' WHEN k % 4 = 0 THEN 'vehicle_registration' END END")}, t AS (SELECT s.file, segment, md5(string_agg(text, chr(10) || chr(10) ORDER BY page)) AS text FROM s JOIN p ON p.file = s.file AND page BETWEEN first AND last GROUP BY 1, 2)
+ SELECT s.file, s.segment, type, {_SPAN}, confidence, t.text FROM s JOIN d USING (file) JOIN t ON t.file = s.file AND t.segment = s.segment WHERE several AND type IS NOT NULL""")
+def composite_documents(spark, sf):
+    t, k = _page_table(spark, sf), F.col("file") * 6 + F.col("page") - 1
+    answer = lambda n, slug: t.where(k % n == 0).select("file", "page", F.lit(slug).alias("type"))
+    out = pages.run_documents(t, answer(4, "vehicle_registration"), answer(3, "packing_list"))
+    return out.select("file", "segment", "type", "pages", "confidence", F.md5(F.col("text").cast("binary")).alias("text"))
+
+
 # ---- sources ----
 
 URLS = ("https://a.example/x", "HTTP://B.example", "ftp://a.example/f", "https://c.example/x", "not a url")

@@ -324,7 +324,7 @@ def confidences(spark, sf):
     k, v = F.col("event_id"), F.col("value")
     ocr = tx.normalize_confidence(F.when(k % 5 == 0, F.lit(float("nan"))).otherwise(v))
     both = tx.combine_confidence(v / 1000, F.when(k % 3 == 1, F.lit(0.0)).when(k % 3 == 2, F.lit(0.5)))
-    return table(spark, sf, "events").select("event_id", F.round(ocr, 6).alias("ocr"), F.round(both, 6).alias("combined"))
+    return table(spark, sf, "events").select("event_id", tx.js_round(ocr, 6).alias("ocr"), tx.js_round(both, 6).alias("combined"))
 
 
 @query("""WITH r AS (SELECT * FROM (VALUES ('p0', 'RUB', 'vendor', 2.0, 4.0), ('p1', 'USD', 'vendor', 0.1, NULL), ('p2', 'RUB', 'free', 9.0, 9.0)) v(pid, cur, basis, rin, rout)),

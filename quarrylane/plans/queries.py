@@ -343,4 +343,4 @@ def eval_field_metrics(spark, sf):
 
 @query("SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95 FROM events GROUP BY 1")
 def nearest_rank_percentile(spark, sf):
-    return table(spark, sf, "events").groupBy("event_type").agg(evaluate.nearest_rank("value", 0.5).alias("p50"), evaluate.nearest_rank("value", 0.95).alias("p95"))
+    return metrics.exact_percentiles(table(spark, sf, "events").where("event_type IS NOT NULL"), ["event_type"], "value", {"p50": 0.5, "p95": 0.95}, nearest=True)
