@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import checks as ck
 from ..functions import fields as fd
+from ..functions import invoice as inv
 from ..functions import records as rc
 from ..functions import text as tx
 from ..functions import values as vl
@@ -345,3 +346,40 @@ def resolve_rates(spark, sf):
     daily = table(spark, sf, "events").limit(1).select(F.explode(ck.fx_feed(F.lit(feed))).alias("r")).select("r.*")
     wanted = spark.createDataFrame([("usd",), ("GBP",), ("CHF",)], "code string")
     return costs.resolve_rates(wanted, daily, {"GBP": 90.0, "USD": 1.0})
+
+
+INVOICE_SQL = f"""WITH i AS {INN_SQL}, o AS (SELECT o_orderkey AS k, o_totalprice AS p, o_orderdate AS d, i.inn, c_name AS name FROM orders JOIN customer ON c_custkey = o_custkey JOIN i ON i.k = o_custkey)
+ SELECT k AS id, 'A-' || k AS number, strftime(d, '%Y-%m-%d') AS date, p AS total, CASE WHEN k % 5 <> 0 THEN round(floor(p * 20 + 0.5) / 100, 2) END AS vat, CASE WHEN k % 5 <> 0 THEN 20::DOUBLE END AS vat_rate, inn AS seller, CASE WHEN k % 3 = 0 THEN '7707083893' END AS buyer,
+  CASE WHEN k % 2 = 0 THEN '1027700132' || lpad((k % 1000)::VARCHAR, 3, '0') END AS ogrn, CASE WHEN k % 4 > 0 THEN '044525' || lpad((k % 1000)::VARCHAR, 3, '0') END AS bik, CASE WHEN k % 4 > 0 THEN lpad(k::VARCHAR, 20, '4') END AS account, CASE WHEN k % 4 = 1 THEN lpad(k::VARCHAR, 20, '3') END AS corr_account,
+  CASE WHEN k % 3 = 1 THEN 'IMP-2026-' || lpad((k % 1000)::VARCHAR, 3, '0') END AS order_ref, CASE WHEN k % 3 = 1 THEN 'А' || lpad((k % 1000)::VARCHAR, 3, '0') || 'ВС77' END AS plate, CASE WHEN k % 3 = 1 THEN 'Volvo FH' END AS model, CASE WHEN k % 3 = 1 AND k % 2 = 0 THEN 'Goldhofer STZ-1' END AS trailer,
+  CASE WHEN k % 3 = 1 THEN (k % 9 + 2)::DOUBLE END AS axles, CASE WHEN k % 6 = 1 THEN 'Рига' END AS route_from, CASE WHEN k % 6 = 1 THEN 'Нижний Новгород' END AS route_to, CASE WHEN k % 7 = 0 THEN '77-2026-' || (k + 100) END AS permit_no, CASE WHEN k % 7 = 0 THEN 'ГИБДД' END AS issued_by, CASE WHEN k % 7 = 0 THEN '2026-12-03' END AS valid_to,
+  CASE WHEN k % 5 = 1 THEN '2026-02-0' || (k % 9 + 1) END AS due_date, ['cash', 'prepayment', NULL, 'card'][k % 4 + 1] AS payment, CASE WHEN k % 11 = 0 THEN 'sea' WHEN k % 11 = 1 THEN 'auto' END AS leg,
+  CASE WHEN k % 8 = 1 THEN (k % 900)::DOUBLE END AS weight, CASE WHEN k % 8 = 1 THEN 10.5 + 3.8 + 4.0 END AS size, CASE WHEN k % 8 = 2 THEN 'Габариты груза ' || k END AS raw_size, CASE WHEN k % 8 = 1 THEN true END AS oversized, CASE WHEN k % 8 = 1 THEN name END AS cargo, CASE WHEN k % 9 = 0 THEN true END AS escort, CASE WHEN k % 9 = 0 THEN 'патруль ГИБДД' END AS escort_type FROM o"""
+
+
+@query(INVOICE_SQL)
+def invoice_fields(spark, sf):
+    """Invoices written from orders, each with some of the sections."""
+    o = table(spark, sf, "orders").join(table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name"), "o_custkey")
+    k = F.col("o_orderkey")
+    body = F.lpad(F.col("o_custkey").cast("string"), 9, "7")
+    inn = F.concat(body, (sum((F.substring(body, i + 1, 1).cast("int") * w for i, w in enumerate(vl.INN_10)), F.lit(0)) % 11 % 10).cast("string"))
+    three = F.lpad((k % 1000).cast("string"), 3, "0")
+    line = lambda on, *parts: F.when(on, F.concat(F.lit("\n"), *[F.lit(p) if isinstance(p, str) else p for p in parts]))
+    money = lambda x: F.regexp_replace(F.translate(F.format_string("%.2f", x), ".", ","), r"([0-9])(?=(?:[0-9]{3})+,)", "$1 ")
+    vat = F.floor(F.col("o_totalprice") * 20 + 0.5) / 100
+    text = F.concat_ws(
+        "", F.concat(F.lit("СЧЁТ на оплату No A-"), k.cast("string"), F.lit(" от "), F.date_format("o_orderdate", "dd.MM.yyyy")), line(F.lit(True), "Поставщик ИНН ", inn), line(k % 3 == 0, "Заказчик ИНН: 7707083893"), line(k % 2 == 0, "ОГРН 1027700132", three),
+        line(k % 4 > 0, "БИК 044525", three, ", р/с ", F.lpad(k.cast("string"), 20, "4")), line(k % 4 == 1, "к/с № ", F.lpad(k.cast("string"), 20, "3")), line(k % 5 != 0, "НДС 20%: ", money(vat)), line(F.lit(True), "Итого к оплате: ", money(F.col("o_totalprice")), " руб"),
+        line(k % 3 == 1, "По заявке клиента IMP-2026-", three, ", гос. номер А", three, "ВС77, Volvo FH, ", (k % 9 + 2).cast("string"), "-осный"), line((k % 3 == 1) & (k % 2 == 0), "полуприцеп: Goldhofer STZ-1"), line(k % 6 == 1, "Маршрут: г. Рига → г. Нижний Новгород\n."),
+        line(k % 7 == 0, "Спецразрешение № 77-2026-", (k + 100).cast("string"), ", действует до 03.12.2026, x_ГИБДД"), line(k % 5 == 1, "Срок оплаты: ", (k % 9 + 1).cast("string"), ".02.2026"), line(k % 4 == 0, "cash"), line(k % 4 == 1, "prepay"), line(k % 4 == 2, "наличными"), line(k % 4 == 3, "card"),
+        line(k % 11 == 0, "by sea"), line(k % 11 == 1, "тягач"), line(k % 8 == 1, "Груз: ", F.col("c_name"), "\n", (k % 900).cast("string"), " кгx, 10,5 x 3.8 × 4 м, негабаритный"), line(k % 8 == 2, "Габариты груза ", k.cast("string")), line(k % 9 == 0, "сопровождение: патруль ГИБДД"),
+    )
+    x = o.select(k.alias("id"), inv.invoice(text).alias("x"))
+    cargo = "x.transport.cargo"
+    size = F.col(f"{cargo}.dimensions.length_m") + F.col(f"{cargo}.dimensions.width_m") + F.col(f"{cargo}.dimensions.height_m")
+    return x.select(
+        "id", "x.number", "x.date", "x.total", "x.vat", F.col("x.vat_rate").cast("double").alias("vat_rate"), F.col("x.seller.inn").alias("seller"), F.col("x.buyer.inn").alias("buyer"), "x.seller.ogrn", "x.seller.bik", "x.seller.account", "x.seller.corr_account", "x.order_ref", "x.vehicle.plate", "x.vehicle.model", "x.vehicle.trailer", F.col("x.vehicle.axles").cast("double").alias("axles"),
+        "x.route_from", "x.route_to", "x.permit_no", F.col("x.transport.permit.issued_by"), F.col("x.transport.permit.valid_to"), "x.due_date", F.col("x.payment_method").alias("payment"), F.col("x.transport.route.leg_kind").alias("leg"), F.col(f"{cargo}.weight_kg").alias("weight"), size.alias("size"),
+        F.col(f"{cargo}.dimensions_raw").alias("raw_size"), F.col(f"{cargo}.oversized"), F.col(f"{cargo}.description").alias("cargo"), F.col("x.transport.escort.required").alias("escort"), F.col("x.transport.escort.type").alias("escort_type"),
+    )
