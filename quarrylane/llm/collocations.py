@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import mix, prefix_hash, runs, shuffle_parts, small_batches, small_side, span_hash, staged, text_buffers
+from .common import mix, prefix_hash, runs, shuffle_parts, small_batches, small_side, span_hash, staged, text_buffers, unstage
 
 #: Bytes of text in a shard, about.
 SHARD_BYTES = 8 << 20
@@ -29,7 +29,8 @@ SHARD = "shard long, langs array<string>, sizes array<long>, lang_of binary, wor
 
 class SuffixAutomaton:
     """Generalised suffix automaton of the pieces in ``tokens`` (0 stands between pieces), for strings of ``depth`` words or
-    fewer. ``linked`` may forbid words to follow the one before them; strings that hold such a step aren't built.
+    fewer. ``allowed`` may name, by length, the positions where a string of that length may end; strings that hold another
+    string of that length aren't built.
 
     A string of k words is a node of level k, with its number of end positions (``count``), the end of one occurrence
     (``end``) and its suffix link (``link``: the node of level k - 1 without its first word). Nodes come level by level from
@@ -38,7 +39,7 @@ class SuffixAutomaton:
     which then always stands before it. Likewise ``right`` names the word of a node's only transition, if each occurrence
     takes it. 0: none, or none always."""
 
-    def __init__(self, tokens: np.ndarray, depth: int, linked: np.ndarray | None = None):
+    def __init__(self, tokens: np.ndarray, depth: int, allowed: dict[int, np.ndarray] | None = None):
         n_tokens = int(tokens.max(initial=0)) + 1
         ends = np.flatnonzero(tokens)
         self.at = [np.zeros(0, np.int64), tokens.astype(np.int64)]  # node of the string that ends at each position, from 1
@@ -53,8 +54,9 @@ class SuffixAutomaton:
             on = begin >= 0
             ends, begin = ends[on], begin[on]
             on = tokens[begin] > 0
-            if linked is not None:
-                on &= linked[begin + 1]
+            for length, ok in (allowed or {}).items():
+                if length <= k:
+                    on &= ok[begin + length - 1]
             ends, begin = ends[on], begin[on]
             short = self.at[k - 1]
             keys, one, node, count = np.unique(short[ends] * n_tokens + tokens[begin], return_index=True, return_inverse=True, return_counts=True)
@@ -142,7 +144,7 @@ def shards(docs: DataFrame) -> DataFrame:
             made = _shard(*texts)
             if made is not None:
                 langs, sizes, lang_of, words, tokens = made
-                columns = [[number], [langs], [sizes], [lang_of.tobytes()], [words], [tokens.tobytes()]]
+                columns = [[number], [langs], [sizes], [lang_of.tobytes()], [words], [_planes(tokens)]]
                 kinds = [pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["shard", "langs", "sizes", "lang_of", "words", "tokens"])
                 number += 1
@@ -150,97 +152,167 @@ def shards(docs: DataFrame) -> DataFrame:
     return staged(docs.mapInArrow(run, SHARD), "phrase-shards")
 
 
-class _Read:
-    """A shard in a task, with the hashes of its words and pairs of words, dealt to ``n_ranges`` ranges."""
+def _planes(x: np.ndarray) -> bytes:
+    """The values' first bytes, then all second ones and so on: high bytes, mostly equal, compress away."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
 
-    def __init__(self, row: dict, n_ranges: int):
-        self.langs = row["langs"]
-        self.tokens = np.frombuffer(row["tokens"], np.int32)
-        self.lang_of = np.frombuffer(row["lang_of"], np.int32)
-        self.vocabulary = row["words"].split(b" ")
+
+def _unplaned(raw: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
+class _Dealt:
+    """Hashed strings of a shard with their counts, dealt to ``n_ranges`` ranges of hashes: ``order`` sorts them, range r has
+    those from ``cuts[r]`` to ``cuts[r + 1]``, and ``place`` is a hash's place within its range, in 32 bits."""
+
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, n_ranges: int):
+        self.order = np.argsort(hashes)
+        h, n, low = hashes[self.order], np.uint64(n_ranges), np.uint64(0xFFFFFFFF)
+        scaled = (h >> np.uint64(32)) * n + (((h & low) * n) >> np.uint64(32))
+        self.cuts = np.searchsorted((scaled >> np.uint64(32)).astype(np.int64), np.arange(n_ranges + 1))
+        self.place, self.counts = (scaled & low).astype(np.uint32), counts[self.order]
+
+    def report(self, shard: int, cap: int) -> pa.RecordBatch:
+        some = np.flatnonzero(np.diff(self.cuts))
+        counts = np.minimum(self.counts, cap).astype(np.uint16)
+        spans = [(self.cuts[r], self.cuts[r + 1]) for r in some]
+        steps = [_planes(np.diff(self.place[a:b], prepend=np.uint32(0))) for a, b in spans]
+        return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([shard] * len(some), pa.int64()), pa.array(steps, pa.binary()), pa.array([_planes(counts[a:b]) for a, b in spans], pa.binary())], names=["range", "shard", "places", "counts"])
+
+    def often(self, answers: list[tuple[int, bytes]]) -> np.ndarray:
+        """Which strings may occur often, from the answers of the ranges."""
+        out = np.zeros(len(self.order), bool)
+        for r, bits in answers:
+            a, b = int(self.cuts[r]), int(self.cuts[r + 1])
+            out[self.order[a:b]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=b - a).astype(bool)
+        return out
+
+
+def _joined_hash(words: list[np.ndarray], hashes: np.ndarray) -> np.ndarray:
+    out = np.full(len(words[0]), np.uint64(len(words)))
+    for w in words:
+        out = mix(out * np.uint64(0x100000001B3) + hashes[w - 1])
+    return out
+
+
+class _Shard:
+    """A shard in a task. ``hashes`` are those of its words with their language."""
+
+    def __init__(self, row: dict):
+        self.shard, self.langs = row["shard"], row["langs"]
+        self.tokens, self.lang_of = _unplaned(row["tokens"], np.int32), np.frombuffer(row["lang_of"], np.int32)
+        self.vocabulary = row["words"].split(b" ") if len(self.lang_of) else []
         data = np.frombuffer(row["words"], np.uint8)
         size = np.fromiter(map(len, self.vocabulary), np.int64, len(self.vocabulary))
         ends = np.cumsum(size + 1) - 1
         self.word_hash = span_hash(prefix_hash(data), ends - size, ends)
         seed = np.array([int.from_bytes(hashlib.blake2b(name.encode(), digest_size=8).digest()) for name in self.langs], np.uint64)
-        own = mix(self.word_hash + seed[self.lang_of])
-        self.pairs = SuffixAutomaton(self.tokens, 2)
-        one, two = self.pairs.words(self.tokens, 2)
-        together = mix(own[one - 1] * np.uint64(0x100000001B3) + own[two - 1] + np.uint64(1)) if len(one) else np.zeros(0, np.uint64)
-        self.hashes = np.concatenate([own, together])
-        self.counts = np.concatenate([self.pairs.count[1], self.pairs.count[2]])
-        self.range = ((self.hashes >> np.uint64(32)) * np.uint64(n_ranges) >> np.uint64(32)).astype(np.int64)
-        self.order = np.argsort(self.range, kind="stable")
-        self.cuts = np.searchsorted(self.range[self.order], np.arange(n_ranges + 1))
-
-
-def _strings(docs_shards: DataFrame, n_ranges: int, min_count: int, max_words: int) -> DataFrame:
-    """lang, phrase, words, a (occurrences) and inside (whether a longer string occurs as often) of every string of up to
-    ``max_words`` words with ``min_count`` occurrences or more."""
-    spark = docs_shards.sparkSession
-    cap = min(min_count, 65_535)
+        self.hashes = mix(self.word_hash + seed[self.lang_of])
+
+    def pairs(self, n_ranges: int) -> tuple[_Dealt, SuffixAutomaton]:
+        """Words, then pairs of words."""
+        own = SuffixAutomaton(self.tokens, 2)
+        return _Dealt(np.concatenate([self.hashes, _joined_hash(own.words(self.tokens, 2), self.hashes)]), np.concatenate(own.count[1:]), n_ranges), own
+
+    def triples(self, n_ranges: int) -> tuple[_Dealt, SuffixAutomaton]:
+        own = SuffixAutomaton(self.tokens, 3)
+        return _Dealt(_joined_hash(own.words(self.tokens, 3), self.hashes), own.count[3], n_ranges), own
+
+
+def _with_answers(source: DataFrame, strings: str, n_ranges: int, cap: int) -> DataFrame:
+    """The shards of ``source``, each followed by what the ranges answer on its ``strings`` (pairs or triples): one bit for
+    each string, whether its counts in all shards add up to ``cap`` or more. Rows of a shard stand together, it first."""
 
     def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                own = _Read(row, n_ranges)
-                low, count = (own.hashes & np.uint64(0xFFFFFFFF)).astype(np.uint32)[own.order], np.minimum(own.counts, cap).astype(np.uint16)[own.order]
-                some = np.flatnonzero(np.diff(own.cuts))
-                spans = [(own.cuts[r], own.cuts[r + 1]) for r in some]
-                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([row["shard"]] * len(some), pa.int64()), pa.array([low[a:b].tobytes() for a, b in spans], pa.binary()), pa.array([count[a:b].tobytes() for a, b in spans], pa.binary())], names=["range", "shard", "hashes", "counts"])
+            for i in range(batch.num_rows):
+                shard = _Shard(batch.slice(i, 1).to_pylist()[0])
+                yield getattr(shard, strings)(n_ranges)[0].report(shard.shard, cap)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, own in runs(batches, "range"):
             ids: list[int] = []
-            hashes: list[np.ndarray] = []
+            places: list[np.ndarray] = []
             counts: list[np.ndarray] = []
             for batch in own:
                 ids += batch.column("shard").to_pylist()
-                hashes += [np.frombuffer(h, np.uint32) for h in batch.column("hashes").to_pylist()]
-                counts += [np.frombuffer(c, np.uint16) for c in batch.column("counts").to_pylist()]
-            _, place = np.unique(np.concatenate(hashes), return_inverse=True)
+                places += [np.cumsum(_unplaned(p, np.uint32), dtype=np.uint32) for p in batch.column("places").to_pylist()]
+                counts += [_unplaned(c, np.uint16) for c in batch.column("counts").to_pylist()]
+            _, place = np.unique(np.concatenate(places), return_inverse=True)
             often = np.bincount(place, weights=np.concatenate(counts))[place] >= cap
-            parts = np.split(often, np.cumsum([len(h) for h in hashes])[:-1])
+            parts = np.split(often, np.cumsum([len(p) for p in places])[:-1])
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([number] * len(ids), pa.int32()), pa.array([np.packbits(p).tobytes() for p in parts], pa.binary())], names=["shard", "range", "often"])
 
-    reports = docs_shards.mapInArrow(report, "range int, shard long, hashes binary, counts binary")
+    reports = source.mapInArrow(report, "range int, shard long, places binary, counts binary")
     answers = reports.repartition(n_ranges, "range").sortWithinPartitions("range").mapInArrow(judge, "shard long, range int, often binary")
+    rows = source.withColumns({"kind": F.lit(0), "range": F.lit(None).cast("int"), "often": F.lit(None).cast("binary")})
+    blank = {f: F.lit(None).cast(t) for f, t in source.dtypes if f != "shard"}
+    rows = rows.unionByName(answers.withColumn("kind", F.lit(1)).withColumns(blank))
+    n_parts = max(shuffle_parts(source.sparkSession), source.count() // 4)
+    return rows.repartition(n_parts, "shard").sortWithinPartitions("shard", "kind", "range")
+
+
+def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, list[tuple[int, bytes]]]]:
+    for _, own in runs(batches, "shard"):
+        row, answers = {}, []
+        for batch in own:
+            if not row:
+                row, batch = batch.slice(0, 1).to_pylist()[0], batch.slice(1)
+            answers += zip(batch.column("range").to_pylist(), batch.column("often").to_pylist(), strict=True)
+        yield row, answers
+
+
+def _strings(source: DataFrame, n_ranges: int, min_count: int, max_words: int) -> DataFrame:
+    """lang, phrase, words, a (occurrences) and inside (whether a longer string occurs as often) of every string of up to
+    ``max_words`` words with ``min_count`` occurrences or more."""
+    cap = min(min_count, 65_535)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Shards of the words that may occur often, and of the runs of them whose pairs may."""
+        for row, answers in _answered(batches):
+            shard = _Shard(row)
+            dealt, automaton = shard.pairs(n_ranges)
+            often = dealt.often(answers)
+            words, pair, tokens = np.flatnonzero(often[: len(shard.vocabulary)]), automaton.at[2], shard.tokens
+            linked = (pair > 0) & np.append(often[len(shard.vocabulary) :], False)[pair - 1]
+            kept = np.flatnonzero(linked | np.append(linked[1:], False))
+            first = ~linked[kept]
+            chains = np.zeros(len(kept) + int(first.sum()), np.int32)
+            chains[np.arange(len(kept)) + np.cumsum(first)] = (np.searchsorted(words, tokens[kept] - 1) + 1).astype(np.int32)
+            counts = automaton.count[1][words].astype(np.int64)
+            columns = [[shard.shard], [shard.langs], [shard.lang_of[words].tobytes()], [b" ".join([shard.vocabulary[w] for w in words])], [_planes(chains)], [counts.tobytes()]]
+            kinds = [pa.int64(), pa.list_(pa.string()), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["shard", "langs", "lang_of", "words", "tokens", "totals"])
 
     def enumerate_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, own in runs(batches, "shard"):
-            shard, bits = None, []
-            for batch in own:
-                if shard is None:
-                    shard, batch = _Read(batch.slice(0, 1).to_pylist()[0], n_ranges), batch.slice(1)
-                for r, often in zip(batch.column("range").to_pylist(), batch.column("often").to_pylist(), strict=True):
-                    bits.append(np.unpackbits(np.frombuffer(often, np.uint8), count=int(shard.cuts[r + 1] - shard.cuts[r])))
-            often = np.zeros(len(shard.hashes), bool)
-            often[shard.order] = np.concatenate(bits).astype(bool)
-            n_words, tokens = len(shard.vocabulary), shard.tokens
-            pair = shard.pairs.at[2]
-            linked = (pair > 0) & often[n_words:][pair - 1] if len(often) > n_words else np.zeros(len(tokens), bool)
-            automaton = SuffixAutomaton(tokens, max_words, linked)
-            vocabulary = pa.array(shard.vocabulary, pa.binary()).cast(pa.string())
-            langs = pa.array(shard.langs, pa.string())
-            neighbour = shard.word_hash.view(np.int64)
+        for row, answers in _answered(batches):
+            shard = _Shard(row)
+            dealt, automaton = shard.triples(n_ranges)
+            ok = np.append(dealt.often(answers), False)[automaton.at[3] - 1]
+            automaton = SuffixAutomaton(shard.tokens, max_words, {3: ok})
+            vocabulary, langs = pa.array(shard.vocabulary, pa.binary()).cast(pa.string()), pa.array(shard.langs, pa.string())
+            neighbour = np.append(shard.word_hash, np.uint64(0)).view(np.int64)
+            none = pa.array([None], pa.int64())
             for k in range(1, max_words + 1):
-                on = np.flatnonzero(often[:n_words]) if k == 1 else np.arange(len(automaton.count[k]))
-                if not len(on):
-                    continue
-                words = [w[on] - 1 for w in automaton.words(tokens, k)]
-                phrase = vocabulary.take(pa.array(words[0])) if k == 1 else pc.binary_join_element_wise(*[vocabulary.take(pa.array(w)) for w in words], " ")
-                sides = [pa.array(neighbour[side[on] - 1], pa.int64(), mask=side[on] == 0) for side in (automaton.left[k], automaton.right[k])]
-                yield pa.RecordBatch.from_arrays([langs.take(pa.array(shard.lang_of[words[0]])), phrase, pa.array(np.full(len(on), k), pa.int32()), pa.array(automaton.count[k][on]), *sides], names=["lang", "phrase", "words", "a", "left", "right"])
-
-    blank = {f: F.lit(None).cast(t) for f, t in (("range", "int"), ("often", "binary"))}
-    rows = docs_shards.drop("sizes").withColumn("kind", F.lit(0)).withColumns(blank)
-    empty = {f: F.lit(None).cast(t) for f, t in (("langs", "array<string>"), ("lang_of", "binary"), ("words", "binary"), ("tokens", "binary"))}
-    rows = rows.unionByName(answers.withColumn("kind", F.lit(1)).withColumns(empty))
-    n_parts = max(shuffle_parts(spark), docs_shards.count() // 4)
-    found = rows.repartition(n_parts, "shard").sortWithinPartitions("shard", "kind", "range").mapInArrow(enumerate_strings, "lang string, phrase string, words int, a long, left long, right long")
+                if k == 1:
+                    words, counts = [np.arange(len(shard.vocabulary))], np.frombuffer(row["totals"], np.int64)
+                    phrase, sides = vocabulary, [none.take(pa.array(np.zeros(len(counts), np.int64)))] * 2
+                else:
+                    words, counts = [w - 1 for w in automaton.words(shard.tokens, k)], automaton.count[k]
+                    phrase = pc.binary_join_element_wise(*[vocabulary.take(pa.array(w)) for w in words], " ") if len(counts) else vocabulary.slice(0, 0)
+                    sides = [pa.array(neighbour[side - 1], pa.int64(), mask=side == 0) for side in (automaton.left[k], automaton.right[k])]
+                yield pa.RecordBatch.from_arrays([langs.take(pa.array(shard.lang_of[words[0]])), phrase, pa.array(np.full(len(counts), k), pa.int32()), pa.array(counts, pa.int64()), *sides], names=["lang", "phrase", "words", "a", "left", "right"])
+
+    runs_ = staged(_with_answers(source.drop("sizes"), "pairs", n_ranges, cap).mapInArrow(cut, "shard long, langs array<string>, lang_of binary, words binary, tokens binary, totals binary"), "phrase-runs")
+    unstage(source)
+    found = _with_answers(runs_, "triples", n_ranges, cap).mapInArrow(enumerate_strings, "lang string, phrase string, words int, a long, left long, right long")
     always = lambda side: (F.count(side) == F.count("*")) & (F.min(side) == F.max(side))
     inside = F.coalesce(always("left") | always("right"), F.lit(False))
-    return found.groupBy("lang", "phrase").agg(F.max("words").alias("words"), F.sum("a").alias("a"), inside.alias("inside")).where(F.col("a") >= min_count)
+    found = found.groupBy("lang", "phrase").agg(F.max("words").alias("words"), F.sum("a").alias("a"), inside.alias("inside")).where(F.col("a") >= min_count)
+    found = staged(found, "phrase-strings")
+    unstage(runs_)
+    return found
 
 
 def mine_phrases(docs: DataFrame, min_count: int = 100, max_words: int = 5, limit: int = 2000, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -252,8 +324,8 @@ def mine_phrases(docs: DataFrame, min_count: int = 100, max_words: int = 5, limi
     floor(1000 * a * n / (l * r)) counts (n: words of the language), ties to the earliest.
 
     Each shard reports the hashes and counts of its words and pairs of words; ranges of hashes add them up and answer which
-    may reach ``min_count`` (a string can't without its pairs, and equal hashes only keep more). Then the shard's automaton
-    enumerates the strings left, and one grouped sum has their exact counts. A phrase lies in a longer one as frequent
+    may reach ``min_count`` (a string can't without its parts, and equal hashes only keep more). So do three words of what
+    is left. Then the shard's automaton enumerates the strings whose parts all may, and one grouped sum has their exact counts. A phrase lies in a longer one as frequent
     just if one word always stands before it, or after it: in every shard its state reaches further left by the same word
     (it is a suffix link's target), or its only transition is the same.
 
@@ -265,7 +337,7 @@ def mine_phrases(docs: DataFrame, min_count: int = 100, max_words: int = 5, limi
     sizes = own.select(F.explode(F.arrays_zip("langs", "sizes")).alias("x")).groupBy(F.col("x.langs").alias("lang")).agg(F.sum("x.sizes").alias("n"))
     sizes = staged(sizes, "phrase-sizes")
     total = sizes.agg(F.sum("n")).first()[0] or 0
-    strings = staged(_strings(own, max(shuffle_parts(spark), total // RANGE_STRINGS), min_count, max_words), "phrase-strings")
+    strings = _strings(own, max(shuffle_parts(spark), total // RANGE_STRINGS), min_count, max_words)
 
     w = F.split("phrase", " ")
     part = lambda start, n: F.array_join(F.slice(w, start, n), " ")
