@@ -6,7 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -14,8 +14,8 @@ from .common import mix, prefix_hash, small_batches, span_hash, staged, text_buf
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 SYMBOLS = b"#*$%&|<>"
-#: Value and the least distance of its quartiles: only a group whose values (nearly) all agree reaches it.
-METRICS = (("word_length", 0.05), ("symbol_share", 0.01), ("dup_line_share", 0.01), ("repeat_share", 0.01))
+#: Metrics, and whether a low value is as odd as a high one.
+METRICS = (("word_length", True), ("symbol_share", False), ("dup_line_share", False), ("repeat_share", False))
 
 
 def count_texts(column: pa.Array, window: int = 8) -> dict[str, np.ndarray]:
@@ -111,43 +111,72 @@ def sketch_quantiles(sketch: DataFrame, keys: Sequence[str], shares: Sequence[fl
     return s.groupBy(*keys, "metric").agg(F.first("count").alias("count"), *picks)
 
 
-def quality_verdicts(docs: DataFrame, least_group: int = 50, fence: float = 4.0, least_words: int = 20, max_repeat: int = 30) -> DataFrame:
+def sketch_spread(sketch: DataFrame, keys: Sequence[str], fence: float, accuracy: float = 0.01) -> DataFrame:
+    """A row for each group and metric: its count, its median and its spread: the root mean square distance from the median
+    of the values within ``fence`` of such distances over all values, so that odd ones don't hide each other. The width of
+    the median's cell is the least, as a sketch tells no closer values apart."""
+    growth = (1 + accuracy) / (1 - accuracy)
+    group = Window.partitionBy(*keys, "metric")
+    value = F.when(F.col("cell") == 0, F.lit(0.0)).otherwise(1e-3 * F.pow(F.lit(growth), F.col("cell") - 0.5))
+    s = sketch.withColumn("upto", F.sum("n").over(group.orderBy("cell").rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("count", F.sum("n").over(group)).withColumn("value", value)
+    s = s.withColumn("median", F.min(F.when(F.col("upto") >= F.col("count") * 0.5, F.col("value"))).over(group)).withColumn("square", F.pow(F.col("value") - F.col("median"), 2))
+    s = s.withColumn("all", F.sum(F.col("n") * F.col("square")).over(group) / F.col("count")).withColumn("near", F.when(F.col("square") <= fence**2 * F.col("all"), F.col("n")).otherwise(0))
+    spread = F.sqrt(F.sum(F.col("near") * F.col("square")) / F.sum("near"))
+    out = s.groupBy(*keys, "metric").agg(F.first("count").cast("double").alias("count"), F.first("median").alias("median"), spread.alias("spread"))
+    return out.withColumn("spread", F.greatest("spread", 2 * accuracy * F.col("median")))
+
+
+def adaptive_limits(sketch: DataFrame, fence: float, prior: float) -> DataFrame:
+    """_lang, _source and for each metric a struct ``_metric`` of low and high, from a sketch by lang and source.
+
+    The limits lie ``fence`` spreads off the median. A group's limits are mixed with its language's, and those with all documents', by weight: its number
+    of documents against ``prior``. So a large group follows its own values, a small one mostly its language, and nothing jumps at
+    any size."""
+    limits = sketch.select("lang", "source", "metric").distinct()
+    for depth, keys in enumerate((["lang", "source"], ["lang"], [])):
+        q = sketch_spread(merge_sketches(sketch, keys), keys, fence)
+        off = fence * F.col("spread")
+        q = q.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("metric").alias("_metric"), F.col("count").alias(f"n{depth}"), (F.col("median") - off).alias(f"low{depth}"), (F.col("median") + off).alias(f"high{depth}"))
+        on = F.col("metric") == F.col("_metric")
+        for k in keys:
+            on = on & F.col(k).eqNullSafe(F.col(f"_{k}"))
+        limits = limits.join(q, on, "left").drop("_metric", *[f"_{k}" for k in keys])
+
+    def mixed(side: str) -> Column:
+        out = F.col(f"{side}2")
+        for depth in (1, 0):
+            own, n = F.col(f"{side}{depth}"), F.col(f"n{depth}")
+            out = F.coalesce((n * own + prior * out) / (n + prior), own, out)
+        return out
+
+    sided = F.col("metric").isin(*[m for m, both in METRICS if both])
+    limits = limits.select("lang", "source", "metric", F.struct(F.when(sided, mixed("low")).otherwise(F.lit(float("-inf"))).alias("low"), mixed("high").alias("high")).alias("at"))
+    return limits.groupBy(F.col("lang").alias("_lang"), F.col("source").alias("_source")).agg(*[F.max(F.when(F.col("metric") == m, F.col("at"))).alias(f"_{m}") for m, _ in METRICS])
+
+
+def with_shares(counts: DataFrame) -> DataFrame:
+    """The counts with the metrics' values: shares of symbols (of letters in words), of repeated lines (of lines with a word)
+    and of repeated words, and the mean word length; 0 for none."""
+    share = {"word_length": ("word_chars", "n_words"), "symbol_share": ("n_symbols", "word_chars"), "dup_line_share": ("n_dup_lines", "n_lines"), "repeat_share": ("n_repeat_words", "n_words")}
+    return counts.withColumns({name: F.when(F.col(bottom) > 0, F.col(top) / F.col(bottom)).otherwise(F.lit(0.0)) for name, (top, bottom) in share.items()})
+
+
+def quality_verdicts(docs: DataFrame, fence: float = 3.5, prior: float = 50.0, least_words: int = 20, max_repeat: int = 30) -> DataFrame:
     """doc_id, lang, source, the counts, base_failed and kept.
 
     A document fails the base rules with fewer than ``least_words`` words or more than ``max_repeat`` percent of its
-    words in repeated windows. Of the rest, each (lang, source) group has its own thresholds for mean word length and
-    the shares of symbols (of letters in words), repeated lines (of lines with a word) and repeated words: quartiles from
-    the group's sketch widened by ``fence`` times their distance, where a distance below a metric's floor counts as the
-    floor. Groups of fewer than ``least_group``
-    documents take the thresholds of their language, merged from the same sketches, or of all documents if that is
-    small too. A threshold table row exists for each group, so verdicts come from a join and nothing is collected.
+    words in repeated windows. The rest are held against the limits of their (lang, source) group (``adaptive_limits``), which
+    the group's quantile sketch of documents that pass the base rules gives. A limit table row exists for each group, so
+    verdicts come from a join and nothing is collected.
 
     Null and empty texts have no words and fail. Null lang and source are groups of their own. Repeated rows each get
     their verdict; an empty table gives none."""
     counts = staged(text_counts(docs), "quality-counts")
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > max_repeat * F.col("n_words"))
-    d = counts.withColumn("base_failed", failed)
-    share = {"word_length": ("word_chars", "n_words"), "symbol_share": ("n_symbols", "word_chars"), "dup_line_share": ("n_dup_lines", "n_lines"), "repeat_share": ("n_repeat_words", "n_words")}
-    for name, (top, bottom) in share.items():
-        d = d.withColumn(name, F.when(F.col(bottom) > 0, F.col(top) / F.col(bottom)).otherwise(F.lit(0.0)))
+    d = with_shares(counts.withColumn("base_failed", failed))
     names = [m for m, _ in METRICS]
-    base = staged(quantile_sketch(d.where(~F.col("base_failed")), ["lang", "source"], names), "quality-sketch")
-    levels = [(["lang", "source"], base), (["lang"], merge_sketches(base, ["lang"])), ([], merge_sketches(base, []))]
-    limits = base.select("lang", "source", "metric").distinct()
-    for depth, (keys, sketch) in enumerate(levels):
-        q = sketch_quantiles(sketch, keys, (0.25, 0.75))
-        floor = F.element_at(F.create_map(*[x for m, least in METRICS for x in (F.lit(m), F.lit(least))]), F.col("metric"))
-        spread = fence * F.greatest(F.col("q1") - F.col("q0"), floor)
-        low, high = F.col("q0") - spread, F.col("q1") + spread
-        q = q.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("metric").alias("_metric"), F.struct("count", low.alias("low"), high.alias("high")).alias(f"at{depth}"))
-        on = F.col("metric") == F.col("_metric")
-        for k in keys:
-            on = on & F.col(k).eqNullSafe(F.col(f"_{k}"))
-        limits = limits.join(q, on).drop("_metric", *[f"_{k}" for k in keys])
-    pick = F.when(F.col("at0.count") >= least_group, F.col("at0")).when(F.col("at1.count") >= least_group, F.col("at1")).otherwise(F.col("at2"))
-    limits = limits.select("lang", "source", "metric", pick.alias("at"))
-    wide = limits.groupBy(F.col("lang").alias("_lang"), F.col("source").alias("_source")).agg(*[F.max(F.when(F.col("metric") == m, F.col("at"))).alias(f"_{m}") for m in names])
-    wide = staged(wide, "quality-limits")
+    sketch = staged(quantile_sketch(d.where(~F.col("base_failed")), ["lang", "source"], names), "quality-sketch")
+    wide = staged(adaptive_limits(sketch, fence, prior), "quality-limits")
     out = d.join(wide, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
     inside = F.lit(True)
     for m in names:
