@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.ipc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -220,6 +221,38 @@ class _Shard:
         return _Dealt(_joined_hash(own.words(self.tokens, 3), self.hashes), own.count[3], n_ranges), own
 
 
+_MERGE = {"words": "max", "a": "sum", "shards": "sum", "left_n": "sum", "left_min": "min", "left_max": "max", "right_n": "sum", "right_min": "min", "right_max": "max"}
+
+
+def _counted(shard: _Shard, automaton: SuffixAutomaton, totals: np.ndarray, k: int) -> tuple[np.ndarray, pa.Table]:
+    """Hashes of a shard's strings of k words, and a row for each: its count, and for either side whether (1 or 0) and which one
+    word always stands there."""
+    vocabulary, langs = pa.array(shard.vocabulary, pa.binary()).cast(pa.string()), pa.array(shard.langs, pa.string())
+    tokens = [np.arange(1, len(shard.vocabulary) + 1)] if k == 1 else automaton.words(shard.tokens, k)
+    counts = totals if k == 1 else automaton.count[k]
+    phrase = vocabulary if k == 1 else pc.binary_join_element_wise(*[vocabulary.take(pa.array(w - 1)) for w in tokens], " ") if len(counts) else vocabulary.slice(0, 0)
+    neighbour = np.append(shard.word_hash, np.uint64(0)).view(np.int64)
+    columns = [langs.take(pa.array(shard.lang_of[tokens[0] - 1])), phrase, pa.array(np.full(len(counts), k), pa.int32()), pa.array(counts, pa.int64()), pa.array(np.ones(len(counts), np.int64))]
+    for side in (automaton.left[k], automaton.right[k]):
+        side = np.zeros(len(counts), np.int64) if k == 1 else side
+        word = pa.array(neighbour[side - 1], pa.int64(), mask=side == 0)
+        columns += [pa.array((side > 0).astype(np.int64)), word, word]
+    return _joined_hash(tokens, shard.hashes), pa.table(columns, names=["lang", "phrase", *_MERGE])
+
+
+def _packed(strings: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, strings.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(strings.combine_chunks())
+    return sink.getvalue().to_pybytes()
+
+
+def _merged(tables: list[pa.Table]) -> pa.Table:
+    """One row for each string: counts added up, the neighbours' least and largest."""
+    grouped = pa.concat_tables(tables).group_by(["lang", "phrase"], use_threads=False).aggregate(list(_MERGE.items()))
+    return grouped.select(["lang", "phrase", *[f"{c}_{f}" for c, f in _MERGE.items()]]).rename_columns(["lang", "phrase", *_MERGE])
+
+
 def _with_answers(source: DataFrame, strings: str, n_ranges: int, cap: int) -> DataFrame:
     """The shards of ``source``, each followed by what the ranges answer on its ``strings`` (pairs or triples): one bit for
     each string, whether its counts in all shards add up to ``cap`` or more. Rows of a shard stand together, it first."""
@@ -291,25 +324,32 @@ def _strings(source: DataFrame, n_ranges: int, min_count: int, max_words: int) -
             dealt, automaton = shard.triples(n_ranges)
             ok = np.append(dealt.often(answers), False)[automaton.at[3] - 1]
             automaton = SuffixAutomaton(shard.tokens, max_words, {3: ok})
-            vocabulary, langs = pa.array(shard.vocabulary, pa.binary()).cast(pa.string()), pa.array(shard.langs, pa.string())
-            neighbour = np.append(shard.word_hash, np.uint64(0)).view(np.int64)
-            none = pa.array([None], pa.int64())
-            for k in range(1, max_words + 1):
-                if k == 1:
-                    words, counts = [np.arange(len(shard.vocabulary))], np.frombuffer(row["totals"], np.int64)
-                    phrase, sides = vocabulary, [none.take(pa.array(np.zeros(len(counts), np.int64)))] * 2
-                else:
-                    words, counts = [w - 1 for w in automaton.words(shard.tokens, k)], automaton.count[k]
-                    phrase = pc.binary_join_element_wise(*[vocabulary.take(pa.array(w)) for w in words], " ") if len(counts) else vocabulary.slice(0, 0)
-                    sides = [pa.array(neighbour[side - 1], pa.int64(), mask=side == 0) for side in (automaton.left[k], automaton.right[k])]
-                yield pa.RecordBatch.from_arrays([langs.take(pa.array(shard.lang_of[words[0]])), phrase, pa.array(np.full(len(counts), k), pa.int32()), pa.array(counts, pa.int64()), *sides], names=["lang", "phrase", "words", "a", "left", "right"])
+            parts = [_counted(shard, automaton, np.frombuffer(row["totals"], np.int64), k) for k in range(1, max_words + 1)]
+            hashes, strings = np.concatenate([h for h, _ in parts]), pa.concat_tables([t for _, t in parts])
+            dealt = _Dealt(hashes, np.zeros(len(hashes), np.int64), n_ranges)
+            strings = strings.take(pa.array(dealt.order))
+            some = np.flatnonzero(np.diff(dealt.cuts))
+            packed = [_packed(strings.slice(dealt.cuts[r], dealt.cuts[r + 1] - dealt.cuts[r])) for r in some]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(packed, pa.binary())], names=["range", "strings"])
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, own in runs(batches, "range"):
+            total, more, rows = None, [], 0
+            for batch in own:
+                for raw in batch.column("strings").to_pylist():
+                    more.append(pa.ipc.open_stream(raw).read_all())
+                    rows += more[-1].num_rows
+                    if rows > 500_000:
+                        total, more, rows = _merged([*([] if total is None else [total]), *more]), [], 0
+            total = _merged([*([] if total is None else [total]), *more])
+            always = [pc.and_kleene(pc.equal(total.column(f"{side}_n"), total.column("shards")), pc.equal(total.column(f"{side}_min"), total.column(f"{side}_max"))) for side in ("left", "right")]
+            total = total.select(["lang", "phrase", "words", "a"]).append_column("inside", pc.fill_null(pc.or_kleene(*always), False))
+            yield from total.filter(pc.greater_equal(total.column("a"), min_count)).combine_chunks().to_batches()
 
     runs_ = staged(_with_answers(source.drop("sizes"), "pairs", n_ranges, cap).mapInArrow(cut, "shard long, langs array<string>, lang_of binary, words binary, tokens binary, totals binary"), "phrase-runs")
     unstage(source)
-    found = _with_answers(runs_, "triples", n_ranges, cap).mapInArrow(enumerate_strings, "lang string, phrase string, words int, a long, left long, right long")
-    always = lambda side: (F.count(side) == F.count("*")) & (F.min(side) == F.max(side))
-    inside = F.coalesce(always("left") | always("right"), F.lit(False))
-    found = found.groupBy("lang", "phrase").agg(F.max("words").alias("words"), F.sum("a").alias("a"), inside.alias("inside")).where(F.col("a") >= min_count)
+    found = _with_answers(runs_, "triples", n_ranges, cap).mapInArrow(enumerate_strings, "range int, strings binary")
+    found = found.repartition(n_ranges, "range").sortWithinPartitions("range").mapInArrow(add_up, "lang string, phrase string, words int, a long, inside boolean")
     found = staged(found, "phrase-strings")
     unstage(runs_)
     return found
