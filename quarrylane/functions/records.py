@@ -100,23 +100,16 @@ def mask_id_pages(pages: Column) -> Column:
     return F.transform(pages, lambda p: F.when(p["type"].isin(*ID_TYPES), F.lit("[ID PAGE]")).otherwise(scrub_passports(p["text"])))
 
 
+# The sign of a city before its name.
+CITY_SIGN = r"(?iuU)^\s*(?:г\.?|город)\s+"
+
+
 def city(raw: Column) -> Column:
     """The name of a city: without its sign, up to a comma or bracket."""
-    name = F.trim(F.get(F.split(F.regexp_replace(raw, r"(?iuU)^\s*(?:г\.?|город)\s+", ""), r"[,(]"), F.lit(0)))
+    name = F.trim(F.get(F.split(F.regexp_replace(raw, CITY_SIGN, ""), r"[,(]"), F.lit(0)))
     return F.nullif(name, F.lit(""))
 
 
-def canonical_fields(record: Column, inn_parties: Sequence[str] = INN_PARTIES) -> Column:
-    """Canonical values by path, of those that are valid: taxpayer numbers, plate, references, cities of the route (with
-    fallbacks), currency. The record itself stays."""
-    pairs = [(normalize_inn(path(record, f"{p}.inn")), f"{p}.inn") for p in inn_parties]
-    pairs += [(plate(path(record, p)), p) for p in ("vehicle.plate", "vehicle.trailer_plate")]
-    pairs += [(F.nullif(F.upper(F.trim(path(record, "order_ref"))), F.lit("")), "order_ref"), (F.nullif(F.trim(path(record, "permit_no")), F.lit("")), "permit_no")]
-    for end in ("from", "to"):
-        pairs.append((F.coalesce(*[city(path(record, p)) for p in (f"route_{end}", f"transport.route.{end}", f"route.{end}")]), f"route.{end}_canonical"))
-    return F.map_from_entries(_entries(*[(v.isNotNull(), F.lit(k), v) for v, k in pairs]))
-
-
 def lift_items(items: Column | None, legacy: dict[str, Column]) -> Column:
     """The items array, else the first legacy one that isn't empty."""
     return F.coalesce(*([] if items is None else [items]), *[F.when(F.size(legacy[k]) > 0, legacy[k]) for k in LEGACY_ITEMS if k in legacy])

@@ -133,19 +133,6 @@ def sanitize_inns(spark, sf):
     return _customers(spark, sf).select("c_custkey", rc.path(new, "seller.inn").alias("seller"), rc.path(new, "buyer.inn").alias("buyer"), F.array_join(F.transform(F.map_entries(gone), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",").alias("dropped"))
 
 
-CITIES = (" г. Москва, Россия", "город Рига (порт)", "Минск", "", None)
-
-
-@query(f"""SELECT k AS c_custkey, 'buyer.inn=' || inn || CASE WHEN k % 2 = 0 THEN ';order_ref=AB-' || k ELSE '' END || CASE WHEN k % 5 < 3 THEN ';route.from_canonical=' || {sql_pick('k', ('Москва', 'Рига', 'Минск', None, None))} ELSE ';route.from_canonical=Брест' END || CASE WHEN k % 4 = 0 THEN ';seller.inn=' || inn ELSE '' END
- || CASE WHEN k % 3 = 0 THEN ';vehicle.plate=А' || lpad((k % 1000)::VARCHAR, 3, '0') || 'ВС77' ELSE '' END AS canonical FROM {INN_SQL} t""")
-def canonical_fields(spark, sf):
-    k = F.col("c_custkey")
-    plate = F.when(k % 3 == 0, F.concat(F.lit("a"), F.lpad((k % 1000).cast("string"), 3, "0"), F.lit(" bc-77"))).otherwise(F.lit("none"))
-    more = record(order_ref=F.when(k % 2 == 0, F.concat(F.lit(" ab-"), k)), route_from=pick(k, CITIES), route__from=F.lit("Брест"), vehicle__plate=plate)
-    c = _customers(spark, sf).select("c_custkey", rc.canonical_fields(F.map_concat("r", more)).alias("m"))
-    return c.select("c_custkey", F.array_join(F.array_sort(F.transform(F.map_entries("m"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ";").alias("canonical"))
-
-
 @query(f"""SELECT k AS c_custkey, round(CASE k % 4 WHEN 0 THEN 0.95 WHEN 1 THEN CASE WHEN k % 3 = 0 THEN 0.3 ELSE 0.35 END WHEN 2 THEN CASE WHEN k % 3 = 0 THEN 0.3 ELSE 0.3 END ELSE CASE WHEN k % 3 = 0 THEN 0.6 END END, 6)::DOUBLE AS seller, CASE WHEN k % 3 = 0 THEN 0.99 ELSE 0.95 END::DOUBLE AS buyer, 0.7::DOUBLE AS number, CASE WHEN k % 5 = 0 THEN 0.9 ELSE 0.4 END::DOUBLE AS plate FROM {INN_SQL} t""")
 def field_confidence_map(spark, sf):
     k = F.col("c_custkey")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import answers, recover, signals, trees
+from ..functions import answers, canonical, recover, signals, trees
 from ..functions.values import INN_10
 from ..sources.views import table
 from .extract_queries import INN_SQL, pick, sql_pick
@@ -145,3 +145,48 @@ def canonical_answers(spark, sf):
     paid = F.aggregate(F.transform(items, lambda i: trees.number(trees.at(i, "price"))), F.lit(0.0), lambda a, v: a + v)
     got = done.select("id", *[trees.text_at(F.col("x"), p).alias(n) for n, p in (("number", "number"), ("currency", "currency"), ("buyer", "buyer.name"), ("account", "seller.account"))], trees.number_at(F.col("x"), "total").alias("total"), F.size(items).cast("long").alias("n_items"), paid.alias("paid"))
     return got.select("id", "number", "total", "currency", "buyer", "account", "n_items", F.when(F.col("n_items") > 0, F.round("paid", 2)).alias("price"), (F.col("id") % 5).isin(1, 3, 4).alias("marked"))
+
+
+def _joined(parts: list[str]) -> str:
+    return "array_to_string(list_sort(list_filter([" + ", ".join(parts) + "], lambda x: x IS NOT NULL) || more), ';')"
+
+
+CITY_SQL = "CASE k % 6 WHEN 0 THEN 'Москва' WHEN 1 THEN name WHEN 2 THEN 'Рига' WHEN 3 THEN 'Минск' WHEN 4 THEN name ELSE 'Порт' END"
+CANONICAL_SQL = f"""WITH i AS {INN_SQL}, l AS (SELECT l_orderkey AS k, list(l_partkey ORDER BY l_linenumber, l_partkey) AS p FROM lineitem GROUP BY 1),
+ d AS (SELECT o_orderkey AS k, c_name AS name, inn, lpad((o_orderkey % 1000)::VARCHAR, 3, '0') AS n3, upper(c_mktsegment) AS seg, p FROM orders JOIN customer ON c_custkey = o_custkey JOIN i ON i.k = o_custkey JOIN l ON l.k = o_orderkey),
+ e AS (SELECT *, flatten(list_transform(p, lambda x, j: ['containers.' || (j - 1) || '.number=MSKU' || x, 'items.' || (j - 1) || '.hs_code=' || (100000 + x)])) || list_transform(list_filter(list_transform(p, lambda x, j: CASE WHEN x % 2 = 0 THEN 'containers.' || (j - 1) || '.seal=S' || x END), lambda y: y IS NOT NULL), lambda y: y) AS more FROM d)
+ SELECT k AS id, {_joined([
+    *[f"CASE WHEN k % 8 = {i} THEN '{p}=' || inn END" for i, p in enumerate(("seller.inn", "buyer.inn", "shipper.inn", "consignee.inn", "carrier.inn", "payer.inn", "recipient.inn"))],
+    "CASE WHEN k % 3 = 0 THEN 'vehicle.plate=А' || n3 || 'ВС77' END", "CASE WHEN k % 5 = 0 THEN 'vehicle.license_plate=О' || n3 || 'ХХ777' END",
+    "CASE WHEN k % 2 = 0 THEN 'order_ref=' || seg END", "CASE WHEN k % 7 = 0 THEN 'permit_no=77-' || k END", "CASE WHEN k % 7 = 1 THEN 'seal_number=X' || k END",
+    f"'route.from_canonical=' || {CITY_SQL}", f"'route.to_canonical=' || {CITY_SQL}",
+    "CASE k % 4 WHEN 0 THEN 'currency=RUB' WHEN 1 THEN 'currency=EUR' WHEN 2 THEN 'currency=USD' END", "CASE WHEN k % 9 = 0 THEN 'declared_value.currency=CNY' END", "CASE WHEN k % 5 = 1 THEN 'hs_codes.0=' || (10000000 + k) END",
+    "CASE WHEN k % 3 = 0 THEN 'vehicle.plate.script=latin' ELSE 'vehicle.plate.script=cyrillic' END", "CASE WHEN k % 5 = 0 THEN 'vehicle.license_plate.script=mixed' END", "CASE WHEN k % 7 = 2 THEN 'transport_identity.truck_plate.script=latin' END", "CASE WHEN k % 6 = 4 THEN 'driver.script=cyrillic' ELSE 'driver.script=latin' END",
+ ])} AS canonical FROM e"""
+
+
+@query(CANONICAL_SQL)
+def canonical_fields(spark, sf):
+    """Records with every field that has a canonical form, by turns."""
+    o, c = table(spark, sf, "orders"), table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name", "c_mktsegment", _inn(F.col("c_custkey")).alias("inn"))
+    lines = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("l"))
+    k, name, inn = F.col("o_orderkey"), F.col("c_name"), F.col("inn")
+    three, text = F.lpad((k % 1000).cast("string"), 3, "0"), lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    party = lambda i: F.struct(F.when(k % 8 == i, text("ИНН ", F.substring("inn", 1, 4), " ", F.substring("inn", 5, 6))).otherwise(F.lit("7700000000")).alias("inn"))
+    part = lambda x: x["l_partkey"].cast("string")
+    end = lambda e, load, port: (F.when(k % 6 == 0, "г. Москва, Россия").when(k % 6 == 1, "  ").alias(f"route_{e}"), F.when(k % 6 == 2, " Рига ").alias(f"{e}_city"), F.when(k % 6 == 4, name).alias(load), F.lit("Порт").alias(port))
+    a, b = end("from", "place_of_loading", "port_of_loading"), end("to", "delivery_place", "port_of_discharge")
+    record = F.struct(
+        *[party(i).alias(p) for i, p in enumerate(("seller", "buyer", "shipper", "consignee", "carrier", "payer", "recipient"))],
+        F.struct(F.when(k % 3 == 0, text("a", three, " bc-77")).otherwise(F.lit("нет")).alias("plate"), F.when(k % 5 == 0, text("O", three, "Хх 777")).alias("license_plate")).alias("vehicle"),
+        F.when(k % 2 == 0, text(" ", F.lower("c_mktsegment"), " ")).alias("order_ref"), F.when(k % 7 == 0, text("77-", k.cast("string"), " ")).alias("permit_no"), F.when(k % 7 == 1, text("x", k.cast("string"))).alias("seal_number"),
+        a[0], b[0],
+        F.struct(F.struct(F.when(k % 6 == 1, text("город ", name, " (склад)")).alias("from"), F.when(k % 6 == 1, text("г ", name, ", склад")).alias("to")).alias("route")).alias("transport"),
+        F.struct(a[1], b[1], F.when(k % 6 == 3, "Минск, 1").alias("from"), F.when(k % 6 == 3, "Минск (2)").alias("to")).alias("route"), a[2], a[3], b[2], b[3],
+        F.transform("l", lambda x: F.struct(text(" msku", part(x)).alias("number"), F.when(x["l_partkey"] % 2 == 0, text("s", part(x))).alias("seal"))).alias("containers"),
+        F.transform("l", lambda x: F.struct(F.when(x["l_partkey"] % 2 == 0, (x["l_partkey"] + 100000).cast("string")).otherwise(text("1 ", F.lpad(part(x), 5, "0"))).alias("hs_code"))).alias("items"),
+        pick(k, ("руб.", "€", "usd", "монет")).alias("currency"), F.struct(F.when(k % 9 == 0, "Юань").alias("currency")).alias("declared_value"), F.when(k % 5 == 1, F.array((k + 10000000).cast("string"), F.lit("12"))).alias("hs_codes"),
+        F.struct(F.when(k % 7 == 2, "AB 12").alias("truck_plate"), F.lit("123").alias("trailer_plate")).alias("transport_identity"), F.struct(F.when(k % 6 == 4, "Иванов").alias("fio"), name.alias("fullName")).alias("driver"),
+    )
+    made = o.join(c, "o_custkey").join(lines, "o_orderkey").select(k.alias("id"), canonical.canonical_fields(F.try_parse_json(F.to_json(record))).alias("m"))
+    return made.select("id", F.array_join(F.array_sort(F.transform(F.map_entries("m"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ";").alias("canonical"))
