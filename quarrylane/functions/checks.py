@@ -98,20 +98,24 @@ _ALL = (money_sanity, parties_differ, date_range, weight_nett_le_gross, inn_chec
 _ALL += (items_total_sum, items_vat_rates, items_unit_known, items_line_consistency, items_hs_code_format)
 VALIDATORS = {f.__name__: f for f in _ALL}
 # What a type's records are checked for where its own row names no validators.
+_INVOICE = ("inn_checksum:seller_inn", "inn_checksum:buyer_inn", "parties_differ:seller_inn,buyer_inn", "money_sanity:total", "vat_consistency")
 BY_TYPE = {
-    "invoice": ("inn_checksum:seller_inn", "inn_checksum:buyer_inn", "parties_differ:seller_inn,buyer_inn", "money_sanity:total", "vat_consistency"),
+    "invoice": _INVOICE,
+    "factInvoice": _INVOICE,
+    "UPD": _INVOICE,
     "TTN": ("inn_checksum:seller_inn", "vehicle_plate:plate"),
     "CMR": ("country_code:country", "weight_nett_le_gross:nett,gross"),
     "AKT": ("inn_checksum:seller_inn", "inn_checksum:buyer_inn", "parties_differ:seller_inn,buyer_inn", "money_sanity:total"),
 }
 
 
-def issues_by_type(doc_type: Column, specs: dict[str, Sequence[str]]) -> Column:
-    """Issues under the specs of each row's type; a type without specs has none."""
+def issues_by_type(doc_type: Column, specs: dict[str, Sequence[str]], dated: Sequence[str] = ("date_range:date",)) -> Column:
+    """Issues under the specs of each row's type, then under ``dated``, which every type is checked for. Types with equal specs
+    share an expression; a type without specs has only the latter's."""
     out = F.expr("CAST(array() AS array<string>)")
-    for name, own in specs.items():
-        out = F.when(doc_type == name, issues(own)).otherwise(out)
-    return out
+    for own in dict.fromkeys(map(tuple, specs.values())):
+        out = F.when(doc_type.isin(*[name for name, s in specs.items() if tuple(s) == own]), issues(own)).otherwise(out)
+    return F.concat(out, issues(dated))
 
 
 def issues(specs: Sequence[str]) -> Column:

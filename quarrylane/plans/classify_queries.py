@@ -86,12 +86,13 @@ def type_corrections(spark, sf):
     return table(spark, sf, "events").select("event_id", sl.correct_specification(slug, text).alias("spec"), sl.correct_weight_page(slug, text).alias("weight"))
 
 
-@query("""SELECT string_agg(CASE WHEN p_partkey % 3 = 0 THEN p_brand || ' — ' || p_name WHEN p_partkey % 3 = 1 THEN p_brand || ' — ' || p_type ELSE p_brand END, chr(10) ORDER BY p_partkey) AS catalogue FROM part WHERE p_partkey <= 40""")
+@query("""SELECT p_brand AS brand, string_agg(CASE WHEN p_partkey % 3 = 0 THEN p_type || ' — ' || p_name WHEN p_partkey % 3 = 1 THEN p_type || ' — ' || left(p_name || ' of ' || p_brand, 80) ELSE p_type END, chr(10) ORDER BY p_partkey) AS catalogue FROM part GROUP BY 1""")
 def catalogue_text(spark, sf):
+    """The catalogue of each brand's parts, as an organisation has one of its types."""
     k = F.col("p_partkey")
-    line = sl.catalogue_line(F.col("p_brand"), F.when(k % 3 == 0, F.concat(F.lit(" "), F.col("p_name"))), F.when(k % 3 == 1, F.replace("p_type", F.lit(" "), F.lit("  \n"))))
-    rows = table(spark, sf, "part").where("p_partkey <= 40").select(F.struct("p_partkey", line.alias("line")).alias("r"))  # a catalogue is a prompt's few types
-    return rows.agg(F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["line"]), "\n").alias("catalogue"))
+    line = sl.catalogue_line(F.col("p_type"), F.when(k % 3 == 0, F.concat(F.lit(" "), F.col("p_name"))), F.when(k % 3 == 1, F.concat(F.col("p_name"), F.lit("  of\n "), F.col("p_brand"))))
+    rows = table(spark, sf, "part").groupBy(F.col("p_brand").alias("brand")).agg(F.array_sort(F.collect_list(F.struct("p_partkey", line.alias("line")))).alias("r"))
+    return rows.select("brand", F.array_join(F.transform("r", lambda r: r["line"]), "\n").alias("catalogue"))
 
 
 @query("""SELECT event_id, CASE WHEN event_id % 2 = 0 AND event_id % 3 > 0 THEN CASE WHEN event_id % 5 > 0 THEN 'text,cloud,local' ELSE 'cloud,local' END ELSE CASE WHEN event_id % 5 > 0 THEN 'text,local' ELSE 'local' END END AS chain FROM events""")

@@ -8,7 +8,7 @@ from ..functions import checks as ck
 from ..functions import fields as fd
 from ..functions import values as vl
 from ..functions import text as tx
-from ..operators import classify, evaluate, tables
+from ..operators import classify, costs, evaluate, tables
 from ..sources.views import items, jobs, table
 from .extract_queries import pick, sql_pick
 from .queries import ITEMS, JOBS, _round, query
@@ -179,10 +179,36 @@ def format_kind(spark, sf):
     return table(spark, sf, "events").select("event_id", ck.format_kind(mime, F.lit("Book.XLS")).alias("kind"))
 
 
-@query("SELECT 'USD' AS code, 81.25::DOUBLE AS rate UNION ALL SELECT 'JPY', 0.5::DOUBLE")
+#: A region's daily feed has an entry for each of its nations: what its suppliers hold, for 1, 10 or 100 units.
+FEED_SQL = """WITH v AS (SELECT n_regionkey AS region, n_nationkey AS k, 'X' || chr(65 + CAST(n_nationkey % 26 AS INTEGER)) || 'Q' AS code, [1, 10, 100][CAST(n_nationkey % 3 + 1 AS INTEGER)] AS nominal, round(abs(sum(s_acctbal)), 2) AS value FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY ALL),
+ f AS (SELECT region, code, value / nominal AS rate, nominal, DATE '2026-02-01' + CAST(region AS INTEGER) AS day FROM v WHERE value IS NOT NULL)"""
+
+
+def daily_feeds(spark, sf):
+    """region, xml: a feed of rates for each region."""
+    held = table(spark, sf, "supplier").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.abs(F.sum("s_acctbal")).alias("value"))
+    n = table(spark, sf, "nation").join(held, "n_nationkey", "left")
+    k = F.col("n_nationkey")
+    value = F.when(F.col("value").isNotNull(), F.concat(F.lit("<Value>"), F.replace(F.format_string("%.2f", "value"), F.lit("."), F.lit(",")), F.lit("</Value>"))).otherwise("")
+    entry = F.concat(F.lit('<Valute ID="'), k.cast("string"), F.lit('"><CharCode>X'), F.char(65 + k % 26), F.lit("Q</CharCode><Nominal>"), F.element_at(F.array(F.lit("1"), F.lit("10"), F.lit("100")), (k % 3 + 1).cast("int")), F.lit("</Nominal>"), value, F.lit("</Valute>"))
+    head = F.concat(F.lit("<ValCurs Date='"), F.date_format(F.date_add(F.lit("2026-02-01").cast("date"), F.col("region").cast("int")), "dd.MM.yyyy"), F.lit("'>"))
+    feeds = n.groupBy(F.col("n_regionkey").alias("region")).agg(F.array_join(F.array_sort(F.collect_list(entry)), "\n").alias("entries"))
+    return feeds.select("region", F.concat(head, F.col("entries"), F.lit("</ValCurs>")).alias("xml"))
+
+
+@query(f"{FEED_SQL} SELECT region, code, round(rate, 6) AS rate, nominal, strftime(day, '%Y-%m-%d') AS day FROM f")
 def fx_feed(spark, sf):
-    xml = "<ValCurs Date='01.02.2026'><Valute><CharCode>USD</CharCode><Nominal>1</Nominal><Value>81,25</Value></Valute><Valute><CharCode>JPY</CharCode><Nominal>100</Nominal><Value>50,0</Value></Valute><Valute><CharCode>EUR</CharCode><Nominal>1</Nominal></Valute></ValCurs>"
-    return spark.range(1).select(F.explode(ck.fx_feed(F.lit(xml))).alias("r")).select("r.code", "r.rate")
+    rates = daily_feeds(spark, sf).select("region", F.explode(ck.fx_feed(F.col("xml"))).alias("r"))
+    return rates.select("region", "r.code", F.round("r.rate", 6).alias("rate"), "r.nominal", F.col("r.day").cast("string").alias("day"))
+
+
+@query(FEED_SQL + """, w AS (SELECT DISTINCT 'X' || chr(65 + CAST(c_nationkey % 26 AS INTEGER)) || 'Q' AS code, c_nationkey AS k FROM customer UNION SELECT 'GBP', NULL UNION SELECT 'CHF', NULL), o AS (SELECT code, rate, day FROM f WHERE region < 3)
+ SELECT code, round(CASE WHEN rate > 0 THEN rate WHEN code = 'GBP' THEN 90.0 WHEN code IN ('XAQ', 'XMQ') THEN 1.5 END, 6)::DOUBLE AS rate, CASE WHEN rate > 0 THEN 'bank:' || strftime(day, '%Y-%m-%d') WHEN code IN ('GBP', 'XAQ', 'XMQ') THEN 'config' ELSE 'none' END AS source FROM w LEFT JOIN o USING (code)""")
+def resolve_rates(spark, sf):
+    """Rates of the customers' currencies from three regions' feeds, else configured, else none."""
+    daily = daily_feeds(spark, sf).where("region < 3").select(F.explode(ck.fx_feed(F.col("xml"))).alias("r")).select("r.*")
+    wanted = table(spark, sf, "customer").select(F.concat(F.lit("x"), F.char(65 + F.col("c_nationkey") % 26), F.lit("q")).alias("code")).distinct().unionByName(spark.createDataFrame([("gbp",), ("CHF",)], "code string"))
+    return costs.resolve_rates(wanted, daily, {"GBP": 90.0, "XAQ": 1.5, "XMQ": 1.5}).withColumn("rate", F.round("rate", 6))
 
 
 _KINDS = ("string", "money", "percent", "date", "inn", "kpp", "account", "plate", "country", "integer", "number")

@@ -248,10 +248,12 @@ def validate_items(spark, sf):
     return docs.select("doc", F.array_join(ck.issues(LINE_SPECS), ";").alias("issues"))
 
 
-@query(f"""SELECT k AS c_custkey, CASE k % 5 WHEN 0 THEN concat_ws(';', 'seller_inn equals buyer_inn', 'total out of range') WHEN 1 THEN 'plate malformed' WHEN 2 THEN concat_ws(';', 'country malformed', 'nett exceeds gross') WHEN 3 THEN concat_ws(';', 'seller_inn equals buyer_inn', 'total out of range') ELSE '' END AS issues FROM {INN_SQL} t""")
+@query(f"""SELECT k AS c_custkey, concat_ws(';', CASE WHEN k % 7 IN (0, 3, 5, 6) THEN 'seller_inn equals buyer_inn;total out of range' WHEN k % 7 = 1 THEN 'plate malformed' WHEN k % 7 = 2 THEN 'country malformed;nett exceeds gross' END,
+ {sql_pick('k', (None, 'date out of range', "date doesn't exist", 'date malformed', None, 'date out of range'))}) AS issues FROM {INN_SQL} t""")
 def issues_by_type(spark, sf):
     k, inn = F.col("c_custkey"), _inn(F.col("c_custkey"))
-    t = table(spark, sf, "customer").select("c_custkey", pick(k, ("invoice", "TTN", "CMR", "AKT", "letter")).alias("type"), inn.alias("seller_inn"), inn.alias("buyer_inn"), F.lit(-5.0).alias("total"), F.lit(None).cast("double").alias("vat"), F.lit(20).alias("vat_rate"), F.lit("x").alias("plate"), F.lit("x").alias("country"), F.lit(2).alias("nett"), F.lit(1).alias("gross"))
+    date = pick(k, ("2024-02-29", "2009-12-31", "2023-02-29", "1.2.2024", None, "2999-01-01"))
+    t = table(spark, sf, "customer").select("c_custkey", pick(k, ("invoice", "TTN", "CMR", "AKT", "letter", "factInvoice", "UPD")).alias("type"), inn.alias("seller_inn"), inn.alias("buyer_inn"), F.lit(-5.0).alias("total"), F.lit(None).cast("double").alias("vat"), F.lit(20).alias("vat_rate"), F.lit("x").alias("plate"), F.lit("x").alias("country"), F.lit(2).alias("nett"), F.lit(1).alias("gross"), date.alias("date"))
     return t.select("c_custkey", F.array_join(ck.issues_by_type(F.col("type"), ck.BY_TYPE), ";").alias("issues"))
 
 
@@ -327,14 +329,6 @@ def cost_lines(spark, sf):
     return costs.breakdown(jobs, rates, usd=80.0).select("id", F.round("total", 2).alias("total"), "estimate")
 
 
-@query("""SELECT 'USD' AS code, CASE WHEN (SELECT count(*) FROM events) > 0 THEN 81.5 END::DOUBLE AS rate, 'bank:2026-02-01' AS source UNION ALL SELECT 'GBP', 90.0, 'config' UNION ALL SELECT 'CHF', NULL, 'none'""")
-def resolve_rates(spark, sf):
-    feed = "<ValCurs Date='01.02.2026'><Valute><CharCode>USD</CharCode><Nominal>10</Nominal><Value>815,0</Value></Valute></ValCurs>"
-    daily = table(spark, sf, "events").limit(1).select(F.explode(ck.fx_feed(F.lit(feed))).alias("r")).select("r.*")
-    wanted = spark.createDataFrame([("usd",), ("GBP",), ("CHF",)], "code string")
-    return costs.resolve_rates(wanted, daily, {"GBP": 90.0, "USD": 1.0})
-
-
 INVOICE_SQL = f"""WITH i AS {INN_SQL}, o AS (SELECT o_orderkey AS k, o_totalprice AS p, o_orderdate AS d, i.inn, c_name AS name FROM orders JOIN customer ON c_custkey = o_custkey JOIN i ON i.k = o_custkey)
  SELECT k AS id, 'A-' || k AS number, strftime(d, '%Y-%m-%d') AS date, p AS total, CASE WHEN k % 5 <> 0 THEN round(floor(p * 20 + 0.5) / 100, 2) END AS vat, CASE WHEN k % 5 <> 0 THEN 20::DOUBLE END AS vat_rate, inn AS seller, CASE WHEN k % 3 = 0 THEN '7707083893' END AS buyer,
   CASE WHEN k % 2 = 0 THEN '1027700132' || lpad((k % 1000)::VARCHAR, 3, '0') END AS ogrn, CASE WHEN k % 4 > 0 THEN '044525' || lpad((k % 1000)::VARCHAR, 3, '0') END AS bik, CASE WHEN k % 4 > 0 THEN lpad(k::VARCHAR, 20, '4') END AS account, CASE WHEN k % 4 = 1 THEN lpad(k::VARCHAR, 20, '3') END AS corr_account,

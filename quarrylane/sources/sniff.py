@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import xml.etree.ElementTree as ET
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import Column
@@ -28,24 +29,26 @@ def media_type(content: Column) -> Column:
 
 
 def _lines(xml: str | None) -> str:
-    out: list[str] = []
-
-    def walk(node: ET.Element, path: str) -> None:
-        out.extend(f"{path}@{k}: {v}" for k, v in node.attrib.items())
-        if node.text and node.text.strip():
-            out.append(f"{path}: {node.text.strip()}")
-        count: dict[str, int] = {}
-        total = [c.tag for c in node]
-        for child in node:
-            count[child.tag] = count.get(child.tag, 0) + 1
-            own = f"[{count[child.tag] - 1}]" if total.count(child.tag) > 1 else ""
-            walk(child, f"{path}/{child.tag}{own}")
-
+    """Walks by a stack, so that depth is bounded by memory alone, and stops at ``MOST_CHARS``."""
     try:
         root = ET.fromstring(xml or "")
     except ET.ParseError:
         return ""
-    walk(root, root.tag)
+    out: list[str] = []
+    size, todo = 0, [(root, root.tag)]
+    while todo and size <= MOST_CHARS:
+        node, path = todo.pop()
+        own = [f"{path}@{k}: {v}" for k, v in node.attrib.items()]
+        if node.text and node.text.strip():
+            own.append(f"{path}: {node.text.strip()}")
+        out += own
+        size += sum(map(len, own)) + len(own)
+        total, seen, inner = Counter(c.tag for c in node), Counter(), []
+        for child in node:
+            place = f"[{seen[child.tag]}]" if total[child.tag] > 1 else ""
+            seen[child.tag] += 1
+            inner.append((child, f"{path}/{child.tag}{place}"))
+        todo += reversed(inner)
     text = "\n".join(out)
     return text if len(text) <= MOST_CHARS else text[:MOST_CHARS] + "\n[cut]"
 
