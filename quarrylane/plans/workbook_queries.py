@@ -110,7 +110,7 @@ def set_difference(spark, sf):
     return t.select("conv_id", F.array_join(F.array_except(want, "r"), ",").alias("missing"), F.array_join(F.array_sort(F.array_except("r", want)), ",").alias("extra"))
 
 
-SHEETS_SQL = """WITH l AS (SELECT l_suppkey % 20 AS file, 's' || l_suppkey AS sheet, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) - 1 AS idx, * FROM lineitem),
+REGIONS_SQL = """WITH l AS (SELECT l_suppkey % 20 AS file, 's' || l_suppkey AS sheet, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) - 1 AS idx, * FROM lineitem),
  c AS (SELECT file, sheet, idx, CASE WHEN l_partkey % 9 = 0 AND l_returnflag <> 'A' THEN 0 WHEN l_partkey % 9 = 1 AND l_returnflag = 'R' THEN 1 ELSE 2 + (l_discount > 0.05)::INT + (l_tax > 0.04)::INT + (l_linenumber = 1)::INT END AS f FROM l),
  p AS (SELECT *, sum((f <= 1)::INT) OVER (PARTITION BY file, sheet ORDER BY idx) AS part FROM c),
  r AS (SELECT file, sheet, part, min(idx) AS a, max(idx) AS b, max(f) AS w, arg_min(idx, (-f, idx)) AS h, arg_max(f, idx) AS lf FROM p WHERE f > 1 GROUP BY ALL),
@@ -121,7 +121,7 @@ SHEETS_SQL = """WITH l AS (SELECT l_suppkey % 20 AS file, 's' || l_suppkey AS sh
  t AS (SELECT * FROM k WHERE index < 12)"""
 
 
-def _sheets(spark, sf):
+def _books(spark, sf):
     """Sheets of files: a row of up to five cells for each line of a supplier, some blank or a single title."""
     from pyspark.sql.window import Window
 
@@ -133,21 +133,21 @@ def _sheets(spark, sf):
     return table(spark, sf, "lineitem").select((F.col("l_suppkey") % 20).alias("file"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("sheet"), (F.row_number().over(w) - 1).alias("idx"), cells.alias("cells"))
 
 
-@query(SHEETS_SQL + """, n AS (SELECT t.file, t.sheet, t.data_start, count(*) AS samples FROM t JOIN c ON c.file = t.file AND c.sheet = t.sheet AND c.idx BETWEEN data_start AND data_start + 1 AND f > 1 GROUP BY ALL)
+@query(REGIONS_SQL + """, n AS (SELECT t.file, t.sheet, t.data_start, count(*) AS samples FROM t JOIN c ON c.file = t.file AND c.sheet = t.sheet AND c.idx BETWEEN data_start AND data_start + 1 AND f > 1 GROUP BY ALL)
  SELECT t.file, t.index, t.sheet, t.header_row, t.data_start, t.data_rows, t.width, t.total_rows, f AS header_cells, samples FROM t JOIN n USING (file, sheet, data_start) JOIN c ON c.file = t.file AND c.sheet = t.sheet AND c.idx = header_row""")
 def sheet_regions(spark, sf):
-    rows = _sheets(spark, sf)
+    rows = _books(spark, sf)
     found = workbooks.region_samples(workbooks.workbook_report(workbooks.regions(rows)), rows)
     return found.select("file", "index", "sheet", "header_row", "data_start", "data_rows", "width", "total_rows", workbooks.filled(F.col("header")).alias("header_cells"), F.size("samples").cast("long").alias("samples"))
 
 
-@query(SHEETS_SQL + """, y AS (SELECT *, CASE file % 4 WHEN 0 THEN index = 0 WHEN 1 THEN index = 1 WHEN 2 THEN true ELSE width = (SELECT max(z.width) FROM t z WHERE z.file = t.file) OR index = 0 END AS picked FROM t),
+@query(REGIONS_SQL + """, y AS (SELECT *, CASE file % 4 WHEN 0 THEN index = 0 WHEN 1 THEN index = 1 WHEN 2 THEN true ELSE width = (SELECT max(z.width) FROM t z WHERE z.file = t.file) OR index = 0 END AS picked FROM t),
  v AS (SELECT file, max(data_rows) FILTER (picked) AS taken, max(data_rows) FILTER (NOT picked) AS rest, bool_or(NOT picked AND EXISTS (SELECT 1 FROM y z WHERE z.file = y.file AND z.sheet = y.sheet AND z.width = y.width AND z.picked)) AS split FROM y GROUP BY 1)
  SELECT file, CASE WHEN rest > taken THEN 'skipped_bigger' WHEN split THEN 'split_table' ELSE 'ok' END AS verdict FROM v WHERE taken IS NOT NULL""")
 def region_choice(spark, sf):
     from pyspark.sql.window import Window
 
-    report = workbooks.workbook_report(workbooks.regions(_sheets(spark, sf)))
+    report = workbooks.workbook_report(workbooks.regions(_books(spark, sf)))
     k, widest = F.col("file") % 4, F.max("width").over(Window.partitionBy("file"))
     wanted = F.when(k == 0, F.col("index") == 0).when(k == 1, F.col("index") == 1).when(k == 2, F.lit(True)).otherwise((F.col("width") == widest) | (F.col("index") == 0))
     return workbooks.choice_verdict(report, report.withColumn("_w", wanted).where("_w").select("file", "index"))
