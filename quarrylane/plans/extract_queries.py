@@ -334,13 +334,13 @@ INVOICE_SQL = f"""WITH i AS {INN_SQL}, o AS (SELECT o_orderkey AS k, o_totalpric
   CASE WHEN k % 2 = 0 THEN '1027700132' || lpad((k % 1000)::VARCHAR, 3, '0') END AS ogrn, CASE WHEN k % 4 > 0 THEN '044525' || lpad((k % 1000)::VARCHAR, 3, '0') END AS bik, CASE WHEN k % 4 > 0 THEN lpad(k::VARCHAR, 20, '4') END AS account, CASE WHEN k % 4 = 1 THEN lpad(k::VARCHAR, 20, '3') END AS corr_account,
   CASE WHEN k % 3 = 1 THEN 'IMP-2026-' || lpad((k % 1000)::VARCHAR, 3, '0') END AS order_ref, CASE WHEN k % 3 = 1 THEN 'А' || lpad((k % 1000)::VARCHAR, 3, '0') || 'ВС77' END AS plate, CASE WHEN k % 3 = 1 THEN 'Volvo FH' END AS model, CASE WHEN k % 3 = 1 AND k % 2 = 0 THEN 'Goldhofer STZ-1' END AS trailer,
   CASE WHEN k % 3 = 1 THEN (k % 9 + 2)::DOUBLE END AS axles, CASE WHEN k % 6 = 1 THEN 'Рига' END AS route_from, CASE WHEN k % 6 = 1 THEN 'Нижний Новгород' END AS route_to, CASE WHEN k % 7 = 0 THEN '77-2026-' || (k + 100) END AS permit_no, CASE WHEN k % 7 = 0 THEN 'ГИБДД' END AS issued_by, CASE WHEN k % 7 = 0 THEN '2026-12-03' END AS valid_to,
-  CASE WHEN k % 5 = 1 THEN '2026-02-0' || (k % 9 + 1) END AS due_date, ['cash', 'prepayment', NULL, 'card'][k % 4 + 1] AS payment, CASE WHEN k % 11 = 0 THEN 'sea' WHEN k % 11 = 1 THEN 'auto' END AS leg,
+  CASE WHEN k % 5 = 1 THEN '2026-02-0' || (k % 9 + 1) END AS due_date, ['cash', 'prepayment', NULL, 'card'][k % 4 + 1] AS payment, CASE WHEN k % 9 = 0 THEN 'rail' WHEN k % 11 = 0 THEN 'sea' WHEN k % 11 = 1 THEN 'auto' END AS leg,
   CASE WHEN k % 8 = 1 THEN (k % 900)::DOUBLE END AS weight, CASE WHEN k % 8 = 1 THEN 10.5 + 3.8 + 4.0 END AS size, CASE WHEN k % 8 = 2 THEN 'Габариты груза ' || k END AS raw_size, CASE WHEN k % 8 = 1 THEN true END AS oversized, CASE WHEN k % 8 = 1 THEN name END AS cargo, CASE WHEN k % 9 = 0 THEN true END AS escort, CASE WHEN k % 9 = 0 THEN 'патруль ГИБДД' END AS escort_type FROM o"""
 
 
 @query(INVOICE_SQL)
 def invoice_fields(spark, sf):
-    """Invoices written from orders, each with some of the sections."""
+    """Invoices written from orders, each with some of the sections. (The mark of rail also stands in the word for escort.)"""
     o = table(spark, sf, "orders").join(table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name"), "o_custkey")
     k = F.col("o_orderkey")
     body = F.lpad(F.col("o_custkey").cast("string"), 9, "7")
