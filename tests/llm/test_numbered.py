@@ -36,7 +36,8 @@ def sha(data):
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_sql(spark, name):
     con = duckdb.connect()
-    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    for t in ("documents", "embeddings"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     want = con.sql(queries.oracle_sql()[name])
     names = want.columns
     assert sorted(want.fetchall()) == sorted(tuple(r[c] for c in names) for r in rows(spark, name))
@@ -135,3 +136,21 @@ def test_op8_op10(spark, table):
             assert (start, total, crc) == (at, len(e), zlib.crc32(e[at : at + n].tobytes()))
             at += n
         assert at == len(e)
+
+
+def test_op12(spark):
+    table = {r["vec_id"]: r["embedding"] for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()}
+    ids = sorted(table)
+    x = np.floor(1024 * np.array([table[i] for i in ids], "f4").astype("f8")).astype("i8") + 100_000
+    n, s = len(x), x.sum(axis=0)
+    v = (x - s / n).T @ (x - s / n) / n
+    e, u = np.linalg.eigh(v)
+    e, u = e[::-1], u[:, ::-1]
+    got = {(r["vec_id"], r["component"]): r for r in rows(spark, "op12_whitening")}
+    assert sorted(got) == [(i, k) for i in ids for k in range(1, 9)]
+    deviation = dict(zip(ids, ((n * x - s) ** 2).sum(axis=1).tolist(), strict=True))
+    for k in range(8):
+        mine, want = np.array([got[i, k + 1]["whitened"] for i in ids]), (x - s / n) @ u[:, k] / np.sqrt(e[k])
+        assert np.abs(mine * np.sign(mine @ want) - want).max() < 1e-8
+    for (i, k), r in got.items():
+        assert r["n"] == n and r["deviation"] == deviation[i] and abs(r["explained"] - e[k - 1] / np.trace(v)) < 1e-9 and 0 <= r["identity_error"] < 1e-9
