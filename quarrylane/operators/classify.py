@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.slugs import file_mark, fuse_file_mark
+from ..functions.text import let
+
 # The rules that apply where an organisation has none of its own: type, pattern, weight.
 RULES = [
     ("UPD", r"универсальный\s+передаточный\s+документ|(?<![а-яёa-z])упд(?![а-яёa-z])", 1.0),
@@ -54,3 +59,67 @@ def classify(docs: DataFrame, rules: list[tuple[str, str, float]], head: int = 4
     ranked = best.withColumn("rank", F.row_number().over(w)).where("rank <= 2")
     top = ranked.groupBy("id").agg(F.max(F.when(F.col("rank") == 1, F.col("slug"))).alias("slug"), F.max(F.when(F.col("rank") == 1, F.least(F.lit(1.0), F.col("weight")))).alias("score"), F.max(F.when(F.col("rank") == 2, F.col("slug"))).alias("runner_up"))
     return docs.select("id").join(top, "id", "left")
+
+
+def rules_by_scope(types: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Two tables of rules (arrays of slug, pattern, weight): one row for each scope, and one row of those of all scopes.
+
+    ``types`` has scope (null: all), slug, keywords, weights, weight and active. A keyword without weight of its own has its
+    type's, else 1; keywords that are no patterns are left out, by the engine that will match them."""
+    each = types.where("active").select("scope", "slug", "weight", "weights", F.posexplode("keywords").alias("place", "word"))
+    each = each.withColumn("pattern", F.concat(F.lit("(?iu)"), F.col("word")))
+    valid = F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), F.col("pattern")).isNotNull()
+    rule = F.struct("slug", "place", "pattern", F.coalesce(F.get("weights", F.col("place")), F.col("weight"), F.lit(1.0)).cast("double").alias("weight"))
+    rules = F.transform(F.array_sort(F.collect_list(rule)), lambda r: F.struct(r["slug"], r["pattern"], r["weight"]))
+    each = each.where(valid)
+    return each.where("scope IS NOT NULL").groupBy("scope").agg(rules.alias("own")), each.where("scope IS NULL").agg(rules.alias("shared"))
+
+
+def _hits(head: Column, rules: Column, title: int) -> Column:
+    """slug, weight, matched, in_title and place of each rule that the text matches."""
+
+    def hit(r: Column, i: Column) -> Column:
+        at = F.regexp_instr(head, r["pattern"])
+        weight = F.when(at <= title, r["weight"] * 1.5).otherwise(r["weight"])
+        matched = F.call_function("regexp_extract", head, r["pattern"], F.lit(0))
+        return F.when(at > 0, F.struct(r["slug"], weight.alias("weight"), matched.alias("matched"), (at <= title).alias("in_title"), i.alias("place")))
+
+    return F.array_compact(F.transform(rules, hit))
+
+
+def classify_scoped(docs: DataFrame, types: DataFrame, builtin: Sequence[tuple[str, str, float]] = tuple(RULES), head: int = 4000, title: int = 500) -> DataFrame:
+    """id, slug, score, matched, candidates, rules and ranked of docs (id, scope, text, name) by the rules of their scope.
+
+    The rules of a scope and of all scopes come first; only where none of them matches do the built-in ones apply, and
+    ``rules`` says which did (own or builtin). A type counts with its best match, and types rank by weight, length of
+    the match and slug; the winner of a full tie is the type that matched first. Then the file's name has its say.
+    ``ranked`` holds the winner and the other types that the text matched, with scores of 1 at most.
+
+    A document is judged by itself: its scope's rules come to it as one array, by a join on the scope, so no text is copied
+    or shuffled for a rule. A null text matches nothing; a null scope has only the rules of all scopes."""
+    own, shared = rules_by_scope(types)
+    d = docs.join(own, "scope", "left").crossJoin(F.broadcast(shared))  # one row, of rules that people wrote
+    none = F.array().cast("array<struct<slug:string,pattern:string,weight:double>>")
+    fixed = F.array(*[F.struct(F.lit(s).alias("slug"), F.lit("(?iu)" + p).alias("pattern"), F.lit(float(w)).alias("weight")) for s, p, w in builtin])
+    start = F.substring(F.coalesce("text", F.lit("")), 1, head)
+    mine = _hits(start, F.concat(F.coalesce("own", none), F.coalesce("shared", none)), title)
+    found = let(mine, lambda h: F.struct((F.size(h) > 0).alias("mine"), F.when(F.size(h) > 0, h).otherwise(_hits(start, fixed, title)).alias("hits")))
+    d = d.select("id", "name", found.alias("f")).select("id", "name", "f.*")
+    order = F.array_sort(F.transform("hits", lambda h: F.struct((-h["weight"]).alias("w"), (-F.length(h["matched"])).alias("n"), h["slug"].alias("slug"), h["place"].alias("place"), h["matched"].alias("matched"), h["in_title"].alias("in_title"))))
+    d = d.withColumn("sorted", order)
+    first_of_type = lambda h, i: F.size(F.filter(F.slice(F.col("sorted"), F.lit(1), i), lambda o: o["slug"] == h["slug"])) == 0
+    d = d.withColumn("types", F.filter("sorted", first_of_type))
+    earliest = lambda h: F.array_min(F.transform(F.filter("hits", lambda o: o["slug"] == h["slug"]), lambda o: o["place"]))
+    best = F.array_min(F.transform("types", lambda h: F.struct(h["w"], h["n"], earliest(h).alias("at"), h["slug"], h["matched"], h["in_title"])))
+    d = d.withColumn("best", best).withColumn("mark", file_mark(F.col("name")))
+    marked = F.get(F.filter("types", lambda h: h["slug"] == F.col("mark")), F.lit(0))
+    fused = fuse_file_mark(F.col("best.slug"), -F.col("best.w"), F.coalesce("best.in_title", F.lit(False)), F.col("mark"), -marked["w"])
+    d = d.withColumn("won", fused)
+    capped = lambda w: F.least(F.lit(1.0), w)
+    slug = F.col("won.slug")
+    score = F.when(slug.isNull(), 0.0).otherwise(capped(F.col("won.weight")))
+    matched = F.when(slug == F.col("best.slug"), F.col("best.matched")).otherwise(F.coalesce(marked["matched"], F.concat(F.lit("filename:"), slug)))
+    others = F.transform(F.filter("types", lambda h: h["slug"] != slug), lambda h: F.struct(h["slug"], capped(-h["w"]).alias("score")))
+    ranked = F.when(slug.isNotNull(), F.concat(F.array(F.struct(slug.alias("slug"), score.alias("score"))), others))
+    source = F.when(F.col("mine"), "own").when(F.size("hits") > 0, "builtin")
+    return d.select("id", slug.alias("slug"), score.alias("score"), matched.alias("matched"), F.size("hits").alias("candidates"), source.alias("rules"), ranked.alias("ranked"))
