@@ -53,7 +53,7 @@ def visible(rows: DataFrame, tenant: object = None, projects: Sequence[object] |
 
 def review(jobs: DataFrame, actions: DataFrame) -> DataFrame:
     """The jobs (id, status, extracted, issues, corrected_at) after all actions (id, at, seq, action, extracted, reason), in
-    the order of at and seq:
+    the order of at and seq, ties by what the actions say:
 
     * ``approve`` makes a job in review done and sets corrected_at where it isn't set; on others it does nothing;
     * ``correct`` puts a new record in place, makes the job done and sets corrected_at; ``draft`` does so but for the status;
@@ -63,23 +63,23 @@ def review(jobs: DataFrame, actions: DataFrame) -> DataFrame:
     do nothing. The states before each action come from running windows, which spill, not from a fold in memory."""
     known = actions.where(F.col("action").isin("approve", "correct", "draft", "flag"))
     t = known.withColumnRenamed("extracted", "new").join(jobs.select("id", F.col("status").alias("was")), "id")
-    before = Window.partitionBy("id").orderBy("at", "seq").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("id").orderBy("at", "seq", "action", "new", "reason").rowsBetween(Window.unboundedPreceding, -1)
     corrected = F.coalesce(F.max(F.col("action") == "correct").over(before), F.lit(False))
     t = t.withColumn("live", F.col("was").isin(*FINISHED) | corrected | (F.col("action") == "correct"))
     set_to = F.when(F.col("action") == "correct", "done").when(F.col("live") & (F.col("action") == "approve"), "done").when(F.col("live") & (F.col("action") == "flag"), "needs_review")
     t = t.withColumn("to", set_to)
     t = t.withColumn("from", F.coalesce(F.last("to", ignorenulls=True).over(before), "was"))
-    place = F.struct("at", "seq")
+    place = F.struct("at", "seq", "action", "new", "reason")
     replaced = F.col("action").isin("correct", "draft")
     done = t.groupBy("id").agg(
         F.max_by("to", F.when(F.col("to").isNotNull(), place)).alias("to"),
         F.max(F.when(replaced, place)).alias("last"),
         F.max_by("new", F.when(replaced, place)).alias("new"),
         F.min(F.when((F.col("action") == "approve") & (F.col("from") == "needs_review"), F.col("at"))).alias("approved"),
-        F.array_sort(F.collect_list(F.when(F.col("live") & (F.col("action") == "flag"), F.struct("at", "seq", F.col("reason").alias("reason"))))).alias("flags"),
+        F.array_sort(F.collect_list(F.when(F.col("live") & (F.col("action") == "flag"), place))).alias("flags"),
     )
     out = jobs.join(done, "id", "left")
-    added = F.transform(F.filter("flags", lambda f: F.col("last").isNull() | (F.struct(f["at"], f["seq"]) > F.col("last"))), lambda f: f["reason"])
+    added = F.transform(F.filter("flags", lambda f: F.col("last").isNull() | (f > F.col("last"))), lambda f: f["reason"])
     own = F.when(F.col("last").isNull(), F.col("issues"))
     nothing = F.array().cast("array<string>")
     issues = F.when(F.size(added) > 0, F.concat(F.coalesce(own, nothing), added)).otherwise(own)
