@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.text import let
 from .common import staged
 
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -29,6 +30,7 @@ ENCODINGS = (
 )
 LENGTHS = (20, 32, 48, 64, 128)  # least length of each class
 CELLS = 200  # of p-values, for the false-discovery estimate
+BLOCK = 256  # matches of a text whose places are summed up together
 
 
 def match_spans(text: Column, pattern: str, kind: int, group: int | None = None, least: int = 0) -> Column:
@@ -38,15 +40,24 @@ def match_spans(text: Column, pattern: str, kind: int, group: int | None = None,
     found = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda x: F.length(x))
     size = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), lambda x: F.length(x)) if group else found
     none = F.expr("CAST(array() AS array<struct<start:int,kind:int,end:int,ok:boolean>>)")
+    moved = lambda x: x["gap"] + x["n"]
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + x["gap"]
         span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), (start + x["n"]).alias("end"), (x["size"] >= least).alias("ok"))
         return F.struct((start + x["n"]).alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
 
+    def ends(acc: Column, x: Column) -> Column:
+        return F.struct((acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+
     gaps = F.zip_with(found, F.slice(between, 1, F.size(found)), lambda n, gap: F.struct(n.alias("n"), gap.alias("gap")))
     zipped = F.zip_with(gaps, size, lambda x, s: F.struct(x["n"].alias("n"), x["gap"].alias("gap"), s.alias("size")))
-    spans = F.filter(F.aggregate(zipped, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"]), lambda x: x["ok"])
+    # An array that grows is copied at each step: blocks of matches keep the copies short, and the blocks' starts come first.
+    blocks = let(zipped, lambda z: F.transform(F.sequence(F.lit(0), F.floor((F.size(z) - 1) / BLOCK).cast("int")), lambda i: F.slice(z, i * BLOCK + 1, F.lit(BLOCK))))
+    totals = lambda bs: F.transform(bs, lambda b: F.aggregate(b, F.lit(0), lambda s, x: s + moved(x)))
+    starts = lambda bs: F.aggregate(totals(bs), F.struct(F.lit(0).alias("at"), F.expr("CAST(array() AS array<int>)").alias("out")), ends, lambda acc: acc["out"])
+    every = let(blocks, lambda bs: F.flatten(F.zip_with(bs, starts(bs), lambda b, at: F.aggregate(b, F.struct(at.alias("at"), none.alias("out")), step, lambda acc: acc["out"]))))
+    spans = F.filter(every, lambda x: x["ok"])
     plain = F.transform(spans, lambda x: F.struct(x["start"], x["kind"], x["end"]))
     return F.when(text.rlike(pattern), plain).otherwise(F.expr("CAST(array() AS array<struct<start:int,kind:int,end:int>>)"))
 
