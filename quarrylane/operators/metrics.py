@@ -137,3 +137,25 @@ def content_duplicates(jobs: DataFrame, hours: int = 24) -> DataFrame:
 
 def stale(jobs: DataFrame, status: str, before: Column, limit: int) -> DataFrame:
     return jobs.where((F.col("status") == status) & (F.col("created_at") < before)).orderBy("created_at", "id").limit(limit)
+
+
+def operational(jobs: DataFrame, keys: Sequence[str] = (), hours: float | None = None) -> DataFrame:
+    """The whole summary of jobs (status, latency, confidence, issues, tokens_in, tokens_out, model_ms, used_model), for each key if there are
+    any: counts by status, jobs with issues and with a model's call, their rates (0 without jobs), percentiles of latency,
+    tokens and the model's time, average confidence of the finished ones and, with ``hours``, jobs an hour to a hundredth.
+
+    Latency and the measures of a call count wherever they are known. Keys must hold no nulls. Each measure's percentiles are found
+    apart (``exact_percentiles``), so no group's values come together in one buffer."""
+    count = lambda s: F.count_if(F.col("status") == s).alias(f"n_{s}")
+    names = ("done", "needs_review", "failed", "pending", "processing")
+    out = jobs.groupBy(*keys).agg(
+        F.count("*").alias("total"), *map(count, names), F.count_if(F.size(F.coalesce("issues", F.array().cast("array<string>"))) > 0).alias("with_issues"), F.count_if(F.col("used_model")).alias("with_model"),
+        F.avg(F.when(F.col("status").isin("done", "needs_review"), F.col("confidence"))).alias("avg_confidence"),
+    )
+    for value, shares in (("latency", {"p50": 0.5, "p95": 0.95}), ("tokens_in", {"tokens_in_p95": 0.95}), ("tokens_out", {"tokens_out_p95": 0.95}), ("model_ms", {"model_ms_p95": 0.95})):
+        found = exact_percentiles(jobs, keys, value, shares)
+        out = out.join(found, list(keys), "left") if keys else out.join(F.broadcast(found), F.lit(True), "left")  # one row
+    rate = lambda c: F.when(F.col("total") > 0, F.col(c) / F.col("total")).otherwise(0.0)
+    rates = {"done_rate": "n_done", "review_rate": "n_needs_review", "failed_rate": "n_failed", "issue_rate": "with_issues", "model_rate": "with_model"}
+    out = out.withColumns({name: rate(c) for name, c in rates.items()})
+    return out if hours is None else out.withColumn("per_hour", F.floor(F.col("total") / hours * 100 + 0.5) / 100)

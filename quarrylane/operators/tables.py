@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.trees import leaves
+
+# Members of a record that a diff leaves out.
+META = ("_match_signals", "_normalized_fields", "_field_confidence", "_issues", "_multidoc_documents")
+
 
 def longest_run(rows: DataFrame, slack: int = 1) -> DataFrame:
     """sheet, mode, start, run_rows: the longest run of rows (sheet, idx, width) whose width is within ``slack`` of the
@@ -47,6 +52,40 @@ def diff(before: DataFrame, after: DataFrame) -> DataFrame:
     return t.select("id", "path", change.alias("change")).where("change IS NOT NULL")
 
 
+def diff_records(records: DataFrame) -> DataFrame:
+    """id, path, before, after: the leaves that differ between two JSON records (id, old, new), null where one has none or
+    JSON's null. What is no object or array has no leaves. Paths are those of ``trees.leaves``, without the records' own
+    notes; of two leaves with one path (keys with full stops) the one whose text is greater counts.
+
+    Both records of a row are opened in place and only differing leaves leave it: nothing is shuffled or joined."""
+    none = F.array().cast("array<struct<path:string,value:string>>")
+    of = lambda c: F.map_from_entries(F.transform(last(F.array_sort(F.coalesce(leaves(F.col(c), META), none))), lambda x: F.struct(x["path"], x["value"])))
+
+    def last(rows: Column) -> Column:
+        return F.get(F.transform(F.array(rows), lambda r: F.filter(r, lambda x, i: ~F.coalesce(F.get(r, i + 1)["path"] == x["path"], F.lit(False)))), F.lit(0))
+
+    t = records.select("id", of("old").alias("old"), of("new").alias("new"))
+    paths = F.array_union(F.map_keys("old"), F.map_keys("new"))
+    rows = F.transform(paths, lambda p: F.struct(p.alias("path"), F.try_element_at(F.col("old"), p).alias("before"), F.try_element_at(F.col("new"), p).alias("after"), (F.map_contains_key("old", p) & F.map_contains_key("new", p)).alias("both")))
+    changed = F.filter(rows, lambda r: ~r["both"] | ~r["before"].eqNullSafe(r["after"]))
+    return t.select("id", F.explode(changed).alias("c")).select("id", "c.path", "c.before", "c.after")
+
+
+def categorize_by(items: DataFrame, words: DataFrame, text: str = "text", preset: str = "preset") -> DataFrame:
+    """Items (with a key ``id``) with ``category``: their ``preset`` unless it is blank or ``other``, else that of ``words`` (category,
+    priority, word) with most words in the lower-cased text, ties to the smaller priority, ``other`` without any.
+
+    The words come to every item as one array: a table of them is what people write by hand, a few hundred. A word counts
+    once however often it is listed, an empty one never; null texts have none."""
+    rule = words.where("word <> ''").groupBy("priority", "category").agg(F.collect_set("word").alias("words"))
+    rules = rule.agg(F.array_sort(F.collect_list(F.struct("priority", "category", "words"))).alias("_rules"))
+    low = F.lower(F.coalesce(F.col(text), F.lit("")))
+    hits = F.transform("_rules", lambda r: F.struct(F.size(F.filter(r["words"], lambda w: F.contains(low, w))).alias("hits"), (-r["priority"]).alias("place"), r["category"].alias("category")))
+    t = items.crossJoin(F.broadcast(rules)).withColumn("_best", F.array_max(hits))  # one row
+    own = F.nullif(F.nullif(F.col(preset), F.lit("")), F.lit("other"))
+    return t.withColumn("category", F.coalesce(own, F.when(F.col("_best.hits") > 0, F.col("_best.category")), F.lit("other"))).drop("_best", "_rules")
+
+
 def categorize(items: DataFrame, text: str, rules: Sequence[tuple[str, Sequence[str]]]) -> DataFrame:
     """Adds ``category``: the rule with most keywords in the text, of equals the earlier; ``other`` without any."""
     low = F.lower(F.col(text))
@@ -65,7 +104,17 @@ def header_totals(items: DataFrame, rates: Sequence[int], near: float = 0.6) ->
     return t.withColumn("rate", F.when(nearest["off"] <= near, nearest["rate"]))
 
 
-def recall(pairs: DataFrame, by: str) -> DataFrame:
+def recall(pairs: DataFrame, *by: str) -> DataFrame:
     """by, expected, matched, recall of (by, expected, actual); 1 where nothing is expected."""
-    t = pairs.groupBy(by).agg(F.count("expected").alias("n_expected"), F.count_if(F.col("expected") == F.col("actual")).alias("n_matched"))
+    t = pairs.groupBy(*by).agg(F.count("expected").alias("n_expected"), F.count_if(F.col("expected") == F.col("actual")).alias("n_matched"))
     return t.withColumn("recall", F.when(F.col("n_expected") == 0, 1.0).otherwise(F.col("n_matched") / F.col("n_expected")))
+
+
+def recall_gate(found: DataFrame, limits: DataFrame, by: str = "by") -> DataFrame:
+    """The recalls (by, field, recall, ...) with the least recall that is asked for (by, field, least; a null ``by`` holds for
+    all) and whether they pass. A recall with limits of its own and for all must reach the greater; one without limit passes."""
+    own = limits.where(F.col(by).isNotNull()).groupBy(by, "field").agg(F.max("least").alias("_own"))
+    shared = limits.where(F.col(by).isNull()).groupBy("field").agg(F.max("least").alias("_all"))
+    t = found.join(own, [by, "field"], "left").join(shared, "field", "left")
+    least = F.greatest("_own", "_all")
+    return t.select(*found.columns, least.alias("least"), (least.isNull() | (F.col("recall") >= least)).alias("passed"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -46,3 +48,21 @@ def first_of_item(items: DataFrame, parts: list[str]) -> DataFrame:
     order = Window.partitionBy("doc", "_key").orderBy("line")
     keyed = t.where("_key <> ''").withColumn("_k", F.row_number().over(order)).where("_k = 1").drop("_k")
     return keyed.unionByName(t.where("_key = ''")).drop("_key")
+
+
+def derive_header(headers: DataFrame, items: DataFrame, rates: Sequence[float] = (0, 5, 7, 10, 18, 20, 22), near: float = 0.6) -> DataFrame:
+    """Headers (doc, total, total_with_vat, net, vat, rate) with what follows from their own values, and ``derived``, the names
+    of what was added: the total from that with tax, net and tax from each other, the rate from the lines' most frequent
+    one, else from tax and net, snapped to one of ``rates`` within ``near``. A document without any total stays as it is."""
+    t = headers.join(modal_rate(items).withColumnRenamed("rate", "_modal"), "doc", "left")
+    gross = F.coalesce("total", "total_with_vat")
+    cents = lambda x: F.floor(x * 100 + 0.5) / 100
+    net = F.coalesce(F.col("net"), gross - F.col("vat"))
+    implied = F.col("vat") / F.nullif(net, F.lit(0.0)) * 100
+    snapped = F.coalesce(*[F.when(F.abs(implied - r) <= near, F.lit(float(r))) for r in rates], cents(implied))
+    new = {
+        "total": F.when(F.col("total").isNull(), cents(gross)), "net": F.when(F.col("net").isNull(), cents(gross - F.col("vat"))), "vat": F.when(F.col("vat").isNull(), cents(gross - F.col("net"))),
+        "rate": F.when(F.col("rate").isNull() & gross.isNotNull(), F.coalesce(F.col("_modal").cast("double"), snapped)),
+    }
+    derived = F.array_compact(F.array(*[F.when(x.isNotNull(), F.lit(c)) for c, x in new.items()]))
+    return t.select("doc", *[F.coalesce(F.col(c), x).alias(c) for c, x in new.items()], derived.alias("derived"))

@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions import records as rc
 from ..functions import text as tx
-from ..operators import classify, lifecycle
-from ..sources.views import jobs, table
+from ..operators import classify, lifecycle, metrics, tables, totals
+from ..sources.views import items, jobs, table
 from .extract_queries import BLEED, pick, sql_pick
-from .queries import JOBS, _round, query
+from .queries import ITEMS, JOBS, _round, query
 
 _TITLES = ("Универсальный передаточный документ", "Документ УПД", "акт сдачи", "Счёт на оплату", "Счет", "Путевой лист", "plain", "Транспортная накладная и счёт-фактура", "заявка на перевозку, форма ПЛ-1")
 _FILES = ("scan.pdf", "акт.pdf", "scan.pdf", "contract_1.pdf", "scan.pdf", "scan.pdf", "scan.pdf")
@@ -153,3 +153,92 @@ def job_outcomes(spark, sf):
     notes = F.when(i % 3 == 0, F.array(pick(i, _NOTES)))
     out = lifecycle.outcome(some(i % 9 == 0, "total"), some(i % 8 == 0, "truncated_json"), notes, i % 7, i % 5 == 0, i % 2 > 0, F.col("lang"), (i % 10) / 6, i % 6 == 0, i % 17 == 0, tx.table_row_count(F.col("text")))
     return d.select(i.alias("id"), out.alias("o")).select("id", "o.status", F.array_join("o.issues", ";").alias("issues"), "o.deferred")
+
+
+_MEASURES = """count(*) AS total, count(*) FILTER (status = 'done') AS n_done, count(*) FILTER (status = 'needs_review') AS n_needs_review, count(*) FILTER (status = 'failed') AS n_failed, count(*) FILTER (status = 'pending') AS n_pending,
+ count(*) FILTER (status = 'processing') AS n_processing, count(*) FILTER (id % 3 = 0) AS with_issues, count(*) FILTER (id % 4 > 0) AS with_model, round(avg(confidence) FILTER (status IN ('done', 'needs_review')), 6) AS avg_confidence,
+ round(quantile_cont(latency, 0.5) FILTER (status <> 'pending'), 6) AS p50, round(quantile_cont(latency, 0.95) FILTER (status <> 'pending'), 6) AS p95, round(quantile_cont((owner * 7)::DOUBLE, 0.95) FILTER (id % 4 > 0), 6) AS tokens_in_p95,
+ round(quantile_cont((id % 90)::DOUBLE, 0.95) FILTER (id % 4 > 1), 6) AS tokens_out_p95, round(quantile_cont(latency * 2, 0.95) FILTER (id % 4 > 0), 6) AS model_ms_p95"""
+_RATES = "round(n_done / total, 6) AS done_rate, round(n_needs_review / total, 6) AS review_rate, round(n_failed / total, 6) AS failed_rate, round(with_issues / total, 6) AS issue_rate, round(with_model / total, 6) AS model_rate"
+
+
+def _called_jobs(spark, sf):
+    i = F.col("id")
+    return jobs(spark, sf).withColumns({
+        "issues": F.when(i % 3 == 0, F.array(F.lit("x"))).when(i % 3 == 1, F.array().cast("array<string>")), "used_model": i % 4 > 0, "latency": F.when(F.col("status") != "pending", F.col("latency")),
+        "tokens_in": F.when(i % 4 > 0, (F.col("owner") * 7).cast("double")), "tokens_out": F.when(i % 4 > 1, (i % 90).cast("double")), "model_ms": F.when(i % 4 > 0, F.col("latency") * 2),
+    })
+
+
+_ROUNDED = ("avg_confidence", "p50", "p95", "tokens_in_p95", "tokens_out_p95", "model_ms_p95", "done_rate", "review_rate", "failed_rate", "issue_rate", "model_rate")
+
+
+@query(f"{JOBS}, m AS (SELECT {_MEASURES} FROM jobs) SELECT *, {_RATES}, round(floor(total / 168.0 * 100 + 0.5) / 100, 6)::DOUBLE AS per_hour FROM m")
+def operational_summary(spark, sf):
+    """Jobs with issues, model calls, tokens and times beside the counts by status."""
+    return _round(metrics.operational(_called_jobs(spark, sf), hours=168.0), *_ROUNDED, "per_hour")
+
+
+@query(f"{JOBS}, m AS (SELECT coalesce(doc_type, '_unknown') AS key, {_MEASURES} FROM jobs GROUP BY 1) SELECT *, {_RATES} FROM m")
+def operational_by_type(spark, sf):
+    return _round(metrics.operational(_called_jobs(spark, sf).withColumn("key", F.coalesce("doc_type", F.lit("_unknown"))), ["key"]), *_ROUNDED)
+
+
+@query("""WITH l AS (SELECT l_orderkey AS id, l_quantity AS q, l_suppkey AS s, l_linenumber AS n, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) - 1 AS i FROM lineitem),
+ m AS (SELECT id, 'items.' || i || '.qty' AS path, CAST(q::BIGINT AS VARCHAR) AS a, CAST(q::BIGINT + CASE WHEN n % 2 = 0 THEN 1 ELSE 0 END AS VARCHAR) AS b FROM l
+  UNION ALL SELECT id, 'items.' || i || '.by.no', s::VARCHAR, s::VARCHAR FROM l WHERE n % 3 > 0 UNION ALL SELECT id, 'items.' || i || '.by.no', s::VARCHAR, NULL FROM l WHERE n % 3 = 0
+  UNION ALL SELECT id, 'items.' || i || '.marks.0', NULL, n::VARCHAR FROM l WHERE n % 4 = 0
+  UNION ALL SELECT o_orderkey, 'status', o_orderstatus, CASE o_orderstatus WHEN 'O' THEN 'F' ELSE o_orderstatus END FROM orders WHERE o_orderkey IN (SELECT id FROM l))
+ SELECT id, path, a AS before, b AS after FROM m WHERE a IS DISTINCT FROM b""")
+def diff_records(spark, sf):
+    """Leaves that differ between two nested records of an order: changed counts, lost suppliers, new marks."""
+    n = F.col("l_linenumber")
+    line = lambda qty, no, marks: F.struct(qty.cast("long").alias("qty"), F.struct(no.alias("no")).alias("by"), marks.alias("marks"), F.lit("x").alias("_issues"))
+    old = line(F.col("l_quantity"), F.col("l_suppkey"), F.array().cast("array<long>"))
+    new = line(F.col("l_quantity") + F.when(n % 2 == 0, 1).otherwise(0), F.when(n % 3 > 0, F.col("l_suppkey")), F.when(n % 4 == 0, F.array(n)))
+    order = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", old.alias("old"), new.alias("new"))))
+    o = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(order.alias("l")).join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    record = lambda side, status: F.to_json(F.struct(status.alias("status"), F.transform("l", lambda x: x[side]).alias("items"), F.array(F.lit(side)).alias("_field_confidence")))
+    status = F.col("o_orderstatus")
+    return tables.diff_records(o.select(F.col("l_orderkey").alias("id"), record("old", status).alias("old"), record("new", F.when(status == "O", "F").otherwise(status)).alias("new")))
+
+
+@query(f"""{ITEMS}, g AS (SELECT doc, rate, count(*) AS n FROM items WHERE doc % 3 > 0 GROUP BY 1, 2), r AS (SELECT doc, arg_max(rate, (n, rate)) AS modal FROM g GROUP BY 1),
+ h AS (SELECT o_orderkey AS doc, CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice END AS total, CASE WHEN o_orderkey % 7 > 0 THEN o_totalprice END AS with_vat, CASE WHEN o_orderkey % 5 < 2 THEN floor(o_totalprice / 1.2 * 100 + 0.5) / 100 END AS net, CASE WHEN o_orderkey % 5 IN (1, 2) THEN floor(o_totalprice / 11 * 100 + 0.5) / 100 END AS vat, CASE WHEN o_orderkey % 11 = 0 THEN 18.0 END AS rate FROM orders),
+ x AS (SELECT *, coalesce(total, with_vat) AS gross, vat / nullif(coalesce(net, coalesce(total, with_vat) - vat), 0) * 100 AS implied FROM h),
+ y AS (SELECT *, floor(gross * 100 + 0.5) / 100 AS t2, floor((gross - vat) * 100 + 0.5) / 100 AS n2, floor((gross - net) * 100 + 0.5) / 100 AS v2, coalesce((SELECT c FROM (VALUES (0.0), (5.0), (7.0), (10.0), (18.0), (20.0), (22.0)) s(c) WHERE abs(implied - c) <= 0.6), floor(implied * 100 + 0.5) / 100) AS snapped FROM x),
+ z AS (SELECT y.*, CASE WHEN rate IS NULL AND gross IS NOT NULL THEN coalesce(modal, snapped) END AS r2 FROM y LEFT JOIN r USING (doc))
+ SELECT doc, round(coalesce(total, t2), 2) AS total, round(coalesce(net, n2), 2) AS net, round(coalesce(vat, v2), 2) AS vat, round(coalesce(rate, r2), 2)::DOUBLE AS rate, concat_ws(',', CASE WHEN total IS NULL AND t2 IS NOT NULL THEN 'total' END, CASE WHEN net IS NULL AND n2 IS NOT NULL THEN 'net' END, CASE WHEN vat IS NULL AND v2 IS NOT NULL THEN 'vat' END, CASE WHEN r2 IS NOT NULL THEN 'rate' END) AS derived FROM z""")
+def derived_headers(spark, sf):
+    k, price = F.col("o_orderkey"), F.col("o_totalprice")
+    cents = lambda x: F.floor(x * 100 + 0.5) / 100
+    h = table(spark, sf, "orders").select(k.alias("doc"), F.when(k % 2 == 0, price).alias("total"), F.when(k % 7 > 0, price).alias("total_with_vat"), F.when(k % 5 < 2, cents(price / 1.2)).alias("net"), F.when((k % 5).isin(1, 2), cents(price / 11)).alias("vat"), F.when(k % 11 == 0, 18.0).alias("rate"))
+    out = totals.derive_header(h, items(spark, sf).where("doc % 3 > 0"))
+    return out.withColumns({c: F.round(c, 2) for c in ("total", "net", "vat", "rate")}).withColumn("derived", F.array_join("derived", ","))
+
+
+@query("""WITH w AS (SELECT DISTINCT 'c' || (n_regionkey) AS category, n_regionkey AS priority, unnest([CASE n_regionkey WHEN 0 THEN 'ring' WHEN 1 THEN 'widget' WHEN 2 THEN 'eco' ELSE 'r' || n_regionkey END, CASE n_regionkey WHEN 0 THEN 'red' WHEN 3 THEN 'small' ELSE 'standard' END]) AS word FROM nation),
+ t AS (SELECT p_partkey AS id, lower(p_name || ' ' || p_type) AS t, CASE p_partkey % 4 WHEN 0 THEN 'own' WHEN 1 THEN 'other' WHEN 2 THEN '' END AS preset FROM part),
+ h AS (SELECT id, category, priority, count(*) AS n FROM t JOIN w ON contains(t, word) GROUP BY ALL), b AS (SELECT id, category FROM h QUALIFY row_number() OVER (PARTITION BY id ORDER BY n DESC, priority) = 1)
+ SELECT t.id, CASE WHEN preset = 'own' THEN 'own' ELSE coalesce(category, 'other') END AS category FROM t LEFT JOIN b USING (id)""")
+def categories_by_table(spark, sf):
+    """Parts by a table of words, one category for each region; items with a category keep it."""
+    r = F.col("n_regionkey")
+    word = F.array(F.when(r == 0, "ring").when(r == 1, "widget").when(r == 2, "eco").otherwise(F.concat(F.lit("r"), r)), F.when(r == 0, "red").when(r == 3, "small").otherwise("standard"))
+    words = table(spark, sf, "nation").select(F.concat(F.lit("c"), r).alias("category"), r.alias("priority"), F.explode(word).alias("word"))
+    k = F.col("p_partkey")
+    p = table(spark, sf, "part").select(k.alias("id"), F.concat_ws(" ", "p_name", "p_type").alias("text"), F.when(k % 4 == 0, "own").when(k % 4 == 1, "other").when(k % 4 == 2, "").alias("preset"))
+    return tables.categorize_by(p, words).select("id", "category")
+
+
+@query("""WITH f AS (SELECT lang, field, count(e) AS n, count(*) FILTER (e = a) AS m FROM (SELECT lang, 'quality' AS field, quality AS e, CASE WHEN doc_id % 5 > 0 THEN quality END AS a FROM labels JOIN documents USING (doc_id) UNION ALL SELECT lang, 'toxic', toxic, quality FROM labels JOIN documents USING (doc_id)) t GROUP BY 1, 2),
+ r AS (SELECT lang, field, n AS n_expected, m AS n_matched, round(CASE WHEN n = 0 THEN 1 ELSE m / n END, 6)::DOUBLE AS recall, CASE WHEN field = 'quality' THEN CASE lang WHEN 'en' THEN 0.95 ELSE 0.7 END WHEN lang = 'en' THEN 0.01 END AS least FROM f) SELECT *, least IS NULL OR recall >= least AS passed FROM r""")
+def recall_gates(spark, sf):
+    """Recall of two fields for each language against the least that is asked for."""
+    t = table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", "lang"), "doc_id")
+    pair = lambda name, e, a: F.struct(F.lit(name).alias("field"), e.alias("expected"), a.alias("actual"))
+    q = F.col("quality")
+    t = t.select("lang", F.explode(F.array(pair("quality", q, F.when(F.col("doc_id") % 5 > 0, q)), pair("toxic", F.col("toxic"), q))).alias("p")).select("lang", "p.*")
+    found = _round(tables.recall(t, "lang", "field"), "recall")
+    limits = spark.createDataFrame([("en", "quality", 0.95), (None, "quality", 0.7), ("en", "toxic", 0.01)], "lang string, field string, least double")
+    return tables.recall_gate(found, limits, "lang")
