@@ -28,6 +28,16 @@ RULES = [
 ]
 
 
+# The edge of a run of ASCII letters, digits and underscores: what \b means is another thing in every version of the JVM.
+EDGE = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
+_EDGES = r"(?<!\\)((?:\\\\)*)\\b"
+
+
+def as_pattern(keyword: str) -> str:
+    """A keyword as a pattern that ignores case and whose word edges are ASCII."""
+    return "(?iu)" + re.sub(_EDGES, lambda m: m[1] + EDGE, keyword)
+
+
 def keyword_rules(slug: str, keywords: list[str], weights: list[float | None], default: float | None = None) -> list[tuple[str, str, float]]:
     """Rules of a type's keywords: each has its own weight, else the type's, else 1; keywords that are no patterns are left
     out."""
@@ -49,7 +59,7 @@ def classify(docs: DataFrame, rules: list[tuple[str, str, float]], head: int = 4
     text = F.substring("text", 1, head)
     found = []
     for slug, pattern, weight in rules:
-        p = "(?iu)" + pattern
+        p = as_pattern(pattern)
         hit = F.regexp_extract(text, p, 0)
         at = F.regexp_instr(text, F.lit(p))
         found.append(F.when(text.rlike(p), F.struct((F.lit(weight) * F.when(at <= title, 1.5).otherwise(1.0)).alias("weight"), F.length(hit).alias("size"), F.lit(slug).alias("slug"))))
@@ -67,7 +77,7 @@ def rules_by_scope(types: DataFrame) -> tuple[DataFrame, DataFrame]:
     ``types`` has scope (null: all), slug, keywords, weights, weight and active. A keyword without weight of its own has its
     type's, else 1; keywords that are no patterns are left out, by the engine that will match them."""
     each = types.where("active").select("scope", "slug", "weight", "weights", F.posexplode("keywords").alias("place", "word"))
-    each = each.withColumn("pattern", F.concat(F.lit("(?iu)"), F.col("word")))
+    each = each.withColumn("pattern", F.concat(F.lit("(?iu)"), F.regexp_replace("word", _EDGES, "$1" + EDGE.replace("\\", r"\\"))))
     valid = F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), F.col("pattern")).isNotNull()
     rule = F.struct("slug", "place", "pattern", F.coalesce(F.get("weights", F.col("place")), F.col("weight"), F.lit(1.0)).cast("double").alias("weight"))
     rules = F.transform(F.array_sort(F.collect_list(rule)), lambda r: F.struct(r["slug"], r["pattern"], r["weight"]))
@@ -100,7 +110,7 @@ def classify_scoped(docs: DataFrame, types: DataFrame, builtin: Sequence[tuple[s
     own, shared = rules_by_scope(types)
     d = docs.join(own, "scope", "left").crossJoin(F.broadcast(shared))  # one row, of rules that people wrote
     none = F.array().cast("array<struct<slug:string,pattern:string,weight:double>>")
-    fixed = F.array(*[F.struct(F.lit(s).alias("slug"), F.lit("(?iu)" + p).alias("pattern"), F.lit(float(w)).alias("weight")) for s, p, w in builtin])
+    fixed = F.array(*[F.struct(F.lit(s).alias("slug"), F.lit(as_pattern(p)).alias("pattern"), F.lit(float(w)).alias("weight")) for s, p, w in builtin])
     start = F.substring(F.coalesce("text", F.lit("")), 1, head)
     mine = _hits(start, F.concat(F.coalesce("own", none), F.coalesce("shared", none)), title)
     found = let(mine, lambda h: F.struct((F.size(h) > 0).alias("mine"), F.when(F.size(h) > 0, h).otherwise(_hits(start, fixed, title)).alias("hits")))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import records as rc
 from ..functions import text as tx
-from ..operators import classify, lifecycle, metrics, tables, totals
+from ..operators import classify, lifecycle, metrics, resolve, tables, totals
 from ..sources.views import items, jobs, table
 from .extract_queries import BLEED, pick, sql_pick
 from .queries import ITEMS, JOBS, _round, query
@@ -242,3 +242,16 @@ def recall_gates(spark, sf):
     found = _round(tables.recall(t, "lang", "field"), "recall")
     limits = spark.createDataFrame([("en", "quality", 0.95), (None, "quality", 0.7), ("en", "toxic", 0.01)], "lang string, field string, least double")
     return tables.recall_gate(found, limits, "lang")
+
+
+@query("""WITH v AS (SELECT c_custkey AS id, unnest([CASE WHEN c_custkey % 3 = 0 THEN c_custkey::VARCHAR END, CASE WHEN c_custkey % 2 = 0 THEN 'n' || c_nationkey ELSE 'gone' END, NULL]) AS value, unnest([0, 1, 2]) AS place FROM customer),
+ e AS (SELECT s_suppkey AS entry_id, unnest([s_suppkey::VARCHAR, 'n' || s_nationkey]) AS value FROM supplier WHERE s_nationkey < 15),
+ h AS (SELECT DISTINCT id, place, entry_id FROM v JOIN e USING (value)), f AS (SELECT id, entry_id FROM h QUALIFY place = min(place) OVER (PARTITION BY id))
+ SELECT c_custkey AS id, coalesce(entry_id, -1) AS entry_id, CASE WHEN entry_id IS NULL THEN 'not_found' ELSE 'exact' END AS method FROM customer LEFT JOIN f ON id = c_custkey""")
+def entity_links(spark, sf):
+    """Customers linked to suppliers by code, else by nation, with codes that no supplier has, several hits and no hit at all."""
+    k = F.col("c_custkey")
+    values = F.array(F.when(k % 3 == 0, k.cast("string")), F.when(k % 2 == 0, F.concat(F.lit("n"), "c_nationkey")).otherwise("gone"), F.lit(None).cast("string"))
+    v = table(spark, sf, "customer").select(k.alias("id"), F.posexplode(values).alias("place", "value")).withColumn("field", F.lit("any"))
+    entries = table(spark, sf, "supplier").where("s_nationkey < 15").select(F.col("s_suppkey").alias("entry_id"), F.array(F.col("s_suppkey").cast("string"), F.concat(F.lit("n"), "s_nationkey")).alias("keys"))
+    return resolve.exact_links(v, entries).withColumn("entry_id", F.coalesce("entry_id", F.lit(-1)))

@@ -223,8 +223,11 @@ def truncated_json(spark, sf):
 
 RULES = [("licence", "license|copyright", 2.0), ("contact", "@|phone|call", 1.5), ("secret", "token|password|secret", 3.0), ("prose", r"\bthe\b", 0.5), ("prose_es", r"\bque\b", 0.5)]
 
+_RULES = ", ".join(f"('{slug}', '{pattern}', {weight})" for slug, pattern, weight in RULES)
 
-@query()
+
+@query(f"""WITH d AS (SELECT doc_id AS id, text[1:4000] AS head FROM documents), h AS (SELECT id, slug, weight * CASE WHEN length(regexp_extract(head, '(?is)^(.*?)(?:' || p || ')', 1)) < 500 THEN 1.5 ELSE 1.0 END AS weight, length(regexp_extract(head, '(?i)' || p)) AS size FROM d, (VALUES {_RULES}) r(slug, p, weight) WHERE regexp_matches(head, '(?i)' || p)),
+ k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY weight DESC, size DESC, slug) AS rank FROM h) SELECT doc_id AS id, a.slug, round(CASE WHEN a.weight > 1 THEN 1 ELSE a.weight END, 6)::DOUBLE AS score, b.slug AS runner_up FROM documents LEFT JOIN k a ON a.id = doc_id AND a.rank = 1 LEFT JOIN k b ON b.id = doc_id AND b.rank = 2""")
 def keyword_classify(spark, sf):
     return classify.classify(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"), RULES)
 

@@ -45,3 +45,12 @@ def test_ties_and_empty_tables(spark):
     assert r[1]["slug"] == "aa"
     assert found(spark, [], types) == {}
     assert found(spark, [(1, "a", "упд", None)], [])[1]["slug"] == "UPD"
+
+
+def test_word_edges_are_ascii(spark):
+    types = [("a", "w", [r"\bcmr\b"], [], None, True), ("a", "back", [r"x\\b"], [], 0.2, True)]
+    docs = [(1, "a", "жCMRж", None), (2, "a", "xcmr", None), (3, "a", "cmr", None), (4, "a", "x\\b", None)]
+    r = found(spark, docs, types)
+    assert [r[i]["slug"] for i in (1, 2, 3, 4)] == ["w", None, "w", "back"]
+    plain = classify.classify(spark.createDataFrame([d[::2] for d in docs], "id int, text string"), [("w", r"\bcmr\b", 1.0), ("back", r"x\\b", 0.2)])
+    assert {x["id"]: x["slug"] for x in plain.collect()} == {1: "w", 2: None, 3: "w", 4: "back"}
