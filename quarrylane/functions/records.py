@@ -200,10 +200,15 @@ def quality(n_fields: Column, n_expected: Column, n_missing: Column, confidence:
     return F.struct(score.alias("score"), F.array_compact(F.array(*[F.when(on, F.lit(name)) for name, _, on in marks])).alias("factors"), (score >= 1.0).alias("again"))
 
 
-def decide_status(n_issues: Column, low_confidence: Column, n_fields: Column, doc_type: Column, class_confidence: Column, hinted: Column, deferred: Column, review_below: float = 0.5) -> Column:
-    """done or needs_review: any issue, low confidence, no fields, an unsure type or a deferral sends a job to review."""
+def _flag(x: Column | bool) -> Column:
+    return F.lit(x) if isinstance(x, bool) else x
+
+
+def decide_status(n_issues: Column, low_confidence: Column, n_fields: Column, doc_type: Column, class_confidence: Column, hinted: Column, deferred: Column, review_below: float = 0.5, skipped: Column | bool = False, checked: Column | bool = False) -> Column:
+    """done or needs_review: any issue, low confidence, no fields, an unsure type or a deferral sends a job to review. No fields
+    do so only where extraction wasn't skipped and its quality wasn't checked, which would have made it an issue."""
     unsure = ~hinted & (doc_type.isNull() | (F.coalesce(class_confidence, F.lit(1.0)) < review_below))
-    return F.when(deferred | low_confidence | (n_issues > 0) | (n_fields == 0) | unsure, "needs_review").otherwise("done")
+    return F.when(deferred | low_confidence | (n_issues > 0) | ((n_fields == 0) & ~_flag(skipped) & ~_flag(checked)) | unsure, "needs_review").otherwise("done")
 
 
 def token_units(prompt: Column, output: Column) -> Column:

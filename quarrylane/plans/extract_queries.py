@@ -271,10 +271,10 @@ def quality_assessment(spark, sf):
     return table(spark, sf, "events").select(k.alias("id"), q.alias("q")).select("id", F.round("q.score", 6).alias("score"), F.array_join("q.factors", ",").alias("factors"), "q.again")
 
 
-@query("""SELECT event_id AS id, CASE WHEN event_id % 11 = 0 OR event_id % 7 = 0 OR event_id % 5 = 0 OR event_id % 13 = 0 OR (event_id % 2 > 0 AND (event_id % 3 = 0 OR value / 1000 < 0.5)) THEN 'needs_review' ELSE 'done' END AS status FROM events""")
+@query("""SELECT event_id AS id, CASE WHEN event_id % 11 = 0 OR event_id % 7 = 0 OR event_id % 5 = 0 OR (event_id % 13 = 0 AND event_id % 4 > 0 AND event_id % 9 > 0) OR (event_id % 2 > 0 AND (event_id % 3 = 0 OR value / 1000 < 0.5)) THEN 'needs_review' ELSE 'done' END AS status FROM events""")
 def status_decision(spark, sf):
     k = F.col("event_id")
-    status = rc.decide_status(F.when(k % 5 == 0, 2).otherwise(0), k % 7 == 0, k % 13, F.when(k % 3 > 0, "invoice"), F.col("value") / 1000, k % 2 == 0, k % 11 == 0)
+    status = rc.decide_status(F.when(k % 5 == 0, 2).otherwise(0), k % 7 == 0, k % 13, F.when(k % 3 > 0, "invoice"), F.col("value") / 1000, k % 2 == 0, k % 11 == 0, skipped=k % 4 == 0, checked=k % 9 == 0)
     return table(spark, sf, "events").select(k.alias("id"), status.alias("status"))
 
 

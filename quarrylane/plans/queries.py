@@ -93,10 +93,10 @@ def quota_check(spark, sf):
     return metrics.quota(log.crossJoin(day), connectors, budgets, F.col("today")).withColumn("used", F.round("used", 4))
 
 
-@query(f"""{JOBS}, j AS (SELECT j.id, d.id AS source_id, d.created_at FROM jobs j JOIN jobs d ON d.status = 'done' AND j.owner = d.owner AND j.sha = d.sha AND d.created_at < j.created_at AND d.created_at > j.created_at - INTERVAL 240 HOURS)
+@query(f"""{JOBS}, j AS (SELECT j.id, d.id AS source_id, d.created_at FROM jobs j JOIN jobs d ON d.status = 'done' AND j.owner = d.owner AND j.sha = d.sha AND d.created_at < j.created_at AND d.created_at > j.created_at - INTERVAL 24 HOURS)
  SELECT id, arg_max(source_id, (created_at, source_id)) AS source_id FROM j GROUP BY 1""")
 def ttl_dedup(spark, sf):
-    return metrics.content_duplicates(jobs(spark, sf), 240)
+    return metrics.content_duplicates(jobs(spark, sf))
 
 
 @query(f"{JOBS} SELECT id, created_at FROM jobs WHERE status = 'pending' AND created_at < (SELECT max(created_at) FROM jobs) - INTERVAL 30 MINUTES ORDER BY created_at, id LIMIT 50")
@@ -155,9 +155,9 @@ def table_row_count(spark, sf):
     return table(spark, sf, "documents").select("doc_id", tx.table_row_count(F.col("text")).cast("long").alias("table_rows"))
 
 
-@query(r"SELECT doc_id FROM documents WHERE len(list_filter(string_split(text, chr(10)), lambda x: length(trim(x)) > 0 AND length(x) - length(regexp_replace(x, '[,\t;|]', '', 'g')) >= 2)) > 40")
+@query(r"SELECT doc_id, len(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: length(trim(x)) > 0 AND length(x) - length(regexp_replace(x, '[,\t;|]', '', 'g')) >= 2)) AS table_rows, table_rows > 400 AS deferred FROM documents")
 def complex_deferral(spark, sf):
-    return table(spark, sf, "documents").where(tx.table_row_count(F.col("text")) > 40).select("doc_id")
+    return table(spark, sf, "documents").select("doc_id", F.coalesce(tx.table_row_count(F.col("text")), F.lit(0)).alias("table_rows")).withColumn("deferred", F.col("table_rows") > 400)
 
 
 @query(r"SELECT doc_id, sha256(regexp_replace(regexp_replace(text, '(?:\+7|8)[\s\-]?\(?\d{3}\)?[\s\-]?\d{3}[\s\-]?\d{2}[\s\-]?\d{2}', '[REDACTED]', 'g'), '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}', '[REDACTED]', 'g')) AS sha FROM documents")
