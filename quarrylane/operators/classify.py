@@ -89,10 +89,10 @@ def _hits(head: Column, rules: Column, title: int) -> Column:
     """slug, weight, matched, in_title and place of each rule that the text matches."""
 
     def hit(r: Column, i: Column) -> Column:
-        at = F.regexp_instr(head, r["pattern"])
-        weight = F.when(at <= title, r["weight"] * 1.5).otherwise(r["weight"])
         matched = F.call_function("regexp_extract", head, r["pattern"], F.lit(0))
-        return F.when(at > 0, F.struct(r["slug"], weight.alias("weight"), matched.alias("matched"), (at <= title).alias("in_title"), i.alias("place")))
+        weight = lambda at: F.when(at <= title, r["weight"] * 1.5).otherwise(r["weight"])
+        of = lambda at: F.when(at > 0, F.struct(r["slug"], weight(at).alias("weight"), matched.alias("matched"), (at <= title).alias("in_title"), i.alias("place")))
+        return let(F.regexp_instr(head, r["pattern"]), of)
 
     return F.array_compact(F.transform(rules, hit))
 
