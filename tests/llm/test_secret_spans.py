@@ -7,7 +7,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from quarrylane.llm import secret_scan
+from quarrylane.llm import queries, secret_scan
 
 
 def test_spans_of_many_matches(spark):
@@ -22,3 +22,11 @@ def test_spans_of_many_matches(spark):
         t = dict([*enumerate(texts), (99, "")])[row["i"]]
         assert [tuple(x) for x in row["hex"]] == [(m.start(), 2, m.end()) for m in re.finditer(secret_scan.HEX, t)]
         assert [tuple(x) for x in row["assign"]] == [(m.start(), 0, m.end()) for m in re.finditer(secret_scan.ASSIGN, t) if len(m.group(2)) >= 6]
+
+
+def test_counts_are_those_of_each_kind(spark, tmp_path):
+    a, h = "AKIA" + "Z9" * 8, "0f" * 12
+    texts = [None, "", f"{h} {h} {h}", f"{a},{a}", f"{h} token=abcdef {a} {h} passwd: 123456 secret=xy", "api_key='abcdefgh'"]
+    spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: (r["n_assign"], r["n_access"], r["n_hex"]) for r in queries.op5_secret_scan(spark, str(tmp_path)).collect()}
+    assert got == {0: (0, 0, 0), 1: (0, 0, 0), 2: (0, 0, 3), 3: (0, 2, 0), 4: (2, 1, 2), 5: (1, 0, 0)}
