@@ -174,6 +174,7 @@ def canonical_fields(spark, sf):
     three, text = F.lpad((k % 1000).cast("string"), 3, "0"), lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
     party = lambda i: F.struct(F.when(k % 8 == i, text("ИНН ", F.substring("inn", 1, 4), " ", F.substring("inn", 5, 6))).otherwise(F.lit("7700000000")).alias("inn"))
     part = lambda x: x["l_partkey"].cast("string")
+    split = lambda n: F.regexp_replace(n.cast("string"), "^(.)", "$1 ")
     end = lambda e, load, port: (F.when(k % 6 == 0, "г. Москва, Россия").when(k % 6 == 1, "  ").alias(f"route_{e}"), F.when(k % 6 == 2, " Рига ").alias(f"{e}_city"), F.when(k % 6 == 4, name).alias(load), F.lit("Порт").alias(port))
     a, b = end("from", "place_of_loading", "port_of_loading"), end("to", "delivery_place", "port_of_discharge")
     record = F.struct(
@@ -184,7 +185,7 @@ def canonical_fields(spark, sf):
         F.struct(F.struct(F.when(k % 6 == 1, text("город ", name, " (склад)")).alias("from"), F.when(k % 6 == 1, text("г ", name, ", склад")).alias("to")).alias("route")).alias("transport"),
         F.struct(a[1], b[1], F.when(k % 6 == 3, "Минск, 1").alias("from"), F.when(k % 6 == 3, "Минск (2)").alias("to")).alias("route"), a[2], a[3], b[2], b[3],
         F.transform("l", lambda x: F.struct(text(" msku", part(x)).alias("number"), F.when(x["l_partkey"] % 2 == 0, text("s", part(x))).alias("seal"))).alias("containers"),
-        F.transform("l", lambda x: F.struct(F.when(x["l_partkey"] % 2 == 0, (x["l_partkey"] + 100000).cast("string")).otherwise(text("1 ", F.lpad(part(x), 5, "0"))).alias("hs_code"))).alias("items"),
+        F.transform("l", lambda x: F.struct(F.when(x["l_partkey"] % 2 == 0, (x["l_partkey"] + 100000).cast("string")).otherwise(split(x["l_partkey"] + 100000)).alias("hs_code"))).alias("items"),
         pick(k, ("руб.", "€", "usd", "монет")).alias("currency"), F.struct(F.when(k % 9 == 0, "Юань").alias("currency")).alias("declared_value"), F.when(k % 5 == 1, F.array((k + 10000000).cast("string"), F.lit("12"))).alias("hs_codes"),
         F.struct(F.when(k % 7 == 2, "AB 12").alias("truck_plate"), F.lit("123").alias("trailer_plate")).alias("transport_identity"), F.struct(F.when(k % 6 == 4, "Иванов").alias("fio"), name.alias("fullName")).alias("driver"),
     )
