@@ -15,6 +15,7 @@ from ..functions import records as rc
 from ..functions import text as tx
 from ..functions import values as vl
 from ..operators import costs
+from ..operators.layout import spread
 from ..sources.views import table
 from .queries import query
 
@@ -341,7 +342,7 @@ INVOICE_SQL = f"""WITH i AS {INN_SQL}, o AS (SELECT o_orderkey AS k, o_totalpric
 @query(INVOICE_SQL)
 def invoice_fields(spark, sf):
     """Invoices written from orders, each with some of the sections. (The mark of rail also stands in the word for escort.)"""
-    o = table(spark, sf, "orders").join(table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name"), "o_custkey")
+    o = spread(table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate"), "o_orderkey").join(table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name"), "o_custkey")
     k = F.col("o_orderkey")
     body = F.lpad(F.col("o_custkey").cast("string"), 9, "7")
     inn = F.concat(body, (sum((F.substring(body, i + 1, 1).cast("int") * w for i, w in enumerate(vl.INN_10)), F.lit(0)) % 11 % 10).cast("string"))

@@ -40,3 +40,8 @@ def test_content_is_reused_within_240_hours(spark, tmp_path):
     events = [(i, at + timedelta(hours=h), 3, kind, 1.0, '{"k": 1}') for i, (h, kind) in enumerate([(0, "purchase"), (200, "view"), (240, "view"), (239, "view")])]
     spark.createDataFrame(events, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(str(tmp_path / "events.parquet"))
     assert sorted(map(tuple, QUERIES["ttl_dedup"](spark, str(tmp_path)).collect())) == [(1, 0), (3, 0)]
+
+
+def test_costly_reads_are_dealt_out(spark):
+    one = QUERIES["invoice_fields"](spark, SF)
+    assert "RepartitionByExpression" in one._jdf.queryExecution().optimizedPlan().toString()
