@@ -7,6 +7,9 @@ from datetime import datetime, timedelta
 import duckdb
 import pytest
 
+from pyspark.sql import functions as F
+
+from quarrylane.operators import resolve
 from quarrylane.plans.queries import ORACLES, QUERIES
 from test_queries import SF, TABLES, rows
 
@@ -42,6 +45,18 @@ def test_content_is_reused_within_240_hours(spark, tmp_path):
     assert sorted(map(tuple, QUERIES["ttl_dedup"](spark, str(tmp_path)).collect())) == [(1, 0), (3, 0)]
 
 
+def test_links_are_chosen_before_entries_are_joined(spark, monkeypatch):
+    monkeypatch.setattr(resolve, "BLOCK", 3)
+    values = [(1, 0, "gone"), (1, 1, "a"), (1, 1, "b"), (2, 0, "a"), (2, 1, "b"), (3, 0, None), (3, None, "a"), (4, 0, "c"), (4, 0, "c")]
+    entries = [(i, ["a", "a"] if i % 2 else ["a", "b"]) for i in range(20)] + [(20, ["c"]), (21, None)]
+    frame = spark.createDataFrame(values, "id long, place int, value string").withColumn("field", F.lit("f"))
+    links = resolve.exact_links(frame, spark.createDataFrame(entries, "entry_id long, keys array<string>"))
+    want = [(i, e, "exact") for i in (1, 2) for e in range(20)] + [(3, None, "not_found"), (4, 20, "exact")]
+    assert sorted(map(str, map(tuple, links.collect()))) == sorted(map(str, want))
+    plan = links._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [id#" not in plan.split("Union")[0] and plan.count("explode(e#") == 2  # entries come last, in blocks
+
+
 def test_costly_reads_are_dealt_out(spark):
     one = QUERIES["invoice_fields"](spark, SF)
     assert "RepartitionByExpression" in one._jdf.queryExecution().optimizedPlan().toString()
