@@ -57,6 +57,14 @@ def test_links_are_chosen_before_entries_are_joined(spark, monkeypatch):
     assert "Aggregate [id#" not in plan.split("Union")[0] and plan.count("explode(e#") == 2  # entries come last, in blocks
 
 
+def test_a_key_sends_its_first_entries_alone(spark):
+    entries = spark.createDataFrame([(i, f"n{i % 3}", ["k", "k", f"o{i}"]) for i in range(60)], "entry_id long, display_name string, keys array<string>")
+    wanted = spark.createDataFrame([(1, ["k", "o1", "o2"]), (2, ["o59", None]), (3, ["none"])], "id long, values array<string>")
+    found = resolve.overlap_search(wanted, entries)
+    assert sorted(map(tuple, found.collect())) == [(1, 3 * i) for i in range(10)] + [(2, 59)]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("WindowGroupLimit") == 2  # the rest of a key ends before the join
+
+
 def test_costly_reads_are_dealt_out(spark):
     one = QUERIES["invoice_fields"](spark, SF)
     assert "RepartitionByExpression" in one._jdf.queryExecution().optimizedPlan().toString()
