@@ -8,7 +8,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.slugs import file_mark, fuse_file_mark
 from ..functions.text import let
@@ -55,7 +54,7 @@ def classify(docs: DataFrame, rules: list[tuple[str, str, float]], head: int = 4
     """id, slug, score, runner_up: each rule (slug, pattern, weight) that the first ``head`` characters match scores its
     weight, 1.5 times within the first ``title``. A type keeps its best rule; ties go to the longer match, then the slug.
 
-    Rules are few, so they are literal columns and documents aren't multiplied before a rule matches."""
+    Rules are few, so they are literal columns; a document's types are ranked within its row."""
     text = F.substring("text", 1, head)
     found = []
     for slug, pattern, weight in rules:
@@ -63,12 +62,10 @@ def classify(docs: DataFrame, rules: list[tuple[str, str, float]], head: int = 4
         hit = F.regexp_extract(text, p, 0)
         at = F.regexp_instr(text, F.lit(p))
         found.append(F.when(text.rlike(p), F.struct((F.lit(weight) * F.when(at <= title, 1.5).otherwise(1.0)).alias("weight"), F.length(hit).alias("size"), F.lit(slug).alias("slug"))))
-    hits = docs.select("id", F.explode(F.array_compact(F.array(*found))).alias("h")).select("id", "h.*")
-    best = hits.groupBy("id", "slug").agg(F.max(F.struct("weight", "size")).alias("b")).select("id", "slug", "b.*")
-    w = Window.partitionBy("id").orderBy(F.desc("weight"), F.desc("size"), "slug")
-    ranked = best.withColumn("rank", F.row_number().over(w)).where("rank <= 2")
-    top = ranked.groupBy("id").agg(F.max(F.when(F.col("rank") == 1, F.col("slug"))).alias("slug"), F.max(F.when(F.col("rank") == 1, F.least(F.lit(1.0), F.col("weight")))).alias("score"), F.max(F.when(F.col("rank") == 2, F.col("slug"))).alias("runner_up"))
-    return docs.select("id").join(top, "id", "left")
+    ranked = F.array_sort(F.transform(F.array_compact(F.array(*found)), lambda h: F.struct((-h["weight"]).alias("w"), (-h["size"]).alias("n"), h["slug"].alias("slug"))))
+    d = docs.select("id", ranked.alias("r")).withColumn("best", F.get("r", F.lit(0)))
+    second = F.get(F.filter("r", lambda h: h["slug"] != F.col("best.slug")), F.lit(0))
+    return d.select("id", F.col("best.slug").alias("slug"), F.when(F.col("best").isNotNull(), F.least(F.lit(1.0), -F.col("best.w"))).alias("score"), second["slug"].alias("runner_up"))
 
 
 def rules_by_scope(types: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -9,6 +9,7 @@ from ..functions import fields as fd
 from ..functions import values as vl
 from ..functions import text as tx
 from ..operators import classify, costs, evaluate, tables
+from ..operators.layout import spread
 from ..sources.views import items, jobs, table
 from .extract_queries import pick, sql_pick
 from .queries import ITEMS, JOBS, _round, query
@@ -249,5 +250,5 @@ def classify_business_text(spark, sf):
     far = " filler" * 100
     texts = ("УПД № %s" + far + " счёт", "Транспортная накладная %s", "Счёт на оплату %s", far + " акт выполненных работ %s", "Путевой лист %s", "nothing %s", "CMR %s" + far + " ттн")
     text = F.replace(pick(F.col("event_id"), texts), F.lit("%s"), F.col("event_id").cast("string"))
-    out = classify.classify(table(spark, sf, "events").select(F.col("event_id").alias("id"), text.alias("text")), classify.RULES)
+    out = classify.classify(spread(table(spark, sf, "events").select("event_id"), "event_id").select(F.col("event_id").alias("id"), text.alias("text")), classify.RULES)
     return _round(out, "score")

@@ -68,3 +68,8 @@ def test_a_key_sends_its_first_entries_alone(spark):
 def test_costly_reads_are_dealt_out(spark):
     one = QUERIES["invoice_fields"](spark, SF)
     assert "RepartitionByExpression" in one._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_types_are_ranked_within_rows(spark):
+    plan = QUERIES["classify_business_text"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Window" not in plan and "RepartitionByExpression" in plan
