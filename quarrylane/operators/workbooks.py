@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .layout import spread
+
 # Names under which an item may keep its code, name, quantity and price.
 ITEM_KEYS = (
     ("code", "article", "artikul", "артикул", "код", "sku"),
@@ -129,8 +131,8 @@ def item_key(item: Column) -> Column:
 
 def merge_chunks(items: DataFrame, most: int = MOST_ITEMS) -> DataFrame:
     """doc, line_no, item of items (doc, chunk, pos, item) that chunks of a document gave: in their order, without later
-    repeats of a key, ``most`` at most. Items without a key all stay."""
-    t = items.withColumn("_key", item_key(F.col("item")))
+    repeats of a key, ``most`` at most. Items without a key all stay. Both windows sort the rows of one deal by documents."""
+    t = spread(items, "doc").withColumn("_key", item_key(F.col("item")))
     seen = F.row_number().over(Window.partitionBy("doc", "_key").orderBy("chunk", "pos"))
     t = t.withColumn("_n", seen).where((F.col("_n") == 1) | F.col("_key").isNull())
     line = F.row_number().over(Window.partitionBy("doc").orderBy("chunk", "pos"))

@@ -70,6 +70,11 @@ def test_costly_reads_are_dealt_out(spark):
     assert "RepartitionByExpression" in one._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_merged_items_are_dealt_by_document_once(spark):
+    plan = QUERIES["merge_chunks"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(") == 1 and "REPARTITION_BY_NUM" in plan
+
+
 def test_types_are_ranked_within_rows(spark):
     plan = QUERIES["classify_business_text"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and "Window" not in plan and "RepartitionByExpression" in plan
