@@ -45,10 +45,16 @@ def _once(fields: Column, step: Callable[[Column], Column]) -> Column:
     return F.aggregate(F.array(F.lit(0)), fields, lambda acc, _: step(acc))
 
 
-def _each(fields: Column, names: Sequence[object], step: Callable[[Column, Column], Column]) -> Column:
-    """A step for each of some names in turn, of pairs as structs of ``a`` and ``b``."""
-    rows = [F.struct(F.lit(n[0]).alias("a"), F.lit(n[1]).alias("b")) if isinstance(n, tuple) else F.lit(n) for n in names]
-    return F.aggregate(F.array(*rows), fields, step)
+def _each(fields: Column, names: Sequence[str], step: Callable[[Column, Column], Column]) -> Column:
+    """A step for each of some names in turn."""
+    return F.aggregate(F.array(*map(F.lit, names)), fields, step)
+
+
+def _each_held(fields: Column, names: dict[str, str], step: Callable[[Column, Column, Column], Column]) -> Column:
+    """A step for each pair in turn whose first name is a key of the fields; no step makes such a key."""
+    table = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    held = lambda f: F.array_intersect(F.array(*map(F.lit, names)), F.map_keys(f))
+    return let(fields, lambda f: F.aggregate(held(f), f, lambda acc, name: step(acc, name, _get(table, name))))
 
 
 def _set(fields: Column, target: Column, value: Column) -> Column:
@@ -70,34 +76,40 @@ def _merge(fields: Column, section: Column, names: dict[str, str], others: bool)
     table = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
     pairs = F.transform(F.map_entries(section), lambda e: F.struct(F.coalesce(_get(table, e["key"]), e["key"] if others else F.lit(None)).alias("target"), e["value"].alias("value"), e["key"].alias("key")))
     usable = F.filter(pairs, lambda p: p["target"].isNotNull() & ~trees.empty(p["value"]))
-    own = F.concat(F.filter(usable, lambda p: p["target"] == p["key"]), F.filter(usable, lambda p: p["target"] != p["key"]))
+    own = let(usable, lambda u: F.concat(F.filter(u, lambda p: p["target"] == p["key"]), F.filter(u, lambda p: p["target"] != p["key"])))
     return F.aggregate(own, fields, lambda acc, p: _set(acc, p["target"], p["value"]))
 
 
-def _amount(value: Column) -> Column:
-    """The number of an amount given as an object, null for anything else."""
-    return F.coalesce(*[let(trees.at(value, k), lambda x: F.when(trees.is_number(x), x)) for k in AMOUNT])
+def _amount(held: Column) -> Column:
+    """The number of an amount given as an object, of whose entries; null for null."""
+    return F.when(held.isNotNull(), F.coalesce(*[let(_get(held, k), lambda x: F.when(trees.is_number(x), x)) for k in AMOUNT]))
 
 
 def _flat(fields: Column, keys: tuple[str, ...]) -> Column:
     """Amounts given as objects as their numbers."""
-    return F.transform_values(fields, lambda k, v: F.when(k.isin(*keys), F.coalesce(_amount(v), v)).otherwise(v))
+    return F.transform_values(fields, lambda k, v: F.when(k.isin(*keys), F.coalesce(let(trees.entries(v), _amount), v)).otherwise(v))
 
 
 def _currencies(fields: Column, keys: tuple[str, ...]) -> Column:
     """Currencies of the amounts given as objects, in the order of ``keys``."""
-    return F.array_compact(F.array(*[let(_get(fields, k), lambda v: F.when(_amount(v).isNotNull(), let(trees.at(v, "currency"), lambda c: F.when(~trees.empty(c) & (trees.kind(c) == "STRING"), c)))) for k in keys]))
+    named = lambda held: let(_get(held, "currency"), lambda c: F.when((trees.kind(c) == "STRING") & ~trees.empty(c), c))
+    return F.array_compact(F.transform(F.array_intersect(F.array(*map(F.lit, keys)), F.map_keys(fields)), lambda k: let(trees.entries(_get(fields, k)), lambda held: F.when(_amount(held).isNotNull(), named(held)))))
 
 
 def _money(fields: Column) -> Column:
     """Amounts as numbers, of the header and of the items; the first currency found there stands in for a missing one."""
-    items = trees.members(_get(fields, "items"))
-    in_items = F.flatten(F.transform(items, lambda i: F.coalesce(F.when(trees.kind(i) == "OBJECT", _currencies(trees.entries(i), (*MONEY, "price"))), F.expr("CAST(array() AS array<variant>)"))))
-    flat = F.transform(items, lambda i: F.when(trees.kind(i) == "OBJECT", F.to_variant_object(_flat(trees.entries(i), (*MONEY, "price")))).otherwise(i))
-    out = _flat(fields, MONEY)
-    out = F.when(F.size(items) > 0, _put(out, F.lit("items"), F.to_variant_object(flat))).otherwise(out)
-    money = F.get(F.concat(_currencies(fields, MONEY), in_items), F.lit(0))
-    return F.when(trees.empty(_get(fields, "currency")) & money.isNotNull(), _put(out, F.lit("currency"), money)).otherwise(out)
+    keys = (*MONEY, "price")
+
+    def with_items(items: Column) -> Column:
+        """``items``: entries of each element (null for what is no object) beside the element."""
+        flat = F.transform(items, lambda i: F.when(i["held"].isNotNull(), F.to_variant_object(_flat(i["held"], keys))).otherwise(i["own"]))
+        out = let(_flat(fields, MONEY), lambda f: F.when(F.size(items) > 0, _put(f, F.lit("items"), F.to_variant_object(flat))).otherwise(f))
+        first = lambda held, names: F.when(held.isNotNull(), F.get(_currencies(held, names), F.lit(0)))
+        found = F.aggregate(items, first(fields, MONEY), lambda acc, i: F.coalesce(acc, first(i["held"], keys)))
+        money = F.when(trees.empty(_get(fields, "currency")), found)
+        return let(money, lambda m: F.when(m.isNotNull(), _put(out, F.lit("currency"), m)).otherwise(out))
+
+    return let(F.transform(trees.members(_get(fields, "items")), lambda i: F.struct(i.alias("own"), trees.entries(i).alias("held"))), with_items)
 
 
 def _party(fields: Column, source: Column, role: Column) -> Column:
@@ -120,14 +132,14 @@ def canonical_fields(fields: Column) -> Column:
     Doing it twice changes nothing. Of several aliases of a path in one section the first by name counts."""
 
     def section(f: Column, name: Column) -> Column:
-        return let(trees.entries(_get(f, name)), lambda held: F.when(held.isNull(), f).otherwise(_without(_merge(f, held, ALIASES, True), name)))
+        return F.when(F.map_contains_key(f, name), let(trees.entries(_get(f, name)), lambda held: F.when(held.isNull(), f).otherwise(_without(_merge(f, held, ALIASES, True), name)))).otherwise(f)
 
     def payment(f: Column) -> Column:
         name = F.lit("payment_details")
-        return let(trees.entries(_get(f, name)), lambda held: F.when(held.isNull(), f).otherwise(_without(_merge(f, held, PAYMENT, False), name)))
+        return F.when(F.map_contains_key(f, name), let(trees.entries(_get(f, name)), lambda held: F.when(held.isNull(), f).otherwise(_without(_merge(f, held, PAYMENT, False), name)))).otherwise(f)
 
-    def renamed(f: Column, p: Column) -> Column:
-        return let(_get(f, p["a"]), lambda held: F.when(trees.empty(held), f).otherwise(_without(_set(f, p["b"], held), p["a"])))
+    def renamed(f: Column, name: Column, target: Column) -> Column:
+        return let(_get(f, name), lambda held: F.when(trees.empty(held), f).otherwise(_without(_set(f, target, held), name)))
 
     def items(f: Column) -> Column:
         legacy = F.get(F.filter(F.transform(F.array(*map(F.lit, ITEM_ARRAYS)), lambda k: _get(f, k)), lambda v: F.size(trees.members(v)) > 0), F.lit(0))
@@ -135,8 +147,8 @@ def canonical_fields(fields: Column) -> Column:
         return let(legacy, lambda v: F.when(lacking & v.isNotNull(), _put(f, F.lit("items"), v)).otherwise(f))
 
     out = _once(_each(fields, SECTIONS, section), payment)
-    out = _each(out, tuple(PARTIES.items()), lambda f, p: _party(f, p["a"], p["b"]))
-    return _once(_once(_each(out, tuple(ALIASES.items()), renamed), items), _money)
+    out = _each_held(out, PARTIES, _party)
+    return _once(_once(_each_held(out, ALIASES, renamed), items), _money)
 
 
 def canonical_answer(answer: Column) -> Column:

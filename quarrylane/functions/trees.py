@@ -30,7 +30,7 @@ def first(tree: Column, *paths: str) -> Column:
 
 def kind(value: Column) -> Column:
     """STRING, BIGINT, DECIMAL, DOUBLE, FLOAT, BOOLEAN, VOID, ARRAY, OBJECT ... of a variant."""
-    return F.regexp_extract(F.schema_of_variant(value), "^[A-Z_]+", 0)
+    return F.substring_index(F.substring_index(F.schema_of_variant(value), "<", 1), "(", 1)
 
 
 def trimmed(text: Column) -> Column:
@@ -77,7 +77,8 @@ def entries(value: Column) -> Column:
 
 def empty(value: Column) -> Column:
     """Nothing, JSON's null, an empty text, object or array."""
-    return let(value, lambda v: F.coalesce(F.schema_of_variant(v).isin("VOID", "OBJECT<>") | F.to_json(v).isin('""', "[]"), F.lit(True)))
+    held = lambda v: F.try_variant_get(v, "$[0]", "variant").isNotNull()  # noqa: E731  an array that holds anything needn't be written out
+    return let(value, lambda v: F.when(v.isNull(), True).when(held(v), False).otherwise(F.schema_of_variant(v).isin("VOID", "OBJECT<>") | F.to_json(v).isin('""', "[]")))
 
 
 def leaves(json: Column, without: Sequence[str] = ()) -> Column:

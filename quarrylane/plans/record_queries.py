@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import answers, canonical, recover, signals, trees
 from ..functions.values import INN_10
+from ..operators.layout import spread
 from ..sources.views import table
 from .extract_queries import INN_SQL, pick, sql_pick
 from .queries import query
@@ -21,11 +22,17 @@ def _list(values: str | list[str]) -> str:
     return ", ".join(f"'{v}'" for v in (values.split() if isinstance(values, str) else values))
 
 
+def with_lines(spark, sf, *customer: str, lines: Column) -> DataFrame:
+    """Orders with columns of their customers and ``l``, an aggregate of their lines. Lines are dealt out by order once, and
+    orders go to them: what is read from the rows afterwards runs in as many tasks, not in those that read row groups."""
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), *customer)
+    own = spread(table(spark, sf, "lineitem"), "l_orderkey").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(lines.alias("l"))
+    return own.join(table(spark, sf, "orders").join(c, "o_custkey").hint("merge"), "o_orderkey")
+
+
 def order_records(spark, sf) -> DataFrame:
     """id, type, record: an order with its customer, supplier names and lines as one JSON text."""
-    o, c = table(spark, sf, "orders"), table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name", "c_mktsegment")
     line = F.struct("l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_shipdate", "l_returnflag")
-    lines = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(line)).alias("l"))
     k, name = F.col("o_orderkey"), F.col("c_name")
     number = lambda x: F.concat(F.lit("MSKU"), F.lpad(x["l_partkey"].cast("string"), 7, "0"))
     who = lambda mark: F.struct(F.concat(F.lit(mark), name).alias("name"), F.when(k % 2 == 0, F.col("c_mktsegment")).alias("inn"), F.lit(" ").alias("kpp"))
@@ -45,7 +52,7 @@ def order_records(spark, sf) -> DataFrame:
         F.concat(F.lit("D-"), k.cast("string")).alias("declaration_number"), pick(k, (None, None, "DRAFT", "Proforma v2", "other")).alias("document_stage"),
         F.create_map(F.lit("number"), F.lit(0.5), F.lit("seller.inn"), (k % 10) / 10, F.lit("total_with_vat"), F.lit(0.75)).alias("_field_confidence"),
     )
-    return o.join(c, "o_custkey").join(lines, "o_orderkey").select(k.alias("id"), pick(k, TYPES).alias("type"), F.to_json(record).alias("record"))
+    return with_lines(spark, sf, "c_name", "c_mktsegment", lines=F.array_sort(F.collect_list(line))).select(k.alias("id"), pick(k, TYPES).alias("type"), F.to_json(record).alias("record"))
 
 
 SIGNALS_SQL = f"""WITH l AS (SELECT l_orderkey AS k, list({{'n': l_linenumber, 'p': l_partkey, 'q': l_quantity, 'e': l_extendedprice, 's': l_shipdate, 'f': l_returnflag}} ORDER BY l_linenumber, l_partkey, l_quantity, l_extendedprice, l_shipdate, l_returnflag) AS l FROM lineitem GROUP BY 1),
@@ -126,8 +133,7 @@ ANSWERS_SQL = """WITH l AS (SELECT l_orderkey AS k, count(*) AS n, round(sum(l_e
 def canonical_answers(spark, sf):
     """Five shapes of answers: loose fields in a section, an envelope with aliases, loose parties under other names, a
     section within a section, and no JSON."""
-    lines = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_list(F.struct(F.struct(F.col("l_extendedprice").alias("value"), F.lit("USD").alias("currency")).alias("price"), F.lit(None).alias("vat"))).alias("l"))
-    o = table(spark, sf, "orders").join(table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name"), "o_custkey").join(lines, "o_orderkey")
+    o = with_lines(spark, sf, "c_name", lines=F.collect_list(F.struct(F.struct(F.col("l_extendedprice").alias("value"), F.lit("USD").alias("currency")).alias("price"), F.lit(None).alias("vat"))))
     k, price, name = F.col("o_orderkey"), F.col("o_totalprice"), F.col("c_name")
     number, account = F.concat(F.lit("N-"), k.cast("string")), F.concat(F.lit("B-"), F.col("o_custkey").cast("string"))
     money = F.struct(price.alias("amount"), F.lit("USD").alias("currency"))

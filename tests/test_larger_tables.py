@@ -78,3 +78,13 @@ def test_merged_items_are_dealt_by_document_once(spark):
 def test_types_are_ranked_within_rows(spark):
     plan = QUERIES["classify_business_text"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and "Window" not in plan and "RepartitionByExpression" in plan
+
+
+def _tree_plan(spark, name: str) -> str:
+    return QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_answers_are_read_from_orders_dealt_out_once(spark):
+    plan = _tree_plan(spark, "canonical_answers")
+    assert plan.count("REPARTITION_BY_NUM") == 1 and "SortMergeJoin" in plan  # no single task of a broadcast join
+    assert plan.count("Exchange hashpartitioning(") == 2  # lines, and orders to them
