@@ -88,28 +88,30 @@ def leaves(json: Column, without: Sequence[str] = ()) -> Column:
 
     A fold opens one level at a time; there are as many levels as brackets open, at most, so the fold is as long as those."""
     named = lambda path, step: F.when(path == "", step).otherwise(F.concat(path, F.lit("."), step))
-    node = lambda path, value: F.struct(path.alias("path"), value.alias("value"))
     listed = lambda v: F.try_variant_get(v, "$", "array<variant>")
-    open_ = lambda n: n["value"].isNotNull() & (entries(n["value"]).isNotNull() | listed(n["value"]).isNotNull())
+    # Whether a node opens is asked once, where it is found.
+    node = lambda path, value: F.struct(path.alias("path"), value.alias("value"), (entries(value).isNotNull() | listed(value).isNotNull()).alias("open"))
+    open_ = lambda n: n["open"]
 
     def inside(n: Column) -> Column:
         own = F.map_entries(entries(n["value"]))
         kept = F.filter(own, lambda e: ~e["key"].isin(*without)) if without else own
         of_object = F.transform(kept, lambda e: node(named(n["path"], e["key"]), e["value"]))
-        of_array = F.transform(listed(n["value"]), lambda x, i: node(named(n["path"], i.cast("string")), x))
-        return F.coalesce(of_object, of_array, F.expr("CAST(array() AS array<struct<path:string,value:variant>>)"))
+        return F.coalesce(of_object, F.transform(listed(n["value"]), lambda x, i: node(named(n["path"], i.cast("string")), x)))
+
+    def said(v: Column) -> Column:
+        whole = lambda x: let(x.try_cast("long"), lambda w: F.when(w == x, w.cast("string")))  # noqa: E731  2e3 is 2000
+        return F.coalesce(F.when(F.schema_of_variant(v) == "DOUBLE", let(F.try_variant_get(v, "$", "double"), whole)), F.try_variant_get(v, "$", "string"))
 
     def level(acc: Column, _: Column) -> Column:
-        whole = lambda v: F.when((F.schema_of_variant(v) == "DOUBLE"), F.try_variant_get(v, "$", "double")).try_cast("long")
-        same = lambda v: whole(v) == F.try_variant_get(v, "$", "double")
-        said = lambda v: F.when(same(v), whole(v).cast("string")).otherwise(F.try_variant_get(v, "$", "string"))  # noqa: E731  2e3 is 2000
         told = lambda n: F.struct(n["path"].alias("path"), said(n["value"]).alias("value"))
-        return let(
+        deeper = let(
             F.flatten(F.transform(acc["open"], inside)),
             lambda kids: F.struct(F.filter(kids, open_).alias("open"), F.concat(acc["leaves"], F.transform(F.filter(kids, lambda n: ~open_(n)), told)).alias("leaves")),
         )
+        return F.when(F.size(acc["open"]) == 0, acc).otherwise(deeper)
 
     tree = F.try_parse_json(json)
-    start = F.struct(F.array(node(F.lit(""), tree)).alias("open"), F.expr("CAST(array() AS array<struct<path:string,value:string>>)").alias("leaves"))
+    start = F.struct(F.filter(F.array(node(F.lit(""), tree)), open_).alias("open"), F.expr("CAST(array() AS array<struct<path:string,value:string>>)").alias("leaves"))
     levels = F.sequence(F.lit(0), F.length(json) - F.length(F.translate(json, "{[", "")))
     return F.when(tree.isNotNull(), F.aggregate(levels, start, level, lambda acc: acc["leaves"]))

@@ -59,16 +59,15 @@ def diff_records(records: DataFrame) -> DataFrame:
 
     Both records of a row are opened in place and only differing leaves leave it: nothing is shuffled or joined."""
     none = F.array().cast("array<struct<path:string,value:string>>")
-    of = lambda c: F.map_from_entries(F.transform(last(F.array_sort(F.coalesce(leaves(F.col(c), META), none))), lambda x: F.struct(x["path"], x["value"])))
+    of = lambda c: F.map_from_entries(F.transform(last(F.array_sort(F.coalesce(leaves(F.col(c), META), none))), lambda x: F.struct(x["path"], F.struct(x["value"]))))  # noqa: E731  a leaf of null is a leaf
 
     def last(rows: Column) -> Column:
         return F.get(F.transform(F.array(rows), lambda r: F.filter(r, lambda x, i: ~F.coalesce(F.get(r, i + 1)["path"] == x["path"], F.lit(False)))), F.lit(0))
 
     t = records.select("id", of("old").alias("old"), of("new").alias("new"))
-    paths = F.array_union(F.map_keys("old"), F.map_keys("new"))
-    rows = F.transform(paths, lambda p: F.struct(p.alias("path"), F.try_element_at(F.col("old"), p).alias("before"), F.try_element_at(F.col("new"), p).alias("after"), (F.map_contains_key("old", p) & F.map_contains_key("new", p)).alias("both")))
-    changed = F.filter(rows, lambda r: ~r["both"] | ~r["before"].eqNullSafe(r["after"]))
-    return t.select("id", F.explode(changed).alias("c")).select("id", "c.path", "c.before", "c.after")
+    both = F.map_entries(F.map_zip_with("old", "new", lambda _, a, b: F.struct(a.alias("old"), b.alias("new"))))
+    changed = F.filter(both, lambda e: ~e["value"]["old"].eqNullSafe(e["value"]["new"]))
+    return t.select("id", F.explode(changed).alias("c")).select("id", F.col("c.key").alias("path"), F.col("c.value.old.value").alias("before"), F.col("c.value.new.value").alias("after"))
 
 
 def categorize_by(items: DataFrame, words: DataFrame, text: str = "text", preset: str = "preset") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import records as rc
 from ..functions import text as tx
 from ..operators import classify, lifecycle, metrics, resolve, tables, totals
+from ..operators.layout import spread
 from ..sources.views import items, jobs, table
 from .extract_queries import BLEED, pick, sql_pick
 from .queries import ITEMS, JOBS, _round, query
@@ -197,7 +198,7 @@ def diff_records(spark, sf):
     old = line(F.col("l_quantity"), F.col("l_suppkey"), F.array().cast("array<long>"))
     new = line(F.col("l_quantity") + F.when(n % 2 == 0, 1).otherwise(0), F.when(n % 3 > 0, F.col("l_suppkey")), F.when(n % 4 == 0, F.array(n)))
     order = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", old.alias("old"), new.alias("new"))))
-    o = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(order.alias("l")).join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    o = spread(table(spark, sf, "lineitem"), "l_orderkey").groupBy("l_orderkey").agg(order.alias("l")).join(table(spark, sf, "orders").hint("merge"), F.col("l_orderkey") == F.col("o_orderkey"))
     record = lambda side, status: F.to_json(F.struct(status.alias("status"), F.transform("l", lambda x: x[side]).alias("items"), F.array(F.lit(side)).alias("_field_confidence")))
     status = F.col("o_orderstatus")
     return tables.diff_records(o.select(F.col("l_orderkey").alias("id"), record("old", status).alias("old"), record("new", F.when(status == "O", "F").otherwise(status)).alias("new")))

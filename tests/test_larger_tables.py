@@ -9,7 +9,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from quarrylane.operators import resolve
+from quarrylane.operators import resolve, tables
 from quarrylane.plans.queries import ORACLES, QUERIES
 from test_queries import SF, TABLES, rows
 
@@ -88,3 +88,15 @@ def test_answers_are_read_from_orders_dealt_out_once(spark):
     plan = _tree_plan(spark, "canonical_answers")
     assert plan.count("REPARTITION_BY_NUM") == 1 and "SortMergeJoin" in plan  # no single task of a broadcast join
     assert plan.count("Exchange hashpartitioning(") == 2  # lines, and orders to them
+
+
+def test_records_are_opened_once_and_dealt_out_by_order(spark):
+    plan = _tree_plan(spark, "diff_records")
+    assert plan.count("REPARTITION_BY_NUM") == 1 and "SortMergeJoin" in plan
+    assert "map_zip_with" in plan and "array_union" not in plan  # leaves are paired by key, not sought for each path
+
+
+def test_null_leaves_differ_from_missing_ones(spark):
+    rows = [(1, '{"a": null, "b": {"c": []}, "d": 2e3}', '{"b": {"c": [null, {"e": 1.5}]}, "d": 2000}'), (2, "5", None), (3, "[1]", "[null]")]
+    got = tables.diff_records(spark.createDataFrame(rows, "id int, old string, new string")).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, [(1, "a", None, None), (1, "b.c.0", None, None), (1, "b.c.1.e", None, "1.5"), (3, "0", "1", None)]))
