@@ -11,11 +11,12 @@ from .values import inn_valid, normalize_inn
 
 # Labels of parties, what stands before a bank's own numbers, and countries that are home.
 LABELS = (("поставщик", "seller"), ("продавец", "seller"), ("покупатель", "buyer"), ("заказчик", "buyer"), ("грузоотправитель", "shipper"), ("грузополучатель", "consignee"), ("перевозчик", "carrier"), ("плательщик", "payer"))
-BANK = r"банк|бик(?=[A-Za-z0-9_])|к/с|кор(?:р|\.)\s*сч|корсчет|корреспондент|сч\.\s*№|р/с"
+BANK = r"(?=[бкср])(?:банк|бик(?=[A-Za-z0-9_])|к/с|кор(?:р|\.)\s*сч|корсчет|корреспондент|сч\.\s*№|р/с)"
 HOME = ("RU", "РФ", "RUS", "РОССИЯ", "RUSSIA")
 PARTIES = tuple(dict.fromkeys(party for _, party in LABELS))
 NEAR = r"инн(?:\s*/?\s*кпп)?[\s:№#/]*([0-9]{12}|[0-9]{10})(?![0-9])"
-_LABEL = "(?iuU)(" + "|".join(word for word, _ in LABELS) + r")\s*:?"
+# A look at the first letter spares most places the words.
+_LABEL = "(?iuU)(?=[" + "".join(sorted({word[0] for word, _ in LABELS})) + "])(" + "|".join(word for word, _ in LABELS) + r")\s*:?"
 
 
 def party_windows(text: Column, reach: int = 400) -> Column:
@@ -34,17 +35,17 @@ def recovered_inns(record: Column, text: Column) -> Column:
     near = F.transform(party_windows(text), lambda w: F.struct(w["party"], F.nullif(F.regexp_extract(w["window"], "(?iuU)" + NEAR, 1), F.lit("")).alias("inn")))
     valid = F.filter(near, lambda w: inn_valid(w["inn"]))
 
-    def pick(found: Column) -> Column:
-        pairs = []
+    def pick(x: Column) -> Column:
+        found, own, pairs = x["found"], x["record"], []
         for p in PARTIES:
-            country = F.upper(F.regexp_replace(path(record, f"{p}.country"), r"(?U)^\s+|\s+$", ""))
+            country = F.upper(F.regexp_replace(path(own, f"{p}.country"), r"(?U)^\s+|\s+$", ""))
             foreign = filled(country) & ~F.coalesce(country, F.lit("")).isin(*HOME)
             inn = F.get(F.filter(found, lambda w: w["party"] == F.lit(p)), F.lit(0))["inn"]
-            pairs.append(F.when(normalize_inn(path(record, f"{p}.inn")).isNull() & ~foreign & inn.isNotNull(), F.struct(F.lit(f"{p}.inn").alias("key"), inn.alias("value"))))
+            pairs.append(F.when(inn.isNotNull() & normalize_inn(path(own, f"{p}.inn")).isNull() & ~foreign, F.struct(F.lit(f"{p}.inn").alias("key"), inn.alias("value"))))
         return F.map_from_entries(F.array_compact(F.array(*pairs)))
 
     none = F.expr("CAST(map() AS map<string,string>)")
-    return F.coalesce(let(valid, pick), none)
+    return F.coalesce(let(F.struct(valid.alias("found"), record.alias("record")), pick), none)
 
 
 def recover_inns(record: Column, text: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 # Weights of the check digits of a taxpayer number.
 INN_10 = (2, 4, 10, 3, 5, 9, 4, 6, 8)
 INN_11 = (7, 2, 4, 10, 3, 5, 9, 4, 6, 8)
@@ -27,7 +29,10 @@ def _check(d: Column, weights: tuple[int, ...]) -> Column:
 
 
 def inn_valid(x: Column) -> Column:
-    d = digits_of(x)
+    return let(digits_of(x), _inn_digits_valid)
+
+
+def _inn_digits_valid(d: Column) -> Column:
     ten = _check(d, INN_10) == F.substring(d, 10, 1).cast("int")
     twelve = (_check(d, INN_11) == F.substring(d, 11, 1).cast("int")) & (_check(d, INN_12) == F.substring(d, 12, 1).cast("int"))
     return F.coalesce(F.when(F.length(d) == 10, ten).when(F.length(d) == 12, twelve), F.lit(False))

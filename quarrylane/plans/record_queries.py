@@ -108,10 +108,12 @@ LETTER_SQL = f"""WITH i AS {INN_SQL}, o AS (SELECT o_orderkey AS k, o_custkey, o
 
 @query(LETTER_SQL)
 def recovered_inns(spark, sf):
-    o, c = table(spark, sf, "orders"), table(spark, sf, "customer").select("c_custkey", "c_name", _inn(F.col("c_custkey")).alias("inn"))
+    orders = table(spark, sf, "orders")
+    o, c = orders, table(spark, sf, "customer").select("c_custkey", "c_name", _inn(F.col("c_custkey")).alias("inn"))
     n = F.broadcast(c.agg(F.count("*").alias("n")))  # one row
     o = o.crossJoin(n).withColumn("next", (F.col("o_custkey") + 1) % F.col("n"))
     o = o.join(c.withColumnRenamed("c_custkey", "o_custkey"), "o_custkey").join(c.select(F.col("c_custkey").alias("next"), F.col("inn").alias("other")), "next")
+    o = spread(o.select("o_orderkey", "o_orderpriority", "c_name", "inn", "other"), "o_orderkey", rows_of=orders)
     k = F.col("o_orderkey")
     seller = F.concat(
         pick(k, ("Поставщик: ", "ПРОДАВЕЦ ", "Продавец:")), F.col("c_name"), F.when(k % 6 == 5, F.lpad(F.lit(""), 400, "-")).otherwise(""), F.when(k % 6 == 1, "\nБанк получателя: ПАО, ").otherwise(", "), pick(k, ("ИНН ", "ИНН/КПП: ", "инн № ", "ИНН:")),

@@ -9,6 +9,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
+from quarrylane.functions import values
 from quarrylane.operators import resolve, tables
 from quarrylane.plans.queries import ORACLES, QUERIES
 from test_queries import SF, TABLES, rows
@@ -100,3 +101,10 @@ def test_null_leaves_differ_from_missing_ones(spark):
     rows = [(1, '{"a": null, "b": {"c": []}, "d": 2e3}', '{"b": {"c": [null, {"e": 1.5}]}, "d": 2000}'), (2, "5", None), (3, "[1]", "[null]")]
     got = tables.diff_records(spark.createDataFrame(rows, "id int, old string, new string")).collect()
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, [(1, "a", None, None), (1, "b.c.0", None, None), (1, "b.c.1.e", None, "1.5"), (3, "0", "1", None)]))
+
+
+def test_letters_are_read_from_orders_dealt_out(spark):
+    one = QUERIES["recovered_inns"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in one
+    digits = spark.range(1).select(values.inn_valid(F.col("id").cast("string")).alias("v"))._jdf.queryExecution().optimizedPlan().toString()
+    assert digits.count("regexp_replace") == 1  # a number's digits are read once, not for each weight
