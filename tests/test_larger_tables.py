@@ -108,3 +108,8 @@ def test_letters_are_read_from_orders_dealt_out(spark):
     assert "RepartitionByExpression" in one
     digits = spark.range(1).select(values.inn_valid(F.col("id").cast("string")).alias("v"))._jdf.queryExecution().optimizedPlan().toString()
     assert digits.count("regexp_replace") == 1  # a number's digits are read once, not for each weight
+
+
+def test_signals_are_read_from_orders_dealt_out_once(spark):
+    plan = _tree_plan(spark, "match_signals")
+    assert plan.count("REPARTITION_BY_NUM") == 1 and "SortMergeJoin" in plan
