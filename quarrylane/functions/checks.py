@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
 from .values import inn_valid
 
 # Latin letters that stand for Cyrillic ones on vehicle plates, and tax rates a derived rate snaps to.
@@ -128,11 +129,14 @@ def issues(specs: Sequence[str]) -> Column:
 def plate(x: Column) -> Column:
     """A vehicle plate in Cyrillic capitals, null if it has no plate's shape. Digits at letters' places and letters at digits'
     places are read as what they look like."""
-    p = F.translate(F.upper(F.regexp_replace(x, r"[\s\-_.,;:]", "")), PLATE_LATIN, PLATE_CYRILLIC)
     letter = lambda c: F.translate(c, "038", "ОЗВ")
     digit = lambda c: F.translate(c, "ОЗВI", "0381")
-    fixed = F.concat(letter(F.substring(p, 1, 1)), digit(F.substring(p, 2, 3)), letter(F.substring(p, 5, 2)), digit(F.substring(p, 7, 3)))
-    return F.when(F.length(p).between(8, 9) & fixed.rlike(PLATE), fixed)
+
+    def shaped(p: Column) -> Column:
+        fixed = F.concat(letter(F.substring(p, 1, 1)), digit(F.substring(p, 2, 3)), letter(F.substring(p, 5, 2)), digit(F.substring(p, 7, 3)))
+        return F.when(F.length(p).between(8, 9), let(fixed, lambda f: F.when(f.rlike(PLATE), f)))
+
+    return let(F.translate(F.upper(F.regexp_replace(x, r"[\s\-_.,;:]", "")), PLATE_LATIN, PLATE_CYRILLIC), shaped)
 
 
 def inn_confidence(valid: Column, length: Column, given: Column) -> Column:

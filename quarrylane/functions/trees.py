@@ -39,7 +39,8 @@ def trimmed(text: Column) -> Column:
 
 def text(value: Column) -> Column:
     """A variant's trimmed text if it is one and isn't blank."""
-    return let(value, lambda v: F.nullif(trimmed(F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))), F.lit("")))
+    said = lambda v: trimmed(F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string")))
+    return F.get(F.filter(F.transform(F.array(value), said), lambda t: t != ""), F.lit(0))  # read and trimmed once
 
 
 def text_at(tree: Column, path: str) -> Column:
@@ -58,7 +59,7 @@ def number(value: Column) -> Column:
         digits = F.regexp_extract(said, r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$", 0)
         return F.when(is_number(v), F.try_variant_get(v, "$", "double")).otherwise(digits.try_cast("double"))
 
-    return let(let(value, read), lambda x: F.when(~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))), x))
+    return F.get(F.filter(F.transform(F.array(value), read), lambda x: ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))), F.lit(0))
 
 
 def number_at(tree: Column, path: str) -> Column:
@@ -70,6 +71,26 @@ def members(value: Column) -> Column:
     return F.coalesce(F.try_variant_get(value, "$", "array<variant>"), F.expr("CAST(array() AS array<variant>)"))
 
 
+def there(value: Column) -> Column:
+    """Whether a variant is a value, not missing and not JSON's null."""
+    return value.isNotNull() & ~F.is_variant_null(value)
+
+
+def members_of(value: Column, *names: str) -> Column:
+    """The named members of an object, as they are, in one pass over it; null for anything else."""
+    return F.try_variant_get(value, "$", _struct(names))
+
+
+def listed(value: Column, *names: str) -> Column:
+    """The named members of each object in an array, in one pass over it; null for other elements, an empty array for
+    anything but an array."""
+    return F.coalesce(F.try_variant_get(value, "$", f"array<{_struct(names)}>"), F.expr(f"CAST(array() AS array<{_struct(names)}>)"))
+
+
+def _struct(names: Sequence[str]) -> str:
+    return f"struct<{', '.join(f'`{n}`: variant' for n in names)}>"
+
+
 def entries(value: Column) -> Column:
     """An object as a map from key to variant, null for anything else."""
     return F.try_variant_get(value, "$", "map<string,variant>")

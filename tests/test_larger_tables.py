@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from datetime import datetime, timedelta
 
 import duckdb
@@ -9,7 +11,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from quarrylane.functions import values
+from quarrylane.functions import checks, signals, values
 from quarrylane.operators import resolve, tables
 from quarrylane.plans.queries import ORACLES, QUERIES
 from test_queries import SF, TABLES, rows
@@ -113,3 +115,24 @@ def test_letters_are_read_from_orders_dealt_out(spark):
 def test_signals_are_read_from_orders_dealt_out_once(spark):
     plan = _tree_plan(spark, "match_signals")
     assert plan.count("REPARTITION_BY_NUM") == 1 and "SortMergeJoin" in plan
+
+
+def test_signals_open_a_record_in_one_pass(spark):
+    plan = _tree_plan(spark, "match_signals")
+    assert "$['seller']" not in plan and "$['total']" not in plan  # no path is sought from the top for each rule
+    one = spark.range(1).select(checks.plate(F.col("id").cast("string")).alias("v"))._jdf.queryExecution().optimizedPlan().toString()
+    assert one.count("upper(") == 1  # a plate's text is made once, not for each of its parts
+
+
+def test_signals_of_odd_members(spark):
+    rows = [
+        ("CMR", {"consignor": None, "sender": {"name": " F ", "inn": 5}, "consignee": "text", "recipient": {"name": "T"}, "carrier": [1], "total": "x", "total_with_vat": 9}),
+        ("wire_transfer_application", {"sender": {"name": "A", "inn": "1"}, "sender_name": None, "beneficiary_name": " ", "amount": " 1 000,5 "}),
+        ("TTN", {"containers": [None, 3, {"number": "none", "container_number": "msku 1234567", "gross_weight": "x", "weight_gross": 4}, {"number": "MSKU1234567", "volume": 2}], "items": "no", "container": {"number": "TGHU7654321"}}),
+    ]
+    df = spark.createDataFrame([(i, t, json.dumps(r)) for i, (t, r) in enumerate(rows)], "i int, t string, j string")
+    got = {r.i: json.loads(r.s) for r in df.select("i", F.to_json(signals.match_signals(F.try_parse_json("j"), F.col("t"))).alias("s")).collect()}
+    assert got[0]["parties"] == {"shipper": {"name": "F"}} and "totals" not in got[0]
+    assert got[1]["parties"] == {"payer": {"name": "A", "inn": "1"}} and got[1]["totals"] == {"amount": 1000.5}
+    assert got[2]["containers"] == ["TGHU7654321", "MSKU1234567"] or got[2]["containers"] == ["MSKU1234567", "TGHU7654321"]
+    assert got[2]["container_details"] == [{"number": "MSKU1234567", "gross_weight_kg": 4.0}]
