@@ -27,11 +27,18 @@ RULES = [
 ]
 
 
+#: Characters of a text that rules read.
+HEAD = 4000
+
 # The edge of a run of ASCII letters, digits and underscores: what \b means is another thing in every version of the JVM.
 EDGE = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
 _EDGES = r"(?<!\\)((?:\\\\)*)\\b"
 
 
+# Keywords that are plain words, with blanks or \\s+ between them.
+_PLAIN = r"^(?:[0-9A-Za-zА-Яа-яЁё ]|\\s\+)+$"
+
+
 def as_pattern(keyword: str) -> str:
     """A keyword as a pattern that ignores case and whose word edges are ASCII."""
     return "(?iu)" + re.sub(_EDGES, lambda m: m[1] + EDGE, keyword)
@@ -50,7 +57,7 @@ def keyword_rules(slug: str, keywords: list[str], weights: list[float | None], d
     return out
 
 
-def classify(docs: DataFrame, rules: list[tuple[str, str, float]], head: int = 4000, title: int = 500) -> DataFrame:
+def classify(docs: DataFrame, rules: list[tuple[str, str, float]], head: int = HEAD, title: int = 500) -> DataFrame:
     """id, slug, score, runner_up: each rule (slug, pattern, weight) that the first ``head`` characters match scores its
     weight, 1.5 times within the first ``title``. A type keeps its best rule; ties go to the longer match, then the slug.
 
@@ -68,33 +75,47 @@ def classify(docs: DataFrame, rules: list[tuple[str, str, float]], head: int = 4
     return d.select("id", F.col("best.slug").alias("slug"), F.when(F.col("best").isNotNull(), F.least(F.lit(1.0), -F.col("best.w"))).alias("score"), second["slug"].alias("runner_up"))
 
 
+def _folded(text: Column) -> Column:
+    """A text in one case, where what a pattern that ignores case takes for the same ASCII or Cyrillic letter is the same,
+    and with one blank for each run of white space."""
+    # The small form of \u0130 is two characters; and Spark takes small(large(x)) for small(x), which leaves \u017f as it is.
+    one_case = F.lower(F.replace(F.upper(text), F.lit("\u0130"), F.lit("I")))
+    return F.regexp_replace(one_case, r"\s+", " ")
+
+
+def _sought(keyword: Column) -> Column:
+    """What the folded text holds if a keyword of plain words matches; nothing, which all texts hold, for other keywords."""
+    return F.when(keyword.rlike(_PLAIN), _folded(F.replace(keyword, F.lit(r"\s+"), F.lit(" ")))).otherwise("")
+
+
 def rules_by_scope(types: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Two tables of rules (arrays of slug, pattern, weight): one row for each scope, and one row of those of all scopes.
+    """Two tables of rules (arrays of slug, pattern, weight, sought): one row for each scope, and one row of those of all scopes.
 
     ``types`` has scope (null: all), slug, keywords, weights, weight and active. A keyword without weight of its own has its
     type's, else 1; keywords that are no patterns are left out, by the engine that will match them."""
     each = types.where("active").select("scope", "slug", "weight", "weights", F.posexplode("keywords").alias("place", "word"))
     each = each.withColumn("pattern", F.concat(F.lit("(?iu)"), F.regexp_replace("word", _EDGES, "$1" + EDGE.replace("\\", r"\\"))))
     valid = F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), F.col("pattern")).isNotNull()
-    rule = F.struct("slug", "place", "pattern", F.coalesce(F.get("weights", F.col("place")), F.col("weight"), F.lit(1.0)).cast("double").alias("weight"))
-    rules = F.transform(F.array_sort(F.collect_list(rule)), lambda r: F.struct(r["slug"], r["pattern"], r["weight"]))
+    rule = F.struct("slug", "place", "pattern", F.coalesce(F.get("weights", F.col("place")), F.col("weight"), F.lit(1.0)).cast("double").alias("weight"), _sought(F.col("word")).alias("sought"))
+    rules = F.transform(F.array_sort(F.collect_list(rule)), lambda r: F.struct(r["slug"], r["pattern"], r["weight"], r["sought"]))
     each = each.where(valid)
     return each.where("scope IS NOT NULL").groupBy("scope").agg(rules.alias("own")), each.where("scope IS NULL").agg(rules.alias("shared"))
 
 
-def _hits(head: Column, rules: Column, title: int) -> Column:
-    """slug, weight, matched, in_title and place of each rule that the text matches."""
+def _hits(head: Column, folded: Column, rules: Column, title: int) -> Column:
+    """slug, weight, matched, in_title and place of each rule that the text matches. The pattern is tried only where the
+    folded text holds what it needs: compiling it and trying it at each character costs far more."""
 
     def hit(r: Column, i: Column) -> Column:
         matched = F.call_function("regexp_extract", head, r["pattern"], F.lit(0))
         weight = lambda at: F.when(at <= title, r["weight"] * 1.5).otherwise(r["weight"])
         of = lambda at: F.when(at > 0, F.struct(r["slug"], weight(at).alias("weight"), matched.alias("matched"), (at <= title).alias("in_title"), i.alias("place")))
-        return let(F.regexp_instr(head, r["pattern"]), of)
+        return F.when(F.contains(folded, r["sought"]), let(F.regexp_instr(head, r["pattern"]), of))
 
     return F.array_compact(F.transform(rules, hit))
 
 
-def classify_scoped(docs: DataFrame, types: DataFrame, builtin: Sequence[tuple[str, str, float]] = tuple(RULES), head: int = 4000, title: int = 500) -> DataFrame:
+def classify_scoped(docs: DataFrame, types: DataFrame, builtin: Sequence[tuple[str, str, float]] = tuple(RULES), head: int = HEAD, title: int = 500) -> DataFrame:
     """id, slug, score, matched, candidates, rules and ranked of docs (id, scope, text, name) by the rules of their scope.
 
     The rules of a scope and of all scopes come first; only where none of them matches do the built-in ones apply, and
@@ -106,12 +127,13 @@ def classify_scoped(docs: DataFrame, types: DataFrame, builtin: Sequence[tuple[s
     or shuffled for a rule. A null text matches nothing; a null scope has only the rules of all scopes."""
     own, shared = rules_by_scope(types)
     d = docs.join(own, "scope", "left").crossJoin(F.broadcast(shared))  # one row, of rules that people wrote
-    none = F.array().cast("array<struct<slug:string,pattern:string,weight:double>>")
-    fixed = F.array(*[F.struct(F.lit(s).alias("slug"), F.lit(as_pattern(p)).alias("pattern"), F.lit(float(w)).alias("weight")) for s, p, w in builtin])
+    none = F.array().cast("array<struct<slug:string,pattern:string,weight:double,sought:string>>")
+    fixed = F.array(*[F.struct(F.lit(s).alias("slug"), F.lit(as_pattern(p)).alias("pattern"), F.lit(float(w)).alias("weight"), F.lit("").alias("sought")) for s, p, w in builtin])
     start = F.substring(F.coalesce("text", F.lit("")), 1, head)
-    mine = _hits(start, F.concat(F.coalesce("own", none), F.coalesce("shared", none)), title)
-    found = let(mine, lambda h: F.struct((F.size(h) > 0).alias("mine"), F.when(F.size(h) > 0, h).otherwise(_hits(start, fixed, title)).alias("hits")))
-    d = d.select("id", "name", found.alias("f")).select("id", "name", "f.*")
+    texts = let(start, lambda t: F.struct(t.alias("head"), _folded(t).alias("folded")))
+    own_rules = F.concat(F.coalesce("own", none), F.coalesce("shared", none))
+    found = lambda t: let(_hits(t["head"], t["folded"], own_rules, title), lambda h: F.struct((F.size(h) > 0).alias("mine"), F.when(F.size(h) > 0, h).otherwise(_hits(t["head"], t["folded"], fixed, title)).alias("hits")))
+    d = d.select("id", "name", let(texts, found).alias("f")).select("id", "name", "f.*")
     order = F.array_sort(F.transform("hits", lambda h: F.struct((-h["weight"]).alias("w"), (-F.length(h["matched"])).alias("n"), h["slug"].alias("slug"), h["place"].alias("place"), h["matched"].alias("matched"), h["in_title"].alias("in_title"))))
     d = d.withColumn("sorted", order)
     first_of_type = lambda h, i: F.size(F.filter(F.slice(F.col("sorted"), F.lit(1), i), lambda o: o["slug"] == h["slug"])) == 0

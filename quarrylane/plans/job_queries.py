@@ -53,8 +53,9 @@ def scoped_types(spark, sf):
     i = F.col("doc_id")
     far = i % 4 == 0
     text = F.concat(F.when(far, ". " * 300).otherwise(""), pick(i, _TITLES), F.when(far, " ." * 300).otherwise("\n"), F.coalesce("text", F.lit("")))
-    docs = table(spark, sf, "documents").select(i.alias("id"), F.col("source").alias("scope"), text.alias("text"), pick(i, _FILES).alias("name"))
-    return _round(classify.classify_scoped(docs, types).drop("ranked"), "score")
+    own = table(spark, sf, "documents")
+    docs = own.select(i.alias("id"), F.col("source").alias("scope"), F.substring(text, 1, classify.HEAD).alias("text"), pick(i, _FILES).alias("name"))
+    return _round(classify.classify_scoped(spread(docs, "id", rows_of=own), types).drop("ranked"), "score")
 
 
 _MIMES, _NAMES = ("application/pdf", "image/png", "application/xml", "text/plain"), ("Invoice_%s.pdf", "scan_%s.png", "data.xml", "100%_%s.txt")

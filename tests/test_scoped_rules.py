@@ -54,3 +54,24 @@ def test_word_edges_are_ascii(spark):
     assert [r[i]["slug"] for i in (1, 2, 3, 4)] == ["w", None, "w", "back"]
     plain = classify.classify(spark.createDataFrame([d[::2] for d in docs], "id int, text string"), [("w", r"\bcmr\b", 1.0), ("back", r"x\\b", 0.2)])
     assert {x["id"]: x["slug"] for x in plain.collect()} == {1: "w", 2: None, 3: "w", 4: "back"}
+
+
+def test_plain_keywords_are_sought_as_their_patterns_match(spark):
+    words = ["kilos", "ın line", "два  слова", r"a\s+ \s+b", "x.y", r"\s+end", "(?s)Q", "", "ж"]
+    types = [("a", f"t{i}", [w], [], None, True) for i, w in enumerate(words)]
+    texts = ["KİLOſ", "IN LINE", "ДВА  СЛОВА", "два слова", "A \n\t B", "a  b", "a b", "xzY", "the end", "the\x0bEND", "q", "", "ᲀ Ж", "İ ß ς", None]
+    got = {r["id"]: {x["slug"] for x in r["ranked"] or []} for r in classify.classify_scoped(spark.createDataFrame([(i, "a", t, None) for i, t in enumerate(texts)], DOCS), spark.createDataFrame(types, TYPES)).collect()}
+    pairs = spark.createDataFrame([(i, f"t{j}", t or "", "(?iu)" + w) for i, t in enumerate(texts) for j, w in enumerate(words)], "i int, slug string, t string, p string")
+    want = {i: set() for i in range(len(texts))}
+    for r in pairs.where("regexp_instr(t, p) > 0").collect():
+        want[r["i"]].add(r["slug"])
+    assert got == want
+    rule = classify.rules_by_scope(spark.createDataFrame(types, TYPES))[0].first()["own"]
+    assert [r["sought"] for r in rule if r["slug"] in ("t0", "t2", "t3", "t4")] == ["kilos", "два слова", "a b", ""]
+
+
+def test_documents_are_dealt_out(spark):
+    from quarrylane.plans.queries import QUERIES
+    from test_queries import SF
+
+    assert "REPARTITION_BY_NUM" in QUERIES["scoped_types"](spark, SF)._jdf.queryExecution().executedPlan().toString()
