@@ -47,7 +47,8 @@ def encode_blocks(ids: np.ndarray, share: float = 0.9) -> dict[str, bytes]:
     for w in np.unique(width):
         rows = np.flatnonzero(width == w)
         if w:
-            bits = np.unpackbits(d[rows].astype("<u4").view(np.uint8).reshape(len(rows), BLOCK, 4), axis=2, bitorder="little")[:, :, :w]
+            wide = 2 if w <= 16 else 4  # bytes
+            bits = np.unpackbits(d[rows].astype(f"<u{wide}").view(np.uint8).reshape(len(rows), BLOCK, wide), axis=2, bitorder="little")[:, :, :w]
             out = np.packbits(bits.reshape(len(rows), -1), axis=1, bitorder="little")
             packed[starts[rows][:, None] + np.arange(out.shape[1], dtype=np.uint32)] = out
     block, at = np.nonzero(high)
@@ -70,9 +71,10 @@ def decode_blocks(n: int, page: dict, first: int = 0, last: int | None = None) -
         if w:
             part = packed[starts[first + rows][:, None] + np.arange(int(w) * (BLOCK // 8), dtype=np.uint32)]
             flags = np.unpackbits(part, axis=1, bitorder="little").reshape(len(rows), BLOCK, int(w))
-            full = np.zeros((len(rows), BLOCK, 32), np.uint8)
+            wide = 2 if w <= 16 else 4
+            full = np.zeros((len(rows), BLOCK, 8 * wide), np.uint8)
             full[:, :, :w] = flags
-            d[rows] = np.packbits(full, axis=2, bitorder="little").view("<u4").reshape(len(rows), BLOCK)
+            d[rows] = np.packbits(full, axis=2, bitorder="little").view(f"<u{wide}").reshape(len(rows), BLOCK)
     ends = np.cumsum(counts)
     lo, hi = (int(ends[first - 1]) if first else 0), (int(ends[last - 1]) if last else 0)
     block = np.repeat(np.arange(first, last), counts[first:last])

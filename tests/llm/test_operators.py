@@ -392,3 +392,21 @@ def test_chain_grows():
     keys = np.random.default_rng(9).integers(0, 1 << 63, 5000, dtype=np.uint64)
     met = np.concatenate([chain.meet(keys[at : at + 100]) for at in range(0, 5000, 100)])
     assert met.mean() < 0.01 and chain.meet(keys).all() and len(chain.filters) > 2
+
+
+def test_small_ids_are_unpacked_from_two_bytes(monkeypatch):
+    seen, plain = [], np.unpackbits
+    monkeypatch.setattr(np, "unpackbits", lambda a, **k: seen.append(a.shape[-1]) or plain(a, **k))
+    for top, most in ((49_000, 2), (1 << 32, 4)):
+        v = np.random.default_rng(5).integers(0, top, 1000, dtype=np.uint64).astype(np.uint32)
+        seen.clear()
+        page = token_files.encode_blocks(v)
+        assert max(seen) == most
+        assert (token_files.decode_blocks(len(v), page) == v).all()
+
+
+def test_chunks_of_a_batch_outlast_a_change_of_generations():
+    from quarrylane.llm.tokens import CachedEncoder
+
+    small, texts = CachedEncoder(PATH, limit=6), ["one two three", None, "two four, five 6", "", "one seven eight nine ten two"]
+    assert small.encode_batch(texts) == small.encode_batch(texts) == [small._whole(t or "") for t in texts]
