@@ -20,6 +20,8 @@ from .common import mix, prefix_hash, runs, shuffle_parts, small_batches, small_
 SHARD_BYTES = 8 << 20
 #: Strings that one range of hashes counts, about.
 RANGE_STRINGS = 4_000_000
+#: Strings that a task writes out or adds up at once, about, and shares of a range that may be added up by themselves.
+STRINGS_AT_ONCE, SHARES = 250_000, 16
 _KIND = np.zeros(256, np.uint8)  # 1: between words, 2: between pieces
 _KIND[[0x20, 0x09]] = 1
 _KIND[[*b".,;:!?", *range(0x0A, 0x0E)]] = 2
@@ -43,11 +45,11 @@ class SuffixAutomaton:
     def __init__(self, tokens: np.ndarray, depth: int, allowed: dict[int, np.ndarray] | None = None):
         n_tokens = int(tokens.max(initial=0)) + 1
         ends = np.flatnonzero(tokens)
-        self.at = [np.zeros(0, np.int64), tokens.astype(np.int64)]  # node of the string that ends at each position, from 1
-        self.end, self.count, self.link = [[np.zeros(0, np.int64)] * 2 for _ in range(3)]
-        self.left, self.right = [[np.zeros(0, np.int64)] for _ in range(2)]
-        self.count[1] = np.bincount(tokens[ends], minlength=n_tokens)[1:]
-        first = np.zeros(n_tokens, np.int64)
+        self.at = [np.zeros(0, np.int32), tokens.astype(np.int32)]  # node of the string that ends at each position, from 1
+        self.end, self.count, self.link = [[np.zeros(0, np.int32)] * 2 for _ in range(3)]
+        self.left, self.right = [[np.zeros(0, np.int32)] for _ in range(2)]
+        self.count[1] = np.bincount(tokens[ends], minlength=n_tokens)[1:].astype(np.int32)
+        first = np.zeros(n_tokens, np.int32)
         first[tokens[ends][::-1]] = ends[::-1]
         self.end[1] = first[1:]
         for k in range(2, depth + 1):
@@ -60,12 +62,12 @@ class SuffixAutomaton:
                     on &= ok[begin + length - 1]
             ends, begin = ends[on], begin[on]
             short = self.at[k - 1]
-            keys, one, node, count = np.unique(short[ends] * n_tokens + tokens[begin], return_index=True, return_inverse=True, return_counts=True)
-            at = np.zeros(len(tokens), np.int64)
+            keys, one, node, count = np.unique(short[ends].astype(np.int64) * n_tokens + tokens[begin], return_index=True, return_inverse=True, return_counts=True)
+            at = np.zeros(len(tokens), np.int32)
             at[ends] = node + 1
-            end = ends[one]
-            link, before = keys // n_tokens, short[end - 1]  # the string without its first word, and without its last
-            left, right = np.zeros((2, len(self.count[k - 1]) + 1), np.int64)
+            end, count = ends[one].astype(np.int32), count.astype(np.int32)
+            link, before = (keys // n_tokens).astype(np.int32), short[end - 1]  # the string without its first word, and without its last
+            left, right = np.zeros((2, len(self.count[k - 1]) + 1), np.int32)
             same = count == self.count[k - 1][link - 1]
             left[link[same]] = (keys % n_tokens)[same]
             same = count == self.count[k - 1][before - 1]
@@ -75,11 +77,12 @@ class SuffixAutomaton:
             for held, new in ((self.at, at), (self.end, end), (self.count, count), (self.link, link)):
                 held.append(new)
         for held in (self.left, self.right):
-            held.append(np.zeros(len(self.count[depth]), np.int64))
+            held.append(np.zeros(len(self.count[depth]), np.int32))
 
-    def words(self, tokens: np.ndarray, k: int) -> list[np.ndarray]:
-        """Tokens of the strings of level k, one array for each word."""
-        return [tokens[self.end[k] - k + 1 + i] for i in range(k)]
+    def words(self, tokens: np.ndarray, k: int, which: np.ndarray | slice = slice(None)) -> list[np.ndarray]:
+        """Tokens of the strings of level k (of some of them), one array for each word."""
+        end = self.end[k][which]
+        return [tokens[end - k + 1 + i] for i in range(k)]
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, list[str]]]:
@@ -224,20 +227,43 @@ class _Shard:
 _MERGE = {"words": "max", "a": "sum", "shards": "sum", "left_n": "sum", "left_min": "min", "left_max": "max", "right_n": "sum", "right_min": "min", "right_max": "max"}
 
 
-def _counted(shard: _Shard, automaton: SuffixAutomaton, totals: np.ndarray, k: int) -> tuple[np.ndarray, pa.Table]:
-    """Hashes of a shard's strings of k words, and a row for each: its count, and for either side whether (1 or 0) and which one
-    word always stands there."""
+def _counted(shard: _Shard, automaton: SuffixAutomaton, totals: np.ndarray, k: int, which: np.ndarray) -> pa.Table:
+    """A row for each of some strings of k words: its count in the shard, and for either side the word that always stands
+    there, null if there is none."""
     vocabulary, langs = pa.array(shard.vocabulary, pa.binary()).cast(pa.string()), pa.array(shard.langs, pa.string())
-    tokens = [np.arange(1, len(shard.vocabulary) + 1)] if k == 1 else automaton.words(shard.tokens, k)
-    counts = totals if k == 1 else automaton.count[k]
-    phrase = vocabulary if k == 1 else pc.binary_join_element_wise(*[vocabulary.take(pa.array(w - 1)) for w in tokens], " ") if len(counts) else vocabulary.slice(0, 0)
+    tokens = [which + 1] if k == 1 else automaton.words(shard.tokens, k, which)
+    phrase = pc.binary_join_element_wise(*[vocabulary.take(pa.array(w - 1)) for w in tokens], " ") if len(which) else vocabulary.slice(0, 0)
     neighbour = np.append(shard.word_hash, np.uint64(0)).view(np.int64)
-    columns = [langs.take(pa.array(shard.lang_of[tokens[0] - 1])), phrase, pa.array(np.full(len(counts), k), pa.int32()), pa.array(counts, pa.int64()), pa.array(np.ones(len(counts), np.int64))]
+    counts = (totals if k == 1 else automaton.count[k])[which].astype(np.int64)
+    columns = [langs.take(pa.array(shard.lang_of[tokens[0] - 1])), phrase, pa.array(np.full(len(which), k, np.int32)), pa.array(counts)]
     for side in (automaton.left[k], automaton.right[k]):
-        side = np.zeros(len(counts), np.int64) if k == 1 else side
-        word = pa.array(neighbour[side - 1], pa.int64(), mask=side == 0)
-        columns += [pa.array((side > 0).astype(np.int64)), word, word]
-    return _joined_hash(tokens, shard.hashes), pa.table(columns, names=["lang", "phrase", *_MERGE])
+        side = np.zeros(len(which), np.int32) if k == 1 else side[which]
+        columns.append(pa.array(neighbour[side - 1], pa.int64(), mask=side == 0))
+    return pa.table(columns, names=["lang", "phrase", "words", "a", "left", "right"])
+
+
+def _dealt_strings(shard: _Shard, automaton: SuffixAutomaton, totals: np.ndarray, max_words: int, n_ranges: int) -> Iterator[pa.RecordBatch]:
+    """All strings of a shard, packed by range in the order of their hashes, with the cuts of a range's ``SHARES``; strings
+    become rows for some ranges at a time, as those of a large corpus, little pruned, are several for each of its words."""
+    single = np.arange(1, len(shard.vocabulary) + 1)
+    hashes = [_joined_hash([single] if k == 1 else automaton.words(shard.tokens, k), shard.hashes) for k in range(1, max_words + 1)]
+    begin = np.cumsum([0, *map(len, hashes)])
+    dealt = _Dealt(np.concatenate(hashes), np.zeros(begin[-1], np.uint8), n_ranges)
+    del hashes
+    lo = 0
+    while lo < n_ranges:
+        hi = max(lo + 1, int(np.searchsorted(dealt.cuts, dealt.cuts[lo] + STRINGS_AT_ONCE, "right")) - 1)
+        own = dealt.order[dealt.cuts[lo] : dealt.cuts[hi]]
+        level = np.searchsorted(begin, own, "right")
+        at = [np.flatnonzero(level == k) for k in range(1, max_words + 1)]
+        strings = pa.concat_tables([_counted(shard, automaton, totals, k, own[x] - begin[k - 1]) for k, x in enumerate(at, 1)])
+        strings = strings.take(pa.array(np.argsort(np.concatenate(at))))
+        cuts = dealt.cuts[lo : hi + 1] - dealt.cuts[lo]
+        some = np.flatnonzero(np.diff(cuts))
+        shares = [np.searchsorted(dealt.place[dealt.cuts[lo + r] : dealt.cuts[lo + r + 1]], np.arange(SHARES + 1, dtype=np.uint64) * ((1 << 32) // SHARES)).astype(np.int32) for r in some]
+        packed = [_packed(strings.slice(cuts[r], cuts[r + 1] - cuts[r])) for r in some]
+        yield pa.RecordBatch.from_arrays([pa.array(some + lo, pa.int32()), pa.array([x.tobytes() for x in shares], pa.binary()), pa.array(packed, pa.binary())], names=["range", "shares", "strings"])
+        lo = hi
 
 
 def _packed(strings: pa.Table) -> bytes:
@@ -247,6 +273,17 @@ def _packed(strings: pa.Table) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
+def _unpacked(raw: bytes, a: int, b: int) -> pa.Table:
+    """Some of the packed strings of a shard, as ``_merged`` adds them up."""
+    own = pa.ipc.open_stream(raw).read_all()
+    if b - a < own.num_rows:
+        own = own.take(pa.array(np.arange(a, b)))  # a slice would hold the rest, too
+    columns = [own.column("words"), own.column("a"), pa.array(np.ones(b - a, np.int64))]
+    for side in (own.column("left"), own.column("right")):
+        columns += [side.is_valid().cast(pa.int64()), side, side]
+    return pa.table([own.column("lang"), own.column("phrase"), *columns], names=["lang", "phrase", *_MERGE])
+
+
 def _merged(tables: list[pa.Table]) -> pa.Table:
     """One row for each string: counts added up, the neighbours' least and largest."""
     grouped = pa.concat_tables(tables).group_by(["lang", "phrase"], use_threads=False).aggregate(list(_MERGE.items()))
@@ -272,9 +309,14 @@ def _with_answers(source: DataFrame, strings: str, n_ranges: int, cap: int) -> D
                 ids += batch.column("shard").to_pylist()
                 places += [np.cumsum(_unplaned(p, np.uint32), dtype=np.uint32) for p in batch.column("places").to_pylist()]
                 counts += [_unplaned(c, np.uint16) for c in batch.column("counts").to_pylist()]
-            _, place = np.unique(np.concatenate(places), return_inverse=True)
-            often = np.bincount(place, weights=np.concatenate(counts))[place] >= cap
-            parts = np.split(often, np.cumsum([len(p) for p in places])[:-1])
+            parts = [np.zeros(len(p), bool) for p in places]
+            cuts = [np.searchsorted(p, np.arange(SHARES + 1, dtype=np.uint64) * ((1 << 32) // SHARES)) for p in places]  # places ascend
+            for i in range(SHARES):
+                spans = [slice(c[i], c[i + 1]) for c in cuts]
+                _, place = np.unique(np.concatenate([p[x] for p, x in zip(places, spans, strict=True)]), return_inverse=True)
+                often = np.bincount(place, weights=np.concatenate([c[x] for c, x in zip(counts, spans, strict=True)]))[place] >= cap
+                for part, x, own_often in zip(parts, spans, np.split(often, np.cumsum([x.stop - x.start for x in spans])[:-1]), strict=True):
+                    part[x] = own_often
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([number] * len(ids), pa.int32()), pa.array([np.packbits(p).tobytes() for p in parts], pa.binary())], names=["shard", "range", "often"])
 
     reports = source.mapInArrow(report, "range int, shard long, places binary, counts binary")
@@ -324,31 +366,37 @@ def _strings(source: DataFrame, n_ranges: int, min_count: int, max_words: int) -
             dealt, automaton = shard.triples(n_ranges)
             ok = np.append(dealt.often(answers), False)[automaton.at[3] - 1]
             automaton = SuffixAutomaton(shard.tokens, max_words, {3: ok})
-            parts = [_counted(shard, automaton, np.frombuffer(row["totals"], np.int64), k) for k in range(1, max_words + 1)]
-            hashes, strings = np.concatenate([h for h, _ in parts]), pa.concat_tables([t for _, t in parts])
-            dealt = _Dealt(hashes, np.zeros(len(hashes), np.int64), n_ranges)
-            strings = strings.take(pa.array(dealt.order))
-            some = np.flatnonzero(np.diff(dealt.cuts))
-            packed = [_packed(strings.slice(dealt.cuts[r], dealt.cuts[r + 1] - dealt.cuts[r])) for r in some]
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(packed, pa.binary())], names=["range", "strings"])
+            yield from _dealt_strings(shard, automaton, np.frombuffer(row["totals"], np.int64), max_words, n_ranges)
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Exact counts of a range's strings, by shares of the range so large that few strings are held at once."""
         for _, own in runs(batches, "range"):
-            total, more, rows = None, [], 0
+            packed: list[bytes] = []
+            shares: list[np.ndarray] = []
             for batch in own:
-                for raw in batch.column("strings").to_pylist():
-                    more.append(pa.ipc.open_stream(raw).read_all())
-                    rows += more[-1].num_rows
-                    if rows > 500_000:
+                packed += batch.column("strings").to_pylist()
+                shares += [np.frombuffer(x, np.int32) for x in batch.column("shares").to_pylist()]
+            step = SHARES
+            while step > 1 and sum(int(x[-1]) for x in shares) * step > 2 * STRINGS_AT_ONCE * SHARES:
+                step //= 2
+            for i in range(0, SHARES, step):
+                total, more, rows = None, [], 0
+                for raw, x in zip(packed, shares, strict=True):
+                    if x[i] < x[i + step]:
+                        more.append(_unpacked(raw, int(x[i]), int(x[i + step])))
+                        rows += more[-1].num_rows
+                    if rows > 2 * STRINGS_AT_ONCE:
                         total, more, rows = _merged([*([] if total is None else [total]), *more]), [], 0
-            total = _merged([*([] if total is None else [total]), *more])
-            always = [pc.and_kleene(pc.equal(total.column(f"{side}_n"), total.column("shards")), pc.equal(total.column(f"{side}_min"), total.column(f"{side}_max"))) for side in ("left", "right")]
-            total = total.select(["lang", "phrase", "words", "a"]).append_column("inside", pc.fill_null(pc.or_kleene(*always), False))
-            yield from total.filter(pc.greater_equal(total.column("a"), min_count)).combine_chunks().to_batches()
+                if total is None and not more:
+                    continue
+                total = _merged([*([] if total is None else [total]), *more])
+                always = [pc.and_kleene(pc.equal(total.column(f"{side}_n"), total.column("shards")), pc.equal(total.column(f"{side}_min"), total.column(f"{side}_max"))) for side in ("left", "right")]
+                total = total.select(["lang", "phrase", "words", "a"]).append_column("inside", pc.fill_null(pc.or_kleene(*always), False))
+                yield from total.filter(pc.greater_equal(total.column("a"), min_count)).combine_chunks().to_batches()
 
     runs_ = staged(_with_answers(source.drop("sizes"), "pairs", n_ranges, cap).mapInArrow(cut, "shard long, langs array<string>, lang_of binary, words binary, tokens binary, totals binary"), "phrase-runs")
     unstage(source)
-    found = _with_answers(runs_, "triples", n_ranges, cap).mapInArrow(enumerate_strings, "range int, strings binary")
+    found = _with_answers(runs_, "triples", n_ranges, cap).mapInArrow(enumerate_strings, "range int, shares binary, strings binary")
     found = found.repartition(n_ranges, "range").sortWithinPartitions("range").mapInArrow(add_up, "lang string, phrase string, words int, a long, inside boolean")
     found = staged(found, "phrase-strings")
     unstage(runs_)

@@ -62,6 +62,24 @@ def test_phrases(spark, monkeypatch, shard_bytes):
     assert mined(df, min_count=2, max_words=3, limit=7) == phrases_by_hand(rows, 2, 3, 7)
 
 
+def test_strings_are_listed_and_added_up_a_share_at_a_time(spark, monkeypatch):
+    """What a task holds doesn't follow how many strings of a shard or of a range the rest of the corpus makes frequent."""
+    rows = corpus()
+    monkeypatch.setattr(collocations, "STRINGS_AT_ONCE", 60)
+    data = " . ".join(t or "" for _, t in rows).encode()
+    langs, _, lang_of, words, tokens = collocations._shard(np.frombuffer(data, np.uint8), np.array([0, len(data)]), ["en"])
+    shard = collocations._Shard({"shard": 1, "langs": langs, "lang_of": lang_of.tobytes(), "words": words, "tokens": collocations._planes(tokens)})
+    automaton = SuffixAutomaton(shard.tokens, 4)
+    batches = list(collocations._dealt_strings(shard, automaton, automaton.count[1], 4, 40))
+    held = [sum(int(np.frombuffer(x, np.int32)[-1]) for x in b.column("shares").to_pylist()) for b in batches]
+    assert len(batches) > 10 and sum(held) == sum(map(len, automaton.count)) and all(h <= 60 or b.num_rows == 1 for h, b in zip(held, batches, strict=True))
+    assert [r for b in batches for r in b.column("range").to_pylist()] == list(range(40))
+    parts = collocations._unpacked(batches[0].column("strings")[0].as_py(), 1, 3)
+    assert parts.num_rows == 2 and parts.column("shards").to_pylist() == [1, 1]
+    df = spark.createDataFrame(rows, "lang string, text string").repartition(3)
+    assert mined(df, min_count=5) == phrases_by_hand(rows, 5)  # in several shares, as a range has more than 120 strings
+
+
 def test_phrases_of_nothing(spark):
     df = spark.createDataFrame([("en", None), (None, "")], "lang string, text string")
     assert mined(df) == mined(df.where("false")) == set()
