@@ -60,6 +60,18 @@ def test_links_are_chosen_before_entries_are_joined(spark, monkeypatch):
     assert "Aggregate [id#" not in plan.split("Union")[0] and plan.count("explode(e#") == 2  # entries come last, in blocks
 
 
+def test_links_are_written_in_blocks(spark, tmp_path):
+    entries = spark.range(4000).select(F.col("id").alias("entry_id"), F.array(F.concat(F.lit("n"), (F.col("id") % 2).cast("string"))).alias("keys"))
+    frame = spark.range(3000).select("id", F.lit(0).alias("place"), F.concat(F.lit("n"), (F.col("id") % 3).cast("string")).alias("value"), F.lit("f").alias("field"))
+    links = resolve.exact_links(frame, entries)
+    links.write.parquet(str(tmp_path / "links"))
+    read = spark.read.parquet(str(tmp_path / "links"))
+    assert read.distinct().count() == read.count() == 2 * 1000 * 2000 + 1000
+    assert sum(f.stat().st_size for f in (tmp_path / "links").glob("*.parquet")) < read.count() // 2  # with ids and entries in any order four bytes a link and more
+    plan = links._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("REPARTITION") + plan.count("RepartitionByExpression") >= 2 and plan.index("explode(ids#") < plan.index("collect_list(id#")  # ids and entries are opened last
+
+
 def test_a_key_sends_its_first_entries_alone(spark):
     entries = spark.createDataFrame([(i, f"n{i % 3}", ["k", "k", f"o{i}"]) for i in range(60)], "entry_id long, display_name string, keys array<string>")
     wanted = spark.createDataFrame([(1, ["k", "o1", "o2"]), (2, ["o59", None]), (3, ["none"])], "id long, values array<string>")
