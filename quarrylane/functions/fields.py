@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 # Month names as they stand in dates.
 MONTHS = ("января", "февраля", "марта", "апреля", "мая", "июня", "июля", "августа", "сентября", "октября", "ноября", "декабря")
 # What labels of a commodity code look like, and the types whose text may hold such codes.
@@ -18,7 +20,7 @@ _ANY = "(?iuU)"
 
 
 def _found(text: Column, pattern: str, group: int = 1) -> Column:
-    return F.nullif(F.regexp_extract(text, _ANY + pattern, group), F.lit(""))
+    return let(F.regexp_extract(text, _ANY + pattern, group), lambda x: F.when(x != "", x))
 
 
 def find_inn(text: Column) -> Column:
@@ -39,19 +41,26 @@ def find_date(text: Column) -> Column:
     """The first day, month and year of a text as yyyy-mm-dd, else the first with a month's name. Two-digit years are of
     this century; nothing checks that the day exists."""
     number = r"([0-9]{1,2})[.\-/]([0-9]{1,2})[.\-/]([0-9]{2,4})"
-    d, m, y = (F.regexp_extract(text, number, i) for i in (1, 2, 3))
-    year = F.when(F.length(y) == 2, F.concat(F.lit("20"), y)).otherwise(F.lpad(y, 4, "0"))
+
+    def by_number(hit: Column) -> Column:
+        d, m, y = (F.regexp_extract(hit, number, i) for i in (1, 2, 3))
+        year = let(y, lambda y: F.when(F.length(y) == 2, F.concat(F.lit("20"), y)).otherwise(F.lpad(y, 4, "0")))
+        return F.concat_ws("-", year, F.lpad(m, 2, "0"), F.lpad(d, 2, "0"))
+
     named = _ANY + r"([0-9]{1,2})\s+([а-я]+)\s+([0-9]{4})"
     month = F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(F.regexp_extract(text, named, 2)))
     by_name = F.when(month > 0, F.concat_ws("-", F.regexp_extract(text, named, 3), F.lpad(month.cast("string"), 2, "0"), F.lpad(F.regexp_extract(text, named, 1), 2, "0")))
-    return F.when(d != "", F.concat_ws("-", year, F.lpad(m, 2, "0"), F.lpad(d, 2, "0"))).otherwise(by_name)
+    return let(F.regexp_extract(text, number, 0), lambda hit: F.when(hit != "", by_number(hit)).otherwise(by_name))
 
 
 def parse_amount(raw: Column) -> Column:
     """A number with blanks, and commas as full stops; of several full stops the last is the decimal mark."""
-    s = F.translate(F.regexp_replace(raw, r"(?U)\s", ""), ",", ".")
-    head, tail = F.regexp_extract(s, r"^(.*)\.([^.]*)$", 1), F.regexp_extract(s, r"^(.*)\.([^.]*)$", 2)
-    return F.when(F.contains(s, F.lit(".")), F.concat(F.replace(head, F.lit("."), F.lit("")), F.lit("."), tail)).otherwise(s).try_cast("double")
+
+    def read(s: Column) -> Column:
+        head, tail = F.regexp_extract(s, r"^(.*)\.([^.]*)$", 1), F.regexp_extract(s, r"^(.*)\.([^.]*)$", 2)
+        return F.when(F.contains(s, F.lit(".")), F.concat(F.replace(head, F.lit("."), F.lit("")), F.lit("."), tail)).otherwise(s).try_cast("double")
+
+    return let(F.translate(F.regexp_replace(raw, r"(?U)\s", ""), ",", "."), read)
 
 
 def find_money(text: Column, *labels: str) -> Column:
@@ -73,7 +82,7 @@ def find_vat_rate(text: Column) -> Column:
 def find_vat(text: Column) -> Column:
     """The first positive amount on a tax line that isn't one without tax; the rate on the line is left out."""
     lines = F.filter(F.split(text, r"\r?\n"), lambda x: x.rlike(_ANY + "НДС") & ~x.rlike(_ANY + r"без\s+НДС|кроме\s+НДС|НДС\s+не\s+облага"))
-    value = lambda x: parse_amount(F.nullif(F.regexp_extract(F.regexp_replace(x, r"^(.*?)[0-9]{1,2}\s*%", "$1 "), r"(?U)([0-9][0-9\s.,]*)", 1), F.lit("")))
+    value = lambda x: parse_amount(F.regexp_extract(F.regexp_replace(x, r"^(.*?)[0-9]{1,2}\s*%", "$1 "), r"(?U)([0-9][0-9\s.,]*)", 1))
     return F.get(F.filter(F.transform(lines, value), lambda v: v > 0), F.lit(0))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fields as fd
-from .text import let
+from .text import let, one_case
 
 # White space of all scripts; an edge between a Latin letter, digit or underscore and anything else, Cyrillic letters included.
 _S = r"[\s\p{Z}\x{FEFF}]"
@@ -53,24 +53,60 @@ LEGS = (
 )
 
 
-def _found(text: Column, pattern: str, group: int = 1) -> Column:
-    return F.nullif(F.trim(F.regexp_extract(text, f"(?iu){pattern}", group)), F.lit(""))
+# What a text in one case holds, one of them at least, if a pattern matches it; of a pattern, what stands there.
+HOLDS = {
+    OGRN: ("огрн",), BIK: ("бик",), ORDER: ("заявк", "основани"), PLATE: ("гос", "тс", "транспортное", "авто"), ROUTE: ("маршрут", "направление", "откуда"), PERMIT: ("разрешени",),
+    DUE: ("оплатить", "срок", "оплата"), VALID_TO: ("действ", "срок", "valid"), MODEL: ("man", "volvo", "scania", "daf", "камаз", "mercedes", "iveco"), TRAILER: ("goldhofer", "faymonville", "nooteboom", "scheuerle", "низкорамн"),
+    AXLES: ("осей", "осны", "осев"), ISSUER: ("росавтодор", "ространснадзор", "цодд", "минтранс", "гибдд"), RAW_SIZE: ("габарит", "размер"), OVERSIZED: ("негабарит", "крупногабарит", "тяжеловес"), CARGO: ("груз", "перевозим"),
+    ESCORT: ("сопровожд", "эскорт", "escort"), ESCORT_TYPE: ("патрул", "машин", "лоцман", "эскорт"), ESCORT_AREA: ("сопровожд", "эскорт"),
+    PAYMENTS[0][0]: ("налич", "cash"), PAYMENTS[1][0]: ("банковск", "безналичн", "бн", "б/н", "bank"), PAYMENTS[2][0]: ("предоплат", "аванс", "prepay"), PAYMENTS[3][0]: ("постоплат", "оплата", "postpay"), PAYMENTS[4][0]: ("карта", "картой", "card"),
+    LEGS[0][0]: ("жд", "железнодорожн", "ж.д."), LEGS[1][0]: ("морск", "sea", "vessel", "контейнерн"), LEGS[2][0]: ("авиа", "air", "самол"), LEGS[3][0]: ("таможен", "customs", "растаможк"), LEGS[4][0]: ("автотранспорт", "автоперевозк", "низкорамн", "тягач", "фур"),
+}
+LOOKS = {ACCOUNT: "[0-9]{20}", ANY_ACCOUNT: "[0-9]{20}", CORRESPONDENT: "[0-9]{20}", TONNES: rf"[0-9]{_S}*+т", KILOS: rf"[0-9]{_S}*+кг", SIZE: rf"[0-9]{_S}*+[×xх]"}
 
 
-def _all(text: Column, pattern: str) -> Column:
-    return F.regexp_extract_all(text, F.lit(f"(?iu){pattern}"), F.lit(1))
+class _Text:
+    """A text, and the same in one case (``text.one_case``). A pattern is tried where the latter holds what it needs: trying
+    one at each character, in either case, costs far more."""
 
+    def __init__(self, text: Column, folded: Column):
+        self.text, self.folded = text, folded
 
-def _day(text: Column, pattern: str) -> Column:
-    """The date behind a label as yyyy-mm-dd."""
-    return let(F.regexp_extract(text, f"(?iu)({pattern})", 1), lambda hit: F.when(hit != "", F.regexp_replace(F.concat_ws("-", F.regexp_extract(hit, _DAY, 3), F.lpad(F.regexp_extract(hit, _DAY, 2), 2, "0"), F.lpad(F.regexp_extract(hit, _DAY, 1), 2, "0")), " ", "")))
+    def may(self, pattern: str) -> Column:
+        if pattern in LOOKS:
+            return self.folded.rlike(LOOKS[pattern])
+        return self.holds(*HOLDS[pattern])
 
+    def holds(self, *words: str) -> Column:
+        return reduce(or_, [F.contains(self.folded, F.lit(word)) for word in words])
 
-def _word(text: Column, table: tuple[tuple[str, str], ...]) -> Column:
-    out = F.when(F.lit(False), F.lit(None).cast("string"))
-    for pattern, name in table:
-        out = out.when(text.rlike(f"(?iu){pattern}"), name)
-    return out
+    def matches(self, pattern: str) -> Column:
+        return self.may(pattern) & self.text.rlike(f"(?iu){pattern}")
+
+    def hit(self, pattern: str, group: int = 1) -> Column:
+        return F.when(self.may(pattern), F.regexp_extract(self.text, f"(?iu){pattern}", group))
+
+    def found(self, pattern: str) -> Column:
+        return let(F.trim(self.hit(pattern)), lambda x: F.when(x != "", x))
+
+    def all(self, pattern: str) -> Column:
+        return F.when(self.may(pattern), F.regexp_extract_all(self.text, F.lit(f"(?iu){pattern}"), F.lit(1)))
+
+    def day(self, pattern: str) -> Column:
+        """The date behind a label as yyyy-mm-dd."""
+        hit = F.when(self.may(pattern), F.regexp_extract(self.text, f"(?iu)({pattern})", 1))
+        return let(hit, lambda hit: F.when(hit != "", F.regexp_replace(F.concat_ws("-", F.regexp_extract(hit, _DAY, 3), F.lpad(F.regexp_extract(hit, _DAY, 2), 2, "0"), F.lpad(F.regexp_extract(hit, _DAY, 1), 2, "0")), " ", "")))
+
+    def word(self, table: tuple[tuple[str, str], ...]) -> Column:
+        out = F.when(F.lit(False), F.lit(None).cast("string"))
+        for pattern, name in table:
+            out = out.when(self.matches(pattern), name)
+        return out
+
+
+def _group(hit: Column, pattern: str, group: int) -> Column:
+    """A group of a pattern without edges, read from what the whole pattern matched."""
+    return let(F.trim(F.regexp_extract(hit, f"(?iu){pattern}", group)), lambda x: F.when(x != "", x))
 
 
 def _some(**parts: Column) -> Column:
@@ -82,16 +118,18 @@ def _decimal(raw: Column) -> Column:
     return F.translate(raw, ",", ".").try_cast("double")
 
 
-def _cargo(t: Column) -> Column:
-    tonnes = _decimal(_found(t, TONNES))
-    weight = F.coalesce(F.floor(tonnes * 1000 + 0.5).cast("double"), _decimal(_found(t, KILOS)))
-    size = let(F.array(*[_decimal(_found(t, SIZE, i)) for i in (1, 2, 3)]), lambda a: F.when(a[0].isNotNull(), F.struct(a[0].alias("length_m"), a[1].alias("width_m"), a[2].alias("height_m"))))
-    raw = F.when(~t.rlike(f"(?iu){SIZE}"), _found(t, RAW_SIZE))
-    return _some(weight_kg=weight, dimensions=size, dimensions_raw=raw, oversized=F.when(t.rlike(f"(?iu){OVERSIZED}"), True), description=_found(t, CARGO))
+def _cargo(t: _Text) -> Column:
+    weight = F.coalesce(let(_decimal(t.found(TONNES)), lambda x: F.floor(x * 1000 + 0.5).cast("double")), _decimal(t.found(KILOS)))
+
+    def with_size(hit: Column) -> Column:
+        size = let(F.array(*[_decimal(_group(hit, SIZE, i)) for i in (1, 2, 3)]), lambda a: F.when(a[0].isNotNull(), F.struct(a[0].alias("length_m"), a[1].alias("width_m"), a[2].alias("height_m"))))
+        return _some(weight_kg=weight, dimensions=F.when(hit != "", size), dimensions_raw=F.when(hit == "", t.found(RAW_SIZE)), oversized=F.when(t.matches(OVERSIZED), True), description=t.found(CARGO))
 
+    return let(F.coalesce(t.hit(SIZE, 0), F.lit("")), with_size)
 
-def _escort(t: Column) -> Column:
-    return F.when(t.rlike(f"(?iu){ESCORT}"), F.struct(F.lit(True).alias("required"), _found(t, ESCORT_TYPE).alias("type"), _found(t, ESCORT_AREA).alias("area")))
+
+def _escort(t: _Text) -> Column:
+    return F.when(t.matches(ESCORT), F.struct(F.lit(True).alias("required"), t.found(ESCORT_TYPE).alias("type"), t.found(ESCORT_AREA).alias("area")))
 
 
 def invoice(text: Column) -> Column:
@@ -99,17 +137,15 @@ def invoice(text: Column) -> Column:
     payment_method and transport (route, permit, cargo, escort) of an invoice's text. Parties take the first and the second
     taxpayer and registration number, the seller the bank's numbers."""
 
-    def read(t: Column) -> Column:
-        pair, ogrn = fd.tax_pair(t), _all(t, OGRN)
-        plate = F.upper(_found(t, PLATE))
-        route_from, route_to, permit = _found(t, ROUTE, 1), _found(t, ROUTE, 2), _found(t, PERMIT)
+    def read(text: Column, folded: Column, pair: Column, ogrn: Column, route: Column) -> Column:
+        t = _Text(text, folded)
         parts = F.struct(
-            fd.find_doc_number(t, "счёт|счет").alias("number"), fd.find_date(t).alias("date"), fd.find_money(t, *TOTAL_LABELS).alias("total"), fd.find_vat(t).alias("vat"), fd.find_vat_rate(t).alias("vat_rate"),
-            _some(inn=pair["seller"], ogrn=F.get(ogrn, F.lit(0)), bik=_found(t, BIK), account=F.coalesce(_found(t, ACCOUNT), _found(t, ANY_ACCOUNT)), corr_account=_found(t, CORRESPONDENT)).alias("seller"),
-            _some(inn=pair["buyer"], ogrn=F.get(ogrn, F.lit(1))).alias("buyer"), _found(t, ORDER).alias("order_ref"),
-            _some(plate=plate, model=_found(t, MODEL), trailer=_found(t, TRAILER), axles=_found(t, AXLES).cast("int")).alias("vehicle"),
-            route_from.alias("route_from"), route_to.alias("route_to"), permit.alias("permit_no"), _day(t, DUE).alias("due_date"), _word(t, PAYMENTS).alias("payment_method"),
-            _word(t, LEGS).alias("leg"), _found(t, ISSUER).alias("issuer"), _day(t, VALID_TO).alias("valid_to"), _cargo(t).alias("cargo"), _escort(t).alias("escort"),
+            fd.find_doc_number(text, "счёт|счет").alias("number"), fd.find_date(text).alias("date"), fd.find_money(text, *TOTAL_LABELS).alias("total"), F.when(t.holds("ндс"), fd.find_vat(text)).alias("vat"), F.when(t.holds("ндс"), fd.find_vat_rate(text)).alias("vat_rate"),
+            _some(inn=pair["seller"], ogrn=F.get(ogrn, F.lit(0)), bik=t.found(BIK), account=F.coalesce(t.found(ACCOUNT), t.found(ANY_ACCOUNT)), corr_account=t.found(CORRESPONDENT)).alias("seller"),
+            _some(inn=pair["buyer"], ogrn=F.get(ogrn, F.lit(1))).alias("buyer"), t.found(ORDER).alias("order_ref"),
+            _some(plate=F.upper(t.found(PLATE)), model=t.found(MODEL), trailer=t.found(TRAILER), axles=t.found(AXLES).cast("int")).alias("vehicle"),
+            _group(route, ROUTE, 1).alias("route_from"), _group(route, ROUTE, 2).alias("route_to"), t.found(PERMIT).alias("permit_no"), t.day(DUE).alias("due_date"), t.word(PAYMENTS).alias("payment_method"),
+            t.word(LEGS).alias("leg"), t.found(ISSUER).alias("issuer"), t.day(VALID_TO).alias("valid_to"), _cargo(t).alias("cargo"), _escort(t).alias("escort"),
         )
 
         def whole(x: Column) -> Column:
@@ -120,4 +156,9 @@ def invoice(text: Column) -> Column:
 
         return let(parts, whole)
 
-    return let(text, read)
+    def opened(x: Column) -> Column:
+        t = _Text(x["text"], x["folded"])
+        several = F.struct(x["text"].alias("text"), x["folded"].alias("folded"), fd.tax_pair(x["text"]).alias("pair"), t.all(OGRN).alias("ogrn"), t.hit(ROUTE, 0).alias("route"))
+        return let(several, lambda y: read(y["text"], y["folded"], y["pair"], y["ogrn"], y["route"]))
+
+    return let(text, lambda t: let(F.struct(t.alias("text"), one_case(t).alias("folded")), opened))

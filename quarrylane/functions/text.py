@@ -56,6 +56,12 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), lambda x: body(x)), F.lit(0))
 
 
+def one_case(text: Column) -> Column:
+    """A text in one case, where what a pattern that ignores case takes for the same ASCII or Cyrillic letter is the same."""
+    # The small form of \u0130 is two characters; and Spark takes small(large(x)) for small(x), which leaves \u017f as it is.
+    return F.lower(F.replace(F.upper(text), F.lit("\u0130"), F.lit("I")))
+
+
 def decode_entities(text: Column) -> Column:
     """Named and numeric entities, the ampersand last, so nothing is decoded twice. Numbers that are no code points go."""
     for name, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'")):

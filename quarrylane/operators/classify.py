@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.slugs import file_mark, fuse_file_mark
-from ..functions.text import let
+from ..functions.text import let, one_case
 
 # The rules that apply where an organisation has none of its own: type, pattern, weight.
 RULES = [
@@ -76,11 +76,8 @@ def classify(docs: DataFrame, rules: list[tuple[str, str, float]], head: int = H
 
 
 def _folded(text: Column) -> Column:
-    """A text in one case, where what a pattern that ignores case takes for the same ASCII or Cyrillic letter is the same,
-    and with one blank for each run of white space."""
-    # The small form of \u0130 is two characters; and Spark takes small(large(x)) for small(x), which leaves \u017f as it is.
-    one_case = F.lower(F.replace(F.upper(text), F.lit("\u0130"), F.lit("I")))
-    return F.regexp_replace(one_case, r"\s+", " ")
+    """A text in one case and with one blank for each run of white space."""
+    return F.regexp_replace(one_case(text), r"\s+", " ")
 
 
 def _sought(keyword: Column) -> Column:

@@ -11,7 +11,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from quarrylane.functions import checks, signals, values
+from quarrylane.functions import checks, invoice, signals, text, values
 from quarrylane.operators import resolve, tables
 from quarrylane.plans.queries import ORACLES, QUERIES
 from test_queries import SF, TABLES, rows
@@ -85,6 +85,24 @@ def test_costly_reads_are_dealt_out(spark):
     assert "RepartitionByExpression" in one._jdf.queryExecution().optimizedPlan().toString()
 
 
+ODD = """оГРН: 1027700132195|огрн №102770013219|БИК 044525225|бИк:№044525225|р/с 40702810900000000001|расчётный счёт 40702810900000000002|рс 40702810900000000003|x 40702810900000000004|к/с № 30101810400000000225|по\u00a0Заявке IMP-2026-001
+Основание: AB-2025-0123|гос. номер А123ВС77|ᲄС: К001КК199|авто В222ОР50|маршрут: г. Рига → Нижний Новгород|НАПРАВЛЕНИЕ Москва – Минск|откуда - куда: Псков -> г. Тверь|спецразрешение № 77-2026-12345|РАЗРЕШЕНИЯ 1-2025-999|оплатить до 1.2.2026|Срок оплаты: 12/03/2026
+оплата до 5-6-2027|действует до 03.12.2026|действительно 1.1.2027|VALİD until 2.2.2026|срок действия 9.9.2029|man tgx 18.440|камаз-5490|İveco|goldhofer STZ-1|Низкорамный трал|12-осный|5 осей|3 осевой|Росавтодор|_ГИБДД|20,5 тоннx|20.5 Тx|1500 кгx|10 x 3.8 × 4 м|10Х3х4м
+Габариты 10|РАЗМЕР груза|негабаритный|КРУПНОГАБАРИТ|тяжеловес|Груз: станки и прочее|перевозимый груз — трубы|сопровождение по лесной участок|эскорт на весь маршрут|патруль ГИБДД|машинаx прикрытия|лоцман-водитель|наличными|caſh|банковскийx перевод|безналично|б/нx|бнx|banK transfer
+предоплата|АВАНС|prepay|постоплата|оплата после|postpay|картой|карта|CARD|жд|ж.д.|железнодорожный|морской|ſea|vesſel|авиа|aİr freight|САМОЛЁТ|таможенный|cuſtoms|растаможка|автотранспорт|тягач|фура|ФУРУ"""
+
+
+def test_invoice_patterns_are_tried_where_their_words_stand(spark):
+    frame = spark.createDataFrame([(t, u) for t in ODD.replace("\n", "|").split("|") for u in (t, t.upper(), f"x\n{t}\n")], "one string, t string")
+    patterns = [*invoice.HOLDS, *invoice.LOOKS]
+    guard = lambda i: invoice._Text(F.col("t"), text.one_case(F.col("t"))).may(patterns[i])
+    hit = lambda i: F.col("t").rlike(f"(?iu){patterns[i]}")
+    row = frame.agg(*[F.count_if(hit(i)).alias(f"n{i}") for i in range(len(patterns))], *[F.count_if(hit(i) & ~guard(i)).alias(f"m{i}") for i in range(len(patterns))]).first()
+    assert not [p for i, p in enumerate(patterns) if row[f"m{i}"] or not row[f"n{i}"]]
+    x = spark.range(1).select(invoice.invoice(F.lit("ᲄС: К001КК199, İveco, 10 x 3,8 × 4 м, aİr freight, caſh")).alias("x")).first().x
+    assert (x.vehicle.plate, x.vehicle.model, x.payment_method, x.transport.route.leg_kind, x.transport.cargo.dimensions.width_m) == ("К001КК199", "İveco", "cash", "air", 3.8)
+
+
 def test_merged_items_are_dealt_by_document_once(spark):
     plan = QUERIES["merge_chunks"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(") == 1 and "REPARTITION_BY_NUM" in plan
