@@ -224,6 +224,20 @@ class _Shard:
         return _Dealt(_joined_hash(own.words(self.tokens, 3), self.hashes), own.count[3], n_ranges), own
 
 
+def _linked_runs(tokens: np.ndarray, pair: np.ndarray, often: np.ndarray, often_pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words that may occur often, and the runs of them whose pairs may, numbered by these words from 1, 0 between runs.
+    ``pair``: the pair that ends at each position, from 1. A pair may count as frequent since others share its place; it is
+    none if a word of it isn't, which has no number here."""
+    words = np.flatnonzero(often)
+    held = np.append(often, False)[tokens - 1]
+    linked = (pair > 0) & np.append(often_pairs, False)[pair - 1] & held & np.append(False, held[:-1])
+    kept = np.flatnonzero(linked | np.append(linked[1:], False))
+    first = ~linked[kept]
+    chains = np.zeros(len(kept) + int(first.sum()), np.int32)
+    chains[np.arange(len(kept)) + np.cumsum(first)] = (np.searchsorted(words, tokens[kept] - 1) + 1).astype(np.int32)
+    return words, chains
+
+
 _MERGE = {"words": "max", "a": "sum", "shards": "sum", "left_n": "sum", "left_min": "min", "left_max": "max", "right_n": "sum", "right_min": "min", "right_max": "max"}
 
 
@@ -349,12 +363,7 @@ def _strings(source: DataFrame, n_ranges: int, min_count: int, max_words: int) -
             shard = _Shard(row)
             dealt, automaton = shard.pairs(n_ranges)
             often = dealt.often(answers)
-            words, pair, tokens = np.flatnonzero(often[: len(shard.vocabulary)]), automaton.at[2], shard.tokens
-            linked = (pair > 0) & np.append(often[len(shard.vocabulary) :], False)[pair - 1]
-            kept = np.flatnonzero(linked | np.append(linked[1:], False))
-            first = ~linked[kept]
-            chains = np.zeros(len(kept) + int(first.sum()), np.int32)
-            chains[np.arange(len(kept)) + np.cumsum(first)] = (np.searchsorted(words, tokens[kept] - 1) + 1).astype(np.int32)
+            words, chains = _linked_runs(shard.tokens, automaton.at[2], often[: len(shard.vocabulary)], often[len(shard.vocabulary) :])
             counts = automaton.count[1][words].astype(np.int64)
             columns = [[shard.shard], [shard.langs], [shard.lang_of[words].tobytes()], [b" ".join([shard.vocabulary[w] for w in words])], [_planes(chains)], [counts.tobytes()]]
             kinds = [pa.int64(), pa.list_(pa.string()), pa.binary(), pa.binary(), pa.binary(), pa.binary()]

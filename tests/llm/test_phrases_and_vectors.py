@@ -80,6 +80,15 @@ def test_strings_are_listed_and_added_up_a_share_at_a_time(spark, monkeypatch):
     assert mined(df, min_count=5) == phrases_by_hand(rows, 5)  # in several shares, as a range has more than 120 strings
 
 
+def test_pairs_of_a_rare_word_are_none():
+    """Other strings at its place may make a pair look frequent; its rare word then was read as the next frequent one."""
+    tokens = np.array([1, 2, 3, 0, 4, 3, 1], np.int32)
+    pair = SuffixAutomaton(tokens, 2).at[2]
+    often = np.array([True, False, True, True])
+    words, chains = collocations._linked_runs(tokens, pair, often, np.ones(pair.max(), bool))
+    assert words.tolist() == [0, 2, 3] and chains.tolist() == [0, 3, 2, 1]
+
+
 def test_phrases_of_nothing(spark):
     df = spark.createDataFrame([("en", None), (None, "")], "lang string, text string")
     assert mined(df) == mined(df.where("false")) == set()
